@@ -15,23 +15,22 @@ physical partitions.
 from __future__ import annotations
 
 import math
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct chunks whose ids a task remembers (some 200 bytes each).
-CACHE_ENTRIES = 600_000
+from .arrow import slices, take
+
 #: How the tokenizer splits lower-cased text into words.
-WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\x85\p{L}\p{N}]+")
-#: Chunks of these characters only are normal forms already, and lower() does what the tokenizer does.
-PLAIN = re.compile(r"[!-~\xa1-\xac\xae-\u012f\u0131-\u024f]+")
+WORD = r"('s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+)"
+#: Chunks of these characters only are normal forms already, and lower-casing does what the tokenizer does.
+PLAIN = r"^[!-~\x{a1}-\x{ac}\x{ae}-\x{12f}\x{131}-\x{24f}]+$"
 
 
 def default_tokenizer() -> str:
@@ -40,69 +39,70 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class ChunkEncoder:
-    """Ids of whole texts as little-endian uint32 bytes.
+def byte_letters() -> dict[int, str]:
+    """The letter that the vocabulary writes for each byte: itself if printable, else the next free one from 256."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    table = {b: chr(b) for b in shown}
+    for b in range(256):
+        table.setdefault(b, chr(256 + len(table) - len(shown)))
+    return table
+
+
+class TextEncoder:
+    """Ids of whole texts.
 
     No merge of the vocabulary crosses a space or a line feed, so a text's ids are
-    those of its chunks in order, and a chunk is encoded once per cache. Chunks of
-    plain characters share the ids of their words in the same way; the words are
-    encoded in one go, and end where a token that ends a word stands.
+    those of its chunks in order, and each distinct chunk of a slice is encoded once.
+    Chunks of plain characters share the ids of their words in the same way; words go
+    straight to the model. All else goes through the whole tokenizer.
     """
 
-    def __init__(self, tokenizer_path: str, end_id: int, entries: int = CACHE_ENTRIES):
+    def __init__(self, tokenizer_path: str):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.entries, self.cache, self.words = entries, {"": b""}, {}
-        self.end = np.array([end_id], "<u4").tobytes()
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-
-    def _learn_words(self, words: list[str]) -> None:
-        for at in range(0, len(words), 5_000):
-            part = words[at : at + 5_000]
-            ids = self._ids(" ".join(part))
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(part):
-                raw, stops = ids.tobytes(), (4 * cuts).tolist()
-                self.words.update(zip(part, [raw[i:j] for i, j in zip([0, *stops], stops, strict=False)], strict=True))
-            else:
-                self.words.update((w, self._ids(w).tobytes()) for w in part)
-
-    def _learn(self, chunks: set[str]) -> None:
-        cache, words, split = self.cache, self.words, []
-        for chunk in chunks:
-            if PLAIN.fullmatch(chunk) and "<|" not in chunk:
-                split.append((chunk, WORD.findall(chunk.lower())))
-            else:
-                cache[chunk] = self._ids(chunk).tobytes()
-        self._learn_words([*{w for _, found in split for w in found}.difference(words)])
-        for chunk, found in split:
-            cache[chunk] = words[found[0]] if len(found) == 1 else b"".join([words[w] for w in found])
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        out: list[bytes] = []
-        for at in range(0, len(texts), 256):
-            split = [(t or "").replace("\n", " ").split(" ") for t in texts[at : at + 256]]
-            got = [[*map(self.cache.get, chunks)] for chunks in split]
-            unknown = [i for i, ids in enumerate(got) if None in ids]
-            if unknown:
-                missing = {c for i in unknown for c, ids in zip(split[i], got[i], strict=True) if ids is None}
-                if len(self.cache) + len(missing) > self.entries:
-                    self.cache, self.words = {"": b""}, {}
-                    missing = {c for i in unknown for c in split[i]}
-                self._learn(missing)
-                for i in unknown:
-                    got[i] = [*map(self.cache.get, split[i])]
-            out += [b"".join(ids) + self.end for ids in got]
-        return out
+        self.model, self.letters = self.tokenizer.model, byte_letters()
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        tokenize, letters = self.model.tokenize, self.letters
+        ids: list[int] = []
+        lengths = np.empty(len(words), np.int64)
+        for i, word in enumerate(words):
+            if not word.isascii():
+                word = word.encode().decode("latin-1").translate(letters)
+            got = tokenize(word) if word else ()
+            lengths[i] = len(got)
+            ids += [t.id for t in got]
+        return np.array(ids, np.uint32), lengths
+
+    def _chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        plain = pc.and_not(pc.match_substring_regex(chunks, PLAIN), pc.match_substring(chunks, "<|"))
+        easy = pc.utf8_lower(chunks.filter(plain))
+        letters = pc.utf8_is_alpha(easy)
+        spaced = pc.replace_with_mask(easy, pc.invert(letters), pc.replace_substring_regex(easy.filter(pc.invert(letters)), WORD, r"\1 "))
+        split = pc.split_pattern(spaced, " ")
+        coded = split.values.dictionary_encode()
+        flat, lengths = take(*self._words(coded.dictionary.to_pylist()), coded.indices.to_numpy(zero_copy_only=False))
+        ends, bounds = np.concatenate([[0], np.cumsum(lengths)]), split.offsets.to_numpy()
+        easy_lengths = np.diff(ends[bounds])
+        hard = [g.ids for g in self.tokenizer.encode_batch_fast(chunks.filter(pc.invert(plain)).to_pylist(), add_special_tokens=False)]
+        lengths = np.concatenate([easy_lengths, np.array([len(g) for g in hard], np.int64)])
+        flat = np.concatenate([flat, np.array([i for g in hard for i in g], np.uint32)])
+        mask = plain.to_numpy(zero_copy_only=False)
+        at = np.empty(len(mask), np.int64)
+        at[mask], at[~mask] = np.arange(mask.sum()), mask.sum() + np.arange((~mask).sum())
+        return take(flat, lengths, at)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, joined, and how many each text has; null texts count as empty."""
+        split = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        coded = split.values.dictionary_encode()
+        flat, lengths = take(*self._chunks(coded.dictionary), coded.indices.to_numpy(zero_copy_only=False))
+        ends, bounds = np.concatenate([[0], np.cumsum(lengths)]), split.offsets.to_numpy()
+        return flat, np.diff(ends[bounds])
 
 
 def cut(df: DataFrame, id_col: str, text_col: str, window: int, tokenizer_path: str, end_id: int, with_ids: bool = False) -> DataFrame:
@@ -110,23 +110,24 @@ def cut(df: DataFrame, id_col: str, text_col: str, window: int, tokenizer_path:
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(tokenizer_path, end_id)
-        step = 4 * window
+        encoder, end = TextEncoder(tokenizer_path), np.array([end_id], np.uint32)
         for batch in batches:
-            for low in range(0, batch.num_rows, 512):
-                part = batch.slice(low, 512)
+            for part in slices(batch, 1):
+                flat, lengths = encoder.encode(part.column(1))
                 doc, start, length, crc, total, ids = [], [], [], [], [], []
-                for key, raw in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
-                    n = len(raw) // 4
-                    for at in range(0, len(raw), step):
-                        piece = raw[at : at + step]
+                low = 0
+                for key, n in zip(part.column(0).to_pylist(), lengths.tolist(), strict=True):
+                    own = np.concatenate([flat[low : low + n], end])
+                    low += n
+                    for at in range(0, n + 1, window):
+                        piece = own[at : at + window]
                         doc.append(key)
-                        start.append(at // 4)
-                        length.append(len(piece) // 4)
-                        crc.append(zlib.crc32(piece))
-                        total.append(n)
+                        start.append(at)
+                        length.append(len(piece))
+                        crc.append(zlib.crc32(piece.astype("<u4", copy=False)))
+                        total.append(n + 1)
                         if with_ids:
-                            ids.append(np.frombuffer(piece, "<u4").astype("int32"))
+                            ids.append(piece.astype(np.int32))
                 columns = [pa.array(x, pa.int64()) for x in (doc, start, length, crc, total)]
                 names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
                 if with_ids:

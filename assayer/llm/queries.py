@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, packing, pii
+from . import html, lm, packing, pii, toxicity
 from .common import table
 
 
@@ -17,6 +17,11 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op3_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    return lm.score(table(spark, sf_dir, "documents"), remainder != 1, remainder == 4)
+
+
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"), ["doc_id"])
     base = F.filter("spans", lambda s: s["base"])
@@ -24,5 +29,13 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *n, F.sha2(pii.digest(base), 256).alias("base_sha256"), pii.digest(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_main_text, op2_best_fit_packing, op9_personal_data)}
+def op10_toxic_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    learned = toxicity.learn(toxicity.sample_of(docs, labels.where(remainder != 0), "doc_id", "toxic", 20_000))
+    scored = toxicity.score(docs, learned, ["doc_id"])
+    return scored.select("doc_id", F.coalesce(remainder == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_main_text, op2_best_fit_packing, op3_deleted_interpolation, op9_personal_data, op10_toxic_grammar)}
 ORACLE_SQL: dict[str, str] = {}
