@@ -41,6 +41,6 @@ def settle(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/assayer-{uuid.uuid4().hex}"
     writer = df.write.mode("errorifexists")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    (writer.partitionBy(*partition_by) if partition_by else writer).option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)

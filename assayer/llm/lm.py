@@ -1,18 +1,18 @@
 """Language-model scores by deleted interpolation.
 
-A token's probability mixes its maximum-likelihood estimate over all training
-tokens with a spelling model: byte n-grams of order 0 to 5, whose estimates are
-mixed by weights that depend on how often the context was seen (buckets of its
-frequency). All weights come from expectation-maximisation on counts held out of
-the estimates (a share of the training documents); the final estimates use all of
-them.
+The chance of a token after another mixes maximum-likelihood estimates: of the
+pair, of the word, a uniform one over the vocabulary, and one that stands for a word
+outside of the vocabulary (all such words are one event, as in the base score). The
+mixture weights depend on how often the context was seen (buckets of its frequency)
+and are learned by expectation-maximisation on counts held out of the estimates, a
+share of the training documents; the final estimates use all training documents.
 
 Data flow. One scan turns each slice of documents into a block: its distinct words
-with their training and held-out counts, and its token places. Word counts meet in
-a shuffle on the word's hash, one row per block and distinct word, and come back to
-the block the same way; texts and tokens are not shuffled, and no word table is
-collected or broadcast. Only the spelling model is broadcast: it has at most
-`most_events` n-grams (rarer ones are cut off beyond that, as in any n-gram model).
+with their counts, and its token places. Counts of words meet in a shuffle on the
+word's hash, one row per block and distinct word, and go back to the block; so do
+the counts of pairs. Texts are not shuffled, and no table of words or pairs is
+collected or broadcast. Pairs are estimated between the `frequent` most frequent
+words only (the size of the pair model); their hashes are broadcast, 8 bytes each.
 """
 
 from __future__ import annotations
@@ -20,7 +20,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -30,172 +29,172 @@ from pyspark.sql import functions as F
 from .arrow import slices, sums
 from .common import settle
 
-ORDER = 5
-BUCKETS = 24
-SLICE = 16 << 20
-SPACE = 32
-
-
-class Spelling:
-    """Byte n-grams of words, an end after each word; contexts begin with blanks."""
-
-    def __init__(self, keys: np.ndarray, main: np.ndarray, held: np.ndarray, rounds: int = 40):
-        """keys: the last ORDER bytes before a byte and that byte, the byte lowest; main and held: counts."""
-        self.tables = []
-        self.weights = np.zeros((BUCKETS, ORDER + 2))
-        self.weights[:, ORDER + 1] = 1.0
-        if not len(keys) or not (main.sum() + held.sum()):
-            return
-        use = main if main.sum() and held.sum() else main + held
-        self._count(keys, use)
-        if held.sum():
-            seen = held > 0
-            chances, bucket = self._chances(keys[seen])
-            n = held[seen].astype(float)
-            self.weights = np.full((BUCKETS, ORDER + 2), 1.0 / (ORDER + 2))
-            for _ in range(rounds):
-                parts = self.weights[bucket] * chances
-                parts *= (n / parts.sum(1))[:, None]
-                new = np.stack([np.bincount(bucket, parts[:, k], BUCKETS) for k in range(ORDER + 2)], 1) + 1e-9
-                self.weights = new / new.sum(1, keepdims=True)
-        else:
-            self.weights = np.full((BUCKETS, ORDER + 2), 1.0 / (ORDER + 2))
-        self._count(keys, main + held)
-
-    def _count(self, keys: np.ndarray, n: np.ndarray) -> None:
-        """For each order: sorted n-grams with counts, sorted contexts with counts."""
-        self.tables = []
-        for k in range(ORDER + 1):
-            grams, at = np.unique(keys & ((1 << 8 * (k + 1)) - 1), return_inverse=True)
-            counts = np.bincount(at, n)
-            contexts, at = np.unique(grams >> 8, return_inverse=True)
-            self.tables.append((grams, counts, contexts, np.bincount(at, counts)))
-
-    @staticmethod
-    def _look(keys: np.ndarray, table: np.ndarray, values: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-        return np.where(table[at] == keys, values[at], 0.0)
-
-    def _chances(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Maximum-likelihood chance of each n-gram's last byte by order (the last: uniform), and the bucket of its longest context."""
-        out = np.zeros((len(keys), ORDER + 2))
-        out[:, ORDER + 1] = 1 / 256
-        bucket = np.zeros(len(keys), np.int64)
-        for k, (grams, counts, contexts, totals) in enumerate(self.tables):
-            own = keys & ((1 << 8 * (k + 1)) - 1)
-            total = self._look(own >> 8, contexts, totals)
-            out[:, k] = self._look(own, grams, counts) / np.maximum(total, 1)
-            bucket = np.log2(np.maximum(total, 0) + 1).astype(np.int64)
-        return out, np.minimum(bucket, BUCKETS - 1)
-
-    def log10(self, keys: np.ndarray) -> np.ndarray:
-        found, at = np.unique(keys, return_inverse=True)
-        if not self.tables:
-            return np.full(len(keys), np.log10(1 / 256))
-        chances, bucket = self._chances(found)
-        # an order whose context was not seen gives its weight to the uniform one
-        weights = self.weights[bucket].copy()
-        seen = np.stack([self._look((found & ((1 << 8 * (k + 1)) - 1)) >> 8, t[2], t[3]) > 0 for k, t in enumerate(self.tables)], 1)
-        lost = (weights[:, : ORDER + 1] * ~seen).sum(1)
-        return np.log10((weights * chances).sum(1) + lost / 256)[at]
-
-
-def spelling_keys(words: bytes) -> np.ndarray:
-    """The n-gram of each byte of words that each end in a blank."""
-    b = np.frombuffer(words, np.uint8).astype(np.int64)
-    place = np.arange(len(b))
-    blank = np.maximum.accumulate(np.where(b == SPACE, place, -1))
-    since = place - np.concatenate([[-1], blank[:-1]]) - 1
-    key = b.copy()
-    for j in range(1, ORDER + 1):
-        key |= np.where(since >= j, np.roll(b, j), SPACE) << (8 * j)
-    return key
-
-
-BLOCK = "block long, doc array<long>, held array<boolean>, n array<int>, at binary, words binary, main binary, left binary"
+BUCKETS = 32
+SLICE = 24 << 20
+#: The end of a text, in the vocabulary of each block; no token holds a line feed.
+END = b"\n"
+#: What a pair's or a word's estimate of zero is binned as.
+NONE = -999
+
+BLOCK = "block long, doc array<long>, role array<int>, n array<int>, at binary, words binary, main binary, left binary"
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per slice. Input: key, text, role (0 training, 1 training but held out of the estimates, 2 not training)."""
+    """One row per slice. Input: key, text, role (0 training, 1 training but held out of the estimates, 2 not training).
+
+    `at` holds the word of each token, an end after each text; `words` the distinct words, each before a blank, the end last.
+    """
     from pyspark import TaskContext
 
     number = TaskContext.get().partitionId() << 24
     for batch in batches:
         for part in slices(batch, 1, SLICE):
             texts = pc.replace_substring_regex(pc.ascii_lower(pc.fill_null(part.column(1), "")), "[\t-\r]", " ")
+            texts = pc.binary_join_element_wise(texts, "\n", " ")
             split = pc.split_pattern(texts, " ")
             coded = split.values.dictionary_encode()
             words = coded.dictionary.to_pylist()
             places = coded.indices.to_numpy(zero_copy_only=False)
-            bounds = split.offsets.to_numpy().astype(np.int64)
-            full = np.array([bool(w) for w in words], bool)
-            keep = full[places] if len(places) else np.zeros(0, bool)
-            n = sums(keep.astype(np.int64), bounds)
-            number_of = np.cumsum(full) - 1
+            full = np.array([bool(w) and w != "\n" for w in words], bool)
+            number_of = np.where(full, np.cumsum(full) - 1, full.sum())
+            keep = np.array([bool(w) for w in words], bool)[places]
+            n = sums(keep.astype(np.int64), split.offsets.to_numpy().astype(np.int64))
             at = number_of[places[keep]].astype("<i4")
             role = part.column(2).to_numpy(zero_copy_only=False)
-            roles = np.repeat(role, n)
-            size = int(full.sum())
+            roles, size = np.repeat(role, n), int(full.sum()) + 1
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([number], pa.int64()),
                     pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())),
-                    pa.array([[r == 2 for r in role.tolist()]], pa.list_(pa.bool_())),
+                    pa.array([role.tolist()], pa.list_(pa.int32())),
                     pa.array([n.tolist()], pa.list_(pa.int32())),
                     pa.array([at.tobytes()], pa.binary()),
-                    pa.array(["".join(w + " " for w in words if w).encode()], pa.binary()),
+                    pa.array(["".join(w + " " for w, f in zip(words, full, strict=True) if f).encode() + END], pa.binary()),
                     pa.array([np.bincount(at[roles == 0], minlength=size).astype("<i4").tobytes()], pa.binary()),
                     pa.array([np.bincount(at[roles == 1], minlength=size).astype("<i4").tobytes()], pa.binary()),
                 ],
-                names=["block", "doc", "held", "n", "at", "words", "main", "left"],
+                names=["block", "doc", "role", "n", "at", "words", "main", "left"],
             )
             number += 1
 
 
-def _events(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(n-gram, main count, held-out count) of each block's training words."""
+def _hashes(words: bytes) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(w) for w in words.split(b" ")], np.uint64)
+
+
+def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for words, main, left in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            keys = spelling_keys(words)
-            which = np.cumsum(np.frombuffer(words, np.uint8) == SPACE)
-            which[np.frombuffer(words, np.uint8) == SPACE] -= 1
-            found, at = np.unique(keys, return_inverse=True)
-            m = np.bincount(at, np.frombuffer(main, "<i4")[which], len(found)).astype(np.int64)
-            d = np.bincount(at, np.frombuffer(left, "<i4")[which], len(found)).astype(np.int64)
-            use = (m + d) > 0
-            yield pa.RecordBatch.from_arrays([pa.array(found[use]), pa.array(m[use]), pa.array(d[use])], names=["key", "main", "left"])
-
-
-def spelling_model(blocks: DataFrame, most_events: int) -> Spelling:
-    events = blocks.select("words", "main", "left").mapInArrow(_events, "key long, main long, left long").groupBy("key").agg(F.sum("main").alias("main"), F.sum("left").alias("left"))
-    events = settle(events)
-    # the lowest count (a power of two) from which on at most most_events n-grams are left
-    size = F.floor(F.log2(F.col("main") + F.col("left"))).cast("int")
-    by_size = sorted(((r["size"], r["n"]) for r in events.groupBy(size.alias("size")).agg(F.count("*").alias("n")).collect()), reverse=True)
-    total, least = 0, 0
-    for size_, n in by_size:
-        if total + n > most_events:
-            least = 2 ** (size_ + 1)
-            break
-        total += n
-    rows = events.where(F.col("main") + F.col("left") >= least).orderBy("key").toPandas()
-    return Spelling(rows["key"].to_numpy(np.int64), rows["main"].to_numpy(np.int64), rows["left"].to_numpy(np.int64))
-
-
-def mix_weight(histogram: list[tuple[int, float]], rounds: int = 60) -> float:
-    """Weight of the word estimate against the spelling model, by expectation-maximisation over binned log10 ratios of the two."""
-    if not histogram:
-        return 0.5
-    ratio = 10.0 ** np.array([b / 20 for b, _ in histogram], float)
-    ratio[np.array([b for b, _ in histogram]) <= -400] = 0.0
-    n, w = np.array([x for _, x in histogram], float), 0.5
+        for block, words, main, left in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            hashes = _hashes(words).view(np.int64)
+            n = len(hashes)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(hashes), pa.array(np.full(n, block)), pa.array(np.arange(n, dtype=np.int32)), pa.array(np.frombuffer(main, "<i4")), pa.array(np.frombuffer(left, "<i4"))],
+                names=["hash", "block", "word", "main", "left"],
+            )
+
+
+def _contexts(at: np.ndarray, end: int) -> np.ndarray:
+    return np.concatenate([[end], at[:-1]])
+
+
+def pairs_of(frequent: np.ndarray):
+    """Maps blocks to their distinct pairs of frequent words, with counts; frequent: sorted hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, role, n, at, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                hashes = _hashes(words)
+                known = np.isin(hashes.view(np.int64), frequent)
+                at = np.frombuffer(at, "<i4").astype(np.int64)
+                before = _contexts(at, len(hashes) - 1)
+                use = known[at] & known[before]
+                role = np.repeat(np.array(role, np.int8), np.array(n, np.int64))[use]
+                found, inverse = np.unique(before[use] * len(hashes) + at[use], return_inverse=True)
+                h, w = found // len(hashes), found % len(hashes)
+                key = (hashes[h] * np.uint64(0x9E3779B97F4A7C15)) ^ ((hashes[w] << np.uint64(29)) | (hashes[w] >> np.uint64(35)))
+                counts = [np.bincount(inverse, role == r, len(found)).astype(np.int32) for r in (0, 1)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key.view(np.int64)), pa.array(np.full(len(found), block)), pa.array(h.astype(np.int32)), pa.array(w.astype(np.int32)), *map(pa.array, counts)],
+                    names=["hash", "block", "before", "word", "main", "left"],
+                )
+
+    return run
+
+
+def _meet(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Per document: the counts at its tokens as int32 arrays c (word), p (pair), h (context), and the same without what is held out (cm, pm, hm) for held-out documents."""
+    out: list[list] = [[] for _ in range(9)]
+    before, word, m, c = (right[k].to_numpy() for k in ("before", "word", "m", "c"))
+    single = before < 0
+    order = np.argsort(word[single])
+    word_m, word_c = m[single][order], c[single][order]
+    size = len(word_c)
+    keys = before[~single].astype(np.int64) * size + word[~single]
+    by_key = np.argsort(keys)
+    keys, pair_m, pair_c = keys[by_key], m[~single][by_key], c[~single][by_key]
+    for row in range(left.num_rows):
+        docs, roles, n = (left[k][row].as_py() for k in ("doc", "role", "n"))
+        at = np.frombuffer(left["at"][row].as_py(), "<i4").astype(np.int64)
+        prior = _contexts(at, size - 1)
+        wanted = prior * size + at
+        place = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
+        hit = keys[place] == wanted if len(keys) else np.zeros(len(at), bool)
+        zero = np.zeros(len(at), np.int32)
+        arrays = [word_c[at], np.where(hit, pair_c[place], 0) if len(keys) else zero, word_c[prior], word_m[at], np.where(hit, pair_m[place], 0) if len(keys) else zero, word_m[prior]]
+        arrays = [np.minimum(a, 2**31 - 1).astype("<i4") for a in arrays]
+        low = 0
+        for doc, role, k in zip(docs, roles, n, strict=True):
+            high = low + k
+            out[0].append(doc)
+            out[1].append(role)
+            out[2].append(k)
+            for j, a in enumerate(arrays):
+                out[3 + j].append(a[low:high].tobytes() if j < 3 or role == 1 else None)
+            low = high
+    types = [pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 6]
+    return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=["doc_id", "role", "n", "c", "p", "h", "cm", "pm", "hm"])
+
+
+def _bucket(h: np.ndarray) -> np.ndarray:
+    return np.minimum(np.log2(h.astype(float) + 1).astype(np.int64), BUCKETS - 1)
+
+
+def _bins(total: int):
+    """Histogram of held-out tokens by context bucket, binned log10 estimate of the pair and of the word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c, p, h in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                c, p, h = (np.frombuffer(x, "<i4").astype(float) for x in (c, p, h))
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    pair = np.where(p > 0, np.round(40 * np.log10(p / h)), NONE).astype(np.int64)
+                    one = np.where(c > 0, np.round(40 * np.log10(c / total)), NONE).astype(np.int64)
+                found, n = np.unique(np.stack([_bucket(h), pair, one]), axis=1, return_counts=True)
+                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in found), pa.array(n)], names=["bucket", "pair", "word", "n"])
+
+    return run
+
+
+def learn_weights(rows: list, vocabulary: int, rounds: int = 80) -> np.ndarray:
+    """Weights (pair, word, uniform, new word) by context bucket, by expectation-maximisation over the binned held-out tokens."""
+    weights = np.tile([0.3, 0.6, 0.05, 0.05], (BUCKETS, 1))
+    if not rows:
+        return weights
+    bucket, pair, word, n = np.array([[r["bucket"], r["pair"], r["word"], r["n"]] for r in rows]).T
+    chances = np.stack([np.where(pair > NONE, 10.0 ** (pair / 40), 0), np.where(word > NONE, 10.0 ** (word / 40), 0), np.full(len(n), 1 / (vocabulary + 1)), (word == NONE).astype(float)], 1)
+    prior = np.array([0.3, 0.6, 0.05, 0.05])
     for _ in range(rounds):
-        got = w * ratio / (w * ratio + 1 - w)
-        w = min(1 - 1e-6, max(1e-6, float((n * got).sum() / n.sum())))
-    return w
+        parts = weights[bucket] * chances
+        parts *= (n / parts.sum(1))[:, None]
+        sums_ = np.stack([np.bincount(bucket, parts[:, k], BUCKETS) for k in range(4)], 1)
+        overall = sums_.sum(0) + prior
+        prior = overall / overall.sum()
+        weights = sums_ + 5 * prior  # a bucket with few tokens leans on all buckets
+        weights /= weights.sum(1, keepdims=True)
+    return weights
 
 
-def score(df: DataFrame, train: Column, left_out: Column, id_col: str = "doc_id", text_col: str = "text", most_events: int = 1 << 22) -> DataFrame:
+def score(df: DataFrame, train: Column, left_out: Column, id_col: str = "doc_id", text_col: str = "text", frequent: int = 1 << 16) -> DataFrame:
     """Score every row's whole text with a model of the rows where `train` holds.
 
     `left_out` names the training rows whose counts are held out of the estimates
@@ -204,70 +203,44 @@ def score(df: DataFrame, train: Column, left_out: Column, id_col: str = "doc_id"
     ASCII white space, A-Z in lower case, and one end per text. A null text is empty;
     a null id is a null doc_id; where train is null the row is no training row. Repeated
     rows are scored and counted as often as they occur. Without training rows each token
-    has the uniform chance. Other columns of df are not read.
+    is a new word, and its scores are those of the empty model. Other columns of df are
+    not read.
     """
-    train = F.coalesce(train, F.lit(False))
-    role = F.when(~train, 2).when(F.coalesce(left_out, F.lit(False)), 1).otherwise(0)
+    role = F.when(~F.coalesce(train, F.lit(False)), 2).when(F.coalesce(left_out, F.lit(False)), 1).otherwise(0)
     blocks = settle(df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"), role.cast("int").alias("role")).mapInArrow(_blocks, BLOCK))
-    model = spelling_model(blocks, most_events)
-    shared = df.sparkSession.sparkContext.broadcast(model)
-
-    def vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, words, main, left in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                raw = np.frombuffer(words, np.uint8)
-                log10 = shared.value.log10(spelling_keys(words))
-                ends = np.flatnonzero(raw == SPACE) + 1
-                spell = sums(log10, np.concatenate([[0], ends]))
-                names = words.split(b" ")[:-1]
-                hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in names], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(hashes), pa.array(np.full(len(names), block)), pa.array(np.arange(len(names), dtype=np.int32)), pa.array(np.frombuffer(main, "<i4")), pa.array(np.frombuffer(left, "<i4")), pa.array(spell.astype(np.float32))],
-                    names=["hash", "block", "word", "main", "left", "spell"],
-                )
-
-    sizes = blocks.select(F.col("doc"), "held", F.expr("length(at) div 4").alias("n")).agg(F.sum(F.expr("size(doc)")).alias("docs"), F.sum(F.expr("size(filter(held, x -> not x))")).alias("train_docs")).first()
-    asked = blocks.select("block", "words", "main", "left").mapInArrow(vocabulary, "hash long, block long, word int, main int, left int, spell float")
     same = "over (partition by hash)"
+    asked = blocks.select("block", "words", "main", "left").mapInArrow(_vocabulary, "hash long, block long, word int, main int, left int")
     words = settle(
-        asked.selectExpr("block", "word", "spell", "left", f"sum(main) {same} as m", f"sum(left) {same} as d", f"min(block) {same} = block as first")
-        .selectExpr("block", "word", "spell", "left", "m", "m + d as c", "first")
+        asked.selectExpr("hash", "block", "word", f"sum(main) {same} as m", f"sum(left) {same} as d", f"min(block) {same} = block as first")
+        .selectExpr("block", "word", "m", "m + d as c", "if(first and m + d > 0, hash, null) as hash")
     )
-    total = words.agg(F.sum(F.expr("if(first, c, 0)")).alias("n"), F.sum(F.expr("if(first, m, 0)")).alias("m"), F.count(F.expr("if(first and c > 0, 1, null)")).alias("v")).first()
-    train_docs = int(sizes["train_docs"] or 0)
-    n_train = int(total["n"] or 0) + train_docs
-    vocabulary_size = int(total["v"] or 0) + (train_docs > 0)
-    ratio = F.greatest(F.lit(-400), F.round(20 * (F.log10(F.col("m") / F.lit(max(1, int(total["m"] or 0)))) - F.col("spell")))).cast("int")
-    binned = words.where("left > 0").groupBy(F.coalesce(ratio, F.lit(-400)).alias("bin")).agg(F.sum("left").alias("n")).collect()
-    weight = mix_weight(sorted((r["bin"], float(r["n"])) for r in binned)) if n_train else 0.0
-    end_base = float(np.log10((train_docs + 0.5) / (n_train + 0.5 * (vocabulary_size + 1))))
-    # an end is a token like the others; what ends a text without training rows is as likely as a byte
-    end_score = float(np.log10(weight * train_docs / n_train + (1 - weight) / 256)) if n_train else float(np.log10(1 / 256))
-    base_of = float(n_train + 0.5 * (vocabulary_size + 1))
-
-    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], [], [], [], []]
-        order = np.argsort(right["word"].to_numpy())
-        c = right["c"].to_numpy()[order].astype(float)
-        spell = right["spell"].to_numpy()[order].astype(float)
-        base = np.log10((c + 0.5) / base_of)
-        mixed = np.log10(max(1 - weight, 1e-9)) + spell
-        seen = c > 0
-        mixed[seen] = np.log10(weight * c[seen] / max(1, n_train) + (1 - weight) * 10.0 ** spell[seen])
-        for row in range(left.num_rows):
-            doc, held, n = (left[k][row].as_py() for k in ("doc", "held", "n"))
-            at = np.frombuffer(left["at"][row].as_py(), "<i4")
-            bounds = np.concatenate([[0], np.cumsum(np.array(n, np.int64))])
-            known = sums((c[at] > 0).astype(np.int64), bounds) + (train_docs > 0)
-            for column, values in zip(out, (doc, held, (np.diff(bounds) + 1).tolist(), known.tolist(), (sums(base[at], bounds) + end_base).tolist(), (sums(mixed[at], bounds) + end_score).tolist()), strict=True):
-                column += values
-        types = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
-
-    tokens = blocks.select("block", "doc", "held", "n", "at")
-    return (
-        tokens.groupBy("block")
-        .cogroup(words.select("block", "word", "spell", "c").groupBy("block"))
-        .applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-        .select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score")
-    )
+    total = words.agg(F.sum(F.expr("if(hash is null, 0, c)")).alias("n"), F.sum(F.expr("if(hash is null, 0, m)")).alias("m"), F.count("hash").alias("v")).first()
+    n_train, n_main, vocabulary = int(total["n"] or 0), int(total["m"] or 0), int(total["v"] or 0)
+    top = words.where("hash is not null").orderBy(F.desc("c"), "hash").select("hash").limit(frequent).toPandas()["hash"].to_numpy(np.int64)
+    pair_rows = blocks.select("block", "role", "n", "at", "words").mapInArrow(pairs_of(np.sort(top)), "hash long, block long, before int, word int, main int, left int")
+    pairs = pair_rows.selectExpr("block", "before", "word", f"sum(main) {same} as m", f"sum(main + left) {same} as c").where("c > 0")
+    answers = words.selectExpr("block", "-1 as before", "word", "m", "c").unionByName(pairs)
+    met = settle(
+        blocks.select("block", "doc", "role", "n", "at")
+        .groupBy("block")
+        .cogroup(answers.groupBy("block"))
+        .applyInArrow(_meet, "doc_id long, role int, n long, c binary, p binary, h binary, cm binary, pm binary, hm binary")
+    )
+    left = met.where("role = 1").select("cm", "pm", "hm").mapInArrow(_bins(max(1, n_main)), "bucket long, pair long, word long, n long")
+    weights = learn_weights(left.groupBy("bucket", "pair", "word").agg(F.sum("n").alias("n")).collect() if n_main else [], vocabulary)
+    base_of, unknown = n_train + 0.5 * (vocabulary + 1), 1 / (vocabulary + 1)
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known, base, mixed = [], [], []
+            for c, p, h in zip(*(batch.column(k).to_pylist() for k in (3, 4, 5)), strict=True):
+                c, p, h = (np.frombuffer(x, "<i4").astype(float) for x in (c, p, h))
+                w = weights[_bucket(h)]
+                known.append(int((c > 0).sum()))
+                base.append(float(np.log10((c + 0.5) / base_of).sum()))
+                chance = w[:, 0] * p / np.maximum(h, 1) + w[:, 1] * c / max(1, n_train) + w[:, 2] * unknown + w[:, 3] * (c == 0)
+                mixed.append(float(np.log10(chance).sum()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (0, 1, 2)), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(mixed, pa.float64())], names=["doc_id", "role", "n_tokens", "n_known", "base_score", "score"])
+
+    done = met.select("doc_id", "role", "n", "c", "p", "h").mapInArrow(finish, "doc_id long, role int, n_tokens long, n_known long, base_score double, score double")
+    return done.select("doc_id", (F.col("role") == 2).alias("held_out"), "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score")
