@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, lm, packing, pii, toxicity
+from . import html, langid, lm, packing, pii, toxicity
 from .common import table
 
 
@@ -22,6 +22,13 @@ def op3_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"), remainder != 1, remainder == 4)
 
 
+def op4_language_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    model = langid.learn(docs.where(remainder != 2), "doc_id")
+    return langid.predict(docs, model, ["doc_id", F.coalesce(remainder == 2, F.lit(False)).alias("held_out")])
+
+
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"), ["doc_id"])
     base = F.filter("spans", lambda s: s["base"])
@@ -37,5 +44,5 @@ def op10_toxic_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(remainder == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_main_text, op2_best_fit_packing, op3_deleted_interpolation, op9_personal_data, op10_toxic_grammar)}
+QUERIES = {f.__name__: f for f in (op1_main_text, op2_best_fit_packing, op3_deleted_interpolation, op4_language_families, op9_personal_data, op10_toxic_grammar)}
 ORACLE_SQL: dict[str, str] = {}
