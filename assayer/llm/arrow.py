@@ -40,3 +40,15 @@ def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Sum of values between neighbouring bounds."""
     total = np.concatenate([np.zeros(1, values.dtype if values.dtype.kind == "f" else np.int64), np.cumsum(values)])
     return np.diff(total[bounds])
+
+
+def squeeze(values: np.ndarray) -> bytes:
+    """Integers below 2^31 as compressed byte planes."""
+    planes = np.ascontiguousarray(values.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    return len(values).to_bytes(8, "little") + pa.Codec("zstd", 3).compress(planes, asbytes=True)
+
+
+def expand(squeezed: bytes) -> np.ndarray:
+    n = int.from_bytes(squeezed[:8], "little")
+    planes = pa.Codec("zstd").decompress(squeezed[8:], 4 * n, asbytes=True) if n else b""
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, n).T).view("<i4").reshape(-1)

@@ -273,3 +273,19 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     out = docs.select("doc_id", "node").join(named, "node", "left")
     class_id = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
     return out.select("doc_id", class_id.alias("class_id"), F.coalesce(F.col("doc_id") == class_id, F.lit(False)).alias("kept"))
+
+
+def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
+    """The rows of df, with all their columns, of which one of each class of near-duplicates stays: the one with the smallest id.
+
+    A row that is repeated, id and all, stays once. A row without an id is in no pair
+    that can be named and stays.
+    """
+    classes = settle(near_duplicates(df, id_col, text_col, **parameters))
+    gone = classes.where("not kept and doc_id is not null").select(F.col("doc_id").alias(id_col)).distinct()
+    out = df.join(gone, id_col, "left_anti").select(*df.columns)
+    repeated = classes.where("kept").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    if repeated.isEmpty():
+        return out
+    again = F.col(id_col).isNotNull()
+    return out.where(again).dropDuplicates([id_col]).unionByName(out.where(~again))

@@ -294,3 +294,16 @@ def score(df: DataFrame, grammar: Grammar, keys: list[str], text_col: str = "tex
     types = dict(df.dtypes)
     schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], "score double"])
     return df.select(*keys, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
+
+
+def accepted(df: DataFrame, grammar: Grammar, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of df whose text scores below the threshold, with all their columns; null and empty texts stay."""
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, at):
+                keep = [grammar.score(x) < threshold for x in _document_features(grammar, part.column(at))]
+                yield part.filter(pa.array(keep, pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
