@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html, langid, lm, minhash, packing, pii, toxicity
+from . import decontamination, embeddings, html, langid, lm, minhash, packing, pii, toxicity
 from .common import table
 
 
@@ -29,6 +29,10 @@ def op4_language_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model, ["doc_id", F.coalesce(remainder == 2, F.lit(False)).alias("held_out")])
 
 
+def op5_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -52,5 +56,5 @@ def op10_toxic_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(remainder == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_main_text, op2_best_fit_packing, op3_deleted_interpolation, op4_language_families, op6_weighted_minhash, op8_simhash_windows, op9_personal_data, op10_toxic_grammar)}
+QUERIES = {f.__name__: f for f in (op1_main_text, op2_best_fit_packing, op3_deleted_interpolation, op4_language_families, op5_pruned_graph, op6_weighted_minhash, op8_simhash_windows, op9_personal_data, op10_toxic_grammar)}
 ORACLE_SQL: dict[str, str] = {}
