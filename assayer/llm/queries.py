@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embeddings, html, langid, lm, minhash, packing, pii, toxicity
+from . import decontamination, embeddings, html, langid, lm, minhash, packing, pii, quotation, toxicity
 from .common import table
 
 
@@ -37,6 +37,10 @@ def op6_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotation.link(table(spark, sf_dir, "conversations"))
+
+
 def op8_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -56,5 +60,5 @@ def op10_toxic_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(remainder == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_main_text, op2_best_fit_packing, op3_deleted_interpolation, op4_language_families, op5_pruned_graph, op6_weighted_minhash, op8_simhash_windows, op9_personal_data, op10_toxic_grammar)}
+QUERIES = {f.__name__: f for f in (op1_main_text, op2_best_fit_packing, op3_deleted_interpolation, op4_language_families, op5_pruned_graph, op6_weighted_minhash, op7_quotation_links, op8_simhash_windows, op9_personal_data, op10_toxic_grammar)}
 ORACLE_SQL: dict[str, str] = {}
