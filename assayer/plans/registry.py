@@ -7,21 +7,340 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import stats, text
+from ..operators import calibration, compare, evaluation, features, quality, split
+from .views import Views, sql
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "label_support"
+FLAGSHIP = "per_label_metrics"
 
 
-def query(name: str, sql: str | None = None) -> Callable:
-    def add(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[name] = run
-        if sql:
-            ORACLE_SQL[name] = sql
+def query(name: str, oracle: str | None = None) -> Callable:
+    def add(run: Callable[[Views], DataFrame]) -> Callable[[Views], DataFrame]:
+        QUERIES[name] = lambda spark, sf_dir: run(Views(spark, sf_dir))
+        if oracle:
+            ORACLE_SQL[name] = oracle
         return run
 
     return add
 
 
-@query("label_support", "SELECT lang AS label, count(*) AS n FROM documents GROUP BY lang")
-def _label_support(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy(F.col("lang").alias("label")).agg(F.count("*").alias("n"))
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 9) for c in columns})
+
+
+def outcomes(v: Views) -> DataFrame:
+    return evaluation.align(v.records, v.predictions, v.labels)
+
+
+def pairs(v: Views) -> DataFrame:
+    now = evaluation.correct(outcomes(v)).select("id", F.col("correct").alias("candidate"))
+    before = evaluation.correct(evaluation.align(v.records, v.previous, v.labels)).select("id", F.col("correct").alias("baseline"))
+    return now.join(before, "id")
+
+
+def logits(v: Views) -> DataFrame:
+    return calibration.prepared(v.logits, [str(i) for i in range(10)])
+
+
+# --- contract checks -------------------------------------------------------------------------------------------------
+
+@query("label_report", sql("SELECT l.pos, l.label, count(r.id) AS n FROM v_lbl l LEFT JOIN v_rec r ON r.label = l.label GROUP BY l.pos, l.label", "v_rec", "v_lbl"))
+def _(v: Views) -> DataFrame:
+    return quality.label_counts(v.records, v.labels)
+
+
+@query(
+    "dataset_summary",
+    sql("""SELECT (SELECT count(*) FROM v_rec) AS n_rows, (SELECT count(DISTINCT input) FROM v_rec) AS n_inputs, count(*) FILTER (n > 0) AS n_labels, min(n) FILTER (n > 0) AS min_count, count(*) FILTER (n = 0) AS n_absent
+    FROM (SELECT l.label, count(r.id) AS n FROM v_lbl l LEFT JOIN v_rec r ON r.label = l.label GROUP BY l.label)""", "v_rec", "v_lbl"),
+)
+def _(v: Views) -> DataFrame:
+    return quality.summary(v.records, v.labels)
+
+
+@query("absent_labels", sql("SELECT pos, label FROM v_lbl WHERE label NOT IN (SELECT label FROM v_rec)", "v_rec", "v_lbl"))
+def _(v: Views) -> DataFrame:
+    return quality.absent_labels(v.records, v.labels)
+
+
+@query("data_volume", sql("SELECT label, count(*) AS n, CASE WHEN count(*) < 100 THEN 'few' WHEN count(*) < 3000 THEN 'some' ELSE 'many' END AS volume FROM v_rec GROUP BY label", "v_rec"))
+def _(v: Views) -> DataFrame:
+    return v.records.groupBy("label").agg(F.count("*").alias("n")).withColumn("volume", quality.data_volume(F.col("n")))
+
+
+@query("duplicate_ids", sql("SELECT id, line FROM (SELECT CAST(line // 2 AS VARCHAR) AS id, line, count(*) OVER (PARTITION BY line // 2) AS n FROM v_rec WHERE line % 3 > 0) WHERE n > 1", "v_rec"))
+def _(v: Views) -> DataFrame:
+    rows = v.records.where("line % 3 > 0").select(F.expr("cast(line div 2 as string)").alias("id"), "line")
+    return quality.duplicate_ids(rows)
+
+
+@query("first_valid_line", sql("SELECT key, line, first_line FROM (SELECT label || group_id AS key, line, min(CASE WHEN line % 4 > 0 THEN line END) OVER (PARTITION BY label || group_id) AS first_line FROM v_rec) WHERE line > first_line", "v_rec"))
+def _(v: Views) -> DataFrame:
+    return quality.first_lines(v.records.withColumn("key", F.concat("label", "group_id")), "key", fine=F.col("line") % 4 > 0)
+
+
+@query(
+    "contradictions",
+    sql(r"""SELECT sha256(key) AS key, min(id) AS first_id, count(*) AS n_ids, count(DISTINCT gold) AS n_gold, count(DISTINCT group_id) AS n_groups, count(*) FILTER (group_id IS NULL) AS n_without_group
+    FROM (SELECT trim(regexp_replace(input, '\s+', ' ', 'g')) AS key, CAST(line % 3 AS VARCHAR) AS gold, id, group_id FROM v_rec) GROUP BY sha256(key) HAVING count(DISTINCT gold) >= 2""", "v_rec"),
+)
+def _(v: Views) -> DataFrame:
+    return quality.contradictions(v.records, F.sha2(text.collapsed(F.col("input")), 256), (F.col("line") % 3).cast("string"))
+
+
+@query(
+    "contradiction_members",
+    sql(r"""SELECT sha256(key) AS key, id, gold FROM (SELECT *, min(gold) OVER (PARTITION BY key) AS a, max(gold) OVER (PARTITION BY key) AS b
+    FROM (SELECT trim(regexp_replace(input, '\s+', ' ', 'g')) AS key, CAST(line % 3 AS VARCHAR) AS gold, id FROM v_rec)) WHERE a <> b""", "v_rec"),
+)
+def _(v: Views) -> DataFrame:
+    return quality.contradiction_members(v.records, F.sha2(text.collapsed(F.col("input")), 256), (F.col("line") % 3).cast("string"))
+
+
+@query(
+    "duplicate_inputs",
+    sql("""SELECT line, CASE WHEN a = b THEN 'duplicate_input' ELSE 'contradictory_label' END AS code
+    FROM (SELECT line, count(*) OVER w AS n, min(line % 2) OVER w AS a, max(line % 2) OVER w AS b FROM v_rec WINDOW w AS (PARTITION BY input)) WHERE n > 1""", "v_rec"),
+)
+def _(v: Views) -> DataFrame:
+    return quality.duplicate_inputs(v.records.withColumn("parity", F.col("line") % 2), F.sha2("input", 256), "parity")
+
+
+@query(
+    "metadata_mixed",
+    sql("""SELECT id, CASE WHEN i AND l THEN 'id,label' WHEN i THEN 'id' ELSE 'label' END AS reasons
+    FROM (SELECT id, contains(input, id) AS i, contains(input, ' ' || label || ' ') AS l FROM v_rec) WHERE i OR l""", "v_rec"),
+)
+def _(v: Views) -> DataFrame:
+    found = quality.metadata_mixed(v.records, {"id": F.col("id"), "label": F.concat(F.lit(" "), F.col("label"), F.lit(" "))})
+    return found.withColumn("reasons", F.array_join("reasons", ","))
+
+
+@query(
+    "input_leaks",
+    sql("""SELECT o.part, sha256(o.input) AS input_sha256, t.n AS n_base, o.n AS n_other, t.first_id AS first_base, o.first_id AS first_other
+    FROM (SELECT part, input, count(*) AS n, min(id) AS first_id FROM v_part WHERE part <> 'train' GROUP BY 1, 2) o JOIN (SELECT input, count(*) AS n, min(id) AS first_id FROM v_part WHERE part = 'train' GROUP BY 1) t ON t.input = o.input""", "v_part"),
+)
+def _(v: Views) -> DataFrame:
+    return quality.input_leaks(v.parts)
+
+
+@query("group_straddles", sql("SELECT 'g' || line % 113 AS group_id, count(DISTINCT part) AS n_parts, count(*) AS n_records FROM v_part GROUP BY 1 HAVING count(DISTINCT part) >= 2", "v_part"))
+def _(v: Views) -> DataFrame:
+    return quality.group_straddles(v.parts.withColumn("group_id", F.concat(F.lit("g"), F.col("line") % 113)))
+
+
+@query("group_labels", sql("SELECT group_id, label FROM (SELECT group_id, label, row_number() OVER (PARTITION BY group_id ORDER BY count(*) DESC, label) AS k FROM v_rec GROUP BY group_id, label) WHERE k = 1", "v_rec"))
+def _(v: Views) -> DataFrame:
+    return quality.group_labels(v.records)
+
+
+@query("resource_limits", sql("SELECT count(*) AS n_rows, max(strlen(id)) AS max_id_bytes, sum(strlen(id))::BIGINT AS total_id_bytes, max(strlen(input)) AS max_input_bytes, sum(strlen(input))::BIGINT AS total_input_bytes FROM v_rec", "v_rec"))
+def _(v: Views) -> DataFrame:
+    return quality.limits(v.records, ["id", "input"])
+
+
+# --- alignment and metrics -------------------------------------------------------------------------------------------
+
+@query("alignment", sql("SELECT id, gold, kind, label, reason FROM v_out", "v_out"))
+def _(v: Views) -> DataFrame:
+    return outcomes(v)
+
+
+@query(
+    "alignment_warnings",
+    sql("""SELECT code, CASE WHEN code IN ('missing_gold', 'unknown_gold_label', 'contradictory_label') THEN 'exclude' ELSE 'warn_include' END AS action, count(*) AS n FROM (
+    WITH g AS (SELECT line, input, CASE WHEN line % 31 = 0 THEN NULL WHEN line % 37 = 0 THEN 'zz' WHEN line % 2 = 0 THEN 'en' ELSE label END AS label FROM v_rec),
+    k AS (SELECT g.*, CASE WHEN g.label IS NULL THEN 'missing_gold' WHEN l.label IS NULL THEN 'unknown_gold_label' END AS code FROM g LEFT JOIN v_lbl l ON l.label = g.label),
+    d AS (SELECT line, label, CASE WHEN n = 1 THEN NULL WHEN a = b THEN 'duplicate_input' ELSE 'contradictory_label' END AS code FROM (SELECT line, label, count(*) OVER w AS n, min(label) OVER w AS a, max(label) OVER w AS b FROM k WHERE code IS NULL WINDOW w AS (PARTITION BY input)))
+    SELECT code FROM k WHERE code IS NOT NULL UNION ALL SELECT code FROM d WHERE code IS NOT NULL
+    UNION ALL SELECT 'unseen_class' FROM v_lbl WHERE label NOT IN (SELECT label FROM d WHERE code IS DISTINCT FROM 'contradictory_label')) GROUP BY code""", "v_rec", "v_lbl"),
+)
+def _(v: Views) -> DataFrame:
+    gold = v.records.withColumn("label", F.when(F.col("line") % 31 == 0, F.lit(None)).when(F.col("line") % 37 == 0, "zz").when(F.col("line") % 2 == 0, "en").otherwise(F.col("label")))
+    return evaluation.warnings(gold, v.predictions, v.labels, F.sha2("input", 256))
+
+
+@query("outcome_totals", sql("""SELECT n, n_correct, n_label, n_invalid, n_abstain, n_error, round(n_correct / n, 9) AS accuracy, round(n_correct / (n - n_abstain), 9) AS adopted_accuracy, round((n - n_abstain) / n, 9) AS coverage, round(n_error / n, 9) AS error_rate FROM (
+    SELECT count(*) AS n, count(*) FILTER (kind = 'label' AND label = gold) AS n_correct, count(*) FILTER (kind = 'label') AS n_label, count(*) FILTER (kind = 'invalid') AS n_invalid, count(*) FILTER (kind = 'abstain') AS n_abstain, count(*) FILTER (kind = 'error') AS n_error FROM v_out)""", "v_out"))
+def _(v: Views) -> DataFrame:
+    return rounded(evaluation.totals(outcomes(v)), "accuracy", "adopted_accuracy", "coverage", "error_rate")
+
+
+@query("quadrant", sql("""SELECT count(*) FILTER (kind = 'label' AND label = gold) AS type_ok_meaning_ok, count(*) FILTER (kind = 'label' AND label <> gold) AS type_ok_meaning_ng, count(*) FILTER (kind = 'invalid') AS type_ng,
+    count(*) FILTER (kind = 'abstain') AS abstain, count(*) FILTER (kind = 'error') AS error FROM v_out""", "v_out"))
+def _(v: Views) -> DataFrame:
+    return evaluation.quadrant(outcomes(v))
+
+
+@query("confusion_matrix", sql("""SELECT g.label AS gold, p.label AS predicted, coalesce(c.n, 0)::BIGINT AS n FROM v_lbl g CROSS JOIN (SELECT label FROM v_lbl UNION ALL SELECT unnest(['<invalid>', '<abstain>', '<error>'])) p
+    LEFT JOIN v_cell c ON c.gold = g.label AND c.predicted = p.label""", "v_cell"))
+def _(v: Views) -> DataFrame:
+    return evaluation.confusion_matrix(outcomes(v), v.labels)
+
+
+@query("per_label_metrics", sql("""SELECT pos, label, support, predicted, tp, CASE WHEN predicted > 0 THEN round(tp / predicted, 9) END AS "precision", CASE WHEN support > 0 THEN round(tp / support, 9) END AS recall,
+    CASE WHEN support + predicted > 0 THEN round(2 * tp / (support + predicted), 9) END AS f1 FROM v_metric""", "v_metric"))
+def _(v: Views) -> DataFrame:
+    return rounded(evaluation.label_metrics(outcomes(v), v.labels), "precision", "recall", "f1")
+
+
+@query("macro_f1", sql("SELECT round(avg(f1), 9) AS macro_f1, count(f1) AS n_labels FROM (SELECT CASE WHEN support + predicted > 0 THEN 2 * tp / (support + predicted) END AS f1 FROM v_metric)", "v_metric"))
+def _(v: Views) -> DataFrame:
+    return rounded(evaluation.macro_f1(evaluation.label_metrics(outcomes(v), v.labels)), "macro_f1")
+
+
+@query("confusable_pairs", sql("""SELECT c.gold, c.predicted, c.n FROM v_cell c JOIN v_lbl g ON g.label = c.gold JOIN v_lbl p ON p.label = c.predicted WHERE c.gold <> c.predicted ORDER BY c.n DESC, g.pos, p.pos LIMIT 10""", "v_cell"))
+def _(v: Views) -> DataFrame:
+    return evaluation.confusable_pairs(outcomes(v), v.labels)
+
+
+WILSON = "greatest(0, (p + 3.8416 / (2 * n)) / (1 + 3.8416 / n) - 1.96 / (1 + 3.8416 / n) * sqrt(p * (1 - p) / n + 3.8416 / (4 * n * n))) AS lo, least(1, (p + 3.8416 / (2 * n)) / (1 + 3.8416 / n) + 1.96 / (1 + 3.8416 / n) * sqrt(p * (1 - p) / n + 3.8416 / (4 * n * n))) AS hi"
+
+
+@query("wilson_by_label", sql(f"SELECT label, tp, support, round(lo, 9) AS lo, round(hi, 9) AS hi FROM (SELECT label, tp, support, {WILSON} FROM (SELECT label, tp, support, tp / support AS p, support::DOUBLE AS n FROM v_metric WHERE support > 0)) UNION ALL SELECT label, tp, support, NULL, NULL FROM v_metric WHERE support = 0", "v_metric"))
+def _(v: Views) -> DataFrame:
+    metrics = evaluation.label_metrics(outcomes(v), v.labels).withColumn("ci", stats.wilson(F.col("tp"), F.col("support")))
+    return rounded(metrics.select("label", "tp", "support", "ci.lo", "ci.hi"), "lo", "hi")
+
+
+@query("acceptance", sql(f"SELECT label, CASE WHEN lo IS NULL THEN 'undeterminable' WHEN lo >= 0.6 - 1e-9 THEN 'pass' WHEN hi < 0.6 - 1e-9 THEN 'fail' ELSE 'undeterminable' END AS verdict FROM (SELECT label, {WILSON} FROM (SELECT label, CASE WHEN support > 0 THEN tp / support END AS p, CASE WHEN support > 0 THEN support::DOUBLE END AS n FROM v_metric))", "v_metric"))
+def _(v: Views) -> DataFrame:
+    metrics = evaluation.label_metrics(outcomes(v), v.labels).withColumn("ci", stats.wilson(F.col("tp"), F.col("support")))
+    return metrics.select("label", stats.accuracy_verdict(F.col("ci.lo"), F.col("ci.hi"), 0.6).alias("verdict"))
+
+
+# --- comparisons -----------------------------------------------------------------------------------------------------
+
+@query("majority_baseline", sql("SELECT r.label, count(*) AS n FROM v_rec r JOIN v_lbl l ON l.label = r.label GROUP BY r.label, l.pos ORDER BY n DESC, l.pos LIMIT 1", "v_rec", "v_lbl"))
+def _(v: Views) -> DataFrame:
+    return compare.majority_label(v.records, v.labels)
+
+
+PAIRED = 'SELECT count(*) FILTER (candidate AND baseline) AS "both", count(*) FILTER (candidate AND NOT baseline) AS only_a, count(*) FILTER (NOT candidate AND baseline) AS only_b, count(*) FILTER (NOT candidate AND NOT baseline) AS neither, count(*) AS n FROM v_pair'
+
+
+@query("paired_counts", sql(PAIRED, "v_pair"))
+def _(v: Views) -> DataFrame:
+    return compare.paired_counts(pairs(v))
+
+
+@query("mcnemar", sql(f"""SELECT only_a, only_b, round(p, 9) AS p_value, CASE WHEN only_a > only_b AND p < 0.05 THEN 'better' ELSE 'not_better' END AS verdict FROM (SELECT only_a, only_b, CASE WHEN only_a + only_b = 0 THEN 1 ELSE
+    least(1, 2 * list_sum(list_transform(range(0, least(only_a, only_b) + 1), lambda k: exp(lgamma(only_a + only_b + 1) - lgamma(k + 1) - lgamma(only_a + only_b - k + 1) - (only_a + only_b) * ln(2))))) END AS p FROM ({PAIRED}))""", "v_pair"))
+def _(v: Views) -> DataFrame:
+    return rounded(compare.paired_test(compare.paired_counts(pairs(v))), "p_value").select("only_a", "only_b", "p_value", "verdict")
+
+
+@query("regression_transitions", sql(f"""SELECT t AS transition, k AS n, round(p, 9) AS rate, round(lo, 9) AS lo, round(hi, 9) AS hi FROM (SELECT t, k, p, {WILSON} FROM (SELECT t, k, k / n AS p, n::DOUBLE AS n FROM (
+    SELECT unnest(['kept', 'lost', 'gained', 'missed']) AS t, unnest(["both", only_b, only_a, neither]) AS k, n FROM ({PAIRED}))))""", "v_pair"))
+def _(v: Views) -> DataFrame:
+    joined = compare.regression(pairs(v).select("id", F.col("baseline").alias("correct")), pairs(v).select("id", F.col("candidate").alias("correct")))
+    return rounded(compare.transitions(joined), "rate", "lo", "hi")
+
+
+@query("holm_adjusted", sql("""SELECT pos, round(p_value, 9) AS p_value, round(max(least(1, (m - k + 1) * p_value)) OVER (ORDER BY k), 9) AS adjusted_p FROM (SELECT *, row_number() OVER (ORDER BY p_value, pos) AS k, count(*) OVER () AS m FROM (
+    SELECT l.pos, (count(r.id) % 97 + 1) / 200.0 AS p_value FROM v_lbl l LEFT JOIN v_rec r ON r.label = l.label GROUP BY l.pos))""", "v_rec", "v_lbl"))
+def _(v: Views) -> DataFrame:
+    tests = quality.label_counts(v.records, v.labels).select("pos", ((F.col("n") % 97 + 1) / 200.0).alias("p_value"))
+    return rounded(compare.holm(tests), "p_value", "adjusted_p")
+
+
+@query("interval_overlap", sql(f"""SELECT a.i, b.i AS j FROM (SELECT i, {WILSON} FROM (SELECT pos AS i, tp / support AS p, support::DOUBLE AS n FROM v_metric WHERE support > 0)) a
+    JOIN (SELECT i, {WILSON} FROM (SELECT pos AS i, tp / support AS p, support::DOUBLE AS n FROM v_metric WHERE support > 0)) b ON a.i < b.i AND (a.hi < b.lo - 1e-9 OR b.hi < a.lo - 1e-9)""", "v_metric"))
+def _(v: Views) -> DataFrame:
+    metrics = evaluation.label_metrics(outcomes(v), v.labels).where("support > 0")
+    return compare.disjoint_intervals(metrics.select(F.col("pos").alias("i"), stats.wilson(F.col("tp"), F.col("support")).alias("ci")).select("i", "ci.lo", "ci.hi"))
+
+
+@query("label_set_diff", sql("""SELECT 'removed' AS change, pos, label FROM v_lbl WHERE label NOT IN (SELECT label FROM v_rec) UNION ALL SELECT 'added', 9, 'src0'""", "v_rec", "v_lbl"))
+def _(v: Views) -> DataFrame:
+    current = v.labels.join(v.records.select("label").distinct(), "label").select("pos", "label").unionByName(v.spark.createDataFrame([(9, "src0")], "pos int, label string"))
+    return compare.label_set_diff(v.labels, current)
+
+
+@query("common_rows", sql("""SELECT n_common, p - n_common AS n_previous_only, c - n_common AS n_current_only FROM (SELECT (SELECT count(*) FROM (SELECT id, input, label FROM v_rec WHERE line % 3 > 0) a JOIN (SELECT id, input, CASE WHEN line % 5 = 0 THEN 'en' ELSE label END AS label FROM v_rec WHERE line % 4 > 0) b USING (id, input, label)) AS n_common,
+    (SELECT count(*) FROM v_rec WHERE line % 3 > 0) AS p, (SELECT count(*) FROM v_rec WHERE line % 4 > 0) AS c)""", "v_rec"))
+def _(v: Views) -> DataFrame:
+    current = v.records.where("line % 4 > 0").withColumn("label", F.when(F.col("line") % 5 == 0, "en").otherwise(F.col("label")))
+    return compare.common_rows(v.records.where("line % 3 > 0"), current)
+
+
+# --- calibration and abstention --------------------------------------------------------------------------------------
+
+@query("softmax_top1", sql("SELECT id, top, round(conf, 9) AS conf FROM v_conf", "v_conf"))
+def _(v: Views) -> DataFrame:
+    return rounded(logits(v).select("id", F.col("top").alias("top"), calibration.confidence(F.lit(1.0)).alias("conf")), "conf")
+
+
+@query("calibration_measures", sql("""SELECT round(sum(nll) / sum(n), 9) AS nll, round(sum(abs(conf - ok)) / sum(n), 9) AS ece FROM (SELECT len(list_filter(range(1, 15), lambda k: conf >= k / 15)) AS bin, count(*) AS n, sum(conf) AS conf, sum((top = gold_pos)::INT) AS ok, sum(nll) AS nll FROM v_conf GROUP BY 1)""", "v_conf"))
+def _(v: Views) -> DataFrame:
+    return rounded(calibration.measures(logits(v), 1.0), "nll", "ece")
+
+
+@query("abstention_threshold", sql("SELECT round(conf, 9) AS tau FROM (SELECT conf, row_number() OVER (ORDER BY conf) - 1 AS k, count(*) OVER () AS n FROM v_conf) WHERE k = (n - 1) // 5", "v_conf"))
+def _(v: Views) -> DataFrame:
+    return rounded(calibration.threshold(logits(v).select(calibration.confidence(F.lit(1.0)).alias("conf"))), "tau")
+
+
+@query("abstention_decisions", sql("SELECT CASE WHEN top = 3 THEN 'out_of_scope' WHEN conf >= 0.2 THEN 'adopt' ELSE 'abstain' END AS decision, count(*) AS n FROM v_conf GROUP BY 1", "v_conf"))
+def _(v: Views) -> DataFrame:
+    decision = calibration.decide(calibration.confidence(F.lit(1.0)), (F.col("top") - 1).cast("string"), F.lit(0.2), "2")
+    return logits(v).groupBy(decision.alias("decision")).agg(F.count("*").alias("n"))
+
+
+@query("coverage", sql("SELECT n, n - a AS answered, a AS abstained, round((n - a) / n, 9) AS coverage, 5 * (n - a) >= 4 * n AS meets_target FROM (SELECT count(*) AS n, count(*) FILTER (conf < 0.2) AS a FROM v_conf)", "v_conf"))
+def _(v: Views) -> DataFrame:
+    decision = calibration.decide(calibration.confidence(F.lit(1.0)), F.col("top").cast("string"), F.lit(0.2))
+    return rounded(calibration.coverage(logits(v).select(decision.alias("decision"))), "coverage")
+
+
+@query("temperature_calibration")
+def _(v: Views) -> DataFrame:
+    c = calibration.calibrate(logits(v))
+    return v.spark.createDataFrame([(c.best_temperature, c.temperature, c.adopted, c.tau, c.nll_before, c.nll_after, c.ece_before, c.ece_after)], "best_temperature double, temperature double, adopted boolean, tau double, nll_before double, nll_after double, ece_before double, ece_after double")
+
+
+# --- splits and features ---------------------------------------------------------------------------------------------
+
+def _allocation_sql() -> str:
+    return """SELECT label, n_groups, train, validation, n_groups - train - validation AS test FROM (SELECT label, n AS n_groups, val AS validation,
+        CASE WHEN n = 1 THEN 1 WHEN n = 2 THEN 1 WHEN n - least(n * 8 // 10, n - val) - val < 1 THEN least(n * 8 // 10, n - val) - 1 ELSE least(n * 8 // 10, n - val) END AS train
+        FROM (SELECT label, count(*) AS n, CASE WHEN count(*) <= 2 THEN 0 ELSE greatest(1, count(*) // 10) END AS val FROM (
+        SELECT g, label FROM (SELECT g, label, row_number() OVER (PARTITION BY g ORDER BY count(*) DESC, label) AS k FROM (SELECT 'g' || line % 113 AS g, label FROM v_rec) GROUP BY g, label) WHERE k = 1) GROUP BY label))"""
+
+
+def grouped(v: Views) -> DataFrame:
+    return v.records.withColumn("group_id", F.concat(F.lit("g"), F.col("line") % 113))
+
+
+@query("split_allocations", sql(_allocation_sql(), "v_rec"))
+def _(v: Views) -> DataFrame:
+    return split.allocations(split.split_groups(grouped(v), 42))
+
+
+@query("group_split")
+def _(v: Views) -> DataFrame:
+    return split.split_groups(grouped(v), 42)
+
+
+@query("byte_ngram_df", sql("""SELECT 2 AS n, ((ascii(g[1]) + 1) * 257 + ascii(g[2]) + 1)::BIGINT AS key, count(DISTINCT id) AS df, round(ln((1 + (SELECT count(*) FROM v_rec WHERE regexp_full_match(input, '[\\x20-\\x7e]*'))) / (1 + count(DISTINCT id))) + 1, 4) AS idf
+    FROM (SELECT id, unnest(list_transform(range(1, length(input)), lambda i: substr(input, i::INT, 2))) AS g FROM v_rec WHERE regexp_full_match(input, '[\\x20-\\x7e]*')) GROUP BY g HAVING count(DISTINCT id) >= 2""", "v_rec"))
+def _(v: Views) -> DataFrame:
+    plain = v.records.where(F.col("input").rlike(r"^[\x20-\x7e]*$")).select("id", F.transform(F.split("input", ""), lambda c: F.ascii(c) + 1).alias("ids"))
+    grams = features.ngrams(plain, orders=(2,))
+    vocab = features.vocabulary(grams, plain.count())
+    return vocab.select("n", "key", "df", F.round(F.col("idf").cast("double"), 4).alias("idf"))
+
+
+@query("byte_ids")
+def _(v: Views) -> DataFrame:
+    return v.records.select("id", text.byte_ids(4096)(text.normalised("input")).alias("ids"))
+
+
+@query("tfidf_features")
+def _(v: Views) -> DataFrame:
+    ids = v.records.select("id", text.byte_ids(512)(text.normalised("input")).alias("ids"))
+    grams = features.ngrams(ids, orders=(1, 2, 3))
+    return features.tfidf(grams, features.vocabulary(grams, ids.count(), most=5_000))
