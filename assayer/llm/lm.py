@@ -26,11 +26,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import slices, sums
+from .arrow import expand, slices, squeeze, sums
 from .common import settle
 
 BUCKETS = 32
-SLICE = 24 << 20
+SLICE = 12 << 20
+#: Tokens that are turned into floating-point numbers at a time.
+STEP = 1 << 19
 #: The end of a text, in the vocabulary of each block; no token holds a line feed.
 END = b"\n"
 #: What a pair's or a word's estimate of zero is binned as.
@@ -55,27 +57,31 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             coded = split.values.dictionary_encode()
             words = coded.dictionary.to_pylist()
             places = coded.indices.to_numpy(zero_copy_only=False)
-            full = np.array([bool(w) and w != "\n" for w in words], bool)
-            number_of = np.where(full, np.cumsum(full) - 1, full.sum())
+            # words are numbered by frequency, which keeps the numbers small; the end comes last
+            times = np.bincount(places, minlength=len(words))
+            by_times = [i for i in np.argsort(-times, kind="stable").tolist() if words[i] and words[i] != "\n"]
+            number_of = np.full(len(words), len(by_times))
+            number_of[by_times] = np.arange(len(by_times))
             keep = np.array([bool(w) for w in words], bool)[places]
             n = sums(keep.astype(np.int64), split.offsets.to_numpy().astype(np.int64))
             at = number_of[places[keep]].astype("<i4")
             role = part.column(2).to_numpy(zero_copy_only=False)
-            roles, size = np.repeat(role, n), int(full.sum()) + 1
+            roles, size = np.repeat(role, n), len(by_times) + 1
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([number], pa.int64()),
                     pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())),
                     pa.array([role.tolist()], pa.list_(pa.int32())),
                     pa.array([n.tolist()], pa.list_(pa.int32())),
-                    pa.array([at.tobytes()], pa.binary()),
-                    pa.array(["".join(w + " " for w, f in zip(words, full, strict=True) if f).encode() + END], pa.binary()),
-                    pa.array([np.bincount(at[roles == 0], minlength=size).astype("<i4").tobytes()], pa.binary()),
-                    pa.array([np.bincount(at[roles == 1], minlength=size).astype("<i4").tobytes()], pa.binary()),
+                    pa.array([squeeze(at)], pa.binary()),
+                    pa.array(["".join(words[i] + " " for i in by_times).encode() + END], pa.binary()),
+                    pa.array([squeeze(np.bincount(at[roles == 0], minlength=size))], pa.binary()),
+                    pa.array([squeeze(np.bincount(at[roles == 1], minlength=size))], pa.binary()),
                 ],
                 names=["block", "doc", "role", "n", "at", "words", "main", "left"],
             )
             number += 1
+            pa.default_memory_pool().release_unused()
 
 
 def _hashes(words: bytes) -> np.ndarray:
@@ -88,7 +94,7 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes = _hashes(words).view(np.int64)
             n = len(hashes)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hashes), pa.array(np.full(n, block)), pa.array(np.arange(n, dtype=np.int32)), pa.array(np.frombuffer(main, "<i4")), pa.array(np.frombuffer(left, "<i4"))],
+                [pa.array(hashes), pa.array(np.full(n, block)), pa.array(np.arange(n, dtype=np.int32)), pa.array(expand(main)), pa.array(expand(left))],
                 names=["hash", "block", "word", "main", "left"],
             )
 
@@ -105,7 +111,7 @@ def pairs_of(frequent: np.ndarray):
             for block, role, n, at, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 hashes = _hashes(words)
                 known = np.isin(hashes.view(np.int64), frequent)
-                at = np.frombuffer(at, "<i4").astype(np.int64)
+                at = expand(at).astype(np.int64)
                 before = _contexts(at, len(hashes) - 1)
                 use = known[at] & known[before]
                 role = np.repeat(np.array(role, np.int8), np.array(n, np.int64))[use]
@@ -121,38 +127,59 @@ def pairs_of(frequent: np.ndarray):
     return run
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Answers (block, before, word, m, c) as compressed columns, a row for each block among some million answers."""
+    names = ["block", "before", "word", "m", "c"]
+
+    def pack(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+        block, *columns = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(block, kind="stable")
+        found, starts = np.unique(block[order], return_index=True)
+        cuts = [*zip(starts.tolist(), [*starts[1:].tolist(), len(block)], strict=True)]
+        packed = [[squeeze(np.minimum(x[order[a:b]], 2**31 - 1)) for a, b in cuts] for x in columns]
+        return pa.RecordBatch.from_arrays([pa.array(found), *(pa.array(x, pa.binary()) for x in packed)], names=names)
+
+    parts, waiting = [], 0
+    for batch in batches:
+        parts.append([batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)])
+        waiting += batch.num_rows
+        if waiting >= 1 << 20:
+            yield pack(parts)
+            parts, waiting = [], 0
+    if waiting:
+        yield pack(parts)
+
+
+MET = "doc array<long>, role array<int>, n array<int>, c binary, p binary, end long, cm binary, pm binary, end_m long"
+
+
 def _meet(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Per document: the counts at its tokens as int32 arrays c (word), p (pair), h (context), and the same without what is held out (cm, pm, hm) for held-out documents."""
+    """A block with the counts at its tokens: c of the word, p of the pair, end of the end; for held-out documents also cm, pm, end_m, without what is held out."""
     out: list[list] = [[] for _ in range(9)]
-    before, word, m, c = (right[k].to_numpy() for k in ("before", "word", "m", "c"))
+    before, word, m, c = (np.concatenate([np.zeros(0, np.int32), *map(expand, right[k].to_pylist())]).astype(np.int64) for k in ("before", "word", "m", "c"))
     single = before < 0
-    order = np.argsort(word[single])
-    word_m, word_c = m[single][order], c[single][order]
+    word_m = expand(left["main"][0].as_py()).astype(np.int64) if left.num_rows else np.zeros(1, np.int64)
+    word_c = word_m + (expand(left["left"][0].as_py()) if left.num_rows else 0)
+    word_m[word[single]], word_c[word[single]] = m[single], c[single]
     size = len(word_c)
     keys = before[~single].astype(np.int64) * size + word[~single]
     by_key = np.argsort(keys)
-    keys, pair_m, pair_c = keys[by_key], m[~single][by_key], c[~single][by_key]
+    keys, pair_m, pair_c = (np.append(x, 0) for x in (keys[by_key], m[~single][by_key], c[~single][by_key]))
+    keys[-1] = -1
+    most = 2**31 - 1
     for row in range(left.num_rows):
         docs, roles, n = (left[k][row].as_py() for k in ("doc", "role", "n"))
-        at = np.frombuffer(left["at"][row].as_py(), "<i4").astype(np.int64)
-        prior = _contexts(at, size - 1)
-        wanted = prior * size + at
-        place = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
-        hit = keys[place] == wanted if len(keys) else np.zeros(len(at), bool)
-        zero = np.zeros(len(at), np.int32)
-        arrays = [word_c[at], np.where(hit, pair_c[place], 0) if len(keys) else zero, word_c[prior], word_m[at], np.where(hit, pair_m[place], 0) if len(keys) else zero, word_m[prior]]
-        arrays = [np.minimum(a, 2**31 - 1).astype("<i4") for a in arrays]
-        low = 0
-        for doc, role, k in zip(docs, roles, n, strict=True):
-            high = low + k
-            out[0].append(doc)
-            out[1].append(role)
-            out[2].append(k)
-            for j, a in enumerate(arrays):
-                out[3 + j].append(a[low:high].tobytes() if j < 3 or role == 1 else None)
-            low = high
-    types = [pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 6]
-    return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=["doc_id", "role", "n", "c", "p", "h", "cm", "pm", "hm"])
+        at = expand(left["at"][row].as_py()).astype(np.int64)
+        wanted = _contexts(at, size - 1) * size + at
+        place = np.searchsorted(keys[:-1], wanted)
+        place[keys[place] != wanted] = len(keys) - 1
+        held = np.repeat(np.array(roles) == 1, np.array(n, np.int64))
+        arrays = (word_c[at], pair_c[place], word_m[at[held]], pair_m[place[held]])
+        c_, p_, cm, pm = (squeeze(np.minimum(a, most)) for a in arrays)
+        for column, value in zip(out, (docs, roles, n, c_, p_, int(word_c[size - 1]), cm, pm, int(word_m[size - 1])), strict=True):
+            column.append(value)
+    types = [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.int64()]
+    return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=["doc", "role", "n", "c", "p", "end", "cm", "pm", "end_m"])
 
 
 def _bucket(h: np.ndarray) -> np.ndarray:
@@ -164,17 +191,26 @@ def _bins(total: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for c, p, h in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                c, p, h = (np.frombuffer(x, "<i4").astype(float) for x in (c, p, h))
+            for c, p, end in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                c, p = expand(c).astype(float), expand(p).astype(float)
+                if not len(c):
+                    continue
+                h = _contexts_of(c, end)
                 with np.errstate(divide="ignore", invalid="ignore"):
                     pair = np.where(p > 0, np.round(40 * np.log10(p / h)), NONE).astype(np.int64)
                     one = np.where(c > 0, np.round(40 * np.log10(c / total)), NONE).astype(np.int64)
-                found, n = np.unique(np.stack([_bucket(h), pair, one]), axis=1, return_counts=True)
-                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in found), pa.array(n)], names=["bucket", "pair", "word", "n"])
+                found, n = np.unique((_bucket(h) << 40) + ((pair + 1000) << 20) + (one + 1000), return_counts=True)
+                parts = (found >> 40, ((found >> 20) & 0xFFFFF) - 1000, (found & 0xFFFFF) - 1000, n)
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in parts], names=["bucket", "pair", "word", "n"])
 
     return run
 
 
+def _contexts_of(c: np.ndarray, end: float) -> np.ndarray:
+    """Count of the word before each token; an end stands before the first token of a block, as after each text."""
+    return np.concatenate([[float(end)], c[:-1]])
+
+
 def learn_weights(rows: list, vocabulary: int, rounds: int = 80) -> np.ndarray:
     """Weights (pair, word, uniform, new word) by context bucket, by expectation-maximisation over the binned held-out tokens."""
     weights = np.tile([0.3, 0.6, 0.05, 0.05], (BUCKETS, 1))
@@ -194,7 +230,7 @@ def learn_weights(rows: list, vocabulary: int, rounds: int = 80) -> np.ndarray:
     return weights
 
 
-def score(df: DataFrame, train: Column, left_out: Column, id_col: str = "doc_id", text_col: str = "text", frequent: int = 1 << 16) -> DataFrame:
+def score(df: DataFrame, train: Column, left_out: Column, id_col: str = "doc_id", text_col: str = "text", frequent: int = 1 << 11) -> DataFrame:
     """Score every row's whole text with a model of the rows where `train` holds.
 
     `left_out` names the training rows whose counts are held out of the estimates
@@ -211,36 +247,44 @@ def score(df: DataFrame, train: Column, left_out: Column, id_col: str = "doc_id"
     same = "over (partition by hash)"
     asked = blocks.select("block", "words", "main", "left").mapInArrow(_vocabulary, "hash long, block long, word int, main int, left int")
     words = settle(
-        asked.selectExpr("hash", "block", "word", f"sum(main) {same} as m", f"sum(left) {same} as d", f"min(block) {same} = block as first")
-        .selectExpr("block", "word", "m", "m + d as c", "if(first and m + d > 0, hash, null) as hash")
+        asked.selectExpr("hash", "block", "word", "main", "left", f"sum(main) {same} as m", f"sum(left) {same} as d", f"min(block) {same} = block as first")
+        .selectExpr("block", "word", "m", "m + d as c", "if(first and m + d > 0, hash, null) as hash", "main = m and left = d as alone")
+        .where("hash is not null or not alone")
     )
     total = words.agg(F.sum(F.expr("if(hash is null, 0, c)")).alias("n"), F.sum(F.expr("if(hash is null, 0, m)")).alias("m"), F.count("hash").alias("v")).first()
     n_train, n_main, vocabulary = int(total["n"] or 0), int(total["m"] or 0), int(total["v"] or 0)
     top = words.where("hash is not null").orderBy(F.desc("c"), "hash").select("hash").limit(frequent).toPandas()["hash"].to_numpy(np.int64)
     pair_rows = blocks.select("block", "role", "n", "at", "words").mapInArrow(pairs_of(np.sort(top)), "hash long, block long, before int, word int, main int, left int")
     pairs = pair_rows.selectExpr("block", "before", "word", f"sum(main) {same} as m", f"sum(main + left) {same} as c").where("c > 0")
-    answers = words.selectExpr("block", "-1 as before", "word", "m", "c").unionByName(pairs)
-    met = settle(
-        blocks.select("block", "doc", "role", "n", "at")
-        .groupBy("block")
-        .cogroup(answers.groupBy("block"))
-        .applyInArrow(_meet, "doc_id long, role int, n long, c binary, p binary, h binary, cm binary, pm binary, hm binary")
-    )
-    left = met.where("role = 1").select("cm", "pm", "hm").mapInArrow(_bins(max(1, n_main)), "bucket long, pair long, word long, n long")
+    # a word that no other block holds needs no answer: its counts are the block's own
+    answers = words.where("not alone").selectExpr("block", "-1 as before", "word", "m", "c").unionByName(pairs)
+    packed = answers.select("block", "before", "word", "m", "c").mapInArrow(_packed, "block long, before binary, word binary, m binary, c binary")
+    met = settle(blocks.select("block", "doc", "role", "n", "at", "main", "left").groupBy("block").cogroup(packed.groupBy("block")).applyInArrow(_meet, MET))
+    left = met.select("cm", "pm", "end_m").mapInArrow(_bins(max(1, n_main)), "bucket long, pair long, word long, n long")
     weights = learn_weights(left.groupBy("bucket", "pair", "word").agg(F.sum("n").alias("n")).collect() if n_main else [], vocabulary)
     base_of, unknown = n_train + 0.5 * (vocabulary + 1), 1 / (vocabulary + 1)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            known, base, mixed = [], [], []
-            for c, p, h in zip(*(batch.column(k).to_pylist() for k in (3, 4, 5)), strict=True):
-                c, p, h = (np.frombuffer(x, "<i4").astype(float) for x in (c, p, h))
-                w = weights[_bucket(h)]
-                known.append(int((c > 0).sum()))
-                base.append(float(np.log10((c + 0.5) / base_of).sum()))
-                chance = w[:, 0] * p / np.maximum(h, 1) + w[:, 1] * c / max(1, n_train) + w[:, 2] * unknown + w[:, 3] * (c == 0)
-                mixed.append(float(np.log10(chance).sum()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (0, 1, 2)), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(mixed, pa.float64())], names=["doc_id", "role", "n_tokens", "n_known", "base_score", "score"])
-
-    done = met.select("doc_id", "role", "n", "c", "p", "h").mapInArrow(finish, "doc_id long, role int, n_tokens long, n_known long, base_score double, score double")
-    return done.select("doc_id", (F.col("role") == 2).alias("held_out"), "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score")
+            for docs, roles, n, c, p, end in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                c, p = expand(c), expand(p)
+                before = np.concatenate([[min(end, 2**31 - 1)], c[:-1]]).astype(np.int32)
+                base, chance = np.empty(len(c)), np.empty(len(c))
+                for low in range(0, len(c), STEP):
+                    part = slice(low, low + STEP)
+                    here, h = c[part].astype(float), before[part].astype(float)
+                    w = weights[_bucket(h)]
+                    base[part] = np.log10((here + 0.5) / base_of)
+                    chance[part] = np.log10(w[:, 0] * p[part] / np.maximum(h, 1) + w[:, 1] * here / max(1, n_train) + w[:, 2] * unknown + w[:, 3] * (here == 0))
+                bounds = np.concatenate([[0], np.cumsum(np.array(n, np.int64))])
+                values = (docs, [r == 2 for r in roles], n, sums((c > 0).astype(np.int64), bounds), _sums_of(base, bounds), _sums_of(chance, bounds))
+                types = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(values, types, strict=True)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    done = met.select("doc", "role", "n", "c", "p", "end").mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return done.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def _sums_of(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sums between neighbouring bounds, none of them empty, each added up by itself."""
+    return np.add.reduceat(values, bounds[:-1]) if len(values) else np.zeros(len(bounds) - 1)
