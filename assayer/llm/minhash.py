@@ -7,12 +7,13 @@ weighted Jaccard similarity. Texts that agree on all samples of a band are
 candidates; each candidate pair is verified on the whole texts.
 
 Exact copies (the same words in the same order) are one class from the start. In a
-band, a class is paired with the smallest class of its bucket only. Verified pairs
-give components, and only then are buckets that still hold several components looked
-at again, with each member outside of the bucket's largest component against all
-members of other components: so no link between different texts of a bucket is
-lost, and a bucket of very many copies costs a row for each. Samples that are kept
-say beforehand which pairs can be similar (`least_agreement` of the samples).
+band, a class is paired with its bucket's leader only. Verified pairs give
+components, and only then are groups that still hold several components looked at
+again, with each member outside of the group's largest component against the
+members of other components, and only pairs that can still be similar come out: so
+no link between different texts of a bucket is lost, and a bucket of very many copies
+costs a row for each. Samples that are kept say beforehand which pairs can be similar
+(`least_agreement` of the samples).
 
 Document frequencies are counted over all documents, in 2^18 buckets of the
 shingle's hash (a table of fixed size, broadcast). Nothing that grows with the
@@ -26,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -180,31 +182,47 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, idf: np.ndarray, threshold: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts are similar."""
+    """The pairs (a, b) of nodes with `alike`, the similarity of their whole texts, where it is at least the threshold."""
     shared = pairs.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd")
-        last: tuple = (None, None)
-
-        def bag(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
-            text = codec.decompress(packed[:-8], int.from_bytes(packed[-8:], "little"), asbytes=True)
-            words, bounds = word_hashes(pa.array([text], pa.binary()).cast(pa.string()))
-            found, counts = next(by_text(words, bounds, size))
-            return found, weights(found, counts, shared.value)
-
         for batch in batches:
-            keep = []
-            for a, one, other in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)), strict=True):
-                if last[0] != a:
-                    last = (a, bag(one))
-                keep.append(similarity(last[1], bag(other)) >= threshold)
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+            for whole in slices(batch, 3, 4 << 20):  # compressed; some 12 MB of text
+                for low in range(0, whole.num_rows, 2048):
+                    part = whole.slice(low, 2048)
+                    nodes = part.column(0).to_pylist()
+                    first = [i for i, a in enumerate(nodes) if not i or a != nodes[i - 1]]  # rows come by a
+                    packed = part.column(2).take(pa.array(first)).to_pylist() + part.column(3).to_pylist()
+                    texts_ = [codec.decompress(x[:-8], int.from_bytes(x[-8:], "little"), asbytes=True) for x in packed]
+                    words, bounds = word_hashes(pa.array(texts_, pa.binary()).cast(pa.string()))
+                    bags = [(found, weights(found, n, shared.value)) for found, n in by_text(words, bounds, size)]
+                    of = np.searchsorted(first, np.arange(len(nodes)), "right") - 1
+                    alike = pa.array([similarity(bags[of[i]], bags[len(first) + i]) for i in range(len(nodes))], pa.float64())
+                    whole_part = pa.RecordBatch.from_arrays([part.column(0), part.column(1), alike], names=["a", "b", "alike"])
+                    yield whole_part.filter(pc.greater_equal(alike, threshold))
 
     second = pairs.join(texts.select(F.col("node").alias("b"), F.col("words").alias("words_b")), "b")
     both = second.join(texts.select(F.col("node").alias("a"), F.col("words").alias("words_a")), "a")
-    return both.select("a", "b", "words_a", "words_b").mapInArrow(run, "a binary, b binary")
+    return both.select("a", "b", "words_a", "words_b").mapInArrow(run, "a binary, b binary, alike double")
+
+
+def _elements(texts: DataFrame, size: int) -> DataFrame:
+    """(node, elements): a hash for each shingle and each time it occurs, so that sets of them compare as the bags do."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd")
+        for batch in batches:
+            for part in slices(batch, 1, 4 << 20):
+                raw = [codec.decompress(x[:-8], int.from_bytes(x[-8:], "little"), asbytes=True) for x in part.column(1).to_pylist()]
+                words, bounds = word_hashes(pa.array(raw, pa.binary()).cast(pa.string()))
+                found = []
+                for shingle, n in by_text(words, bounds, size):
+                    times = np.concatenate([np.arange(k) for k in n.tolist()]) if n.max(initial=0) > 1 else np.zeros(len(n), np.int64)
+                    found.append((mixed(np.repeat(shingle, n) + times.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32).view(np.int32))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int32()))], names=["node", "elements"])
+
+    return texts.select("node", "words").mapInArrow(run, "node binary, elements array<int>")
 
 
 def _agreement(a: str, b: str, samples: int) -> F.Column:
@@ -212,7 +230,7 @@ def _agreement(a: str, b: str, samples: int) -> F.Column:
     return F.expr(f"size(filter(sequence(0, {samples - 1}), i -> substring({a}, 4 * i + 1, 4) = substring({b}, 4 * i + 1, 4)))")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, bands: int = 10, rows: int = 3, least_agreement: float = 0.5) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, bands: int = 10, rows: int = 3, least_agreement: float = 0.6) -> DataFrame:
     """One row per row of df: doc_id, class_id (the smallest doc_id that links reach), kept (doc_id is class_id).
 
     Two rows are linked if their texts have the same words, or if the weighted Jaccard
@@ -230,41 +248,43 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = settle(docs.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("samples").alias("samples")))
     need = math.ceil(least_agreement * bands * rows)
 
-    slots = classes.select("node", F.explode("bands").alias("band"))
-    buckets = slots.groupBy("band").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").select("band", "a")
-    members = settle(slots.join(buckets, "band").select("band", "a", "node"))
-    stars = members.where("a <> node").select("a", F.col("node").alias("b")).distinct()
+    # a bucket's leader is the member that shares most buckets with others: in a group of copies, one near its middle
+    slots = settle(classes.select("node", F.explode("bands").alias("band")))
+    shared = slots.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    filled = settle(slots.join(shared, "band"))
+    popular = filled.groupBy("node").agg(F.sum("n").alias("popularity"))
+    ranked = filled.select("band", "node").join(popular, "node")
+    leaders = ranked.groupBy("band").agg(F.max_by("node", F.struct("popularity", "node")).alias("a"))
+    stars = settle(filled.select("band", "node").join(leaders, "band").select("a", F.col("node").alias("b")).distinct())
     sketches = classes.select("node", "samples")
-
-    def agreeing(pairs: DataFrame) -> DataFrame:
-        with_b = pairs.join(sketches.select(F.col("node").alias("b"), F.col("samples").alias("sb")), "b")
-        both = with_b.join(sketches.select(F.col("node").alias("a"), F.col("samples").alias("sa")), "a")
-        return both.select("a", "b", _agreement("sa", "sb", bands * rows).alias("agree")).where(F.col("agree") >= need)
-
-    candidates = settle(agreeing(stars))
-    touched = members.select("node").distinct()
-    texts_of = settle(docs.select("node", "doc_id", "words").join(touched.join(classes, "node").select("node", F.col("rep").alias("doc_id")), ["node", "doc_id"]).groupBy("node").agg(F.first("words").alias("words")))
-    # first the best pair of each member
-    best = candidates.groupBy("b").agg(F.max_by("a", F.struct("agree", "a")).alias("a")).select("a", "b")
-    links = settle(_verified(best, texts_of, size, idf, threshold))
+    with_b = stars.where("a <> b").join(sketches.select(F.col("node").alias("b"), F.col("samples").alias("sb")), "b")
+    both = with_b.join(sketches.select(F.col("node").alias("a"), F.col("samples").alias("sa")), "a")
+    candidates = both.where(_agreement("sa", "sb", bands * rows) >= need).select("a", "b")
+    touched = popular.select("node").join(classes, "node").select("node", F.col("rep").alias("doc_id"))
+    texts_of = settle(docs.select("node", "doc_id", "words").join(touched, ["node", "doc_id"]).groupBy("node").agg(F.first("words").alias("words")))
+    tested = settle(_verified(candidates, texts_of, size, idf, 0.0))
+    links = settle(tested.where(F.col("alike") >= threshold).select("a", "b"))
     labels = settle(components(links))
-    # then what these links leave apart: the other pairs, and pairs within buckets of several components
-    def apart(pairs: DataFrame) -> DataFrame:
-        named = pairs.join(labels.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left")
-        return named.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-
-    other = apart(candidates.select("a", "b").join(best, ["a", "b"], "left_anti"))
-    placed = members.select("band", "node").join(labels, "node", "left").select("band", "node", F.coalesce("comp", "node").alias("comp"))
-    counted = placed.groupBy("band", "comp").agg(F.count("*").alias("n"))
-    ranked = counted.groupBy("band").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
-    mixed_rows = placed.join(ranked, "band").join(sketches, "node")
-    minor = mixed_rows.where("comp <> main").select("band", F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("samples").alias("sx"))
-    major = mixed_rows.select(F.col("band").alias("band_y"), F.col("node").alias("y"), F.col("comp").alias("cy"), F.col("samples").alias("sy"), (F.col("comp") == F.col("main")).alias("is_main"))
-    met = minor.join(major, (F.col("band") == F.col("band_y")) & (F.col("cx") != F.col("cy")) & (F.col("is_main") | (F.col("x") < F.col("y"))) & (_agreement("sx", "sy", bands * rows) >= need))
-    crossing = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    tried = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    again = settle(other.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(crossing).distinct().join(tried, ["a", "b"], "left_anti"))
-    more = settle(_verified(again, texts_of, size, idf, threshold))
+
+    # then, in the groups of a leader that these links leave apart, each member outside of the largest component against
+    # the members of others. One minus the similarity is a metric: a pair whose distances to the leader differ by more
+    # than 1 - threshold cannot be similar. Nor can one whose bags of shingles, whose weights differ by a factor of at
+    # most 1 + DAMPING, are less alike than `floor`. The join gives only what passes both.
+    placed = stars.join(tested, ["a", "b"], "left").join(labels.select(F.col("node").alias("b"), "comp"), "b", "left")
+    placed = settle(placed.select("a", F.col("b").alias("node"), F.coalesce("comp", "b").alias("comp"), F.when(F.col("a") == F.col("b"), 0.0).otherwise(1 - F.col("alike")).alias("far")))
+    counted = placed.groupBy("a", "comp").agg(F.count("*").alias("n"))
+    apart = counted.groupBy("a").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1").select("a", "main")
+    rest = placed.join(apart, "a")
+    bags = settle(_elements(rest.select("node").distinct().join(texts_of, "node"), size))
+    rest = settle(rest.join(bags, "node").join(sketches, "node").select("a", "node", "comp", "far", "samples", "elements", (F.col("comp") == F.col("main")).alias("in_main")))
+    floor = threshold / (threshold + (1 - threshold) * (1 + DAMPING))
+    x = rest.where("not in_main").select(*[F.col(c).alias(f"{c}_x") for c in ("a", "node", "comp", "far", "samples", "elements")])
+    y = rest.select(*[F.col(c).alias(f"{c}_y") for c in ("a", "node", "comp", "far", "samples", "elements", "in_main")])
+    near = F.coalesce(F.abs(F.col("far_x") - F.col("far_y")) <= 1 - threshold + 1e-9, F.lit(True))
+    sizes = F.expr(f"least(size(elements_x), size(elements_y)) >= {floor} * greatest(size(elements_x), size(elements_y))")
+    alike = F.expr(f"size(array_intersect(elements_x, elements_y)) * (1 + {floor}) >= {floor} * (size(elements_x) + size(elements_y)) - 1e-6")
+    met = x.join(y, (F.col("a_x") == F.col("a_y")) & (F.col("comp_x") != F.col("comp_y")) & (F.col("in_main_y") | (F.col("node_x") < F.col("node_y"))) & near & sizes & (_agreement("samples_x", "samples_y", bands * rows) >= need) & alike)
+    more = _verified(settle(met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()), texts_of, size, idf, threshold).select("a", "b")
     final = settle(components(links.union(more)))
 
     of_class = classes.select("node", "rep").join(final, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
