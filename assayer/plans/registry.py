@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stats, text
-from ..operators import calibration, compare, evaluation, features, quality, split
+from ..operators import calibration, compare, evaluation, events, features, quality, split
 from .views import Views, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -344,3 +344,27 @@ def _(v: Views) -> DataFrame:
     ids = v.records.select("id", text.byte_ids(512)(text.normalised("input")).alias("ids"))
     grams = features.ngrams(ids, orders=(1, 2, 3))
     return features.tfidf(grams, features.vocabulary(grams, ids.count(), most=5_000))
+
+
+# --- event logs ------------------------------------------------------------------------------------------------------
+
+@query("duplicate_fold", """WITH e AS (SELECT event_id, event_type, user_id % 50 AS bucket, CASE WHEN event_id % 3 = 0 THEN event_id % 7 + 1 END AS copies FROM events),
+    s AS (SELECT *, sum(CASE WHEN copies IS NULL THEN 1 ELSE -1 END) OVER (PARTITION BY event_type, bucket ORDER BY event_id) AS total FROM e),
+    m AS (SELECT *, least(0, min(total) OVER (PARTITION BY event_type, bucket ORDER BY event_id)) AS low FROM s),
+    d AS (SELECT *, coalesce(lag(total - low) OVER (PARTITION BY event_type, bucket ORDER BY event_id), 0) AS before FROM m)
+    SELECT event_type, count(*) AS n, sum(CASE WHEN copies IS NULL THEN 1 WHEN before > 0 THEN copies ELSE 1 + copies END)::BIGINT AS occurrences, count(*) FILTER (copies IS NOT NULL AND before > 0) AS claimed FROM d GROUP BY event_type""")
+def _(v: Views) -> DataFrame:
+    rows = v.table("events").withColumn("bucket", F.col("user_id") % 50)
+    folded = events.fold_duplicates(rows, ["event_type", "bucket"], ["event_id"], F.when(F.col("event_id") % 3 == 0, F.col("event_id") % 7 + 1))
+    return folded.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("occurrences").alias("occurrences"), F.count_if("claimed").alias("claimed"))
+
+
+@query("latency_p95", """SELECT event_type, n, place, x AS floor_hundredths FROM (SELECT event_type, x, row_number() OVER (PARTITION BY event_type ORDER BY x) - 1 AS k, count(*) OVER (PARTITION BY event_type) AS n,
+    (95 * (count(*) OVER (PARTITION BY event_type) - 1)) // 100 AS place FROM (SELECT event_type, CAST(round(value * 100) AS BIGINT) AS x FROM events WHERE value IS NOT NULL)) WHERE k = place""")
+def _(v: Views) -> DataFrame:
+    from pyspark.sql import Window
+
+    rows = v.table("events").where("value is not null").select("event_type", F.round(F.col("value") * 100).cast("long").alias("x"))
+    counts = rows.groupBy("event_type").agg(F.count("*").alias("n")).withColumn("place", F.expr("(95 * (n - 1)) div 100"))
+    ranked = rows.withColumn("k", F.row_number().over(Window.partitionBy("event_type").orderBy("x")) - 1).join(F.broadcast(counts), "event_type")
+    return ranked.where("k = place").select("event_type", "n", "place", F.col("x").alias("floor_hundredths"))
