@@ -271,10 +271,11 @@ def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "label",
     return grammar
 
 
-def sample_of(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, sample: int) -> DataFrame:
-    """The texts of the `sample` labelled ids with the smallest hashes (a bounded table, so it may be broadcast)."""
-    chosen = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).alias("label")).orderBy(F.xxhash64("__id"), "__id").limit(sample)
-    return docs.join(F.broadcast(chosen), docs[id_col] == chosen["__id"]).select("text", "label")
+def sample_of(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, sample: int, text_col: str = "text") -> DataFrame:
+    """(text, label) of the `sample` labelled ids with the smallest hashes (a bounded table, so it may be broadcast); an id labelled both ways counts as 1."""
+    named = labels.select(F.col(id_col).alias("__id"), F.col(label_col).alias("label")).where("__id is not null and label is not null")
+    chosen = named.groupBy("__id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("__id"), "__id").limit(sample)
+    return docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "__id").select("text", "label")
 
 
 def score(df: DataFrame, grammar: Grammar, keys: list[str], text_col: str = "text") -> DataFrame:
