@@ -20,16 +20,16 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import settle
-from .graph import components
 
 QUOTED = re.compile(r"^((?:[ \t]?>)+)[ \t]?(.*)$")
 #: A line that says who wrote what is quoted below it.
 ATTRIBUTION = re.compile(r"^(?:(?:On|Am|Le|El)\b.{0,200}\b(?:wrote|schrieb|a écrit|escribió)\s*:|-{2,} ?Original Message ?-{2,}|\S.{0,80}\b(?:wrote|schrieb|a écrit|escribió)\s*:)\s*$", re.I)
-RUN = 3
+#: Lines of the longest run that is looked up, and turns in a block of a conversation.
+RUN, BLOCK = 3, 4096
 
 
 def normalised(text: str) -> str:
@@ -120,10 +120,15 @@ def link(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_
         .join(before, ["conv_id", "turn"], "left")
         .select("conv_id", "turn", F.coalesce("by_quote", "prior").alias("reply_to"), F.col("by_quote").isNotNull().alias("quoted"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"))
     )
-    # threads: runs of turns that answer the turn before start at a message that answers an earlier one, or none
+    # a thread starts where a message answers none, or one before the turn before; a scan in two steps (within blocks of
+    # turns, then over the blocks) finds the last start up to each turn, so that a long conversation needs no one task
+    opens = F.col("reply_to").isNull() | (F.col("quoted") & (F.col("reply_to") < F.col("turn") - 1))
+    steps = replies.withColumn("block", F.floor(F.col("turn") / BLOCK)).withColumn("start", F.when(opens, F.col("turn")))
+    within = Window.partitionBy("conv_id", "block").orderBy("turn")
+    lasts = steps.groupBy("conv_id", "block").agg(F.max("start").alias("last"))
+    carried = lasts.select("conv_id", "block", F.max("last").over(Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    threads = steps.withColumn("own", F.max("start").over(within)).join(carried, ["conv_id", "block"]).select("conv_id", "turn", F.coalesce("own", "carried").alias("thread"))
     marked = parsed.join(replies, ["conv_id", "turn"], "left").drop("originals")
-    chained = replies.where("not (quoted and reply_to < turn - 1) and reply_to is not null").select(F.struct("conv_id", F.col("turn").alias("turn")).alias("a"), F.struct("conv_id", F.col("reply_to").alias("turn")).alias("b"))
-    threads = components(chained).select("node.conv_id", "node.turn", F.col("comp.turn").alias("thread"))
     out = marked.join(threads, ["conv_id", "turn"], "left")
     return out.select(
         "conv_id", "turn", "role", "text", "levels", F.size("quotes").cast("long").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
