@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import stats, text
-from ..operators import calibration, compare, evaluation, events, features, quality, split
-from .views import Views, sql
+from ..functions import stats, text, times
+from ..operators import calibration, compare, evaluation, events, features, inference, quality, selection, split
+from ..sources import jsonl
+from .views import LABELS, Views, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -368,3 +370,82 @@ def _(v: Views) -> DataFrame:
     counts = rows.groupBy("event_type").agg(F.count("*").alias("n")).withColumn("place", F.expr("(95 * (n - 1)) div 100"))
     ranked = rows.withColumn("k", F.row_number().over(Window.partitionBy("event_type").orderBy("x")) - 1).join(F.broadcast(counts), "event_type")
     return ranked.where("k = place").select("event_type", "n", "place", F.col("x").alias("floor_hundredths"))
+
+
+# --- sources and reports over candidates -----------------------------------------------------------------------------
+
+def raw_lines(v: Views) -> DataFrame:
+    """The records as JSON lines, with faults by line number."""
+    good = F.to_json(F.struct("id", F.lit("some text").alias("input"), F.struct(F.col("label").alias("intent")).alias("output"), "group_id"))
+    n = F.col("line")
+    raw = (
+        F.when(n % 41 == 0, F.concat(F.lit("{"), good)).when(n % 43 == 0, F.lit("[1, 2]")).when(n % 47 == 0, F.lit('{"id":"0","id":"1","input":"x","output":{"intent":"en"}}'))
+        .when(n % 53 == 0, F.lit('{"input":"","output":{"intent":"zz"},"tags":[1,"x",null]}')).when(n % 59 == 0, F.lit('{"id":"1","input":7,"output":"en","group_id":""}')).otherwise(good)
+    )
+    return v.records.select("line", raw.alias("raw"))
+
+
+FAULTS = """WITH c AS (SELECT doc_id AS line, CASE WHEN doc_id % 41 = 0 THEN 41 WHEN doc_id % 43 = 0 THEN 43 WHEN doc_id % 47 = 0 THEN 47 WHEN doc_id % 53 = 0 THEN 53 WHEN doc_id % 59 = 0 THEN 59 END AS fault FROM documents),
+    f(fault, field, code) AS (VALUES (41, '<record>', 'malformed_json'), (43, '<record>', 'malformed_record'), (47, '<record>', 'duplicate_key'), (53, 'id', 'missing_field'), (53, 'input', 'empty_value'),
+    (53, 'output.intent', 'unknown_label'), (53, 'tags', 'type_mismatch'), (53, 'tags', 'type_mismatch'), (59, 'input', 'type_mismatch'), (59, 'output', 'type_mismatch'), (59, 'group_id', 'empty_value'), (59, 'id', 'duplicate_id'))"""
+
+
+@query("inspection_anomalies", FAULTS + " SELECT c.line, f.field, f.code FROM c JOIN f ON f.fault = c.fault")
+def _(v: Views) -> DataFrame:
+    return jsonl.inspect(raw_lines(v), list(LABELS)).anomalies.select("line", "field", "code")
+
+
+@query("inspection_records", FAULTS + " SELECT d.doc_id AS line, CAST(d.doc_id AS VARCHAR) AS id, d.lang AS label_id, d.source AS group_id FROM documents d JOIN c ON c.line = d.doc_id WHERE c.fault IS NULL")
+def _(v: Views) -> DataFrame:
+    return jsonl.inspect(raw_lines(v), list(LABELS)).records.select("line", "id", "label_id", "group_id")
+
+
+@query("input_digests", "SELECT doc_id AS ordinal, strlen(text) AS n_bytes, sha256(text) AS sha256 FROM documents")
+def _(v: Views) -> DataFrame:
+    return inference.input_digests(v.records.withColumnRenamed("line", "ordinal")).withColumn("n_bytes", F.col("n_bytes").cast("long"))
+
+
+@query("contract_times", "SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS seconds FROM events WHERE event_id % 3 > 0")
+def _(v: Views) -> DataFrame:
+    written = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    text_ = F.when(F.col("event_id") % 3 == 0, F.concat(written, F.lit("+09:00"))).when(F.col("event_id") % 3 == 1, F.concat(written, F.lit("Z"))).otherwise(F.concat(written, F.lit("+00:00")))
+    return v.table("events").select("event_id", F.floor(times.rfc3339_utc(text_).cast("double")).cast("long").alias("seconds")).where("seconds is not null")
+
+
+@query("score_report", sql(f"""SELECT candidate, n, n_correct, round(accuracy, 9) AS accuracy, round(lo, 9) AS lo, round(hi, 9) AS hi, only_a, only_b FROM (SELECT candidate, k AS n_correct, n::BIGINT AS n, p AS accuracy, {WILSON}, only_a, only_b FROM (
+    SELECT 'now' AS candidate, count(*) FILTER (candidate) AS k, count(*)::DOUBLE AS n, count(*) FILTER (candidate) / count(*) AS p, count(*) FILTER (candidate AND NOT baseline) AS only_a, count(*) FILTER (NOT candidate AND baseline) AS only_b FROM v_pair
+    UNION ALL SELECT 'before', count(*) FILTER (baseline), count(*)::DOUBLE, count(*) FILTER (baseline) / count(*), NULL, NULL FROM v_pair))""", "v_pair"))
+def _(v: Views) -> DataFrame:
+    both = v.predictions.withColumn("candidate", F.lit("now")).unionByName(v.previous.withColumn("candidate", F.lit("before")))
+    report = selection.report(selection.candidate_outcomes(v.records, both, v.labels), "before")
+    return rounded(report, "accuracy", "lo", "hi").select("candidate", "n", "n_correct", "accuracy", "lo", "hi", "only_a", "only_b")
+
+
+@query("id_set_difference", sql("SELECT CAST(doc_id AS VARCHAR) AS id, 1::BIGINT AS expected, 0::BIGINT AS found FROM documents WHERE doc_id % 29 = 0"))
+def _(v: Views) -> DataFrame:
+    return selection.set_difference(v.records, v.predictions)
+
+
+@query("mistakes", sql("SELECT o.id, o.gold, o.kind, o.label, length(r.input) AS n_chars FROM v_out o JOIN v_rec r ON r.id = o.id WHERE NOT coalesce(o.kind = 'label' AND o.label = o.gold, FALSE)", "v_out"))
+def _(v: Views) -> DataFrame:
+    found = selection.mistakes(evaluation.correct(outcomes(v)), v.records)
+    return found.select("id", "gold", "kind", "label", F.length("input").cast("long").alias("n_chars"))
+
+
+@query("top_scores", """SELECT id, place, label, round(score, 9) AS score FROM (SELECT id, label, score, row_number() OVER (PARTITION BY id ORDER BY score DESC, pos) AS place FROM (
+    SELECT vec_id AS id, unnest(range(10)) AS pos, CAST(unnest(range(10)) AS VARCHAR) AS label, unnest(list_transform(embedding[1:10], lambda x: x::DOUBLE)) AS score FROM embeddings)) WHERE place <= 3""")
+def _(v: Views) -> DataFrame:
+    named = F.transform("logits", lambda x, i: F.struct(i.cast("string").alias("id"), x.alias("score")))
+    return rounded(selection.top_scores(v.logits.select("id", named.alias("scores"))).withColumn("place", F.col("place").cast("long")), "score")
+
+
+@query("capacity", "SELECT lang AS component, count(*) AS n_files, sum(strlen(text))::BIGINT AS bytes FROM documents GROUP BY lang")
+def _(v: Views) -> DataFrame:
+    return selection.capacity(v.records.select(F.col("label").alias("component"), F.col("id").alias("path"), F.octet_length("input").cast("long").alias("length")))
+
+
+@query("byte_model_scores")
+def _(v: Views) -> DataFrame:
+    rng = np.random.default_rng(0)
+    model = inference.ConvolutionModel(list(LABELS), rng.normal(size=(257, 8)), [(rng.normal(size=(8, 8, 3)), rng.normal(size=8))], rng.normal(size=(8, 5)), rng.normal(size=5))
+    return inference.judged(inference.infer(v.records, model, lambda t: inference.bytes_of(t, 512)), list(LABELS), tau=0.5)
