@@ -31,7 +31,7 @@ KINDS = ("email", "ip", "card", "phone")
 
 #: Fixed base patterns. The look-behinds only skip starts from which no leftmost match can begin.
 BASE = {
-    "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++",  # possessive: a loop, not a recursion for each label
     "ip": r"(?:(?<![0-9])|\G)[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
     "card": r"[0-9][0-9 -]*[0-9]",  # over text whose double separators are blanked, see _single
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
@@ -68,6 +68,8 @@ CONTEXT = {
     "card": r"(?i)(?:card|visa|master|amex|pay|karte|carte|tarjeta)[^\n]*$",
     "phone": r"(?i)(?:tel|phone|call|fax|mobile|anruf|appel|llam)[^\n]*$",
 }
+#: Matches that are walked in one go.
+BLOCK = 128
 SPAN = "struct<kind:int,start:bigint,end:bigint,base:boolean,votes:string,shape:int>"
 _HITS = "struct<pos:bigint,i:int,out:array<struct<start:bigint,end:bigint,hit:string,before:string,after:string>>>"
 
@@ -93,7 +95,16 @@ def _hits(text: Column, pattern: str) -> Column:
             one = F.struct(start.alias("start"), end.alias("end"), hit.alias("hit"), F.right(gap, F.lit(32)).alias("before"), F.left(x["gaps"][acc["i"] + 1], F.lit(4)).alias("after"))
             return F.struct(end.alias("pos"), (acc["i"] + 1).alias("i"), F.array_append(acc["out"], one).alias("out"))
 
-        return F.aggregate(x["hits"], F.expr(f"cast(struct(0L, 0, array()) as {_HITS})"), step)["out"]
+        def block(b: Column, start: Column) -> Column:
+            first = F.struct(start.alias("pos"), (b * BLOCK).alias("i"), F.array().alias("out")).cast(_HITS)
+            return F.aggregate(F.slice(x["hits"], b * BLOCK + 1, F.lit(BLOCK)), first, step)["out"]
+
+        # matches are walked in blocks, since an array that grows by one at a time is copied each time
+        ends = F.transform(x["hits"], lambda hit, i: (F.length(x["gaps"][i]) + F.length(hit)).cast("bigint"))
+        blocks = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(x["hits"]) - 1) / F.lit(BLOCK)).cast("int")))
+        sizes = F.transform(blocks, lambda b: F.aggregate(F.slice(ends, b * BLOCK + 1, F.lit(BLOCK)), F.lit(0).cast("bigint"), lambda t, n: t + n))
+        starts = F.aggregate(sizes, F.expr("cast(array(0L) as array<bigint>)"), lambda out, n: F.array_append(out, F.element_at(out, -1) + n))
+        return F.flatten(_let(starts, lambda at: F.transform(blocks, lambda b: block(b, at[b]))))
 
     return _let(F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits")), walk)
 

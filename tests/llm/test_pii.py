@@ -40,6 +40,8 @@ TEXTS = [
     "+1 (361) 555-8283, +49 30 901820 +1 +123456789012345678 ++4912345678",
     "ñandú 🙂 mail bob@x.org 🙂 tel. +34 600 100 200 10.0.0.1",
     "a" * 50_000 + "@" + "1 " * 20_000 + "9" * 30_000,
+    "a@" + "b." * 20_000 + "c",
+    "a@b.c 1.2.3.4 " * 3_000,
     "bob (at) example [dot] com call (361) 555-8283 or 361-555-8283",
 ]
 
