@@ -133,3 +133,21 @@ def coverage(decisions: DataFrame, decision_col: str = "decision") -> DataFrame:
     """One row: n, answered, abstained, coverage, meets_target (answered at least 4/5, in integers)."""
     counts = decisions.agg(F.count("*").alias("n"), F.count_if(F.col(decision_col) == "abstain").alias("abstained"))
     return counts.select("n", (F.col("n") - F.col("abstained")).alias("answered"), "abstained", F.expr("try_divide(n - abstained, n)").alias("coverage"), (5 * (F.col("n") - F.col("abstained")) >= 4 * F.col("n")).alias("meets_target"))
+
+
+def compare_abstention(rows: DataFrame, labels: list[str], temperature: float, tau: float, out_of_scope: str | None = None) -> DataFrame:
+    """Two rows, without and with abstention: n, correct, accuracy over all rows and over adopted ones, coverage. rows: prepared, with id and gold.
+
+    An out-of-scope decision counts as that label in either row.
+    """
+    from .evaluation import totals
+
+    names = F.array(*[F.lit(x) for x in labels])
+    conf, top = confidence(F.lit(1.0 / temperature)), F.get(names, F.col("top") - 1)
+    seen = rows.select("gold", top.alias("label"), decide(conf, top, F.lit(tau), out_of_scope).alias("decision"))
+    none = F.lit(None).cast("string")
+    plain = seen.select("gold", F.lit("label").alias("kind"), "label", none.alias("reason"))
+    kind = F.when(F.col("decision") == "abstain", "abstain").otherwise("label")
+    careful = seen.select("gold", kind.alias("kind"), F.when(kind == "label", F.col("label")).alias("label"), none.alias("reason"))
+    columns = ("n", "n_correct", "n_abstain", "accuracy", "adopted_accuracy", "coverage")
+    return totals(plain).select(F.lit("without").alias("abstention"), *columns).unionByName(totals(careful).select(F.lit("with").alias("abstention"), *columns))

@@ -45,3 +45,21 @@ def linear_scores(features: DataFrame, weights: DataFrame, biases: DataFrame) ->
 def predictions(scores: DataFrame) -> DataFrame:
     """(id, predicted_label, score): the largest score, the first declared of equals."""
     return scores.groupBy("id").agg(F.min_by(F.struct("label", "score"), F.struct((-F.col("score")).alias("s"), "pos")).alias("x")).select("id", F.col("x.label").alias("predicted_label"), "x.score")
+
+
+def train_linear(features: DataFrame, gold: DataFrame, labels: DataFrame, columns: int, l2: float = 1e-3, rounds: int = 50) -> tuple[DataFrame, DataFrame]:
+    """(weights, biases) for linear_scores by multinomial logistic regression. features: (id, col, val); gold: (id, label); labels: (pos, label)."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    spark = features.sparkSession
+    rows = features.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("col").cast("int").alias("col"), F.col("val").cast("double").alias("val")))).alias("x"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(columns - 1)), lambda i: F.coalesce(F.element_at("x", i), F.lit(0.0)))
+    data = rows.join(gold, "id").join(F.broadcast(labels), "label").select(array_to_vector(dense).alias("features"), F.col("pos").cast("double").alias("label"))
+    model = LogisticRegression(family="multinomial", regParam=l2, maxIter=rounds, standardization=False).fit(data)
+    order = {r["pos"]: r["label"] for r in labels.collect()}
+    matrix, bias = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
+    known = [p for p in sorted(order) if p < matrix.shape[0]]
+    weights = spark.createDataFrame([(c, order[p], float(matrix[p, c])) for p in known for c in range(columns)], "col int, label string, w double")
+    biases = spark.createDataFrame([(order[p], p, float(bias[p])) for p in known], "label string, pos int, b double")
+    return weights, biases

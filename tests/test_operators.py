@@ -187,3 +187,26 @@ def test_tfidf_rows_have_unit_length(spark):
 def test_regression_transitions(spark):
     pairs = spark.createDataFrame([("1", True, True), ("2", True, False), ("3", False, True), ("4", True, False)], "id string, previous boolean, current boolean")
     assert {r["transition"]: r["n"] for r in compare.transitions(pairs).collect()} == {"kept": 1, "lost": 2, "gained": 1, "missed": 0}
+
+
+def test_abstention_raises_the_adopted_accuracy(spark):
+    rows = [("a", [5.0, 0.0])] * 6 + [("b", [0.2, 0.0])] * 3 + [("b", [0.0, 3.0])]
+    df = calibration.prepared(spark.createDataFrame(rows, "gold string, logits array<double>"), ["a", "b"])
+    got = {r["abstention"]: r for r in calibration.compare_abstention(df, ["a", "b"], 1.0, 0.9).collect()}
+    assert (got["without"]["n_correct"], got["without"]["coverage"]) == (7, 1.0)
+    assert (got["with"]["n_abstain"], got["with"]["adopted_accuracy"], got["with"]["coverage"]) == (3, 1.0, 0.7)
+    scoped = {r["abstention"]: r for r in calibration.compare_abstention(df, ["a", "b"], 1.0, 0.9, "a").collect()}
+    assert scoped["with"]["n_abstain"] == 0
+
+
+def test_a_trained_linear_model_separates(spark):
+    rng = random.Random(3)
+    rows = [(f"{label}{i}", [rng.choice([10, 11, 12, 5]) if label == "A" else rng.choice([20, 21, 22, 5]) for _ in range(12)], label) for label in "AB" for i in range(40)]
+    df = spark.createDataFrame(rows, "id string, ids array<int>, label string")
+    grams = features.ngrams(df, (1,))
+    vocab = features.vocabulary(grams, len(rows))
+    x = features.tfidf(grams, vocab).cache()
+    labels = spark.createDataFrame([(0, "A"), (1, "B")], "pos int, label string")
+    weights, biases = features.train_linear(x, df.select("id", "label"), labels, vocab.count())
+    found = features.predictions(features.linear_scores(x, weights, biases))
+    assert found.join(df, "id").where("predicted_label <> label").count() == 0

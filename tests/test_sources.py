@@ -76,3 +76,23 @@ def test_ledger(spark, tmp_path):
         ledger.unchanged(spark, str(data), lambda: (data / "a.jsonl").write_text("y"))
     with pytest.raises(ValueError):
         ledger.gate(frozen, ledger.content_record(spark, str(data)))
+
+
+def test_provenance():
+    import json
+
+    from assayer.sources import provenance
+
+    good = {"model_requested": "m", "prompt_sha256": "a" * 64, "started_utc": "2024-02-29T01:02:03.5Z", "usage_observed": {"input_tokens": 3, "output_tokens": 4}, "source": "own", "more": 1}
+    record = provenance.parse(json.dumps(good))
+    assert (record.input_tokens, record.output_tokens, record.generated_at.microsecond, record.source) == (3, 4, 500000, "own")
+    assert provenance.parse(json.dumps({**good, "usage_observed": None})).input_tokens is None
+    for change in ({"prompt_sha256": "x"}, {"started_utc": "2024-02-30T00:00:00Z"}, {"started_utc": "2024-02-01T00:00:00+01:00"}, {"usage_observed": {"input_tokens": 1}}, {"source": None}, {"model_requested": ""}):
+        with pytest.raises(ValueError):
+            provenance.parse(json.dumps({**good, **change}))
+    for text in ("[]", "{", '{"a":1,"a":2}', json.dumps({k: v for k, v in good.items() if k != "usage_observed"})):
+        with pytest.raises(ValueError):
+            provenance.parse(text)
+    assert provenance.ingest(record, set(), lambda: "rows") == "rows"
+    with pytest.raises(ValueError):
+        provenance.ingest(record, {"own"}, lambda: 1 / 0)
