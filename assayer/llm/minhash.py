@@ -42,7 +42,7 @@ DAMPING = 0.25
 
 
 def document_frequencies(texts: DataFrame, size: int) -> np.ndarray:
-    """Documents by bucket of their shingles' hashes. Partial tables are added up in two steps of about the root of their number."""
+    """Documents by bucket of their shingles' hashes. Each task's table is added up in a tree, 256 tables at a time."""
     blocks, width = 4, 1 << (DF_BITS - 2)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,9 +68,9 @@ def document_frequencies(texts: DataFrame, size: int) -> np.ndarray:
 
     schema = "task long, block int, counts binary"
     partial = texts.mapInArrow(count, schema)
-    root = max(1, math.isqrt(texts.rdd.getNumPartitions()))
-    for deal in (F.pmod(F.col("task"), F.lit(root)), F.lit(0)):
-        partial = partial.withColumn("task", deal.cast("long")).groupBy("task", "block").applyInArrow(add, schema)
+    for _ in range(2):
+        partial = partial.withColumn("task", F.floor(F.col("task") / 256).cast("long")).groupBy("task", "block").applyInArrow(add, schema)
+    partial = partial.withColumn("task", F.lit(0).cast("long")).groupBy("task", "block").applyInArrow(add, schema)
     parts = {r["block"]: expand(bytes(r["counts"])) for r in partial.select("block", "counts").collect()}
     return np.concatenate([parts[b] for b in range(blocks)]) if parts else np.zeros(1 << DF_BITS, np.int32)
 
