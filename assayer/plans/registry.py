@@ -72,10 +72,9 @@ def _(v: Views) -> DataFrame:
     return v.records.groupBy("label").agg(F.count("*").alias("n")).withColumn("volume", quality.data_volume(F.col("n")))
 
 
-@query("duplicate_ids", sql("SELECT id, line FROM (SELECT CAST(line // 2 AS VARCHAR) AS id, line, count(*) OVER (PARTITION BY line // 2) AS n FROM v_rec WHERE line % 3 > 0) WHERE n > 1", "v_rec"))
+@query("duplicate_ids", sql("SELECT id, line FROM (SELECT CASE WHEN line % 5 = 0 THEN 'shared' || line // 10 ELSE id END AS id, line, count(*) OVER (PARTITION BY CASE WHEN line % 5 = 0 THEN 'shared' || line // 10 ELSE id END) AS n FROM v_rec) WHERE n > 1", "v_rec"))
 def _(v: Views) -> DataFrame:
-    rows = v.records.where("line % 3 > 0").select(F.expr("cast(line div 2 as string)").alias("id"), "line")
-    return quality.duplicate_ids(rows)
+    return quality.duplicate_ids(v.records.withColumn("id", F.expr("if(line % 5 = 0, concat('shared', line div 10), id)")))
 
 
 @query("first_valid_line", sql("SELECT key, line, first_line FROM (SELECT label || group_id AS key, line, min(CASE WHEN line % 4 > 0 THEN line END) OVER (PARTITION BY label || group_id) AS first_line FROM v_rec) WHERE line > first_line", "v_rec"))
@@ -262,11 +261,10 @@ def _(v: Views) -> DataFrame:
     return compare.label_set_diff(v.labels, current)
 
 
-@query("common_rows", sql("""SELECT n_common, p - n_common AS n_previous_only, c - n_common AS n_current_only FROM (SELECT (SELECT count(*) FROM (SELECT id, input, label FROM v_rec WHERE line % 3 > 0) a JOIN (SELECT id, input, CASE WHEN line % 5 = 0 THEN 'en' ELSE label END AS label FROM v_rec WHERE line % 4 > 0) b USING (id, input, label)) AS n_common,
-    (SELECT count(*) FROM v_rec WHERE line % 3 > 0) AS p, (SELECT count(*) FROM v_rec WHERE line % 4 > 0) AS c)""", "v_rec"))
+@query("common_rows", sql("""SELECT n_common, n - n_common AS n_previous_only, n - n_common AS n_current_only FROM (SELECT count(*) FILTER (line % 5 > 0 OR label = 'en') AS n_common, count(*) AS n FROM v_rec)""", "v_rec"))
 def _(v: Views) -> DataFrame:
-    current = v.records.where("line % 4 > 0").withColumn("label", F.when(F.col("line") % 5 == 0, "en").otherwise(F.col("label")))
-    return compare.common_rows(v.records.where("line % 3 > 0"), current)
+    current = v.records.withColumn("label", F.when(F.col("line") % 5 == 0, "en").otherwise(F.col("label")))
+    return compare.common_rows(v.records, current)
 
 
 # --- calibration and abstention --------------------------------------------------------------------------------------
@@ -322,30 +320,73 @@ def _(v: Views) -> DataFrame:
     return split.allocations(split.split_groups(grouped(v), 42))
 
 
-@query("group_split")
+def _times(x: str, y: int) -> str:
+    return f"((({x})::UHUGEINT * {y}::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT"
+
+
+def _mixed(x: str) -> str:
+    """splitmix64's output for a state, in SQL."""
+    one = f"xor({x}, ({x}) >> 30)"
+    two = _times(one, 0xBF58476D1CE4E5B9)
+    three = _times(f"xor({two}, ({two}) >> 27)", 0x94D049BB133111EB)
+    return f"xor({three}, ({three}) >> 31)"
+
+
+def _state(seed: str, k: str) -> str:
+    return f"((({seed})::UHUGEINT + ({k})::UHUGEINT * {0x9E3779B97F4A7C15}::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT"
+
+
+def _split_sql(seed: int) -> str:
+    """The seeded shuffle of each label's sorted groups as a recursion over swaps; labels have two letters here."""
+    first = _times(f"xor({0xCBF29CE484222325}::UBIGINT, ascii(label[1])::UBIGINT)", 0x100000001B3)
+    hashed = _times(f"xor({first}, ascii(label[2])::UBIGINT)", 0x100000001B3)
+    return f"""WITH RECURSIVE v_rec AS (SELECT doc_id AS line, lang AS label FROM documents),
+    m AS (SELECT g, label FROM (SELECT g, label, row_number() OVER (PARTITION BY g ORDER BY count(*) DESC, label) AS k FROM (SELECT 'g' || line % 113 AS g, label FROM v_rec) GROUP BY g, label) WHERE k = 1),
+    h AS (SELECT label, list_sort(list(g)) AS l, xor({seed}::UBIGINT, {hashed}) AS mixed FROM m GROUP BY label),
+    s AS (SELECT label, l, {_mixed(_state("mixed", "1"))} AS seed FROM h),
+    f AS (SELECT label, l, len(l) - 1 AS i, 1 AS k, seed FROM s UNION ALL
+        SELECT label, list_transform(range(1, len(l) + 1), lambda p: CASE WHEN p = i + 1 THEN l[j + 1] WHEN p = j + 1 THEN l[i + 1] ELSE l[p] END), i - 1, k + 1, seed
+        FROM (SELECT *, ({_mixed(_state("seed", "k"))} % (i + 1)::UBIGINT)::BIGINT AS j FROM f WHERE i >= 1)),
+    a AS (SELECT label, l, len(l) AS n, CASE WHEN len(l) <= 2 THEN 0 ELSE greatest(1, len(l) // 10) END AS val FROM f WHERE i <= 0),
+    c AS (SELECT label, l, n, val, CASE WHEN n <= 2 THEN 1 WHEN n - least(n * 8 // 10, n - val) - val < 1 THEN least(n * 8 // 10, n - val) - 1 ELSE least(n * 8 // 10, n - val) END AS train FROM a)
+    SELECT g AS group_id, label, CASE WHEN k <= train THEN 'train' WHEN k <= train + val THEN 'validation' ELSE 'test' END AS split FROM (SELECT label, train, val, unnest(l) AS g, unnest(range(1, n + 1)) AS k FROM c)"""
+
+
+@query("group_split", _split_sql(42))
 def _(v: Views) -> DataFrame:
     return split.split_groups(grouped(v), 42)
 
 
-@query("byte_ngram_df", sql("""SELECT 2 AS n, ((ascii(g[1]) + 1) * 257 + ascii(g[2]) + 1)::BIGINT AS key, count(DISTINCT id) AS df, round(ln((1 + (SELECT count(*) FROM v_rec WHERE regexp_full_match(input, '[\\x20-\\x7e]*'))) / (1 + count(DISTINCT id))) + 1, 4) AS idf
-    FROM (SELECT id, unnest(list_transform(range(1, length(input)), lambda i: substr(input, i::INT, 2))) AS g FROM v_rec WHERE regexp_full_match(input, '[\\x20-\\x7e]*')) GROUP BY g HAVING count(DISTINCT id) >= 2""", "v_rec"))
+#: Pairs of bytes of whole texts, keyed as the operator keys byte ids (bytes plus one, base 257).
+GRAMS = """WITH g AS (SELECT id, unnest(list_transform(range(0, len(h) // 2 - 1), lambda i: substr(h, (2 * i + 1)::INT, 4))) AS x FROM (SELECT CAST(doc_id AS VARCHAR) AS id, hex(encode(text)) AS h FROM documents)),
+    t AS (SELECT id, x, count(*) AS tf FROM g GROUP BY id, x),
+    v AS (SELECT x, ((('0x' || x[1:2])::INT + 1) * 257 + ('0x' || x[3:4])::INT + 1)::BIGINT AS key, count(*) AS df, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1 AS idf FROM t GROUP BY x HAVING count(*) >= 2)"""
+
+
+def byte_pairs(v: Views) -> DataFrame:
+    ids = v.records.select("id", text.byte_ids(1 << 30)(F.col("input")).alias("ids"))
+    return features.ngrams(ids, orders=(2,))
+
+
+@query("byte_ngram_df", GRAMS + " SELECT 2 AS n, key, df, round(idf, 4) AS idf FROM v")
 def _(v: Views) -> DataFrame:
-    plain = v.records.where(F.col("input").rlike(r"^[\x20-\x7e]*$")).select("id", F.transform(F.split("input", ""), lambda c: F.ascii(c) + 1).alias("ids"))
-    grams = features.ngrams(plain, orders=(2,))
-    vocab = features.vocabulary(grams, plain.count())
+    vocab = features.vocabulary(byte_pairs(v), v.records.count())
     return vocab.select("n", "key", "df", F.round(F.col("idf").cast("double"), 4).alias("idf"))
 
 
-@query("byte_ids")
+#: The features are single precision, so their equivalent gives each row's number of them and their largest.
+@query("tfidf_features", GRAMS + """, w AS (SELECT id, (1 + ln(tf)) * idf AS x FROM t JOIN v USING (x)), k AS (SELECT id, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS val FROM w)
+    SELECT id, count(*) AS n, round(max(val), 2) AS largest FROM k GROUP BY id""")
 def _(v: Views) -> DataFrame:
-    return v.records.select("id", text.byte_ids(4096)(text.normalised("input")).alias("ids"))
+    grams = byte_pairs(v)
+    found = features.tfidf(grams, features.vocabulary(grams, v.records.count()))
+    return found.groupBy("id").agg(F.count("*").alias("n"), F.round(F.max(F.col("val").cast("double")), 2).alias("largest"))
 
 
-@query("tfidf_features")
+@query("byte_ids", """SELECT id, len(b)::BIGINT AS n, sha256(array_to_string(b, ',')) AS sha256 FROM (SELECT id, list_transform(range(0, len(h) // 2), lambda i: ('0x' || substr(h, (2 * i + 1)::INT, 2))::INT + 1) AS b FROM (SELECT CAST(doc_id AS VARCHAR) AS id, hex(encode(text)) AS h FROM documents))""")
 def _(v: Views) -> DataFrame:
-    ids = v.records.select("id", text.byte_ids(512)(text.normalised("input")).alias("ids"))
-    grams = features.ngrams(ids, orders=(1, 2, 3))
-    return features.tfidf(grams, features.vocabulary(grams, ids.count(), most=5_000))
+    ids = text.byte_ids(1 << 30)(F.col("input"))
+    return v.records.select("id", ids.alias("ids")).select("id", F.size("ids").cast("long").alias("n"), F.sha2(F.array_join(F.transform("ids", lambda i: i.cast("string")), ","), 256).alias("sha256"))
 
 
 # --- event logs ------------------------------------------------------------------------------------------------------
@@ -405,11 +446,11 @@ def _(v: Views) -> DataFrame:
     return inference.input_digests(v.records.withColumnRenamed("line", "ordinal")).withColumn("n_bytes", F.col("n_bytes").cast("long"))
 
 
-@query("contract_times", "SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS seconds FROM events WHERE event_id % 3 > 0")
+@query("contract_times", "SELECT event_id, CASE WHEN event_id % 3 > 0 THEN CAST(floor(epoch(ts)) AS BIGINT) END AS seconds FROM events")
 def _(v: Views) -> DataFrame:
     written = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
     text_ = F.when(F.col("event_id") % 3 == 0, F.concat(written, F.lit("+09:00"))).when(F.col("event_id") % 3 == 1, F.concat(written, F.lit("Z"))).otherwise(F.concat(written, F.lit("+00:00")))
-    return v.table("events").select("event_id", F.floor(times.rfc3339_utc(text_).cast("double")).cast("long").alias("seconds")).where("seconds is not null")
+    return v.table("events").select("event_id", F.floor(times.rfc3339_utc(text_).cast("double")).cast("long").alias("seconds"))
 
 
 @query("score_report", sql(f"""SELECT candidate, n, n_correct, round(accuracy, 9) AS accuracy, round(lo, 9) AS lo, round(hi, 9) AS hi, only_a, only_b FROM (SELECT candidate, k AS n_correct, n::BIGINT AS n, p AS accuracy, {WILSON}, only_a, only_b FROM (
@@ -421,7 +462,7 @@ def _(v: Views) -> DataFrame:
     return rounded(report, "accuracy", "lo", "hi").select("candidate", "n", "n_correct", "accuracy", "lo", "hi", "only_a", "only_b")
 
 
-@query("id_set_difference", sql("SELECT CAST(doc_id AS VARCHAR) AS id, 1::BIGINT AS expected, 0::BIGINT AS found FROM documents WHERE doc_id % 29 = 0"))
+@query("id_set_difference", sql("SELECT coalesce(r.id, p.id) AS id, (r.id IS NOT NULL)::BIGINT AS expected, (p.id IS NOT NULL)::BIGINT AS found FROM v_rec r FULL JOIN v_pred p ON p.id = r.id WHERE r.id IS NULL OR p.id IS NULL", "v_rec", "v_pred"))
 def _(v: Views) -> DataFrame:
     return selection.set_difference(v.records, v.predictions)
 
@@ -448,4 +489,4 @@ def _(v: Views) -> DataFrame:
 def _(v: Views) -> DataFrame:
     rng = np.random.default_rng(0)
     model = inference.ConvolutionModel(list(LABELS), rng.normal(size=(257, 8)), [(rng.normal(size=(8, 8, 3)), rng.normal(size=8))], rng.normal(size=(8, 5)), rng.normal(size=5))
-    return inference.judged(inference.infer(v.records, model, lambda t: inference.bytes_of(t, 512)), list(LABELS), tau=0.5)
+    return inference.judged(inference.infer(v.records, model, lambda t: inference.bytes_of(t, 1 << 30)), list(LABELS), tau=0.5)

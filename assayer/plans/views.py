@@ -30,7 +30,8 @@ class Views:
         d = F.col("doc_id")
         status = F.when(d % 17 == 0, "abstain").when(d % 19 == 0, "error").otherwise("ok")
         label = F.when(status != "ok", F.lit(None)).when(d % 23 == 0, "xx").when(d % 5 == 0, "en").otherwise(F.col("lang"))
-        return self.table("documents").where(d % 29 != 0).select(d.cast("string").alias("id"), status.alias("status"), label.alias("predicted_label"))
+        key = F.when(d % 29 == 0, F.concat(F.lit("none"), d)).otherwise(d.cast("string"))  # an id that no record has
+        return self.table("documents").select(key.alias("id"), status.alias("status"), label.alias("predicted_label"))
 
     @property
     def previous(self) -> DataFrame:
@@ -52,9 +53,9 @@ class Views:
 SQL = {
     "v_rec": "SELECT doc_id AS line, CAST(doc_id AS VARCHAR) AS id, text AS input, lang AS label, source AS group_id FROM documents",
     "v_lbl": "SELECT * FROM (VALUES (0,'en'),(1,'fr'),(2,'de'),(3,'es'),(4,'it')) t(pos, label)",
-    "v_pred": """SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 17 = 0 THEN 'abstain' WHEN doc_id % 19 = 0 THEN 'error' ELSE 'ok' END AS status,
+    "v_pred": """SELECT CASE WHEN doc_id % 29 = 0 THEN 'none' || doc_id ELSE CAST(doc_id AS VARCHAR) END AS id, CASE WHEN doc_id % 17 = 0 THEN 'abstain' WHEN doc_id % 19 = 0 THEN 'error' ELSE 'ok' END AS status,
         CASE WHEN doc_id % 17 = 0 OR doc_id % 19 = 0 THEN NULL WHEN doc_id % 23 = 0 THEN 'xx' WHEN doc_id % 5 = 0 THEN 'en' ELSE lang END AS predicted_label
-        FROM documents WHERE doc_id % 29 <> 0""",
+        FROM documents""",
     "v_out": """SELECT r.id, r.label AS gold,
         CASE WHEN p.id IS NULL THEN 'error' WHEN p.status <> 'ok' THEN p.status WHEN l.label IS NULL THEN 'invalid' ELSE 'label' END AS kind,
         CASE WHEN p.status = 'ok' THEN l.label END AS label,
