@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -40,7 +41,7 @@ def byte_ids(most: int) -> Column:
     @pandas_udf(ArrayType(IntegerType()))
     def encode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in parts:
-            yield texts.map(lambda t: [b + 1 for b in t.encode()[:most]] or [0], na_action="ignore")
+            yield texts.map(lambda t: np.frombuffer(t.encode()[:most], np.uint8).astype(np.int32) + 1 if t else np.zeros(1, np.int32), na_action="ignore")
 
     return encode
 

@@ -2,20 +2,44 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import ngram_keys
-
 
 def ngrams(ids: DataFrame, orders: tuple[int, ...] = (1, 2, 3, 4), id_col: str = "id", ids_col: str = "ids") -> DataFrame:
-    """(id, n, key, tf): the n-grams of each row and how often it has them."""
-    parts = F.flatten(F.array(*[_keyed(ids_col, n) for n in orders]))
-    return ids.select(F.col(id_col).alias("id"), F.explode(parts).alias("g")).groupBy("id", F.col("g.n").alias("n"), F.col("g.key").alias("key")).agg(F.count("*").alias("tf"))
-
-
-def _keyed(ids_col: str, n: int):
-    return F.transform(ngram_keys(F.col(ids_col), n), lambda k: F.struct(F.lit(n).alias("n"), k.alias("key")))
+    """(id, n, key, tf): the n-grams of each row (as ngram_keys has them) and how often it has them; counted in the scan, a row for each distinct one."""
+    if any(not 1 <= n <= 7 for n in orders):
+        raise ValueError("keys in base 257 hold 1 to 7 ids")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            bounds = lists.offsets.to_numpy().astype(np.int64)
+            flat = lists.values.to_numpy(zero_copy_only=False).astype(np.int64)[bounds[0] : bounds[-1]]
+            bounds = bounds - bounds[0]
+            for n in orders:
+                size = max(0, len(flat) - n + 1)
+                keys, full = np.zeros(size, np.int64), np.ones(size, bool)
+                for j in range(n):
+                    keys = keys * 257 + flat[j : j + size]
+                    full &= flat[j : j + size] != 0
+                rows, found, counts = [], [], []
+                for row, (low, high) in enumerate(zip(bounds[:-1].tolist(), (bounds[1:] - n + 1).tolist(), strict=True)):
+                    if high > low:
+                        own, times = np.unique(keys[low:high][full[low:high]], return_counts=True)
+                        rows.append(np.full(len(own), row))
+                        found.append(own)
+                        counts.append(times)
+                if rows:
+                    which = pa.array(np.concatenate(rows))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(which), pa.array(np.full(len(which), n, np.int32)), pa.array(np.concatenate(found)), pa.array(np.concatenate(counts).astype(np.int64))], names=["id", "n", "key", "tf"])
+
+    kind = dict(ids.dtypes)[id_col]
+    return ids.where(F.col(ids_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(run, f"id {kind}, n int, key long, tf long")
 
 
 def vocabulary(grams: DataFrame, documents: int, min_df: int = 2, most: int = 200_000) -> DataFrame:
