@@ -45,3 +45,27 @@ def canonical(value: Any) -> str:
 
 def canonical_sha256(value: Any) -> str:
     return hashlib.sha256(canonical(value).encode()).hexdigest()
+
+
+def renderings(value: Any) -> list[str]:
+    """The distinct ways a JSON value may be written into a text: compact or spaced, keys as given or sorted."""
+    out = [json.dumps(value, separators=sep, sort_keys=order, ensure_ascii=False) for order in (False, True) for sep in ((",", ":"), (", ", ": "))]
+    return [x for x in dict.fromkeys(out) if x not in ("", "{}", "null")]
+
+
+def value_or_text(captured: Column) -> Column:
+    """Captured output as a variant: the JSON it is, else the text itself."""
+    return F.coalesce(F.try_parse_json(captured), F.to_variant_object(F.struct(captured.alias("text"))))
+
+
+def salted_digest(salt: str, text: Column, length: int = 12) -> Column:
+    return F.substring(F.sha2(F.concat(F.lit(salt), text), 256), 1, length)
+
+
+def shards_digest(domain: str, parts: list[bytes]) -> str:
+    """A digest of weights and their shards that no other list of parts has: each length stands before its bytes."""
+    h = hashlib.sha256(domain.encode() + b"\x00")
+    for part in parts:
+        h.update(len(part).to_bytes(8, "big"))
+        h.update(part)
+    return h.hexdigest()

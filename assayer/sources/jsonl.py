@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.jsontools import line_class, type_name
+from ..functions.text import is_empty_after_normalising
 
 RECORD = "<record>"
 
@@ -80,3 +81,18 @@ def inspect(rows: DataFrame, labels: list[str], raw_col: str = "raw", line_col:
     anomalies = owned.select("line", F.explode("found").alias("a")).select("line", "a.field", "a.code", "a.expected", "a.actual", F.lit(None).cast("long").alias("first_line"))
     duplicates = owned.where(repeated).select("line", F.lit("id").alias("field"), F.lit("duplicate_id").alias("code"), F.lit(None).cast("string").alias("expected"), F.lit(None).cast("string").alias("actual"), F.col("owner").alias("first_line"))
     return Inspection(owned.where(fine & ~repeated).select("line", "id", "input", "label_id", "tags", "group_id"), anomalies.unionByName(duplicates))
+
+
+def examples(rows: DataFrame, labels: list[str], raw_col: str = "raw", line_col: str = "line") -> DataFrame:
+    """(line, input, label, error) of training lines: objects of exactly the strings input and label, the input with something left after normalising."""
+    v = F.col("v")
+    read = rows.select(F.col(line_col).alias("line"), F.col(raw_col).alias("raw")).withColumn("kind", line_class(F.col("raw"))).withColumn("v", F.when(F.col("kind") == "object", F.try_parse_json("raw")))
+    keys, text, label = F.json_object_keys("raw"), F.try_variant_get(v, "$.input", "string"), F.try_variant_get(v, "$.label", "string")
+    error = (
+        F.when(F.col("kind") != "object", F.col("kind"))
+        .when((F.size(keys) != 2) | ~F.array_contains(keys, "input") | ~F.array_contains(keys, "label"), "fields")
+        .when((type_name(v, "$.input") != "string") | (type_name(v, "$.label") != "string"), "type_mismatch")
+        .when(is_empty_after_normalising(text), "empty_value")
+        .when(~label.isin(labels), "unknown_label")
+    )
+    return read.select("line", F.when(error.isNull(), text).alias("input"), F.when(error.isNull(), label).alias("label"), error.alias("error"))
