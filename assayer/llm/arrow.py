@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that a task takes up at once (one row at least).
-SLICE_BYTES = 32 << 20
+SLICE_BYTES = 16 << 20
 
 
 def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -20,6 +20,7 @@ def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Itera
     while low < batch.num_rows:
         high = max(low + 1, int(np.searchsorted(ends, most + (ends[low - 1] if low else 0), "right")))
         yield batch.slice(low, high - low)
+        pa.default_memory_pool().release_unused()  # workers live on, and with them what they do not give back
         low = high
 
 

@@ -181,6 +181,20 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return shared / union if union else 0.0
 
 
+def _unpacked(batch: pa.RecordBatch, *columns: int, most: int = 12 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose packed texts in the columns have at most `most` bytes together when unpacked, or of one row; repetitive texts pack very small."""
+    sizes = sum(np.array([int.from_bytes(x[-8:], "little") for x in batch.column(c).to_pylist()], np.int64) for c in columns)
+    low = 0
+    while low < batch.num_rows:
+        high = max(low + 1, low + int(np.searchsorted(np.cumsum(sizes[low : low + 4096]), most, "right")))
+        yield low, high
+        low = high
+
+
+def _text(packed: bytes, codec: pa.Codec) -> bytes:
+    return codec.decompress(packed[:-8], int.from_bytes(packed[-8:], "little"), asbytes=True)
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, idf: np.ndarray, threshold: float) -> DataFrame:
     """The pairs (a, b) of nodes with `alike`, the similarity of their whole texts, where it is at least the threshold."""
     shared = pairs.sparkSession.sparkContext.broadcast(idf)
@@ -188,19 +202,17 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, idf: np.ndarray, th
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd")
         for batch in batches:
-            for whole in slices(batch, 3, 4 << 20):  # compressed; some 12 MB of text
-                for low in range(0, whole.num_rows, 2048):
-                    part = whole.slice(low, 2048)
-                    nodes = part.column(0).to_pylist()
-                    first = [i for i, a in enumerate(nodes) if not i or a != nodes[i - 1]]  # rows come by a
-                    packed = part.column(2).take(pa.array(first)).to_pylist() + part.column(3).to_pylist()
-                    texts_ = [codec.decompress(x[:-8], int.from_bytes(x[-8:], "little"), asbytes=True) for x in packed]
-                    words, bounds = word_hashes(pa.array(texts_, pa.binary()).cast(pa.string()))
-                    bags = [(found, weights(found, n, shared.value)) for found, n in by_text(words, bounds, size)]
-                    of = np.searchsorted(first, np.arange(len(nodes)), "right") - 1
-                    alike = pa.array([similarity(bags[of[i]], bags[len(first) + i]) for i in range(len(nodes))], pa.float64())
-                    whole_part = pa.RecordBatch.from_arrays([part.column(0), part.column(1), alike], names=["a", "b", "alike"])
-                    yield whole_part.filter(pc.greater_equal(alike, threshold))
+            for low, high in _unpacked(batch, 2, 3):
+                part = batch.slice(low, high - low)
+                nodes = part.column(0).to_pylist()
+                first = [i for i, a in enumerate(nodes) if not i or a != nodes[i - 1]]  # rows come by a
+                texts_ = [_text(x, codec) for x in part.column(2).take(pa.array(first)).to_pylist() + part.column(3).to_pylist()]
+                words, bounds = word_hashes(pa.array(texts_, pa.binary()).cast(pa.string()))
+                bags = [(found, weights(found, n, shared.value)) for found, n in by_text(words, bounds, size)]
+                of = np.searchsorted(first, np.arange(len(nodes)), "right") - 1
+                alike = pa.array([similarity(bags[of[i]], bags[len(first) + i]) for i in range(len(nodes))], pa.float64())
+                whole_part = pa.RecordBatch.from_arrays([part.column(0), part.column(1), alike], names=["a", "b", "alike"])
+                yield whole_part.filter(pc.greater_equal(alike, threshold))
 
     second = pairs.join(texts.select(F.col("node").alias("b"), F.col("words").alias("words_b")), "b")
     both = second.join(texts.select(F.col("node").alias("a"), F.col("words").alias("words_a")), "a")
@@ -213,8 +225,9 @@ def _elements(texts: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd")
         for batch in batches:
-            for part in slices(batch, 1, 4 << 20):
-                raw = [codec.decompress(x[:-8], int.from_bytes(x[-8:], "little"), asbytes=True) for x in part.column(1).to_pylist()]
+            for low, high in _unpacked(batch, 1):
+                part = batch.slice(low, high - low)
+                raw = [_text(x, codec) for x in part.column(1).to_pylist()]
                 words, bounds = word_hashes(pa.array(raw, pa.binary()).cast(pa.string()))
                 found = []
                 for shingle, n in by_text(words, bounds, size):

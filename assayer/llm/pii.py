@@ -255,9 +255,18 @@ def mask(df: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataF
         inside = s["start"] < acc["pos"]
         return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), F.when(inside, acc["out"]).otherwise(F.array_append(acc["out"], F.concat(gap, names[s["kind"]]))).alias("out"))
 
+    def block(found: Column):
+        def one(acc: Column, b: Column) -> Column:
+            first = F.struct(acc["pos"].alias("pos"), F.array().alias("out")).cast("struct<pos:bigint,out:array<string>>")
+            done = F.aggregate(F.slice(found, b * BLOCK + 1, F.lit(BLOCK)), first, step)
+            return _let(done, lambda x: F.struct(x["pos"].alias("pos"), F.concat(acc["out"], F.array_join(x["out"], "")).alias("out")))
+
+        return one
+
     def rebuild(found: Column) -> Column:
-        done = F.aggregate(found, F.expr("cast(struct(0L, array()) as struct<pos:bigint,out:array<string>>)"), step)
-        return _let(done, lambda x: F.concat(F.array_join(x["out"], ""), F.substring(F.col(text_col), (x["pos"] + 1).cast("int"), F.length(F.col(text_col)))))
+        blocks = F.sequence(F.lit(0), F.floor((F.size(found) - 1) / F.lit(BLOCK)).cast("int"))
+        done = F.aggregate(blocks, F.expr("cast(struct(0L, '') as struct<pos:bigint,out:string>)"), block(found))
+        return _let(done, lambda x: F.concat(x["out"], F.substring(F.col(text_col), (x["pos"] + 1).cast("int"), F.length(F.col(text_col)))))
 
     masked = F.when(F.col(text_col).isNull() | (F.size(spans) == 0), F.col(text_col)).otherwise(_let(by_start, rebuild))
     return scanned.select(*[masked.alias(text_col) if c == text_col else F.col(c) for c in [*keys, text_col]]).select(*df.columns)

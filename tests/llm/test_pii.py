@@ -67,8 +67,9 @@ def test_query_matches_brute_force(spark):
 
 def test_mask_keeps_rows_columns_and_clean_text(spark):
     df = spark.createDataFrame([(1, "mail bob@x.org or +1 (361) 555-8283!", 3), (2, "clean", 4), (3, None, 5)], "doc_id long, text string, n_chars long")
+    df = df.unionByName(spark.createDataFrame([(4, "é a@b.c 🙂" * 1000, 6), (5, "x@1.2.3.4.de +1 (361) 555-8283", 7)], df.schema))
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in pii.mask(df).collect()}
-    assert got == {1: ("mail <EMAIL> or <PHONE>!", 3), 2: ("clean", 4), 3: (None, 5)}
+    assert got == {1: ("mail <EMAIL> or <PHONE>!", 3), 2: ("clean", 4), 3: (None, 5), 4: ("é <EMAIL> 🙂" * 1000, 6), 5: ("<EMAIL> <PHONE>", 7)}
     assert pii.mask(df).columns == df.columns
     assert pii.mask(df.limit(0)).count() == 0
 
