@@ -186,7 +186,7 @@ def learn(df: DataFrame, id_col: str, text_col: str = "text", lang_col: str = "l
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, 4 << 20):
                 found = list(vectors(part.column(1)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([i.tobytes() for i, _ in found], pa.binary()), pa.array([v.tobytes() for _, v in found], pa.binary())], names=["lang", "ids", "values"])
 
@@ -211,7 +211,7 @@ def predict(df: DataFrame, model: Model | None, keys: list[str | Column], text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, len(names), 8 << 20):
+            for part in slices(batch, len(names), 4 << 20):
                 texts = part.column(len(names))
                 known = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_pylist()
                 langs, sure = shared.value.predict(texts) if shared.value else ([UNKNOWN] * len(texts), np.zeros(len(texts)))
