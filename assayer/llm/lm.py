@@ -9,10 +9,11 @@ share of the training documents; the final estimates use all training documents.
 
 Data flow. One scan turns each slice of documents into a block: its distinct words
 with their counts, and its token places. Counts of words meet in a shuffle on the
-word's hash, one row per block and distinct word, and go back to the block; so do
-the counts of pairs. Texts are not shuffled, and no table of words or pairs is
-collected or broadcast. Pairs are estimated between the `frequent` most frequent
-words only (the size of the pair model); their hashes are broadcast, 8 bytes each.
+word's hash, one row per block and distinct word, and go back to the block. So do the
+counts of all pairs, which are added up in the block first and travel packed: a row
+for each block and range of the pairs' hashes, sorted, is answered by a row with the
+counts in the same order. Texts are not shuffled, and no table of words or pairs is
+collected or broadcast.
 """
 
 from __future__ import annotations
@@ -103,33 +104,65 @@ def _contexts(at: np.ndarray, end: int) -> np.ndarray:
     return np.concatenate([[end], at[:-1]])
 
 
-def pairs_of(frequent: np.ndarray):
-    """Maps blocks to their distinct pairs of frequent words, with counts; frequent: sorted hashes."""
+def _pair_keys(hashes: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """A hash for each pair of words, numbered as before * len(hashes) + word."""
+    h, w = hashes[found // len(hashes)], hashes[found % len(hashes)]
+    return (h * np.uint64(0x9E3779B97F4A7C15)) ^ ((w << np.uint64(29)) | (w >> np.uint64(35)))
+
+
+def _squeeze_keys(keys: np.ndarray) -> bytes:
+    """Sorted hashes as compressed byte planes of their differences."""
+    steps = np.diff(keys, prepend=np.uint64(0))
+    planes = np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    return len(keys).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(planes, asbytes=True)
+
+
+def _expand_keys(squeezed: bytes) -> np.ndarray:
+    n = int.from_bytes(squeezed[:8], "little")
+    planes = pa.Codec("zstd").decompress(squeezed[8:], 8 * n, asbytes=True) if n else b""
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, n).T).view("<u8").reshape(-1), dtype=np.uint64)
+
+
+def pairs_of(ranges: int):
+    """Maps blocks to their distinct pairs with counts, a row for each of so many ranges of the pairs' hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, role, n, at, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 hashes = _hashes(words)
-                known = np.isin(hashes.view(np.int64), frequent)
                 at = expand(at).astype(np.int64)
-                before = _contexts(at, len(hashes) - 1)
-                use = known[at] & known[before]
-                role = np.repeat(np.array(role, np.int8), np.array(n, np.int64))[use]
-                found, inverse = np.unique(before[use] * len(hashes) + at[use], return_inverse=True)
-                h, w = found // len(hashes), found % len(hashes)
-                key = (hashes[h] * np.uint64(0x9E3779B97F4A7C15)) ^ ((hashes[w] << np.uint64(29)) | (hashes[w] >> np.uint64(35)))
-                counts = [np.bincount(inverse, role == r, len(found)).astype(np.int32) for r in (0, 1)]
+                role = np.repeat(np.array(role, np.int8), np.array(n, np.int64))
+                found, inverse = np.unique(_contexts(at, len(hashes) - 1) * len(hashes) + at, return_inverse=True)
+                keys = _pair_keys(hashes, found)
+                order = np.argsort(keys)
+                keys = keys[order]
+                main, left = (np.bincount(inverse[role == r], minlength=len(found))[order] for r in (0, 1))
+                of = ((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+                asked, starts = np.unique(of, return_index=True)
+                cuts = [*zip(starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True)]
+                columns = [[_squeeze_keys(keys[a:b]) for a, b in cuts], *([squeeze(x[a:b]) for a, b in cuts] for x in (main, left))]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(np.full(len(found), block)), pa.array(h.astype(np.int32)), pa.array(w.astype(np.int32)), *map(pa.array, counts)],
-                    names=["hash", "block", "before", "word", "main", "left"],
+                    [pa.array(np.full(len(asked), block)), pa.array(asked.astype(np.int32)), *(pa.array(x, pa.binary()) for x in columns)],
+                    names=["block", "part", "keys", "main", "left"],
                 )
 
     return run
 
 
+def _added(rows: pa.Table) -> pa.Table:
+    """Answers the blocks' questions about one range: m and c of each pair that a block asked for, in its order."""
+    asked = [_expand_keys(x) for x in rows["keys"].to_pylist()]
+    found, inverse = np.unique(np.concatenate(asked), return_inverse=True)
+    main, left = (np.bincount(inverse, np.concatenate([expand(x) for x in rows[k].to_pylist()]), len(found)).astype(np.int64) for k in ("main", "left"))
+    ends = np.cumsum([len(x) for x in asked]).tolist()
+    which = [inverse[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    m, c = ([squeeze(np.minimum(x[i], 2**31 - 1)) for i in which] for x in (main, main + left))
+    return pa.Table.from_arrays([rows["block"], rows["part"], pa.array([None] * len(m), pa.binary()), pa.array(m, pa.binary()), pa.array(c, pa.binary())], names=["block", "part", "word", "m", "c"])
+
+
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Answers (block, before, word, m, c) as compressed columns, a row for each block among some million answers."""
-    names = ["block", "before", "word", "m", "c"]
+    """Answers (block, word, m, c) as compressed columns, a row for each block among some million answers."""
+    names = ["block", "part", "word", "m", "c"]
 
     def pack(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
         block, *columns = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -137,11 +170,11 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, starts = np.unique(block[order], return_index=True)
         cuts = [*zip(starts.tolist(), [*starts[1:].tolist(), len(block)], strict=True)]
         packed = [[squeeze(np.minimum(x[order[a:b]], 2**31 - 1)) for a, b in cuts] for x in columns]
-        return pa.RecordBatch.from_arrays([pa.array(found), *(pa.array(x, pa.binary()) for x in packed)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), -1, np.int32)), *(pa.array(x, pa.binary()) for x in packed)], names=names)
 
     parts, waiting = [], 0
     for batch in batches:
-        parts.append([batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)])
+        parts.append([batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)])
         waiting += batch.num_rows
         if waiting >= 1 << 20:
             yield pack(parts)
@@ -156,23 +189,21 @@ MET = "doc array<long>, role array<int>, n array<int>, c binary, p binary, end l
 def _meet(left: pa.Table, right: pa.Table) -> pa.Table:
     """A block with the counts at its tokens: c of the word, p of the pair, end of the end; for held-out documents also cm, pm, end_m, without what is held out."""
     out: list[list] = [[] for _ in range(9)]
-    before, word, m, c = (np.concatenate([np.zeros(0, np.int32), *map(expand, right[k].to_pylist())]).astype(np.int64) for k in ("before", "word", "m", "c"))
-    single = before < 0
+    answers = sorted(zip(*(right[k].to_pylist() for k in ("part", "word", "m", "c")), strict=True), key=lambda x: x[0])
+    pair_m, pair_c = (np.concatenate([np.zeros(0, np.int32), *(expand(x[k]) for x in answers if x[0] >= 0)]) for k in (2, 3))
+    word, m, c = (np.concatenate([np.zeros(0, np.int32), *(expand(x[k]) for x in answers if x[0] < 0)]).astype(np.int64) for k in (1, 2, 3))
     word_m = expand(left["main"][0].as_py()).astype(np.int64) if left.num_rows else np.zeros(1, np.int64)
     word_c = word_m + (expand(left["left"][0].as_py()) if left.num_rows else 0)
-    word_m[word[single]], word_c[word[single]] = m[single], c[single]
+    word_m[word], word_c[word] = m, c
     size = len(word_c)
-    keys = before[~single].astype(np.int64) * size + word[~single]
-    by_key = np.argsort(keys)
-    keys, pair_m, pair_c = (np.append(x, 0) for x in (keys[by_key], m[~single][by_key], c[~single][by_key]))
-    keys[-1] = -1
     most = 2**31 - 1
     for row in range(left.num_rows):
         docs, roles, n = (left[k][row].as_py() for k in ("doc", "role", "n"))
         at = expand(left["at"][row].as_py()).astype(np.int64)
-        wanted = _contexts(at, size - 1) * size + at
-        place = np.searchsorted(keys[:-1], wanted)
-        place[keys[place] != wanted] = len(keys) - 1
+        found, inverse = np.unique(_contexts(at, size - 1) * size + at, return_inverse=True)
+        rank = np.empty(len(found), np.int64)
+        rank[np.argsort(_pair_keys(_hashes(left["words"][row].as_py()), found))] = np.arange(len(found))
+        place = rank[inverse]
         held = np.repeat(np.array(roles) == 1, np.array(n, np.int64))
         arrays = (word_c[at], pair_c[place], word_m[at[held]], pair_m[place[held]])
         c_, p_, cm, pm = (squeeze(np.minimum(a, most)) for a in arrays)
@@ -230,7 +261,7 @@ def learn_weights(rows: list, vocabulary: int, rounds: int = 80) -> np.ndarray:
     return weights
 
 
-def score(df: DataFrame, train: Column, left_out: Column, id_col: str = "doc_id", text_col: str = "text", frequent: int = 1 << 11) -> DataFrame:
+def score(df: DataFrame, train: Column, left_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Score every row's whole text with a model of the rows where `train` holds.
 
     `left_out` names the training rows whose counts are held out of the estimates
@@ -253,13 +284,14 @@ def score(df: DataFrame, train: Column, left_out: Column, id_col: str = "doc_id"
     )
     total = words.agg(F.sum(F.expr("if(hash is null, 0, c)")).alias("n"), F.sum(F.expr("if(hash is null, 0, m)")).alias("m"), F.count("hash").alias("v")).first()
     n_train, n_main, vocabulary = int(total["n"] or 0), int(total["m"] or 0), int(total["v"] or 0)
-    top = words.where("hash is not null").orderBy(F.desc("c"), "hash").select("hash").limit(frequent).toPandas()["hash"].to_numpy(np.int64)
-    pair_rows = blocks.select("block", "role", "n", "at", "words").mapInArrow(pairs_of(np.sort(top)), "hash long, block long, before int, word int, main int, left int")
-    pairs = pair_rows.selectExpr("block", "before", "word", f"sum(main) {same} as m", f"sum(main + left) {same} as c").where("c > 0")
+    # a range has some two million pairs, however many blocks ask
+    tokens = blocks.agg(F.sum(F.expr("aggregate(n, 0L, (a, x) -> a + x)")).alias("n")).first()["n"] or 0
+    ranges = max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), tokens >> 21)
+    pairs = blocks.select("block", "role", "n", "at", "words").mapInArrow(pairs_of(ranges), "block long, part int, keys binary, main binary, left binary")
+    answer = "block long, part int, word binary, m binary, c binary"
     # a word that no other block holds needs no answer: its counts are the block's own
-    answers = words.where("not alone").selectExpr("block", "-1 as before", "word", "m", "c").unionByName(pairs)
-    packed = answers.select("block", "before", "word", "m", "c").mapInArrow(_packed, "block long, before binary, word binary, m binary, c binary")
-    met = settle(blocks.select("block", "doc", "role", "n", "at", "main", "left").groupBy("block").cogroup(packed.groupBy("block")).applyInArrow(_meet, MET))
+    packed = words.where("not alone").select("block", "word", "m", "c").mapInArrow(_packed, answer).unionByName(pairs.groupBy("part").applyInArrow(_added, answer))
+    met = settle(blocks.select("block", "doc", "role", "n", "at", "words", "main", "left").groupBy("block").cogroup(packed.groupBy("block")).applyInArrow(_meet, MET))
     left = met.select("cm", "pm", "end_m").mapInArrow(_bins(max(1, n_main)), "bucket long, pair long, word long, n long")
     weights = learn_weights(left.groupBy("bucket", "pair", "word").agg(F.sum("n").alias("n")).collect() if n_main else [], vocabulary)
     base_of, unknown = n_train + 0.5 * (vocabulary + 1), 1 / (vocabulary + 1)

@@ -62,3 +62,39 @@ def test_odd_rows(spark):
     assert lm.score(df.limit(0), F.lit(True), F.lit(False)).count() == 0
     none = lm.score(df, F.lit(None).cast("boolean"), F.lit(False)).collect()
     assert len(none) == 7 and all(r["train_tokens"] == 0 and r["n_known"] == 0 and r["held_out"] for r in none)
+
+
+def test_pairs_of_rare_words_are_estimated(spark):
+    # 2,500 words stand before the rare ones by frequency; the rare ones have the same counts, so only pairs tell them apart
+    common = " ".join(f"w{i}" for i in range(2500))
+    rows = [(i, common) for i in range(8)] + [(100 + i, f"left{i % 3} right{i % 3}") for i in range(18)]
+    probes = [(1000, "left0 right0"), (1001, "left0 right1")]
+    texts = rows + probes
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["score"] for r in lm.score(df, F.col("doc_id") < 1000, F.col("doc_id") % 4 == 0).collect()}
+    assert got[1000] > got[1001] + 0.5
+
+    def counts(some):
+        words, pairs = collections.Counter(), collections.Counter()
+        for text in some:
+            own = tokens(text)
+            words.update(own)
+            pairs.update(zip(["\n", *own], own, strict=False))
+        return words, pairs
+
+    words, pairs = counts(t for _, t in rows)
+    main, main_pairs = counts(t for k, t in rows if k % 4)
+    total, bins = sum(main.values()), collections.Counter()
+    for k, text in rows:
+        if k % 4 == 0:
+            own = tokens(text)
+            for h, w in zip(["\n", *own], own, strict=False):
+                pair = round(40 * math.log10(main_pairs[h, w] / main[h])) if main_pairs[h, w] else lm.NONE
+                bins[min(int(math.log2(main[h] + 1)), lm.BUCKETS - 1), pair, round(40 * math.log10(main[w] / total)) if main[w] else lm.NONE] += 1
+    weights = lm.learn_weights([dict(zip(("bucket", "pair", "word", "n"), (*b, n), strict=True)) for b, n in bins.items()], len(words))
+    for k, text in texts:
+        own, want = tokens(text), 0.0
+        for h, w in zip(["\n", *own], own, strict=False):
+            x = weights[min(int(math.log2(words[h] + 1)), lm.BUCKETS - 1)]
+            want += math.log10(x[0] * pairs[h, w] / max(1, words[h]) + x[1] * words[w] / sum(words.values()) + x[2] / (len(words) + 1) + x[3] * (words[w] == 0))
+        assert abs(got[k] - want) < 1e-6 * abs(want)
