@@ -53,3 +53,16 @@ def expand(squeezed: bytes) -> np.ndarray:
     n = int.from_bytes(squeezed[:8], "little")
     planes = pa.Codec("zstd").decompress(squeezed[8:], 4 * n, asbytes=True) if n else b""
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, n).T).view("<i4").reshape(-1)
+
+
+def squeeze_hashes(hashes: np.ndarray) -> bytes:
+    """Sorted 64-bit hashes as compressed byte planes of their differences."""
+    steps = np.diff(hashes, prepend=np.uint64(0))
+    planes = np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    return len(hashes).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(planes, asbytes=True)
+
+
+def expand_hashes(squeezed: bytes) -> np.ndarray:
+    n = int.from_bytes(squeezed[:8], "little")
+    planes = pa.Codec("zstd").decompress(squeezed[8:], 8 * n, asbytes=True) if n else b""
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, n).T).view("<u8").reshape(-1), dtype=np.uint64)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import expand, slices, squeeze, sums
+from .arrow import expand, expand_hashes, slices, squeeze, squeeze_hashes, sums
 from .common import settle
 
 BUCKETS = 32
@@ -110,19 +110,6 @@ def _pair_keys(hashes: np.ndarray, found: np.ndarray) -> np.ndarray:
     return (h * np.uint64(0x9E3779B97F4A7C15)) ^ ((w << np.uint64(29)) | (w >> np.uint64(35)))
 
 
-def _squeeze_keys(keys: np.ndarray) -> bytes:
-    """Sorted hashes as compressed byte planes of their differences."""
-    steps = np.diff(keys, prepend=np.uint64(0))
-    planes = np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
-    return len(keys).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(planes, asbytes=True)
-
-
-def _expand_keys(squeezed: bytes) -> np.ndarray:
-    n = int.from_bytes(squeezed[:8], "little")
-    planes = pa.Codec("zstd").decompress(squeezed[8:], 8 * n, asbytes=True) if n else b""
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, n).T).view("<u8").reshape(-1), dtype=np.uint64)
-
-
 def pairs_of(ranges: int):
     """Maps blocks to their distinct pairs with counts, a row for each of so many ranges of the pairs' hashes."""
 
@@ -140,7 +127,7 @@ def pairs_of(ranges: int):
                 of = ((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
                 asked, starts = np.unique(of, return_index=True)
                 cuts = [*zip(starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True)]
-                columns = [[_squeeze_keys(keys[a:b]) for a, b in cuts], *([squeeze(x[a:b]) for a, b in cuts] for x in (main, left))]
+                columns = [[squeeze_hashes(keys[a:b]) for a, b in cuts], *([squeeze(x[a:b]) for a, b in cuts] for x in (main, left))]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(asked), block)), pa.array(asked.astype(np.int32)), *(pa.array(x, pa.binary()) for x in columns)],
                     names=["block", "part", "keys", "main", "left"],
@@ -151,7 +138,7 @@ def pairs_of(ranges: int):
 
 def _added(rows: pa.Table) -> pa.Table:
     """Answers the blocks' questions about one range: m and c of each pair that a block asked for, in its order."""
-    asked = [_expand_keys(x) for x in rows["keys"].to_pylist()]
+    asked = [expand_hashes(x) for x in rows["keys"].to_pylist()]
     found, inverse = np.unique(np.concatenate(asked), return_inverse=True)
     main, left = (np.bincount(inverse, np.concatenate([expand(x) for x in rows[k].to_pylist()]), len(found)).astype(np.int64) for k in ("main", "left"))
     ends = np.cumsum([len(x) for x in asked]).tolist()

@@ -15,9 +15,11 @@ no link between different texts of a bucket is lost, and a bucket of very many c
 costs a row for each. Samples that are kept say beforehand which pairs can be similar
 (`least_agreement` of the samples).
 
-Document frequencies are counted over all documents, in 2^18 buckets of the
-shingle's hash (a table of fixed size, broadcast). Nothing that grows with the
-documents reaches the driver.
+Document frequencies are exact, by shingle: each block of documents adds up its own
+and asks for the others' by ranges of the shingles' hashes, sorted and packed; a row
+with the sums in the same order answers it. They are kept with the packed text of
+their document, for the verification. Nothing that grows with the documents reaches
+the driver.
 """
 
 from __future__ import annotations
@@ -31,60 +33,89 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import expand, slices, squeeze
+from .arrow import expand, expand_hashes, slices, squeeze, squeeze_hashes
 from .common import settle
 from .graph import components
 from .shingles import by_text, mixed, word_hashes
 
-DF_BITS = 18
 #: Most that an inverse document frequency adds to a shingle's weight of one.
 DAMPING = 0.25
+#: Bytes of text in a block, and how many shingles a range of hashes has at most, about.
+BLOCK_BYTES, RANGE = 12 << 20, 1 << 21
+#: For weights by buckets of the hash, with which exact ones are compared.
+DF_BITS = 18
+BLOCK = "block long, doc_id long, node binary, words binary, n_words long"
 
 
-def document_frequencies(texts: DataFrame, size: int) -> np.ndarray:
-    """Documents by bucket of their shingles' hashes. Each task's table is added up in a tree, 256 tables at a time."""
-    blocks, width = 4, 1 << (DF_BITS - 2)
+def blocks_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(block, doc_id, node, words, n_words): node is a 128-bit hash of the words in order; a text without words has a null node."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
         from pyspark import TaskContext
 
-        table = np.zeros(1 << DF_BITS, np.int64)
+        number, codec = TaskContext.get().partitionId() << 24, pa.Codec("zstd", 1)
         for batch in batches:
-            for part in slices(batch, 0):
-                words, bounds = word_hashes(part.column(0))
-                for found, _ in by_text(words, bounds, size):
-                    table += np.bincount((found >> np.uint64(64 - DF_BITS)).astype(np.int64), minlength=1 << DF_BITS) if len(found) > 1 << 14 else 0
-                    if len(found) <= 1 << 14:
-                        np.add.at(table, (found >> np.uint64(64 - DF_BITS)).astype(np.int64), 1)
-        number = TaskContext.get().partitionId()
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([number] * blocks, pa.int64()), pa.array(range(blocks), pa.int32()), pa.array([squeeze(np.minimum(table[b * width : (b + 1) * width], 2**31 - 1)) for b in range(blocks)], pa.binary())],
-            names=["task", "block", "counts"],
-        )
+            for part in slices(batch, 1, BLOCK_BYTES):
+                words, bounds = word_hashes(part.column(1))
+                nodes = [xxhash.xxh3_128_digest(words[a:b].tobytes()) if b > a else None for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                packed = [None if t is None else codec.compress(t.encode(), asbytes=True) + len(t.encode()).to_bytes(8, "little") for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(part.num_rows, number)), part.column(0), pa.array(nodes, pa.binary()), pa.array(packed, pa.binary()), pa.array(np.diff(bounds))],
+                    names=["block", "doc_id", "node", "words", "n_words"],
+                )
+                number += 1
+
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, BLOCK)
+
+
+def _bags(packed: list[bytes], size: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    codec = pa.Codec("zstd")
+    words, bounds = word_hashes(pa.array([_text(x, codec) for x in packed], pa.binary()).cast(pa.string()))
+    return list(by_text(words, bounds, size))
+
+
+def _asked(ranges: int, size: int):
+    """Maps the texts of a block to its distinct shingles and how many of its documents have them, a row for each range of hashes."""
 
-    def add(rows: pa.Table) -> pa.Table:
-        total = np.minimum(sum(expand(x.as_py()).astype(np.int64) for x in rows["counts"]), 2**31 - 1)
-        return pa.Table.from_arrays([rows["task"][:1], rows["block"][:1], pa.array([squeeze(total)], pa.binary())], names=["task", "block", "counts"])
+    def run(rows: pa.Table) -> pa.Table:
+        some = rows.filter(pc.is_valid(rows["node"]))
+        own = [x for low, high in _unpacked(some, some.column_names.index("words")) for x in _bags(some["words"].slice(low, high - low).to_pylist(), size)]
+        keys, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *(found for found, _ in own)]), return_counts=True)
+        of = ((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+        asked, starts = np.unique(of, return_index=True)
+        cuts = [*zip(starts.tolist(), np.append(starts, len(keys))[1:].tolist(), strict=True)]
+        block = pa.array([rows["block"][0].as_py()] * len(asked), pa.int64())
+        return pa.Table.from_arrays([block, pa.array(asked.astype(np.int32)), pa.array([squeeze_hashes(keys[a:b]) for a, b in cuts], pa.binary()), pa.array([squeeze(n[a:b]) for a, b in cuts], pa.binary())], names=["block", "part", "keys", "n"])
 
-    schema = "task long, block int, counts binary"
-    partial = texts.mapInArrow(count, schema)
-    for _ in range(2):
-        partial = partial.withColumn("task", F.floor(F.col("task") / 256).cast("long")).groupBy("task", "block").applyInArrow(add, schema)
-    partial = partial.withColumn("task", F.lit(0).cast("long")).groupBy("task", "block").applyInArrow(add, schema)
-    parts = {r["block"]: expand(bytes(r["counts"])) for r in partial.select("block", "counts").collect()}
-    return np.concatenate([parts[b] for b in range(blocks)]) if parts else np.zeros(1 << DF_BITS, np.int32)
+    return run
+
+
+def _answered(rows: pa.Table) -> pa.Table:
+    """Adds up the document frequencies of one range, and gives each block those that it asked for."""
+    asked = [expand_hashes(x) for x in rows["keys"].to_pylist()]
+    found, inverse = np.unique(np.concatenate(asked), return_inverse=True)
+    total = np.minimum(np.bincount(inverse, np.concatenate([expand(x) for x in rows["n"].to_pylist()]), len(found)), 2**31 - 1).astype(np.int64)
+    ends = np.cumsum([len(x) for x in asked]).tolist()
+    n = [squeeze(total[inverse[a:b]]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    return pa.Table.from_arrays([rows["block"], rows["part"], pa.array(n, pa.binary())], names=["block", "part", "n"])
 
 
 def idf_table(frequencies: np.ndarray, documents: int) -> np.ndarray:
-    """Weight of a shingle by bucket: 1 for one that all documents have, up to 1 + DAMPING."""
+    """Weights by document frequency: 1 for a shingle that all documents have, up to 1 + DAMPING."""
     n = max(2, documents)
     return (1 + DAMPING * np.log(n / np.clip(frequencies, 1, n)) / np.log(n)).astype(np.float32)
 
 
 def weights(found: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Weights by buckets of the hash."""
     return counts.astype(np.float32) * idf[(found >> np.uint64(64 - DF_BITS)).astype(np.int64)]
 
 
+def exact_weights(counts: np.ndarray, frequencies: np.ndarray, documents: int) -> np.ndarray:
+    return counts.astype(np.float32) * idf_table(frequencies, documents)
+
+
 class Sampler:
     """Improved consistent weighted sampling: for each sample, a shingle's r and c (gamma with shape 2) and beta (uniform) come from its hash."""
 
@@ -117,53 +148,60 @@ class Sampler:
         return out
 
 
-def sketch_table(df: DataFrame, id_col: str, text_col: str, size: int, bands: int, rows: int, idf: np.ndarray) -> DataFrame:
-    """(doc_id, node, bands, samples, words): node is a 128-bit hash of the words in order; a text without words has a null node."""
-    shared = df.sparkSession.sparkContext.broadcast(idf)
+SKETCH = "doc_id long, node binary, bands array<long>, samples binary, words binary"
+
+
+def _sketched(size: int, bands: int, rows: int, documents: int):
+    """Maps a block's texts and the document frequencies of its shingles to (doc_id, node, bands, samples, words), with the frequencies packed behind the words."""
+
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        sampler = Sampler(bands * rows)
+        parts = sorted(zip(answers["part"].to_pylist(), answers["n"].to_pylist(), strict=True))
+        frequencies = np.concatenate([np.zeros(0, np.int32), *(expand(n) for _, n in parts)])
+        usable = np.flatnonzero(texts["node"].is_valid().to_numpy())
+        some = texts.take(pa.array(usable))
+        packed = some["words"].to_pylist()
+        own = [x for low, high in _unpacked(some, some.column_names.index("words")) for x in _bags(packed[low:high], size)]
+        keys = np.unique(np.concatenate([np.zeros(0, np.uint64), *(found for found, _ in own)]))
+        samples, pending, waiting = [], [], 0
+        for i, (found, counts) in enumerate(own):
+            df = frequencies[np.searchsorted(keys, found)]
+            rest = squeeze(df)
+            packed[i] = packed[i][:-8] + rest + len(rest).to_bytes(8, "little") + packed[i][-8:]
+            pending.append((found, exact_weights(counts, df, documents)))
+            waiting += len(found)
+            if waiting > 1 << 15 or i == len(own) - 1:
+                lengths = np.array([len(f) for f, _ in pending])
+                samples.append(sampler(np.concatenate([f for f, _ in pending]), np.concatenate([w for _, w in pending]), np.cumsum(lengths) - lengths))
+                pending, waiting = [], 0
+        drawn = np.concatenate(samples) if samples else np.zeros((0, bands * rows), np.uint32)
+        banded = np.stack([mixed(_folded(drawn[:, b * rows : (b + 1) * rows]) + np.uint64(b)) for b in range(bands)], 1).view(np.int64)
+        index: list[int | None] = [None] * texts.num_rows
+        for i, at in enumerate(usable.tolist()):
+            index[at] = i
+        return pa.Table.from_arrays(
+            [
+                texts["doc_id"],
+                texts["node"],
+                pa.array([None if i is None else banded[i] for i in index], pa.list_(pa.int64())),
+                pa.array([None if i is None else drawn[i].tobytes() for i in index], pa.binary()),
+                pa.array([None if i is None else packed[i] for i in index], pa.binary()),
+            ],
+            names=["doc_id", "node", "bands", "samples", "words"],
+        )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+    return run
 
-        sampler, codec = Sampler(bands * rows), pa.Codec("zstd", 1)
-        for batch in batches:
-            for part in slices(batch, 1):
-                words, bounds = word_hashes(part.column(1))
-                nodes = [xxhash.xxh3_128_digest(words[a:b].tobytes()) if b > a else None for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                samples: list[np.ndarray] = []
-                pending: list[tuple[np.ndarray, np.ndarray]] = []
-
-                def flush(pending: list, samples: list) -> None:
-                    if pending:
-                        lengths = np.array([len(f) for f, _ in pending])
-                        samples.append(sampler(np.concatenate([f for f, _ in pending]), np.concatenate([w for _, w in pending]), np.cumsum(lengths) - lengths))
-                        pending.clear()
-
-                waiting = 0
-                for found, counts in by_text(words, bounds, size):
-                    if len(found):
-                        pending.append((found, weights(found, counts, shared.value)))
-                        waiting += len(found)
-                        if waiting > 1 << 15:
-                            flush(pending, samples)
-                            waiting = 0
-                flush(pending, samples)
-                drawn = np.concatenate(samples) if samples else np.zeros((0, bands * rows), np.uint32)
-                banded = np.stack([mixed(_folded(drawn[:, b * rows : (b + 1) * rows]) + np.uint64(b)) for b in range(bands)], 1).view(np.int64)
-                at = iter(range(len(drawn)))
-                index = [next(at) if node else None for node in nodes]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        pa.array(nodes, pa.binary()),
-                        pa.array([None if i is None else banded[i] for i in index], pa.list_(pa.int64())),
-                        pa.array([None if i is None else drawn[i].tobytes() for i in index], pa.binary()),
-                        pa.array([None if t is None else codec.compress(t.encode(), asbytes=True) + len(t.encode()).to_bytes(8, "little") for t in part.column(1).to_pylist()], pa.binary()),
-                    ],
-                    names=["doc_id", "node", "bands", "samples", "words"],
-                )
 
-    schema = "doc_id long, node binary, bands array<long>, samples binary, words binary"
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+def sketch_table(df: DataFrame, id_col: str, text_col: str, size: int, bands: int, rows: int) -> tuple[DataFrame, int]:
+    """(doc_id, node, bands, samples, words), one row per row of df, and the number of rows."""
+    blocks = settle(blocks_of(df, id_col, text_col))
+    seen = blocks.agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("words")).first()
+    ranges = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), (seen["words"] or 0) // RANGE)
+    grouped = blocks.select("block", "doc_id", "node", "words").groupBy("block")
+    asked = grouped.applyInArrow(_asked(ranges, size), "block long, part int, keys binary, n binary")
+    answers = asked.groupBy("part").applyInArrow(_answered, "block long, part int, n binary")
+    return grouped.cogroup(answers.groupBy("block")).applyInArrow(_sketched(size, bands, rows, seen["n"]), SKETCH), seen["n"]
 
 
 def _folded(samples: np.ndarray) -> np.ndarray:
@@ -181,7 +219,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return shared / union if union else 0.0
 
 
-def _unpacked(batch: pa.RecordBatch, *columns: int, most: int = 12 << 20) -> Iterator[tuple[int, int]]:
+def _unpacked(batch: pa.RecordBatch | pa.Table, *columns: int, most: int = 12 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose packed texts in the columns have at most `most` bytes together when unpacked, or of one row; repetitive texts pack very small."""
     sizes = sum(np.array([int.from_bytes(x[-8:], "little") for x in batch.column(c).to_pylist()], np.int64) for c in columns)
     low = 0
@@ -195,20 +233,24 @@ def _text(packed: bytes, codec: pa.Codec) -> bytes:
     return codec.decompress(packed[:-8], int.from_bytes(packed[-8:], "little"), asbytes=True)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, idf: np.ndarray, threshold: float) -> DataFrame:
+def _parted(packed: bytes) -> tuple[bytes, np.ndarray]:
+    """The packed text, and the document frequencies of its distinct shingles."""
+    n = int.from_bytes(packed[-16:-8], "little")
+    return packed[: -16 - n] + packed[-8:], expand(packed[-16 - n : -16])
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, size: int, documents: int, threshold: float) -> DataFrame:
     """The pairs (a, b) of nodes with `alike`, the similarity of their whole texts, where it is at least the threshold."""
-    shared = pairs.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = pa.Codec("zstd")
         for batch in batches:
             for low, high in _unpacked(batch, 2, 3):
                 part = batch.slice(low, high - low)
                 nodes = part.column(0).to_pylist()
                 first = [i for i, a in enumerate(nodes) if not i or a != nodes[i - 1]]  # rows come by a
-                texts_ = [_text(x, codec) for x in part.column(2).take(pa.array(first)).to_pylist() + part.column(3).to_pylist()]
-                words, bounds = word_hashes(pa.array(texts_, pa.binary()).cast(pa.string()))
-                bags = [(found, weights(found, n, shared.value)) for found, n in by_text(words, bounds, size)]
+                parted = [_parted(x) for x in part.column(2).take(pa.array(first)).to_pylist() + part.column(3).to_pylist()]
+                found = _bags([x for x, _ in parted], size)
+                bags = [(f, exact_weights(n, df, documents)) for (f, n), (_, df) in zip(found, parted, strict=True)]
                 of = np.searchsorted(first, np.arange(len(nodes)), "right") - 1
                 alike = pa.array([similarity(bags[of[i]], bags[len(first) + i]) for i in range(len(nodes))], pa.float64())
                 whole_part = pa.RecordBatch.from_arrays([part.column(0), part.column(1), alike], names=["a", "b", "alike"])
@@ -223,14 +265,11 @@ def _elements(texts: DataFrame, size: int) -> DataFrame:
     """(node, elements): a hash for each shingle and each time it occurs, so that sets of them compare as the bags do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = pa.Codec("zstd")
         for batch in batches:
             for low, high in _unpacked(batch, 1):
                 part = batch.slice(low, high - low)
-                raw = [_text(x, codec) for x in part.column(1).to_pylist()]
-                words, bounds = word_hashes(pa.array(raw, pa.binary()).cast(pa.string()))
                 found = []
-                for shingle, n in by_text(words, bounds, size):
+                for shingle, n in _bags([_parted(x)[0] for x in part.column(1).to_pylist()], size):
                     times = np.concatenate([np.arange(k) for k in n.tolist()]) if n.max(initial=0) > 1 else np.zeros(len(n), np.int64)
                     found.append((mixed(np.repeat(shingle, n) + times.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32).view(np.int32))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int32()))], names=["node", "elements"])
@@ -254,10 +293,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     class_id is then null and kept is false. An empty table gives no rows. Other columns
     of df are not read.
     """
-    texts = df.select(F.col(text_col).cast("string").alias("text"))
-    total = df.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    idf = idf_table(document_frequencies(texts, size), total)
-    docs = settle(sketch_table(df, id_col, text_col, size, bands, rows, idf))
+    table, total = sketch_table(df, id_col, text_col, size, bands, rows)
+    docs = settle(table)
     classes = settle(docs.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("samples").alias("samples")))
     need = math.ceil(least_agreement * bands * rows)
 
@@ -275,7 +312,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     candidates = both.where(_agreement("sa", "sb", bands * rows) >= need).select("a", "b")
     touched = popular.select("node").join(classes, "node").select("node", F.col("rep").alias("doc_id"))
     texts_of = settle(docs.select("node", "doc_id", "words").join(touched, ["node", "doc_id"]).groupBy("node").agg(F.first("words").alias("words")))
-    tested = settle(_verified(candidates, texts_of, size, idf, 0.0))
+    tested = settle(_verified(candidates, texts_of, size, total, 0.0))
     links = settle(tested.where(F.col("alike") >= threshold).select("a", "b"))
     labels = settle(components(links))
 
@@ -297,7 +334,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sizes = F.expr(f"least(size(elements_x), size(elements_y)) >= {floor} * greatest(size(elements_x), size(elements_y))")
     alike = F.expr(f"size(array_intersect(elements_x, elements_y)) * (1 + {floor}) >= {floor} * (size(elements_x) + size(elements_y)) - 1e-6")
     met = x.join(y, (F.col("a_x") == F.col("a_y")) & (F.col("comp_x") != F.col("comp_y")) & (F.col("in_main_y") | (F.col("node_x") < F.col("node_y"))) & near & sizes & (_agreement("samples_x", "samples_y", bands * rows) >= need) & alike)
-    more = _verified(settle(met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()), texts_of, size, idf, threshold).select("a", "b")
+    more = _verified(settle(met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()), texts_of, size, total, threshold).select("a", "b")
     final = settle(components(links.union(more)))
 
     of_class = classes.select("node", "rep").join(final, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))

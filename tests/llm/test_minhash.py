@@ -94,3 +94,30 @@ def test_components_of_long_chains(spark):
     got = {r["node"]: r["comp"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100, 102: 100, **dict.fromkeys(range(300, 800), 300)}
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def exact(texts, size=5):
+    """Bags by id, weighted with the true document frequency of each shingle."""
+    words, bounds = word_hashes(pa.array(list(texts.values()), pa.string()))
+    found = list(by_text(words, bounds, size))
+    df = collections.Counter(h for f, _ in found for h in f.tolist())
+    return {i: (f, minhash.exact_weights(n, np.array([df[h] for h in f.tolist()]), len(texts))) for i, (f, n) in zip(texts, found, strict=True)}
+
+
+def test_frequencies_are_those_of_each_shingle(spark):
+    # some 600,000 shingles, more than buckets of 18 bits can tell apart
+    rng = random.Random(3)
+    texts = {i: " ".join(f"w{rng.randrange(1_000_000)}" for _ in range(1500)) for i in range(400)}
+    common = " ".join(f"c{k}" for k in range(60))
+    texts |= {400 + i: f"{common} " + " ".join(f"x{i}y{k}" for k in range(40)) for i in range(200)}
+    texts[600] = texts[0] + " tail"
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    table, total = minhash.sketch_table(df, "doc_id", "text", 5, 10, 3)
+    bags = exact(texts)
+    assert total == len(texts)
+    for r in table.select("doc_id", "words").collect():
+        packed, frequencies = minhash._parted(bytes(r["words"]))
+        ((found, n),) = minhash._bags([packed], 5)
+        assert (found == bags[r["doc_id"]][0]).all() and np.allclose(minhash.exact_weights(n, frequencies, total), bags[r["doc_id"]][1])
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(df).collect()}
+    assert got == {i: 0 if i == 600 else i for i in texts}
