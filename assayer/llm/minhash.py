@@ -12,8 +12,9 @@ components, and only then are groups that still hold several components looked a
 again, with each member outside of the group's largest component against the
 members of other components, and only pairs that can still be similar come out: so
 no link between different texts of a bucket is lost, and a bucket of very many copies
-costs a row for each. Samples that are kept say beforehand which pairs can be similar
-(`least_agreement` of the samples).
+costs a row for each. Before the texts are compared, only bounds that cannot lose a
+pair tell which can be similar: the sums of the weights, the distances to the leader,
+and the bags of shingles.
 
 Document frequencies are exact, by shingle: each block of documents adds up its own
 and asks for the others' by ranges of the shingles' hashes, sorted and packed; a row
@@ -24,7 +25,6 @@ the driver.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -148,11 +148,11 @@ class Sampler:
         return out
 
 
-SKETCH = "doc_id long, node binary, bands array<long>, samples binary, words binary"
+SKETCH = "doc_id long, node binary, bands array<long>, mass double, words binary"
 
 
 def _sketched(size: int, bands: int, rows: int, documents: int):
-    """Maps a block's texts and the document frequencies of its shingles to (doc_id, node, bands, samples, words), with the frequencies packed behind the words."""
+    """Maps a block's texts and the document frequencies of its shingles to (doc_id, node, bands, mass, words), with the frequencies packed behind the words."""
 
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         sampler = Sampler(bands * rows)
@@ -163,12 +163,13 @@ def _sketched(size: int, bands: int, rows: int, documents: int):
         packed = some["words"].to_pylist()
         own = [x for low, high in _unpacked(some, some.column_names.index("words")) for x in _bags(packed[low:high], size)]
         keys = np.unique(np.concatenate([np.zeros(0, np.uint64), *(found for found, _ in own)]))
-        samples, pending, waiting = [], [], 0
+        samples, mass, pending, waiting = [], [], [], 0
         for i, (found, counts) in enumerate(own):
             df = frequencies[np.searchsorted(keys, found)]
             rest = squeeze(df)
             packed[i] = packed[i][:-8] + rest + len(rest).to_bytes(8, "little") + packed[i][-8:]
             pending.append((found, exact_weights(counts, df, documents)))
+            mass.append(float(pending[-1][1].sum(dtype=float)))
             waiting += len(found)
             if waiting > 1 << 15 or i == len(own) - 1:
                 lengths = np.array([len(f) for f, _ in pending])
@@ -184,17 +185,17 @@ def _sketched(size: int, bands: int, rows: int, documents: int):
                 texts["doc_id"],
                 texts["node"],
                 pa.array([None if i is None else banded[i] for i in index], pa.list_(pa.int64())),
-                pa.array([None if i is None else drawn[i].tobytes() for i in index], pa.binary()),
+                pa.array([None if i is None else mass[i] for i in index], pa.float64()),
                 pa.array([None if i is None else packed[i] for i in index], pa.binary()),
             ],
-            names=["doc_id", "node", "bands", "samples", "words"],
+            names=["doc_id", "node", "bands", "mass", "words"],
         )
 
     return run
 
 
 def sketch_table(df: DataFrame, id_col: str, text_col: str, size: int, bands: int, rows: int) -> tuple[DataFrame, int]:
-    """(doc_id, node, bands, samples, words), one row per row of df, and the number of rows."""
+    """(doc_id, node, bands, mass, words), one row per row of df, and the number of rows."""
     blocks = settle(blocks_of(df, id_col, text_col))
     seen = blocks.agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("words")).first()
     ranges = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), (seen["words"] or 0) // RANGE)
@@ -277,12 +278,7 @@ def _elements(texts: DataFrame, size: int) -> DataFrame:
     return texts.select("node", "words").mapInArrow(run, "node binary, elements array<int>")
 
 
-def _agreement(a: str, b: str, samples: int) -> F.Column:
-    """How many of the samples two sketches share (4 bytes each), as an expression."""
-    return F.expr(f"size(filter(sequence(0, {samples - 1}), i -> substring({a}, 4 * i + 1, 4) = substring({b}, 4 * i + 1, 4)))")
-
-
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, bands: int = 10, rows: int = 3, least_agreement: float = 0.6) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, bands: int = 10, rows: int = 3) -> DataFrame:
     """One row per row of df: doc_id, class_id (the smallest doc_id that links reach), kept (doc_id is class_id).
 
     Two rows are linked if their texts have the same words, or if the weighted Jaccard
@@ -295,8 +291,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     table, total = sketch_table(df, id_col, text_col, size, bands, rows)
     docs = settle(table)
-    classes = settle(docs.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("samples").alias("samples")))
-    need = math.ceil(least_agreement * bands * rows)
+    classes = settle(docs.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("mass").alias("mass")))
 
     # a bucket's leader is the member that shares most buckets with others: in a group of copies, one near its middle
     slots = settle(classes.select("node", F.explode("bands").alias("band")))
@@ -306,10 +301,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ranked = filled.select("band", "node").join(popular, "node")
     leaders = ranked.groupBy("band").agg(F.max_by("node", F.struct("popularity", "node")).alias("a"))
     stars = settle(filled.select("band", "node").join(leaders, "band").select("a", F.col("node").alias("b")).distinct())
-    sketches = classes.select("node", "samples")
-    with_b = stars.where("a <> b").join(sketches.select(F.col("node").alias("b"), F.col("samples").alias("sb")), "b")
-    both = with_b.join(sketches.select(F.col("node").alias("a"), F.col("samples").alias("sa")), "a")
-    candidates = both.where(_agreement("sa", "sb", bands * rows) >= need).select("a", "b")
+    masses = classes.select("node", "mass")
+    with_b = stars.where("a <> b").join(masses.select(F.col("node").alias("b"), F.col("mass").alias("mb")), "b")
+    both = with_b.join(masses.select(F.col("node").alias("a"), F.col("mass").alias("ma")), "a")
+    # the similarity is at most the smaller sum of weights by the larger
+    candidates = both.where(F.least("ma", "mb") >= (threshold - 1e-6) * F.greatest("ma", "mb")).select("a", "b")
     touched = popular.select("node").join(classes, "node").select("node", F.col("rep").alias("doc_id"))
     texts_of = settle(docs.select("node", "doc_id", "words").join(touched, ["node", "doc_id"]).groupBy("node").agg(F.first("words").alias("words")))
     tested = settle(_verified(candidates, texts_of, size, total, 0.0))
@@ -326,14 +322,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     apart = counted.groupBy("a").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1").select("a", "main")
     rest = placed.join(apart, "a")
     bags = settle(_elements(rest.select("node").distinct().join(texts_of, "node"), size))
-    rest = settle(rest.join(bags, "node").join(sketches, "node").select("a", "node", "comp", "far", "samples", "elements", (F.col("comp") == F.col("main")).alias("in_main")))
+    rest = settle(rest.join(bags, "node").select("a", "node", "comp", "far", "elements", (F.col("comp") == F.col("main")).alias("in_main")))
     floor = threshold / (threshold + (1 - threshold) * (1 + DAMPING))
-    x = rest.where("not in_main").select(*[F.col(c).alias(f"{c}_x") for c in ("a", "node", "comp", "far", "samples", "elements")])
-    y = rest.select(*[F.col(c).alias(f"{c}_y") for c in ("a", "node", "comp", "far", "samples", "elements", "in_main")])
+    x = rest.where("not in_main").select(*[F.col(c).alias(f"{c}_x") for c in ("a", "node", "comp", "far", "elements")])
+    y = rest.select(*[F.col(c).alias(f"{c}_y") for c in ("a", "node", "comp", "far", "elements", "in_main")])
     near = F.coalesce(F.abs(F.col("far_x") - F.col("far_y")) <= 1 - threshold + 1e-9, F.lit(True))
     sizes = F.expr(f"least(size(elements_x), size(elements_y)) >= {floor} * greatest(size(elements_x), size(elements_y))")
     alike = F.expr(f"size(array_intersect(elements_x, elements_y)) * (1 + {floor}) >= {floor} * (size(elements_x) + size(elements_y)) - 1e-6")
-    met = x.join(y, (F.col("a_x") == F.col("a_y")) & (F.col("comp_x") != F.col("comp_y")) & (F.col("in_main_y") | (F.col("node_x") < F.col("node_y"))) & near & sizes & (_agreement("samples_x", "samples_y", bands * rows) >= need) & alike)
+    met = x.join(y, (F.col("a_x") == F.col("a_y")) & (F.col("comp_x") != F.col("comp_y")) & (F.col("in_main_y") | (F.col("node_x") < F.col("node_y"))) & near & sizes & alike)
     more = _verified(settle(met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()), texts_of, size, total, threshold).select("a", "b")
     final = settle(components(links.union(more)))
 

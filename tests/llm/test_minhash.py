@@ -121,3 +121,24 @@ def test_frequencies_are_those_of_each_shingle(spark):
         assert (found == bags[r["doc_id"]][0]).all() and np.allclose(minhash.exact_weights(n, frequencies, total), bags[r["doc_id"]][1])
     got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(df).collect()}
     assert got == {i: 0 if i == 600 else i for i in texts}
+
+
+def test_pairs_that_share_a_band_are_verified_however_few_samples_agree(spark):
+    # similar pairs of which fewer than 18 of the 30 samples agree, though a band does
+    rng = random.Random(5)
+    texts = {}
+    for k in range(3000):
+        own = [f"w{rng.randrange(10_000_000)}" for _ in range(70)]
+        texts[2 * k], texts[2 * k + 1] = " ".join(own), " ".join(own[:63] + [f"v{k}_{j}" for j in range(7)])
+    bags = exact(texts)
+    sampler, few = minhash.Sampler(30), []
+    for k in range(3000):
+        a, b = bags[2 * k], bags[2 * k + 1]
+        drawn = sampler(np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]]), np.array([0, len(a[0])]))
+        same = drawn[0] == drawn[1]
+        if minhash.similarity(a, b) >= 0.8 and same.sum() < 18 and same.reshape(10, 3).all(1).any():
+            few.append(k)
+    assert few
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(df).collect()}
+    assert all(got[2 * k + 1] == 2 * k for k in few)
