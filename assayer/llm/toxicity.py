@@ -25,13 +25,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import slices, words_of
+from .arrow import slices, take, words_of
 from .common import settle
 
+#: White space besides the space and the line feed, at which words_of splits.
+SPACE = "\r\n|[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 LETTERS = regex.compile(r"\p{L}+(?:['’]\p{L}+)?")
 STEM_LENGTHS = (4, 5, 6)
 #: Fixed words of the grammar, in the languages of the corpus.
@@ -100,12 +103,14 @@ class Grammar:
     weights: tuple[float, ...] = (-2.0, 2.0, 0.5, -1.0, -0.5, 0.5, 0.5, 0.3)
     insult_weight: float = 3.0
 
-    def classify(self, chunk: str) -> tuple[int, float]:
-        found = LETTERS.search(chunk)
-        end = END if chunk[-1:] in ".!?;:" else OTHER
-        if not found:
-            return end, 0.0
-        word = found[0].lower()
+    def symbols(self, chunk: str) -> list[tuple[int, float]]:
+        """(class, weight) of each word of a piece between white space, in order; one for a piece without words."""
+        found = [self.classify(w.lower()) for w in LETTERS.findall(chunk)] or [(OTHER, 0.0)]
+        if chunk[-1:] in ".!?;:" and found[-1][0] == OTHER:
+            found[-1] = (END, 0.0)
+        return found
+
+    def classify(self, word: str) -> tuple[int, float]:
         weight = self.words.get(word)
         if weight is None and word in INSULTS:
             weight = self.insult_weight
@@ -124,7 +129,7 @@ class Grammar:
             return NEGATION, 0.0
         if word in REPORTS:
             return REPORT, 0.0
-        return end, 0.0
+        return OTHER, 0.0
 
     def features(self, symbols: list[list[tuple]], n_words: int) -> list[float]:
         """Scores of the matched clauses of a document."""
@@ -156,12 +161,17 @@ class Grammar:
 
 def _document_features(grammar: Grammar, texts: pa.Array) -> Iterator[list[float]]:
     """Features of each text; only clauses around an insult or a threat are looked at."""
-    chunks, at, bounds = words_of(texts)
+    chunks, at, bounds = words_of(pc.replace_substring_regex(pc.fill_null(texts, ""), SPACE, " "))
     names = chunks.to_pylist()
-    known = [grammar.classify(c) for c in names]
+    per_chunk = [grammar.symbols(c) for c in names]
+    lengths = np.array([len(x) for x in per_chunk], np.int64)
+    known = [x for own in per_chunk for x in own]
+    at, got = take(np.arange(len(known)), lengths, at)
+    bounds = np.concatenate([[0], np.cumsum(got)])[bounds]
     kinds = np.array([k for k, _ in known], np.int8)
-    ended = np.array([c[-1:] in ".!?;:" for c in names], bool)
-    filled = np.array([bool(c) for c in names], bool)
+    ended = np.zeros(len(known), bool)
+    ended[np.cumsum(lengths) - 1] = [c[-1:] in ".!?;:" for c in names]
+    filled = np.repeat(np.array([bool(c) for c in names], bool), lengths)
     codes, stops = kinds[at], ended[at]
     hot = np.flatnonzero((codes == INSULT) | (codes == THREAT))
     n_words = np.concatenate([[0], np.cumsum(filled[at])])

@@ -58,3 +58,12 @@ def test_learned_stems_and_odd_rows(spark):
     assert toxicity.accepted(df, grammar).columns == df.columns
     empty = spark.createDataFrame([], "text string, label int")
     assert toxicity.learn(empty) == toxicity.Grammar() and toxicity.score(df.limit(0), grammar, ["doc_id"]).count() == 0
+
+
+def test_every_word_is_read_whatever_separates_it():
+    plain = features("you idiot")
+    for text in ("you\tidiot", "you\u00a0idiot", "you\u3000idiot", "you\ridiot", "you\r\nidiot", "you/idiot", "you,idiot"):
+        assert features(text) == plain and plain["targeted"] > 0
+    assert features("well,idiot")["hits"] == features("well idiot")["hits"] > 0
+    assert features("you left.\r\na moron")["targeted"] == features("you left.\ra moron")["targeted"] == 0
+    assert features("not,a,moron")["negated"] > 0 and features("not,a,moron")["hits"] == 0
