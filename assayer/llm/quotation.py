@@ -1,11 +1,12 @@
 """Conversations in reply order, linked by what their messages quote.
 
 A message's lines carry quote levels (one for each > before them). Consecutive lines
-of a level are a passage; passages and their lines are normalised and hashed. So are
-the messages' own texts: whole, by line, and by run of lines. Quotes find the
-message that first wrote the passage by a join on conversation and hash; a message
-answers the one from which it quotes most at the shallowest level that is found. What
-quotes nothing that is found answers the turn before it.
+of a level are a passage; passages and their lines are normalised and hashed. So is
+each run of words of the messages' own texts that is as long as some quote in the
+conversation, so that any part of a message is found, however its lines are wrapped.
+Quotes find the message that first wrote the passage by a join on conversation and
+hash; a message answers the one from which it quotes most at the shallowest level that
+is found. What quotes nothing that is found answers the turn before it.
 
 Originals are aggregated to one row per conversation and hash before the join, so
 that a passage that very many messages hold costs a row for each quote, not a row for
@@ -18,27 +19,48 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import settle
+from .shingles import mixed
 
 QUOTED = re.compile(r"^((?:[ \t]?>)+)[ \t]?(.*)$")
 #: A line that says who wrote what is quoted below it.
 ATTRIBUTION = re.compile(r"^(?:(?:On|Am|Le|El)\b.{0,200}\b(?:wrote|schrieb|a écrit|escribió)\s*:|-{2,} ?Original Message ?-{2,}|\S.{0,80}\b(?:wrote|schrieb|a écrit|escribió)\s*:)\s*$", re.I)
-#: Lines of the longest run that is looked up, and turns in a block of a conversation.
-RUN, BLOCK = 3, 4096
+#: Turns in a block of a conversation, and parts into which the messages of one are dealt when they are told the lengths of its quotes.
+BLOCK, PARTS = 4096, 64
+#: Base of the words' polynomial hash, odd, and its inverse modulo 2^64.
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
 
 
 def normalised(text: str) -> str:
     return " ".join(re.sub(r"[^\w\s]", "", text.lower()).split())
 
 
-def _hash(text: str) -> int | None:
-    bare = normalised(text)
-    return xxhash.xxh3_64_intdigest(bare) - (1 << 63) if bare else None
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(0, n - 1), base, np.uint64)]), dtype=np.uint64)[:n]
+
+
+def runs(words: list[str], sizes: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each size, the hashes of all runs of so many words."""
+    n = len(words)
+    hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * _powers(BASE, n), dtype=np.uint64)])
+    back = _powers(INVERSE, n)
+    for size in sizes:
+        if 0 < size <= n:
+            yield size, mixed((total[size:] - total[:-size]) * back[: n - size + 1] + np.uint64(size)).view(np.int64)
+
+
+def _quote(level: int, text: str, weight: int) -> dict:
+    words = normalised(text).split()
+    ((size, found),) = runs(words, [len(words)])
+    return {"level": level, "hash": int(found[0]), "weight": weight, "size": size}
 
 
 def parse(text: str | None) -> tuple[str, list[tuple[int, str]]]:
@@ -70,7 +92,7 @@ def parse(text: str | None) -> tuple[str, list[tuple[int, str]]]:
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, levels, quotes, originals = [], [], [], []
+        texts, levels, quotes = [], [], []
         for text in batch.column(batch.num_columns - 1).to_pylist():
             own, passages = parse(text)
             texts.append(None if text is None else own)
@@ -78,21 +100,26 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = []
             for level, passage in passages:
                 lines = [x for x in passage.split("\n") if normalised(x)]
-                found.append((level, _hash(passage), 2 * len(passage)))
+                found.append(_quote(level, passage, 2 * len(passage)))
                 if len(lines) > 1:
-                    found += [(level, _hash(x), len(x)) for x in lines]
-            quotes.append([{"level": a, "hash": b, "weight": c} for a, b, c in found])
-            lines = [x for x in own.split("\n") if normalised(x)]
-            keys = {_hash(own)}
-            keys.update(_hash("\n".join(lines[i : i + n])) for n in range(1, RUN + 1) for i in range(len(lines) - n + 1))
-            originals.append(sorted(k for k in keys if k is not None))
-        struct = pa.list_(pa.struct([("level", pa.int32()), ("hash", pa.int64()), ("weight", pa.int64())]))
+                    found += [_quote(level, x, len(x)) for x in lines]
+            quotes.append(found)
+        struct = pa.list_(pa.struct([("level", pa.int32()), ("hash", pa.int64()), ("weight", pa.int64()), ("size", pa.int32())]))
         yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:-1], pa.array(texts, pa.string()), pa.array(levels, pa.int32()), pa.array(quotes, struct), pa.array(originals, pa.list_(pa.int64()))],
-            names=["conv_id", "turn", "role", "text", "levels", "quotes", "originals"],
+            [*batch.columns[:-1], pa.array(texts, pa.string()), pa.array(levels, pa.int32()), pa.array(quotes, struct)],
+            names=["conv_id", "turn", "role", "text", "levels", "quotes"],
         )
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(conv_id, turn, hash) of the distinct runs of words of each own text, of the sizes in its last column."""
+    for batch in batches:
+        for conv, turn, text, sizes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for _, found in runs(normalised(text).split(), sizes):
+                found = np.unique(found)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), conv)), pa.array(np.full(len(found), turn)), pa.array(found)], names=["conv_id", "turn", "hash"])
+
+
 def link(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row per message: conv_id, turn, role, text (without quotes), levels, n_quotes, n_linked, reply_to, quoted, thread.
 
@@ -105,11 +132,14 @@ def link(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_
     and have the same links. An empty table gives no rows. Other columns are not read.
     """
     rows = df.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
-    schema = "conv_id long, turn long, role string, text string, levels int, quotes array<struct<level:int,hash:long,weight:long>>, originals array<long>"
+    schema = "conv_id long, turn long, role string, text string, levels int, quotes array<struct<level:int,hash:long,weight:long,size:int>>"
     parsed = settle(rows.mapInArrow(_parsed, schema))
-    quotes = parsed.select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", "q.level", "q.hash", "q.weight").distinct()
+    quotes = parsed.select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", "q.level", "q.hash", "q.weight", "q.size").distinct()
     wanted = quotes.select("conv_id", "hash").distinct()
-    first = parsed.select("conv_id", "turn", F.explode("originals").alias("hash")).join(wanted, ["conv_id", "hash"], "left_semi").groupBy("conv_id", "hash").agg(F.min("turn").alias("original"))
+    sizes = quotes.groupBy("conv_id").agg(F.sort_array(F.collect_set("size")).alias("sizes")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    told = parsed.where("text is not null and conv_id is not null and turn is not null").withColumn("part", F.pmod("turn", F.lit(PARTS)).cast("int")).join(sizes, ["conv_id", "part"])
+    originals = told.select("conv_id", "turn", "text", "sizes").mapInArrow(_runs, "conv_id long, turn long, hash long")
+    first = originals.join(wanted, ["conv_id", "hash"], "left_semi").groupBy("conv_id", "hash").agg(F.min("turn").alias("original"))
     found = quotes.join(first, ["conv_id", "hash"]).where("original < turn")
     weighed = found.groupBy("conv_id", "turn", "original").agg(F.min("level").alias("level"), F.sum("weight").alias("weight"), F.count("*").alias("n"))
     best = weighed.groupBy("conv_id", "turn").agg(F.max_by("original", F.struct((-F.col("level")).alias("l"), "weight", "original")).alias("by_quote"), F.sum("n").alias("n_linked"))
@@ -128,7 +158,7 @@ def link(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_
     lasts = steps.groupBy("conv_id", "block").agg(F.max("start").alias("last"))
     carried = lasts.select("conv_id", "block", F.max("last").over(Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
     threads = steps.withColumn("own", F.max("start").over(within)).join(carried, ["conv_id", "block"]).select("conv_id", "turn", F.coalesce("own", "carried").alias("thread"))
-    marked = parsed.join(replies, ["conv_id", "turn"], "left").drop("originals")
+    marked = parsed.join(replies, ["conv_id", "turn"], "left")
     out = marked.join(threads, ["conv_id", "turn"], "left")
     return out.select(
         "conv_id", "turn", "role", "text", "levels", F.size("quotes").cast("long").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),

@@ -49,3 +49,25 @@ def test_query_keeps_every_message_after_what_it_answers(spark):
         own, _ = quotation.parse(source[r["conv_id"], r["turn"]]["text"])
         assert r["text"] == own
         assert r["reply_to"] is None or (r["reply_to"] < r["turn"] and (r["conv_id"], r["reply_to"]) in source)
+
+
+def test_any_run_of_words_is_found_whatever_its_length_and_wrapping(spark):
+    lines = [f"Line {k} speaks of topic{k}, and of matter{k} too." for k in range(8)]
+    words = " ".join(lines[1:7]).split()
+    wrapped = "\n".join("> " + " ".join(words[k : k + 5]) for k in range(0, len(words), 5))
+    rows = [
+        (1, 0, "user", "\n".join(lines)),
+        (1, 1, "assistant", "Something else.\nNot in question."),
+        (1, 2, "user", "Again.\n" + "\n".join("> " + x for x in lines[2:7])),
+        (1, 3, "assistant", wrapped + "\nYes"),
+        (1, 4, "user", "> of matter5 too\nPart of a line"),
+        (1, 5, "user", "> of matter5 speaks\nNot there"),
+        (2, 1, "user", "> of matter5 too\nAnother conversation"),
+    ]
+    df = spark.createDataFrame([(*r, "x") for r in rows], SCHEMA)
+    got = {(r["conv_id"], r["turn"]): (r["reply_to"], r["quoted"]) for r in quotation.link(df).collect()}
+    assert [got[1, t] for t in (2, 3, 4, 5)] == [(0, True), (0, True), (0, True), (4, False)] and got[2, 1] == (None, False)
+    text = [f"w{k % 7}" for k in range(40)]
+    for size, found in quotation.runs(text, [1, 3, 40, 41]):
+        names = [" ".join(text[i : i + size]) for i in range(41 - size)]
+        assert len(set(zip(names, found.tolist(), strict=True))) == len(set(names)) == len(set(found.tolist()))
