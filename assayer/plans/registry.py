@@ -383,6 +383,24 @@ def _(v: Views) -> DataFrame:
     return found.groupBy("id").agg(F.count("*").alias("n"), F.round(F.max(F.col("val").cast("double")), 2).alias("largest"))
 
 
+def byte_ngrams(v: Views) -> DataFrame:
+    """Byte n-grams of the orders 1 to 4 of whole texts, as the reference's features have them."""
+    ids = v.records.select("id", text.byte_ids(1 << 30)(F.col("input")).alias("ids"))
+    return features.ngrams(ids)
+
+
+#: The whole vocabulary and features; SQL has equivalents for pairs of bytes only (byte_ngram_df, tfidf_features).
+@query("ngram_vocabulary")
+def _(v: Views) -> DataFrame:
+    return features.vocabulary(byte_ngrams(v), v.records.count())
+
+
+@query("ngram_tfidf")
+def _(v: Views) -> DataFrame:
+    grams = byte_ngrams(v)
+    return features.tfidf(grams, features.vocabulary(grams, v.records.count()))
+
+
 @query("byte_ids", """SELECT id, len(b)::BIGINT AS n, sha256(array_to_string(b, ',')) AS sha256 FROM (SELECT id, list_transform(range(0, len(h) // 2), lambda i: ('0x' || substr(h, (2 * i + 1)::INT, 2))::INT + 1) AS b FROM (SELECT CAST(doc_id AS VARCHAR) AS id, hex(encode(text)) AS h FROM documents))""")
 def _(v: Views) -> DataFrame:
     ids = text.byte_ids(1 << 30)(F.col("input"))

@@ -1,4 +1,5 @@
 import json
+import math
 import random
 
 import pytest
@@ -210,3 +211,39 @@ def test_a_trained_linear_model_separates(spark):
     weights, biases = features.train_linear(x, df.select("id", "label"), labels, vocab.count())
     found = features.predictions(features.linear_scores(x, weights, biases))
     assert found.join(df, "id").where("predicted_label <> label").count() == 0
+
+
+def test_vocabulary_and_tfidf_of_all_orders_match_brute_force(spark):
+    rng = random.Random(7)
+    texts = {str(i): [rng.randrange(1, 5) for _ in range(rng.randrange(3, 30))] for i in range(25)}
+    tf = {i: {} for i in texts}
+    for i, ids in texts.items():
+        for n in (1, 2, 3, 4):
+            for j in range(len(ids) - n + 1):
+                key = 0
+                for x in ids[j : j + n]:
+                    key = key * 257 + x
+                tf[i][n, key] = tf[i].get((n, key), 0) + 1
+    df = {}
+    for own in tf.values():
+        for k in own:
+            df[k] = df.get(k, 0) + 1
+    kept = sorted(sorted((k for k in df if df[k] >= 2), key=lambda k: (-df[k], k))[:60])
+    assert sum(n >= 2 for n in df.values()) > 60 and len({n for n, _ in kept}) > 1
+    grams = features.ngrams(spark.createDataFrame(list(texts.items()), "id string, ids array<int>"))
+    vocab = features.vocabulary(grams, 25, most=60)
+    assert [(r["n"], r["key"], r["df"], r["col"]) for r in vocab.orderBy("col").collect()] == [(*k, df[k], c) for c, k in enumerate(kept)]
+    got = {(r["id"], r["col"]): r["val"] for r in features.tfidf(grams, vocab).collect()}
+    want = {}
+    for i, own in tf.items():
+        x = {c: (1 + math.log(own[k])) * (math.log(26 / (1 + df[k])) + 1) for c, k in enumerate(kept) if k in own}
+        norm = math.sqrt(sum(y * y for y in x.values()))
+        want |= {(i, c): y / norm for c, y in x.items()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-5 for k in want)
+
+
+def test_whole_ngram_queries_have_all_orders(spark):
+    from assayer.plans import registry
+
+    found = registry.QUERIES["ngram_vocabulary"](spark, "/root/testdata/sf0.001")
+    assert {r["n"] for r in found.select("n").distinct().collect()} == {1, 2, 3, 4}
