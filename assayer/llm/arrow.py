@@ -44,15 +44,16 @@ def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def squeeze(values: np.ndarray) -> bytes:
-    """Integers below 2^31 as compressed byte planes."""
-    planes = np.ascontiguousarray(values.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes()
-    return len(values).to_bytes(8, "little") + pa.Codec("zstd", 3).compress(planes, asbytes=True)
+    """Integers of 64 bits at most as compressed byte planes."""
+    width = 4 if not len(values) or max(values.max(), -values.min()) < 2**31 else 8
+    planes = np.ascontiguousarray(values.astype(f"<i{width}").view(np.uint8).reshape(-1, width).T).tobytes()
+    return (len(values) << 4 | width).to_bytes(8, "little") + pa.Codec("zstd", 3).compress(planes, asbytes=True)
 
 
 def expand(squeezed: bytes) -> np.ndarray:
-    n = int.from_bytes(squeezed[:8], "little")
-    planes = pa.Codec("zstd").decompress(squeezed[8:], 4 * n, asbytes=True) if n else b""
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, n).T).view("<i4").reshape(-1)
+    n, width = divmod(int.from_bytes(squeezed[:8], "little"), 16)
+    planes = pa.Codec("zstd").decompress(squeezed[8:], width * n, asbytes=True) if n else b""
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, n).T).view(f"<i{width}").reshape(-1)
 
 
 def squeeze_hashes(hashes: np.ndarray) -> bytes:

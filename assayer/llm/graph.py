@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import release, settle
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -16,7 +16,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     smallest neighbour comes from an aggregate with map-side combine and goes back by a
     join, so a node with very many neighbours is never gathered in one place. The number
     of rounds grows with the logarithm of the longest path. Loops and repeated edges do no
-    harm; an empty table gives none.
+    harm; an empty table gives none. The result is settled.
     """
     pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
     current = settle(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
@@ -28,10 +28,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
-        current = settle(small)
+        before, current = current, settle(small)
+        release(before)
         found = current.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")).first()
         if (found["n"], found["sum"]) == mark or not found["n"]:
             break
         mark = (found["n"], found["sum"])
     # a star forest now: each node other than the smallest has one edge, to the smallest
-    return current.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(current.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
+    out = settle(current.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(current.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()))
+    release(current)
+    return out

@@ -14,13 +14,15 @@ members of other components, and only pairs that can still be similar come out:
 no link between different texts of a bucket is lost, and a bucket of very many copies
 costs a row for each. Before the texts are compared, only bounds that cannot lose a
 pair tell which can be similar: the sums of the weights, the distances to the leader,
-and the bags of shingles.
+and the bags of shingles. The members of a group are dealt into parts of some
+`SHARE`, and what a group's leader brings goes to each part, so that a large group
+is spread over many tasks.
 
 Document frequencies are exact, by shingle: each block of documents adds up its own
 and asks for the others' by ranges of the shingles' hashes, sorted and packed; a row
-with the sums in the same order answers it. They are kept with the packed text of
-their document, for the verification. Nothing that grows with the documents reaches
-the driver.
+with the sums in the same order answers it. Texts are written once, in blocks, and
+only those of candidates are fetched again; every scratch table goes as soon as
+nothing reads it. Nothing that grows with the documents reaches the driver.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import expand, expand_hashes, slices, squeeze, squeeze_hashes
-from .common import settle
+from .common import release, settle, sweep
 from .graph import components
 from .shingles import by_text, mixed, word_hashes
 
@@ -42,31 +44,54 @@ from .shingles import by_text, mixed, word_hashes
 DAMPING = 0.25
 #: Bytes of text in a block, and how many shingles a range of hashes has at most, about.
 BLOCK_BYTES, RANGE = 12 << 20, 1 << 21
-#: For weights by buckets of the hash, with which exact ones are compared.
-DF_BITS = 18
-BLOCK = "block long, doc_id long, node binary, words binary, n_words long"
+#: Members of a group in a part, about.
+SHARE = 512
 
 
-def blocks_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(block, doc_id, node, words, n_words): node is a 128-bit hash of the words in order; a text without words has a null node."""
+def blocks_of(df: DataFrame, id_col: str, text_col: str, whole: bool = False) -> DataFrame:
+    """(block, row, doc_id, node, text, n_words, and rest, all columns of df, if whole).
+
+    row is the row's number; node is a 128-bit hash of the words in order, null for a
+    text without words.
+    """
+    columns = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")]
+    own = df.select(*columns, *[F.struct("*").alias("rest")] * whole)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
         from pyspark import TaskContext
 
-        number, codec = TaskContext.get().partitionId() << 24, pa.Codec("zstd", 1)
+        number = TaskContext.get().partitionId() << 36
+        block = number
         for batch in batches:
             for part in slices(batch, 1, BLOCK_BYTES):
                 words, bounds = word_hashes(part.column(1))
                 nodes = [xxhash.xxh3_128_digest(words[a:b].tobytes()) if b > a else None for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                packed = [None if t is None else codec.compress(t.encode(), asbytes=True) + len(t.encode()).to_bytes(8, "little") for t in part.column(1).to_pylist()]
+                n = part.num_rows
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(part.num_rows, number)), part.column(0), pa.array(nodes, pa.binary()), pa.array(packed, pa.binary()), pa.array(np.diff(bounds))],
-                    names=["block", "doc_id", "node", "words", "n_words"],
+                    [pa.array(np.full(n, block)), pa.array(np.arange(number, number + n)), part.column(0), pa.array(nodes, pa.binary()), *part.columns[1:2], pa.array(np.diff(bounds)), *part.columns[2:]],
+                    names=["block", "row", "doc_id", "node", "text", "n_words", *["rest"] * whole],
                 )
-                number += 1
+                number, block = number + n, block + 1
+
+    rest = f", rest {dict(own.dtypes)['rest']}" if whole else ""
+    return own.mapInArrow(run, f"block long, row long, doc_id long, node binary, text string, n_words long{rest}")
+
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, BLOCK)
+def _packed(texts: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """(block, row, doc_id, node, words) of the rows with words, or of those in only: the texts compressed, with their length behind."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", 1)
+        for batch in batches:
+            raw = [t.encode() for t in batch.column(4).to_pylist()]
+            packed = [codec.compress(t, asbytes=True) + len(t).to_bytes(8, "little") for t in raw]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(packed, pa.binary())], names=["block", "row", "doc_id", "node", "words"])
+
+    usable = texts.where("node is not null").select("block", "row", "doc_id", "node", "text")
+    if only is not None:
+        usable = usable.join(only.select("row"), "row", "left_semi").select("block", "row", "doc_id", "node", "text")
+    return usable.mapInArrow(run, "block long, row long, doc_id long, node binary, words binary")
 
 
 def _bags(packed: list[bytes], size: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -79,8 +104,7 @@ def _asked(ranges: int, size: int):
     """Maps the texts of a block to its distinct shingles and how many of its documents have them, a row for each range of hashes."""
 
     def run(rows: pa.Table) -> pa.Table:
-        some = rows.filter(pc.is_valid(rows["node"]))
-        own = [x for low, high in _unpacked(some, some.column_names.index("words")) for x in _bags(some["words"].slice(low, high - low).to_pylist(), size)]
+        own = [x for low, high in _unpacked(rows, rows.column_names.index("words")) for x in _bags(rows["words"].slice(low, high - low).to_pylist(), size)]
         keys, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *(found for found, _ in own)]), return_counts=True)
         of = ((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
         asked, starts = np.unique(of, return_index=True)
@@ -95,7 +119,7 @@ def _answered(rows: pa.Table) -> pa.Table:
     """Adds up the document frequencies of one range, and gives each block those that it asked for."""
     asked = [expand_hashes(x) for x in rows["keys"].to_pylist()]
     found, inverse = np.unique(np.concatenate(asked), return_inverse=True)
-    total = np.minimum(np.bincount(inverse, np.concatenate([expand(x) for x in rows["n"].to_pylist()]), len(found)), 2**31 - 1).astype(np.int64)
+    total = np.bincount(inverse, np.concatenate([expand(x) for x in rows["n"].to_pylist()]), len(found)).astype(np.int64)
     ends = np.cumsum([len(x) for x in asked]).tolist()
     n = [squeeze(total[inverse[a:b]]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
     return pa.Table.from_arrays([rows["block"], rows["part"], pa.array(n, pa.binary())], names=["block", "part", "n"])
@@ -107,11 +131,6 @@ def idf_table(frequencies: np.ndarray, documents: int) -> np.ndarray:
     return (1 + DAMPING * np.log(n / np.clip(frequencies, 1, n)) / np.log(n)).astype(np.float32)
 
 
-def weights(found: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Weights by buckets of the hash."""
-    return counts.astype(np.float32) * idf[(found >> np.uint64(64 - DF_BITS)).astype(np.int64)]
-
-
 def exact_weights(counts: np.ndarray, frequencies: np.ndarray, documents: int) -> np.ndarray:
     return counts.astype(np.float32) * idf_table(frequencies, documents)
 
@@ -148,26 +167,23 @@ class Sampler:
         return out
 
 
-SKETCH = "doc_id long, node binary, bands array<long>, mass double, words binary"
+SKETCH = "row long, doc_id long, node binary, bands array<long>, mass double, df binary"
 
 
 def _sketched(size: int, bands: int, rows: int, documents: int):
-    """Maps a block's texts and the document frequencies of its shingles to (doc_id, node, bands, mass, words), with the frequencies packed behind the words."""
+    """Maps a block's texts and the document frequencies of its shingles to (row, doc_id, node, bands, mass, df)."""
 
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         sampler = Sampler(bands * rows)
         parts = sorted(zip(answers["part"].to_pylist(), answers["n"].to_pylist(), strict=True))
-        frequencies = np.concatenate([np.zeros(0, np.int32), *(expand(n) for _, n in parts)])
-        usable = np.flatnonzero(texts["node"].is_valid().to_numpy())
-        some = texts.take(pa.array(usable))
-        packed = some["words"].to_pylist()
-        own = [x for low, high in _unpacked(some, some.column_names.index("words")) for x in _bags(packed[low:high], size)]
+        frequencies = np.concatenate([np.zeros(0, np.int64), *(expand(n) for _, n in parts)])
+        packed = texts["words"].to_pylist()
+        own = [x for low, high in _unpacked(texts, texts.column_names.index("words")) for x in _bags(packed[low:high], size)]
         keys = np.unique(np.concatenate([np.zeros(0, np.uint64), *(found for found, _ in own)]))
-        samples, mass, pending, waiting = [], [], [], 0
+        samples, mass, dfs, pending, waiting = [], [], [], [], 0
         for i, (found, counts) in enumerate(own):
             df = frequencies[np.searchsorted(keys, found)]
-            rest = squeeze(df)
-            packed[i] = packed[i][:-8] + rest + len(rest).to_bytes(8, "little") + packed[i][-8:]
+            dfs.append(squeeze(df))
             pending.append((found, exact_weights(counts, df, documents)))
             mass.append(float(pending[-1][1].sum(dtype=float)))
             waiting += len(found)
@@ -177,29 +193,17 @@ def _sketched(size: int, bands: int, rows: int, documents: int):
                 pending, waiting = [], 0
         drawn = np.concatenate(samples) if samples else np.zeros((0, bands * rows), np.uint32)
         banded = np.stack([mixed(_folded(drawn[:, b * rows : (b + 1) * rows]) + np.uint64(b)) for b in range(bands)], 1).view(np.int64)
-        index: list[int | None] = [None] * texts.num_rows
-        for i, at in enumerate(usable.tolist()):
-            index[at] = i
-        return pa.Table.from_arrays(
-            [
-                texts["doc_id"],
-                texts["node"],
-                pa.array([None if i is None else banded[i] for i in index], pa.list_(pa.int64())),
-                pa.array([None if i is None else mass[i] for i in index], pa.float64()),
-                pa.array([None if i is None else packed[i] for i in index], pa.binary()),
-            ],
-            names=["doc_id", "node", "bands", "mass", "words"],
-        )
+        columns = [texts["row"], texts["doc_id"], texts["node"], pa.array(list(banded), pa.list_(pa.int64())), pa.array(mass, pa.float64()), pa.array(dfs, pa.binary())]
+        return pa.Table.from_arrays(columns, names=["row", "doc_id", "node", "bands", "mass", "df"])
 
     return run
 
 
-def sketch_table(df: DataFrame, id_col: str, text_col: str, size: int, bands: int, rows: int) -> tuple[DataFrame, int]:
-    """(doc_id, node, bands, mass, words), one row per row of df, and the number of rows."""
-    blocks = settle(blocks_of(df, id_col, text_col))
+def sketch_table(blocks: DataFrame, size: int, bands: int, rows: int) -> tuple[DataFrame, int]:
+    """(row, doc_id, node, bands, mass, df) of each row with words, and the number of all rows; df are the document frequencies of its distinct shingles, packed."""
     seen = blocks.agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("words")).first()
-    ranges = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), (seen["words"] or 0) // RANGE)
-    grouped = blocks.select("block", "doc_id", "node", "words").groupBy("block")
+    ranges = max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), (seen["words"] or 0) // RANGE)
+    grouped = _packed(blocks).groupBy("block")
     asked = grouped.applyInArrow(_asked(ranges, size), "block long, part int, keys binary, n binary")
     answers = asked.groupBy("part").applyInArrow(_answered, "block long, part int, n binary")
     return grouped.cogroup(answers.groupBy("block")).applyInArrow(_sketched(size, bands, rows, seen["n"]), SKETCH), seen["n"]
@@ -234,32 +238,39 @@ def _text(packed: bytes, codec: pa.Codec) -> bytes:
     return codec.decompress(packed[:-8], int.from_bytes(packed[-8:], "little"), asbytes=True)
 
 
-def _parted(packed: bytes) -> tuple[bytes, np.ndarray]:
-    """The packed text, and the document frequencies of its distinct shingles."""
-    n = int.from_bytes(packed[-16:-8], "little")
-    return packed[: -16 - n] + packed[-8:], expand(packed[-16 - n : -16])
+def _dealt(pairs: DataFrame, leader: str, other: str) -> tuple[DataFrame, DataFrame]:
+    """The pairs with the `part` of their leader that they fall to, and (leader, part) for all parts of each leader."""
+    sizes = pairs.groupBy(leader).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(SHARE))).cast("int").alias("parts"))
+    every = sizes.select(leader, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    most = sizes.where("parts > 1")
+    # few leaders have more than one part, so what is joined here is small
+    dealt = pairs.join(most, leader, "left").withColumn("part", F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    return dealt, every
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, documents: int, threshold: float) -> DataFrame:
-    """The pairs (a, b) of nodes with `alike`, the similarity of their whole texts, where it is at least the threshold."""
+    """The pairs (a, part, b) of nodes with `alike`, the similarity of their whole texts, where it is at least the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, high in _unpacked(batch, 2, 3):
+            for low, high in _unpacked(batch, 3, 4):
                 part = batch.slice(low, high - low)
                 nodes = part.column(0).to_pylist()
                 first = [i for i, a in enumerate(nodes) if not i or a != nodes[i - 1]]  # rows come by a
-                parted = [_parted(x) for x in part.column(2).take(pa.array(first)).to_pylist() + part.column(3).to_pylist()]
-                found = _bags([x for x, _ in parted], size)
-                bags = [(f, exact_weights(n, df, documents)) for (f, n), (_, df) in zip(found, parted, strict=True)]
+                packed = part.column(3).take(pa.array(first)).to_pylist() + part.column(4).to_pylist()
+                dfs = part.column(5).take(pa.array(first)).to_pylist() + part.column(6).to_pylist()
+                bags = [(f, exact_weights(n, expand(df), documents)) for (f, n), df in zip(_bags(packed, size), dfs, strict=True)]
                 of = np.searchsorted(first, np.arange(len(nodes)), "right") - 1
                 alike = pa.array([similarity(bags[of[i]], bags[len(first) + i]) for i in range(len(nodes))], pa.float64())
-                whole_part = pa.RecordBatch.from_arrays([part.column(0), part.column(1), alike], names=["a", "b", "alike"])
+                whole_part = pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), alike], names=["a", "part", "b", "alike"])
                 yield whole_part.filter(pc.greater_equal(alike, threshold))
 
-    second = pairs.join(texts.select(F.col("node").alias("b"), F.col("words").alias("words_b")), "b")
-    both = second.join(texts.select(F.col("node").alias("a"), F.col("words").alias("words_a")), "a")
-    return both.select("a", "b", "words_a", "words_b").mapInArrow(run, "a binary, b binary, alike double")
+    def of(name: str) -> DataFrame:
+        return texts.select(F.col("node").alias(name), F.col("words").alias(f"words_{name}"), F.col("df").alias(f"df_{name}"))
+
+    leaders = pairs.select("a", "part").distinct().join(of("a"), "a")
+    both = pairs.join(of("b"), "b").join(leaders, ["a", "part"])
+    return both.select("a", "part", "b", "words_a", "words_b", "df_a", "df_b").mapInArrow(run, "a binary, part int, b binary, alike double")
 
 
 def _elements(texts: DataFrame, size: int) -> DataFrame:
@@ -270,7 +281,7 @@ def _elements(texts: DataFrame, size: int) -> DataFrame:
             for low, high in _unpacked(batch, 1):
                 part = batch.slice(low, high - low)
                 found = []
-                for shingle, n in _bags([_parted(x)[0] for x in part.column(1).to_pylist()], size):
+                for shingle, n in _bags(part.column(1).to_pylist(), size):
                     times = np.concatenate([np.arange(k) for k in n.tolist()]) if n.max(initial=0) > 1 else np.zeros(len(n), np.int64)
                     found.append((mixed(np.repeat(shingle, n) + times.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32).view(np.int32))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int32()))], names=["node", "elements"])
@@ -278,80 +289,114 @@ def _elements(texts: DataFrame, size: int) -> DataFrame:
     return texts.select("node", "words").mapInArrow(run, "node binary, elements array<int>")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, bands: int = 10, rows: int = 3) -> DataFrame:
-    """One row per row of df: doc_id, class_id (the smallest doc_id that links reach), kept (doc_id is class_id).
-
-    Two rows are linked if their texts have the same words, or if the weighted Jaccard
-    similarity of their shingles is at least `threshold`. A text of fewer than `size`
-    words is one shingle. A null or empty text, or one without letters and digits, links
-    with nothing. Repeated rows have the same class and are all `kept` if their id is
-    the class's. A null id is never the smallest unless its class has no other; its
-    class_id is then null and kept is false. An empty table gives no rows. Other columns
-    of df are not read.
-    """
-    table, total = sketch_table(df, id_col, text_col, size, bands, rows)
+def _classes(blocks: DataFrame, size: int, threshold: float, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """(row, doc_id, node) of each row with words, and (node, comp) of each node with links: comp is the smallest node that they reach. Both are settled."""
+    spark = blocks.sparkSession
+    table, total = sketch_table(blocks, size, bands, rows)
     docs = settle(table)
-    classes = settle(docs.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("mass").alias("mass")))
+    sweep(spark)
+    # of each class, the row with the smallest number stands for all
+    classes = settle(docs.join(docs.groupBy("node").agg(F.min("row").alias("row")).select("row"), "row", "left_semi"))
 
     # a bucket's leader is the member that shares most buckets with others: in a group of copies, one near its middle
-    slots = settle(classes.select("node", F.explode("bands").alias("band")))
-    shared = slots.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    filled = settle(slots.join(shared, "band"))
+    slots = classes.select("node", F.explode("bands").alias("band"))
+    filled = settle(slots.join(slots.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "band"))
     popular = filled.groupBy("node").agg(F.sum("n").alias("popularity"))
     ranked = filled.select("band", "node").join(popular, "node")
     leaders = ranked.groupBy("band").agg(F.max_by("node", F.struct("popularity", "node")).alias("a"))
-    stars = settle(filled.select("band", "node").join(leaders, "band").select("a", F.col("node").alias("b")).distinct())
+    stars = filled.select("band", "node").join(leaders, "band").select("a", F.col("node").alias("b")).distinct()
+    dealt, _ = _dealt(settled := settle(stars), "a", "b")
+    stars = settle(dealt)
+    release(settled)
     masses = classes.select("node", "mass")
     with_b = stars.where("a <> b").join(masses.select(F.col("node").alias("b"), F.col("mass").alias("mb")), "b")
-    both = with_b.join(masses.select(F.col("node").alias("a"), F.col("mass").alias("ma")), "a")
+    with_a = stars.select("a", "part").distinct().join(masses.select(F.col("node").alias("a"), F.col("mass").alias("ma")), "a")
     # the similarity is at most the smaller sum of weights by the larger
-    candidates = both.where(F.least("ma", "mb") >= (threshold - 1e-6) * F.greatest("ma", "mb")).select("a", "b")
-    touched = popular.select("node").join(classes, "node").select("node", F.col("rep").alias("doc_id"))
-    texts_of = settle(docs.select("node", "doc_id", "words").join(touched, ["node", "doc_id"]).groupBy("node").agg(F.first("words").alias("words")))
+    candidates = with_b.join(with_a, ["a", "part"]).where(F.least("ma", "mb") >= (threshold - 1e-6) * F.greatest("ma", "mb")).select("a", "part", "b")
+    touched = filled.select("node").distinct().join(classes, "node").select("row", "node", "df")
+    texts_of = settle(_packed(blocks, touched).select("row", "words").join(touched, "row").select("node", "words", "df"))
+    named = settle(docs.select("row", "doc_id", "node"))
+    release(docs, filled)
     tested = settle(_verified(candidates, texts_of, size, total, 0.0))
+    sweep(spark)
     links = settle(tested.where(F.col("alike") >= threshold).select("a", "b"))
-    labels = settle(components(links))
+    labels = components(links)
 
     # then, in the groups of a leader that these links leave apart, each member outside of the largest component against
     # the members of others. One minus the similarity is a metric: a pair whose distances to the leader differ by more
     # than 1 - threshold cannot be similar. Nor can one whose bags of shingles, whose weights differ by a factor of at
-    # most 1 + DAMPING, are less alike than `floor`. The join gives only what passes both.
-    placed = stars.join(tested, ["a", "b"], "left").join(labels.select(F.col("node").alias("b"), "comp"), "b", "left")
-    placed = settle(placed.select("a", F.col("b").alias("node"), F.coalesce("comp", "b").alias("comp"), F.when(F.col("a") == F.col("b"), 0.0).otherwise(1 - F.col("alike")).alias("far")))
+    # most 1 + DAMPING, are less alike than `floor`. The join gives only what passes both. Members are dealt into parts
+    # on both sides, so that a task has some SHARE members against as many.
+    placed = stars.join(tested.drop("part"), ["a", "b"], "left").join(labels.select(F.col("node").alias("b"), "comp"), "b", "left")
+    placed = settle(placed.select("a", "part", F.col("b").alias("node"), F.coalesce("comp", "b").alias("comp"), F.when(F.col("a") == F.col("b"), 0.0).otherwise(1 - F.col("alike")).alias("far")))
+    release(tested, classes)
     counted = placed.groupBy("a", "comp").agg(F.count("*").alias("n"))
-    apart = counted.groupBy("a").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1").select("a", "main")
-    rest = placed.join(apart, "a")
+    apart = settle(counted.groupBy("a").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1").select("a", "main"))
+    parts = stars.select("a", "part").distinct()
+    rest = placed.join(apart.join(parts, "a"), ["a", "part"])
     bags = settle(_elements(rest.select("node").distinct().join(texts_of, "node"), size))
-    rest = settle(rest.join(bags, "node").select("a", "node", "comp", "far", "elements", (F.col("comp") == F.col("main")).alias("in_main")))
+    rest = settle(rest.join(bags, "node").select("a", "part", "node", "comp", "far", "elements", (F.col("comp") == F.col("main")).alias("in_main")))
     floor = threshold / (threshold + (1 - threshold) * (1 + DAMPING))
-    x = rest.where("not in_main").select(*[F.col(c).alias(f"{c}_x") for c in ("a", "node", "comp", "far", "elements")])
-    y = rest.select(*[F.col(c).alias(f"{c}_y") for c in ("a", "node", "comp", "far", "elements", "in_main")])
+    other_y = parts.select(F.col("a").alias("a_x"), F.col("part").alias("with_y"))
+    other_x = parts.select(F.col("a").alias("a_y"), F.col("part").alias("with_x"))
+    columns = ("a", "part", "node", "comp", "far", "elements")
+    x = rest.where("not in_main").select(*[F.col(c).alias(f"{c}_x") for c in columns]).join(other_y, "a_x")
+    y = rest.select(*[F.col(c).alias(f"{c}_y") for c in (*columns, "in_main")]).join(other_x, "a_y")
     near = F.coalesce(F.abs(F.col("far_x") - F.col("far_y")) <= 1 - threshold + 1e-9, F.lit(True))
     sizes = F.expr(f"least(size(elements_x), size(elements_y)) >= {floor} * greatest(size(elements_x), size(elements_y))")
     alike = F.expr(f"size(array_intersect(elements_x, elements_y)) * (1 + {floor}) >= {floor} * (size(elements_x) + size(elements_y)) - 1e-6")
-    met = x.join(y, (F.col("a_x") == F.col("a_y")) & (F.col("comp_x") != F.col("comp_y")) & (F.col("in_main_y") | (F.col("node_x") < F.col("node_y"))) & near & sizes & alike)
-    more = _verified(settle(met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()), texts_of, size, total, threshold).select("a", "b")
-    final = settle(components(links.union(more)))
-
-    of_class = classes.select("node", "rep").join(final, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
-    smallest = of_class.groupBy("comp").agg(F.min("rep").alias("class_id"))
-    named = of_class.join(smallest, "comp").select("node", "class_id")
-    out = docs.select("doc_id", "node").join(named, "node", "left")
-    class_id = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
-    return out.select("doc_id", class_id.alias("class_id"), F.coalesce(F.col("doc_id") == class_id, F.lit(False)).alias("kept"))
+    here = (F.col("a_x") == F.col("a_y")) & (F.col("part_x") == F.col("with_x")) & (F.col("with_y") == F.col("part_y"))
+    met = x.join(y, here & (F.col("comp_x") != F.col("comp_y")) & (F.col("in_main_y") | (F.col("node_x") < F.col("node_y"))) & near & sizes & alike)
+    again = met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
+    dealt, _ = _dealt(found := settle(again), "a", "b")
+    more = settle(_verified(dealt, texts_of, size, total, threshold).select("a", "b"))
+    release(rest, bags, texts_of, placed, apart, stars, found)
+    sweep(spark)
+
+    # the components of the first links, joined by what came later
+    of = labels.select("node", "comp")
+    ends = more.join(of.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left").join(of.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left")
+    joined = components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    last = settle(of.join(joined.select(F.col("node").alias("comp"), F.col("comp").alias("last")), "comp", "left").select("node", F.coalesce("last", "comp").alias("comp")).union(joined.join(of.select("node"), "node", "left_anti")))
+    release(labels, links, more, joined)
+    sweep(spark)
+    return named, last
 
 
-def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
-    """The rows of df, with all their columns, of which one of each class of near-duplicates stays: the one with the smallest id.
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, bands: int = 10, rows: int = 3) -> DataFrame:
+    """One row per row of df: doc_id, class_id (the smallest doc_id that links reach), kept (doc_id is class_id).
 
-    A row that is repeated, id and all, stays once. A row without an id is in no pair
-    that can be named and stays.
+    Two rows are linked if their texts have the same words, or if the weighted Jaccard
+    similarity of their shingles is at least `threshold`. A text of fewer than `size`
+    words is one shingle; a very long text is compared whole. A null or empty text, or
+    one without letters and digits, links with nothing. Repeated rows have the same class
+    and are all `kept` if their id is the class's. A null id is never the smallest unless
+    its class has no other; its class_id is then null and kept is false. An empty table
+    gives no rows. Other columns of df are not read.
     """
-    classes = settle(near_duplicates(df, id_col, text_col, **parameters))
-    gone = classes.where("not kept and doc_id is not null").select(F.col("doc_id").alias(id_col)).distinct()
-    out = df.join(gone, id_col, "left_anti").select(*df.columns)
-    repeated = classes.where("kept").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    if repeated.isEmpty():
-        return out
-    again = F.col(id_col).isNotNull()
-    return out.where(again).dropDuplicates([id_col]).unionByName(out.where(~again))
+    blocks = settle(blocks_of(df, id_col, text_col))
+    named, comps = _classes(blocks, size, threshold, bands, rows)
+    classes = named.groupBy("node").agg(F.min("doc_id").alias("rep")).join(comps, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
+    smallest = classes.groupBy("comp").agg(F.min("rep").alias("class_id"))
+    found = named.join(classes.join(smallest, "comp").select("node", "class_id"), "node").select("doc_id", "class_id")
+    every = found.union(blocks.where("node is null").select("doc_id", F.col("doc_id").alias("class_id")))
+    done = settle(every.select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)).alias("kept")))
+    release(blocks, named, comps)
+    return done
+
+
+def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, bands: int = 10, rows: int = 3) -> DataFrame:
+    """The rows of df, with all their columns, of which one of each class of near-duplicates stays.
+
+    That is the row with the smallest id, a null one last; of several such rows, any
+    one. Rows are told apart by their place, not by their ids: rows of one id with
+    different texts are different rows. Rows whose text is null or has no words stay. An
+    empty table gives no rows.
+    """
+    blocks = settle(blocks_of(df, id_col, text_col, whole=True))
+    named, comps = _classes(blocks, size, threshold, bands, rows)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    best = named.groupBy("node").agg(first).join(comps, "node", "left").groupBy(F.coalesce("comp", "node")).agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
+    gone = settle(named.select("row").join(best, "row", "left_anti"))
+    release(named, comps)
+    return blocks.join(gone, "row", "left_anti").select("rest.*").select(*df.columns)

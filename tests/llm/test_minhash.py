@@ -4,22 +4,21 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from assayer.llm import graph, minhash, queries
+from assayer.llm import arrow, graph, minhash, queries
+from assayer.llm.common import settle, shared_dir
 from assayer.llm.shingles import by_text, word_hashes
 
 SF = "/root/testdata/sf0.01"
 
 
 def brute(texts, size=5, threshold=0.8):
-    """Smallest id that links reach, by all pairs that share a shingle, with exact document frequencies in the same buckets."""
+    """Smallest id that links reach, by all pairs that share a shingle; document frequencies are counted here."""
     ids = sorted(texts)
     words, bounds = word_hashes(pa.array([texts[i] for i in ids], pa.string()))
     found = list(by_text(words, bounds, size))
-    table = np.zeros(1 << minhash.DF_BITS, np.int64)
-    for f, _ in found:
-        np.add.at(table, (f >> np.uint64(64 - minhash.DF_BITS)).astype(np.int64), 1)
-    idf = minhash.idf_table(table, len(ids))
-    bags = {i: (f, minhash.weights(f, n, idf)) for i, (f, n) in zip(ids, found, strict=True)}
+    df = collections.Counter(h for f, _ in found for h in f.tolist())
+    n = max(2, len(ids))
+    bags = {i: (f, times * np.array([1 + 0.25 * np.log(n / df[h]) / np.log(n) for h in f.tolist()])) for i, (f, times) in zip(ids, found, strict=True)}
     holders = collections.defaultdict(list)
     for i in ids:
         for s in bags[i][0].tolist():
@@ -84,8 +83,28 @@ def test_odd_rows(spark):
     assert got == [(False, 1, 1, True), (False, 2, 2, True), (False, 3, 3, True), (False, 4, 4, True), (False, 5, 5, True), (False, 6, 5, False), (False, 7, 7, True), (False, 7, 7, True), (False, 9, 4, False), (True, 0, 0, False), (True, 0, 7, False)]
     kept = minhash.deduplicated(df)
     assert kept.columns == df.columns
-    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 0, 1, 2, 3, 4, 5, 7]
-    assert minhash.near_duplicates(df.limit(0)).count() == 0
+    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 7]
+    assert minhash.near_duplicates(df.limit(0)).count() == 0 and minhash.deduplicated(df.limit(0)).count() == 0
+
+
+def test_one_id_over_different_texts_and_classes_without_ids(spark):
+    x, y, z = ("one two three four five six", "alpha beta gamma delta epsilon zeta", "only rows without an id hold this text")
+    df = spark.createDataFrame([(1, x, "a"), (2, y, "b"), (1, y, "c"), (1, x, "d"), (3, x, "e"), (None, z, "f"), (None, z, "g")], "doc_id long, text string, row string")
+    kept = minhash.deduplicated(df).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == sorted([(1, x), (1, y), (0, z)])
+    long = [f"w{k}" for k in range(200)]
+    near = spark.createDataFrame([(None, " ".join(long)), (7, " ".join(long[:199])), (5, " ".join(long[1:]))], "doc_id long, text string")
+    assert sorted((r["doc_id"] or 0, r["class_id"]) for r in minhash.near_duplicates(near).collect()) == [(0, 5), (5, 5), (7, 5)]
+
+
+def test_scratch_tables_go(spark):
+    import os
+
+    folder = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    df = spark.createDataFrame([(i, f"text number {i % 5} of a few words") for i in range(20)], "doc_id long, text string")
+    assert minhash.near_duplicates(df).count() == 20
+    assert len(set(os.listdir(folder)) - before) == 1
 
 
 def test_components_of_long_chains(spark):
@@ -112,13 +131,12 @@ def test_frequencies_are_those_of_each_shingle(spark):
     texts |= {400 + i: f"{common} " + " ".join(f"x{i}y{k}" for k in range(40)) for i in range(200)}
     texts[600] = texts[0] + " tail"
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
-    table, total = minhash.sketch_table(df, "doc_id", "text", 5, 10, 3)
+    table, total = minhash.sketch_table(settle(minhash.blocks_of(df, "doc_id", "text")), 5, 10, 3)
     bags = exact(texts)
     assert total == len(texts)
-    for r in table.select("doc_id", "words").collect():
-        packed, frequencies = minhash._parted(bytes(r["words"]))
-        ((found, n),) = minhash._bags([packed], 5)
-        assert (found == bags[r["doc_id"]][0]).all() and np.allclose(minhash.exact_weights(n, frequencies, total), bags[r["doc_id"]][1])
+    for r in table.select("doc_id", "df").collect():
+        ((found, n),) = by_text(*word_hashes(pa.array([texts[r["doc_id"]]])), 5)
+        assert (found == bags[r["doc_id"]][0]).all() and np.allclose(minhash.exact_weights(n, arrow.expand(bytes(r["df"])), total), bags[r["doc_id"]][1])
     got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(df).collect()}
     assert got == {i: 0 if i == 600 else i for i in texts}
 
