@@ -10,19 +10,17 @@ Exact copies (the same words in the same order) are one class from the start. In
 band, a class is paired with its bucket's leader only. Verified pairs give
 components, and only then are groups that still hold several components looked at
 again, with each member outside of the group's largest component against the
-members of other components, and only pairs that can still be similar come out: so
-no link between different texts of a bucket is lost, and a bucket of very many copies
-costs a row for each. Before the texts are compared, only bounds that cannot lose a
-pair tell which can be similar: the sums of the weights, the distances to the leader,
-and the bags of shingles. The members of a group are dealt into parts of some
-`SHARE`, and what a group's leader brings goes to each part, so that a large group
-is spread over many tasks.
+members of other components. The members are dealt into parts of a bounded size, a
+part meets a part in a task of its own, and what comes out is a link for each two
+components that it joins: so no link between different texts of a bucket is lost, a
+bucket of very many copies costs a row for each, and no list of pairs is made.
 
 Document frequencies are exact, by shingle: each block of documents adds up its own
 and asks for the others' by ranges of the shingles' hashes, sorted and packed; a row
-with the sums in the same order answers it. Texts are written once, in blocks, and
-only those of candidates are fetched again; every scratch table goes as soon as
-nothing reads it. Nothing that grows with the documents reaches the driver.
+with the sums in the same order answers it. Documents are written once, in blocks
+that hold their words as numbers, too, and only candidates' texts are fetched again;
+every scratch table goes as soon as nothing reads it. Nothing that grows with the
+documents reaches the driver.
 """
 
 from __future__ import annotations
@@ -38,21 +36,23 @@ from pyspark.sql import functions as F
 from .arrow import expand, expand_hashes, slices, squeeze, squeeze_hashes
 from .common import release, settle, sweep
 from .graph import components
-from .shingles import by_text, mixed, word_hashes
+from .shingles import by_text, mixed, word_codes, word_hashes
 
 #: Most that an inverse document frequency adds to a shingle's weight of one.
 DAMPING = 0.25
 #: Bytes of text in a block, and how many shingles a range of hashes has at most, about.
 BLOCK_BYTES, RANGE = 12 << 20, 1 << 21
-#: Members of a group in a part, about.
-SHARE = 512
+#: Bits of a row's number for its place in its block.
+PLACE = 20
+#: Pairs of a leader, and weight of a group's members, in a part, about.
+SHARE, PART = 512, 1 << 20
 
 
 def blocks_of(df: DataFrame, id_col: str, text_col: str, whole: bool = False) -> DataFrame:
-    """(block, row, doc_id, node, text, n_words, and rest, all columns of df, if whole).
+    """One row per block of documents: block, and arrays of doc_id, node, n (words), text, and rest (all columns of df) if whole.
 
-    row is the row's number; node is a 128-bit hash of the words in order, null for a
-    text without words.
+    at holds which word stands where, as places in hashes. A node is a 128-bit hash of
+    the words in order, null for a text without words.
     """
     columns = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")]
     own = df.select(*columns, *[F.struct("*").alias("rest")] * whole)
@@ -61,37 +61,36 @@ def blocks_of(df: DataFrame, id_col: str, text_col: str, whole: bool = False) ->
         import xxhash
         from pyspark import TaskContext
 
-        number = TaskContext.get().partitionId() << 36
-        block = number
+        block = TaskContext.get().partitionId() << 16
         for batch in batches:
             for part in slices(batch, 1, BLOCK_BYTES):
-                words, bounds = word_hashes(part.column(1))
+                hashes, codes, bounds = word_codes(part.column(1))
+                words = hashes[codes]
                 nodes = [xxhash.xxh3_128_digest(words[a:b].tobytes()) if b > a else None for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                n = part.num_rows
+                lists = [part.column(0), pa.array(nodes, pa.binary()), pa.array(np.diff(bounds).astype(np.int32)), part.column(1), *part.columns[2:]]
+                one = pa.array([0, part.num_rows], pa.int32())
+                packed = [pa.array([squeeze(codes)], pa.binary()), pa.array([hashes.astype("<u8").tobytes()], pa.binary())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, block)), pa.array(np.arange(number, number + n)), part.column(0), pa.array(nodes, pa.binary()), *part.columns[1:2], pa.array(np.diff(bounds)), *part.columns[2:]],
-                    names=["block", "row", "doc_id", "node", "text", "n_words", *["rest"] * whole],
+                    [pa.array([block], pa.int64()), *packed, *(pa.ListArray.from_arrays(one, x) for x in lists)],
+                    names=["block", "at", "hashes", "doc_id", "node", "n", "text", *["rest"] * whole],
                 )
-                number, block = number + n, block + 1
+                block += 1
 
-    rest = f", rest {dict(own.dtypes)['rest']}" if whole else ""
-    return own.mapInArrow(run, f"block long, row long, doc_id long, node binary, text string, n_words long{rest}")
+    rest = f", rest array<{dict(own.dtypes)['rest']}>" if whole else ""
+    return own.mapInArrow(run, f"block long, at binary, hashes binary, doc_id array<long>, node array<binary>, n array<int>, text array<string>{rest}")
 
 
-def _packed(texts: DataFrame, only: DataFrame | None = None) -> DataFrame:
-    """(block, row, doc_id, node, words) of the rows with words, or of those in only: the texts compressed, with their length behind."""
+def rows_of(blocks: DataFrame, *columns: str) -> DataFrame:
+    """(row, ...): a row for each document, with those of its block's lists; row is its number."""
+    zipped = blocks.select("block", F.posexplode(F.arrays_zip(*columns)).alias("place", "x"))
+    return zipped.select((F.shiftleft("block", PLACE) + F.col("place")).alias("row"), *[F.col("x")[c].alias(c) for c in columns])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = pa.Codec("zstd", 1)
-        for batch in batches:
-            raw = [t.encode() for t in batch.column(4).to_pylist()]
-            packed = [codec.compress(t, asbytes=True) + len(t).to_bytes(8, "little") for t in raw]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(packed, pa.binary())], names=["block", "row", "doc_id", "node", "words"])
 
-    usable = texts.where("node is not null").select("block", "row", "doc_id", "node", "text")
-    if only is not None:
-        usable = usable.join(only.select("row"), "row", "left_semi").select("block", "row", "doc_id", "node", "text")
-    return usable.mapInArrow(run, "block long, row long, doc_id long, node binary, words binary")
+def _own_bags(n: list[int], at: bytes, hashes: bytes, size: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Shingles and counts of the texts of a block that have words."""
+    words = np.frombuffer(hashes, "<u8")[expand(at)]
+    bounds = np.concatenate([[0], np.cumsum([x for x in n if x])]).astype(np.int64)
+    return list(by_text(words, bounds, size))
 
 
 def _bags(packed: list[bytes], size: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -101,16 +100,17 @@ def _bags(packed: list[bytes], size: int) -> list[tuple[np.ndarray, np.ndarray]]
 
 
 def _asked(ranges: int, size: int):
-    """Maps the texts of a block to its distinct shingles and how many of its documents have them, a row for each range of hashes."""
+    """Maps blocks to their distinct shingles and how many of their documents have them, a row for each range of hashes."""
 
-    def run(rows: pa.Table) -> pa.Table:
-        own = [x for low, high in _unpacked(rows, rows.column_names.index("words")) for x in _bags(rows["words"].slice(low, high - low).to_pylist(), size)]
-        keys, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *(found for found, _ in own)]), return_counts=True)
-        of = ((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
-        asked, starts = np.unique(of, return_index=True)
-        cuts = [*zip(starts.tolist(), np.append(starts, len(keys))[1:].tolist(), strict=True)]
-        block = pa.array([rows["block"][0].as_py()] * len(asked), pa.int64())
-        return pa.Table.from_arrays([block, pa.array(asked.astype(np.int32)), pa.array([squeeze_hashes(keys[a:b]) for a, b in cuts], pa.binary()), pa.array([squeeze(n[a:b]) for a, b in cuts], pa.binary())], names=["block", "part", "keys", "n"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, *words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                keys, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *(found for found, _ in _own_bags(*words, size))]), return_counts=True)
+                of = ((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+                asked, starts = np.unique(of, return_index=True)
+                cuts = [*zip(starts.tolist(), np.append(starts, len(keys))[1:].tolist(), strict=True)]
+                packed = [pa.array([squeeze_hashes(keys[a:b]) for a, b in cuts], pa.binary()), pa.array([squeeze(n[a:b]) for a, b in cuts], pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(asked), block)), pa.array(asked.astype(np.int32)), *packed], names=["block", "part", "keys", "n"])
 
     return run
 
@@ -171,18 +171,23 @@ SKETCH = "row long, doc_id long, node binary, bands array<long>, mass double, df
 
 
 def _sketched(size: int, bands: int, rows: int, documents: int):
-    """Maps a block's texts and the document frequencies of its shingles to (row, doc_id, node, bands, mass, df)."""
+    """Maps a block and the document frequencies of its shingles to (row, doc_id, node, bands, mass, df)."""
 
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         sampler = Sampler(bands * rows)
+        block, doc_ids, nodes, n, *words = (texts[k][0].as_py() for k in ("block", "doc_id", "node", "n", "at", "hashes"))
+        own = _own_bags(n, *words, size)
+        usable = [i for i, x in enumerate(n) if x]
         parts = sorted(zip(answers["part"].to_pylist(), answers["n"].to_pylist(), strict=True))
-        frequencies = np.concatenate([np.zeros(0, np.int64), *(expand(n) for _, n in parts)])
-        packed = texts["words"].to_pylist()
-        own = [x for low, high in _unpacked(texts, texts.column_names.index("words")) for x in _bags(packed[low:high], size)]
-        keys = np.unique(np.concatenate([np.zeros(0, np.uint64), *(found for found, _ in own)]))
+        frequencies = np.concatenate([np.zeros(0, np.int64), *(expand(x) for _, x in parts)])
+        # most shingles have one document: the others are looked up
+        repeated = np.flatnonzero(frequencies > 1)
+        keys = np.append(np.unique(np.concatenate([np.zeros(0, np.uint64), *(found for found, _ in own)]))[repeated], np.uint64(2**64 - 1))
+        frequencies = np.append(frequencies[repeated], 1)
         samples, mass, dfs, pending, waiting = [], [], [], [], 0
         for i, (found, counts) in enumerate(own):
-            df = frequencies[np.searchsorted(keys, found)]
+            at = np.searchsorted(keys, found)
+            df = np.where(keys[at] == found, frequencies[at], 1)
             dfs.append(squeeze(df))
             pending.append((found, exact_weights(counts, df, documents)))
             mass.append(float(pending[-1][1].sum(dtype=float)))
@@ -193,20 +198,27 @@ def _sketched(size: int, bands: int, rows: int, documents: int):
                 pending, waiting = [], 0
         drawn = np.concatenate(samples) if samples else np.zeros((0, bands * rows), np.uint32)
         banded = np.stack([mixed(_folded(drawn[:, b * rows : (b + 1) * rows]) + np.uint64(b)) for b in range(bands)], 1).view(np.int64)
-        columns = [texts["row"], texts["doc_id"], texts["node"], pa.array(list(banded), pa.list_(pa.int64())), pa.array(mass, pa.float64()), pa.array(dfs, pa.binary())]
+        row = (block << PLACE) + np.array(usable, np.int64)
+        columns = [pa.array(row), pa.array([doc_ids[i] for i in usable], pa.int64()), pa.array([nodes[i] for i in usable], pa.binary()), pa.array(list(banded), pa.list_(pa.int64())), pa.array(mass, pa.float64()), pa.array(dfs, pa.binary())]
         return pa.Table.from_arrays(columns, names=["row", "doc_id", "node", "bands", "mass", "df"])
 
     return run
 
 
 def sketch_table(blocks: DataFrame, size: int, bands: int, rows: int) -> tuple[DataFrame, int]:
-    """(row, doc_id, node, bands, mass, df) of each row with words, and the number of all rows; df are the document frequencies of its distinct shingles, packed."""
-    seen = blocks.agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("words")).first()
+    """(row, doc_id, node, bands, mass, df) of each row with words, settled, and the number of all rows; df are the document frequencies of its distinct shingles, packed."""
+    total = F.expr("aggregate(n, 0L, (a, x) -> a + x)")
+    seen = blocks.agg(F.sum(F.size("n")).alias("n"), F.sum(total).alias("words")).first()
+    documents = seen["n"] or 0
     ranges = max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), (seen["words"] or 0) // RANGE)
-    grouped = _packed(blocks).groupBy("block")
-    asked = grouped.applyInArrow(_asked(ranges, size), "block long, part int, keys binary, n binary")
-    answers = asked.groupBy("part").applyInArrow(_answered, "block long, part int, n binary")
-    return grouped.cogroup(answers.groupBy("block")).applyInArrow(_sketched(size, bands, rows, seen["n"]), SKETCH), seen["n"]
+    asked = blocks.select("block", "n", "at", "hashes").mapInArrow(_asked(ranges, size), "block long, part int, keys binary, n binary")
+    answers = settle(asked.groupBy("part").applyInArrow(_answered, "block long, part int, n binary"))
+    sweep(blocks.sparkSession)
+    own = blocks.where(total > 0).select("block", "doc_id", "node", "n", "at", "hashes")
+    table = settle(own.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_sketched(size, bands, rows, documents), SKETCH))
+    release(answers)
+    sweep(blocks.sparkSession)
+    return table, documents
 
 
 def _folded(samples: np.ndarray) -> np.ndarray:
@@ -238,14 +250,12 @@ def _text(packed: bytes, codec: pa.Codec) -> bytes:
     return codec.decompress(packed[:-8], int.from_bytes(packed[-8:], "little"), asbytes=True)
 
 
-def _dealt(pairs: DataFrame, leader: str, other: str) -> tuple[DataFrame, DataFrame]:
-    """The pairs with the `part` of their leader that they fall to, and (leader, part) for all parts of each leader."""
-    sizes = pairs.groupBy(leader).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(SHARE))).cast("int").alias("parts"))
-    every = sizes.select(leader, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    most = sizes.where("parts > 1")
-    # few leaders have more than one part, so what is joined here is small
-    dealt = pairs.join(most, leader, "left").withColumn("part", F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
-    return dealt, every
+def _dealt(pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) with the `part` of their leader a that they fall to; settled."""
+    sizes = settle(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(SHARE))).cast("int").alias("parts")).where("parts > 1"))
+    dealt = settle(pairs.join(sizes, "a", "left").withColumn("part", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts"))
+    release(sizes)
+    return dealt
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, documents: int, threshold: float) -> DataFrame:
@@ -273,84 +283,112 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, documents: int, thr
     return both.select("a", "part", "b", "words_a", "words_b", "df_a", "df_b").mapInArrow(run, "a binary, part int, b binary, alike double")
 
 
-def _elements(texts: DataFrame, size: int) -> DataFrame:
-    """(node, elements): a hash for each shingle and each time it occurs, so that sets of them compare as the bags do."""
+def _weighed(texts: DataFrame, size: int, documents: int) -> DataFrame:
+    """(node, keys, weights): the shingles of a text and their weights, as plain numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, high in _unpacked(batch, 1):
                 part = batch.slice(low, high - low)
-                found = []
-                for shingle, n in _bags(part.column(1).to_pylist(), size):
-                    times = np.concatenate([np.arange(k) for k in n.tolist()]) if n.max(initial=0) > 1 else np.zeros(len(n), np.int64)
-                    found.append((mixed(np.repeat(shingle, n) + times.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32).view(np.int32))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int32()))], names=["node", "elements"])
+                bags = [(f, exact_weights(n, expand(df), documents)) for (f, n), df in zip(_bags(part.column(1).to_pylist(), size), part.column(2).to_pylist(), strict=True)]
+                columns = [pa.array([x[k].tobytes() for x in bags], pa.binary()) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["node", "keys", "weights"])
+
+    return texts.select("node", "words", "df").mapInArrow(run, "node binary, keys binary, weights binary")
 
-    return texts.select("node", "words").mapInArrow(run, "node binary, elements array<int>")
+
+def _compared(threshold: float):
+    """Members of one part (x) against those of another (y): a link (a, b) for each two components that a similar pair joins."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        nodes, comps, is_x = rows["node"].to_pylist(), rows["comp"].to_pylist(), rows["x"].to_pylist()
+        bags = [(np.frombuffer(k, np.uint64), np.frombuffer(w, np.float32)) for k, w in zip(rows["keys"].to_pylist(), rows["weights"].to_pylist(), strict=True)]
+        label = np.unique(np.array([c.hex() for c in comps]), return_inverse=True)[1]
+        xs, ys = [i for i, x in enumerate(is_x) if x], np.array([i for i, x in enumerate(is_x) if not x], np.int64)
+        links: list[tuple[bytes, bytes]] = []
+        if xs and len(ys):
+            key = np.concatenate([bags[i][0] for i in ys])
+            weight = np.concatenate([bags[i][1] for i in ys])
+            order = np.argsort(key, kind="stable")
+            key, weight, of = key[order], weight[order], np.repeat(np.arange(len(ys)), [len(bags[i][0]) for i in ys])[order]
+            mass = np.array([float(bags[i][1].sum(dtype=float)) for i in ys])
+            for i in xs:
+                own, has = bags[i]
+                low, high = np.searchsorted(key, own), np.searchsorted(key, own, "right")
+                n = high - low
+                at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                shared = np.bincount(of[at], np.minimum(np.repeat(has, n), weight[at]), len(ys))
+                like = shared / (float(has.sum(dtype=float)) + mass - shared)
+                for j in ys[(like >= threshold) & (label[ys] != label[i])].tolist():
+                    if label[j] != label[i]:
+                        links.append((nodes[i], nodes[j]))
+                        label[label == label[j]] = label[i]
+        return pa.Table.from_arrays([pa.array([x[k] for x in links], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+    return run
 
 
 def _classes(blocks: DataFrame, size: int, threshold: float, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
     """(row, doc_id, node) of each row with words, and (node, comp) of each node with links: comp is the smallest node that they reach. Both are settled."""
     spark = blocks.sparkSession
-    table, total = sketch_table(blocks, size, bands, rows)
-    docs = settle(table)
-    sweep(spark)
+    docs, total = sketch_table(blocks, size, bands, rows)
     # of each class, the row with the smallest number stands for all
     classes = settle(docs.join(docs.groupBy("node").agg(F.min("row").alias("row")).select("row"), "row", "left_semi"))
+    named = settle(docs.select("row", "doc_id", "node"))
+    release(docs)
+
+    # a bucket's leader is the member that shares most buckets with others: in a group of copies, one near its middle.
+    # Counts and leaders are written before they are joined back, so that a large bucket can be split.
+    slots = settle(classes.select("node", F.explode("bands").alias("band")))
+    shared = settle(slots.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
+    filled = settle(slots.join(shared, "band"))
+    popular = settle(filled.groupBy("node").agg(F.sum("n").alias("popularity")))
+    leaders = settle(filled.select("band", "node").join(popular, "node").groupBy("band").agg(F.max_by("node", F.struct("popularity", "node")).alias("a")))
+    stars = settle(filled.select("band", "node").join(leaders, "band").select("a", F.col("node").alias("b")).distinct())
+    release(slots, shared, filled, leaders)
+    touched = classes.join(popular.select("node"), "node").select("row", "node", "df")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", 1)
+        for batch in batches:
+            raw = [t.encode() for t in batch.column(1).to_pylist()]
+            packed = [codec.compress(t, asbytes=True) + len(t).to_bytes(8, "little") for t in raw]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), batch.column(2)], names=["node", "words", "df"])
 
-    # a bucket's leader is the member that shares most buckets with others: in a group of copies, one near its middle
-    slots = classes.select("node", F.explode("bands").alias("band"))
-    filled = settle(slots.join(slots.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "band"))
-    popular = filled.groupBy("node").agg(F.sum("n").alias("popularity"))
-    ranked = filled.select("band", "node").join(popular, "node")
-    leaders = ranked.groupBy("band").agg(F.max_by("node", F.struct("popularity", "node")).alias("a"))
-    stars = filled.select("band", "node").join(leaders, "band").select("a", F.col("node").alias("b")).distinct()
-    dealt, _ = _dealt(settled := settle(stars), "a", "b")
-    stars = settle(dealt)
-    release(settled)
-    masses = classes.select("node", "mass")
-    with_b = stars.where("a <> b").join(masses.select(F.col("node").alias("b"), F.col("mass").alias("mb")), "b")
-    with_a = stars.select("a", "part").distinct().join(masses.select(F.col("node").alias("a"), F.col("mass").alias("ma")), "a")
+    texts_of = settle(rows_of(blocks, "text").join(touched, "row").select("node", "text", "df").mapInArrow(pack, "node binary, words binary, df binary"))
+    masses = settle(classes.join(popular.select("node"), "node").select("node", "mass"))
+    release(classes, popular)
+    sweep(spark)
+    dealt = _dealt(stars.where("a <> b"))
+    with_b = dealt.join(masses.select(F.col("node").alias("b"), F.col("mass").alias("mb")), "b")
+    with_a = dealt.select("a", "part").distinct().join(masses.select(F.col("node").alias("a"), F.col("mass").alias("ma")), "a")
     # the similarity is at most the smaller sum of weights by the larger
     candidates = with_b.join(with_a, ["a", "part"]).where(F.least("ma", "mb") >= (threshold - 1e-6) * F.greatest("ma", "mb")).select("a", "part", "b")
-    touched = filled.select("node").distinct().join(classes, "node").select("row", "node", "df")
-    texts_of = settle(_packed(blocks, touched).select("row", "words").join(touched, "row").select("node", "words", "df"))
-    named = settle(docs.select("row", "doc_id", "node"))
-    release(docs, filled)
-    tested = settle(_verified(candidates, texts_of, size, total, 0.0))
-    sweep(spark)
-    links = settle(tested.where(F.col("alike") >= threshold).select("a", "b"))
+    links = settle(_verified(candidates, texts_of, size, total, threshold).select("a", "b"))
     labels = components(links)
+    release(dealt)
+    sweep(spark)
 
     # then, in the groups of a leader that these links leave apart, each member outside of the largest component against
-    # the members of others. One minus the similarity is a metric: a pair whose distances to the leader differ by more
-    # than 1 - threshold cannot be similar. Nor can one whose bags of shingles, whose weights differ by a factor of at
-    # most 1 + DAMPING, are less alike than `floor`. The join gives only what passes both. Members are dealt into parts
-    # on both sides, so that a task has some SHARE members against as many.
-    placed = stars.join(tested.drop("part"), ["a", "b"], "left").join(labels.select(F.col("node").alias("b"), "comp"), "b", "left")
-    placed = settle(placed.select("a", "part", F.col("b").alias("node"), F.coalesce("comp", "b").alias("comp"), F.when(F.col("a") == F.col("b"), 0.0).otherwise(1 - F.col("alike")).alias("far")))
-    release(tested, classes)
+    # the others. The leader itself has met them all.
+    placed = settle(stars.join(labels.select(F.col("node").alias("b"), "comp"), "b", "left").select("a", F.col("b").alias("node"), F.coalesce("comp", "b").alias("comp")))
     counted = placed.groupBy("a", "comp").agg(F.count("*").alias("n"))
-    apart = settle(counted.groupBy("a").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1").select("a", "main"))
-    parts = stars.select("a", "part").distinct()
-    rest = placed.join(apart.join(parts, "a"), ["a", "part"])
-    bags = settle(_elements(rest.select("node").distinct().join(texts_of, "node"), size))
-    rest = settle(rest.join(bags, "node").select("a", "part", "node", "comp", "far", "elements", (F.col("comp") == F.col("main")).alias("in_main")))
-    floor = threshold / (threshold + (1 - threshold) * (1 + DAMPING))
-    other_y = parts.select(F.col("a").alias("a_x"), F.col("part").alias("with_y"))
-    other_x = parts.select(F.col("a").alias("a_y"), F.col("part").alias("with_x"))
-    columns = ("a", "part", "node", "comp", "far", "elements")
-    x = rest.where("not in_main").select(*[F.col(c).alias(f"{c}_x") for c in columns]).join(other_y, "a_x")
-    y = rest.select(*[F.col(c).alias(f"{c}_y") for c in (*columns, "in_main")]).join(other_x, "a_y")
-    near = F.coalesce(F.abs(F.col("far_x") - F.col("far_y")) <= 1 - threshold + 1e-9, F.lit(True))
-    sizes = F.expr(f"least(size(elements_x), size(elements_y)) >= {floor} * greatest(size(elements_x), size(elements_y))")
-    alike = F.expr(f"size(array_intersect(elements_x, elements_y)) * (1 + {floor}) >= {floor} * (size(elements_x) + size(elements_y)) - 1e-6")
-    here = (F.col("a_x") == F.col("a_y")) & (F.col("part_x") == F.col("with_x")) & (F.col("with_y") == F.col("part_y"))
-    met = x.join(y, here & (F.col("comp_x") != F.col("comp_y")) & (F.col("in_main_y") | (F.col("node_x") < F.col("node_y"))) & near & sizes & alike)
-    again = met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
-    dealt, _ = _dealt(found := settle(again), "a", "b")
-    more = settle(_verified(dealt, texts_of, size, total, threshold).select("a", "b"))
-    release(rest, bags, texts_of, placed, apart, stars, found)
+    apart = settle(counted.groupBy("a").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("comps")).where("comps > 1 and n > 2").select("a", "main"))
+    rest = settle(placed.where("a <> node").join(apart, "a").select("a", "node", "comp", (F.col("comp") == F.col("main")).alias("in_main")).join(masses, "node"))
+    release(stars, placed, apart, masses)
+    parts = rest.groupBy("a").agg(*[F.ceil(F.sum(m) / F.lit(float(PART))).cast("int").alias(k) for k, m in (("parts_x", F.when(~F.col("in_main"), F.col("mass"))), ("parts_y", F.col("mass")))])
+    parts = settle(parts.where("parts_x is not null"))
+    bags = settle(_weighed(texts_of.join(rest.select("node").distinct(), "node", "left_semi"), size, total))
+    release(texts_of)
+
+    def side(members: DataFrame, own: str, other: str) -> DataFrame:
+        placed = members.join(parts, "a").withColumn("own", F.pmod(F.xxhash64("node", F.lit(own)), F.col(f"parts_{own}")).cast("int"))
+        spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col(f"parts_{other}") - 1)))
+        return spread.select("a", F.col("own").alias(f"part_{own}"), F.col("other").alias(f"part_{other}"), F.lit(own == "x").alias("x"), "node", "comp")
+
+    both = side(rest.where("not in_main"), "x", "y").unionByName(side(rest, "y", "x"))
+    more = settle(both.join(bags, "node").groupBy("a", "part_x", "part_y").applyInArrow(_compared(threshold), "a binary, b binary").distinct())
+    release(rest, parts, bags)
     sweep(spark)
 
     # the components of the first links, joined by what came later
@@ -379,7 +417,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = named.groupBy("node").agg(F.min("doc_id").alias("rep")).join(comps, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
     smallest = classes.groupBy("comp").agg(F.min("rep").alias("class_id"))
     found = named.join(classes.join(smallest, "comp").select("node", "class_id"), "node").select("doc_id", "class_id")
-    every = found.union(blocks.where("node is null").select("doc_id", F.col("doc_id").alias("class_id")))
+    every = found.union(rows_of(blocks, "node", "doc_id").where("node is null").select("doc_id", F.col("doc_id").alias("class_id")))
     done = settle(every.select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)).alias("kept")))
     release(blocks, named, comps)
     return done
@@ -399,4 +437,4 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     best = named.groupBy("node").agg(first).join(comps, "node", "left").groupBy(F.coalesce("comp", "node")).agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
     gone = settle(named.select("row").join(best, "row", "left_anti"))
     release(named, comps)
-    return blocks.join(gone, "row", "left_anti").select("rest.*").select(*df.columns)
+    return rows_of(blocks, "rest").join(gone, "row", "left_anti").select("rest.*").select(*df.columns)

@@ -14,8 +14,8 @@ from .arrow import sums, words_of
 BASE = 0x9E3779B97F4A7C15
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word of all texts, and where each text starts (and the last ends).
+def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of words, which of them each word of all texts is, and where each text starts (and the last ends).
 
     A word is what stands between white space, in lower case and without anything but
     letters and digits; what has neither is no word. Null texts have no words.
@@ -28,7 +28,13 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     names = bare.to_pylist()
     hashes = np.array([xxhash.xxh3_64_intdigest(w) if w else 0 for w in names], np.uint64)
     keep = np.array([bool(w) for w in names], bool)[at] if len(at) else np.zeros(0, bool)
-    return hashes[at[keep]], np.concatenate([[0], np.cumsum(sums(keep.astype(np.int64), bounds))])
+    return hashes, at[keep], np.concatenate([[0], np.cumsum(sums(keep.astype(np.int64), bounds))])
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of all texts, and where each text starts (and the last ends)."""
+    hashes, codes, bounds = word_codes(texts)
+    return hashes[codes], bounds
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
