@@ -7,13 +7,14 @@ mixture weights depend on how often the context was seen (buckets of its frequen
 and are learned by expectation-maximisation on counts held out of the estimates, a
 share of the training documents; the final estimates use all training documents.
 
-Data flow. One scan turns each slice of documents into a block: its distinct words
-with their counts, and its token places. Counts of words meet in a shuffle on the
-word's hash, one row per block and distinct word, and go back to the block. So do the
-counts of all pairs, which are added up in the block first and travel packed: a row
-for each block and range of the pairs' hashes, sorted, is answered by a row with the
-counts in the same order. Texts are not shuffled, and no table of words or pairs is
-collected or broadcast.
+Data flow. One scan turns each slice of documents into a block: its distinct words,
+and its token places. The counts of words and of pairs of words, all of them, are
+added up in the block first and travel packed: a row for each block and range of the
+hashes, sorted, is answered by a row with the sums in the same order. A block asks
+for a word or a pair once, however often it has it, so a frequent one costs a number
+for each block, and ranges are even. Texts are not shuffled, and no table of words
+or pairs is collected or broadcast. What reaches the driver is a histogram of the
+held-out tokens: by bucket, and by the two estimates in steps of 1/40 of a decade.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import expand, expand_hashes, slices, squeeze, squeeze_hashes, sums
-from .common import settle
+from .common import release, settle, sweep
 
 BUCKETS = 32
 SLICE = 12 << 20
@@ -39,7 +40,7 @@ END = b"\n"
 #: What a pair's or a word's estimate of zero is binned as.
 NONE = -999
 
-BLOCK = "block long, doc array<long>, role array<int>, n array<int>, at binary, words binary, main binary, left binary"
+BLOCK = "block long, doc array<long>, role array<int>, n array<int>, at binary, words binary"
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,7 +68,6 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = sums(keep.astype(np.int64), split.offsets.to_numpy().astype(np.int64))
             at = number_of[places[keep]].astype("<i4")
             role = part.column(2).to_numpy(zero_copy_only=False)
-            roles, size = np.repeat(role, n), len(by_times) + 1
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([number], pa.int64()),
@@ -76,10 +76,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array([n.tolist()], pa.list_(pa.int32())),
                     pa.array([squeeze(at)], pa.binary()),
                     pa.array(["".join(words[i] + " " for i in by_times).encode() + END], pa.binary()),
-                    pa.array([squeeze(np.bincount(at[roles == 0], minlength=size))], pa.binary()),
-                    pa.array([squeeze(np.bincount(at[roles == 1], minlength=size))], pa.binary()),
                 ],
-                names=["block", "doc", "role", "n", "at", "words", "main", "left"],
+                names=["block", "doc", "role", "n", "at", "words"],
             )
             number += 1
             pa.default_memory_pool().release_unused()
@@ -89,17 +87,6 @@ def _hashes(words: bytes) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(w) for w in words.split(b" ")], np.uint64)
 
 
-def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for block, words, main, left in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            hashes = _hashes(words).view(np.int64)
-            n = len(hashes)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(hashes), pa.array(np.full(n, block)), pa.array(np.arange(n, dtype=np.int32)), pa.array(expand(main)), pa.array(expand(left))],
-                names=["hash", "block", "word", "main", "left"],
-            )
-
-
 def _contexts(at: np.ndarray, end: int) -> np.ndarray:
     return np.concatenate([[end], at[:-1]])
 
@@ -110,8 +97,25 @@ def _pair_keys(hashes: np.ndarray, found: np.ndarray) -> np.ndarray:
     return (h * np.uint64(0x9E3779B97F4A7C15)) ^ ((w << np.uint64(29)) | (w >> np.uint64(35)))
 
 
-def pairs_of(ranges: int):
-    """Maps blocks to their distinct pairs with counts, a row for each of so many ranges of the pairs' hashes."""
+WORD, PAIR = 0, 1
+ASKED = "block long, kind int, part int, keys binary, main binary, left binary"
+ANSWER = "block long, kind int, part int, m binary, c binary, n long, n_main long, vocabulary long"
+
+
+def asked_by(ranges: int):
+    """Maps blocks to their distinct words and pairs with counts, a row for each of so many ranges of the hashes."""
+
+    def cut(block: int, kind: int, keys: np.ndarray, main: np.ndarray, left: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(keys)
+        keys, main, left = keys[order], main[order], left[order]
+        of = ((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+        asked, starts = np.unique(of, return_index=True)
+        cuts = [*zip(starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True)]
+        columns = [[squeeze_hashes(keys[a:b]) for a, b in cuts], *([squeeze(x[a:b]) for a, b in cuts] for x in (main, left))]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(asked), block)), pa.array(np.full(len(asked), kind, np.int32)), pa.array(asked.astype(np.int32)), *(pa.array(x, pa.binary()) for x in columns)],
+            names=["block", "kind", "part", "keys", "main", "left"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,85 +123,55 @@ def pairs_of(ranges: int):
                 hashes = _hashes(words)
                 at = expand(at).astype(np.int64)
                 role = np.repeat(np.array(role, np.int8), np.array(n, np.int64))
+                yield cut(block, WORD, hashes, *(np.bincount(at[role == r], minlength=len(hashes)) for r in (0, 1)))
                 found, inverse = np.unique(_contexts(at, len(hashes) - 1) * len(hashes) + at, return_inverse=True)
-                keys = _pair_keys(hashes, found)
-                order = np.argsort(keys)
-                keys = keys[order]
-                main, left = (np.bincount(inverse[role == r], minlength=len(found))[order] for r in (0, 1))
-                of = ((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
-                asked, starts = np.unique(of, return_index=True)
-                cuts = [*zip(starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True)]
-                columns = [[squeeze_hashes(keys[a:b]) for a, b in cuts], *([squeeze(x[a:b]) for a, b in cuts] for x in (main, left))]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(asked), block)), pa.array(asked.astype(np.int32)), *(pa.array(x, pa.binary()) for x in columns)],
-                    names=["block", "part", "keys", "main", "left"],
-                )
+                yield cut(block, PAIR, _pair_keys(hashes, found), *(np.bincount(inverse[role == r], minlength=len(found)) for r in (0, 1)))
 
     return run
 
 
 def _added(rows: pa.Table) -> pa.Table:
-    """Answers the blocks' questions about one range: m and c of each pair that a block asked for, in its order."""
+    """Answers the blocks' questions about one range: m and c of each word or pair that a block asked for, in its order; totals of the range's words come as the answer to a block of their own."""
+    kind, part = rows["kind"][0].as_py(), rows["part"][0].as_py()
     asked = [expand_hashes(x) for x in rows["keys"].to_pylist()]
     found, inverse = np.unique(np.concatenate(asked), return_inverse=True)
     main, left = (np.bincount(inverse, np.concatenate([expand(x) for x in rows[k].to_pylist()]), len(found)).astype(np.int64) for k in ("main", "left"))
     ends = np.cumsum([len(x) for x in asked]).tolist()
     which = [inverse[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-    m, c = ([squeeze(np.minimum(x[i], 2**31 - 1)) for i in which] for x in (main, main + left))
-    return pa.Table.from_arrays([rows["block"], rows["part"], pa.array([None] * len(m), pa.binary()), pa.array(m, pa.binary()), pa.array(c, pa.binary())], names=["block", "part", "word", "m", "c"])
+    m, c = ([squeeze(x[i]) for i in which] for x in (main, main + left))
+    block, none = rows["block"].to_pylist(), [None] * len(m)
+    totals = [none, none, none]
+    if kind == WORD:
+        block, m, c = [*block, -1 - part], [*m, None], [*c, None]
+        totals = [[*none, int(x)] for x in ((main + left).sum(), main.sum(), np.count_nonzero(main + left))]
+    columns = [pa.array(block, pa.int64()), pa.array([kind] * len(block), pa.int32()), pa.array([part] * len(block), pa.int32()), pa.array(m, pa.binary()), pa.array(c, pa.binary()), *(pa.array(x, pa.int64()) for x in totals)]
+    return pa.Table.from_arrays(columns, names=["block", "kind", "part", "m", "c", "n", "n_main", "vocabulary"])
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Answers (block, word, m, c) as compressed columns, a row for each block among some million answers."""
-    names = ["block", "part", "word", "m", "c"]
-
-    def pack(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
-        block, *columns = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(block, kind="stable")
-        found, starts = np.unique(block[order], return_index=True)
-        cuts = [*zip(starts.tolist(), [*starts[1:].tolist(), len(block)], strict=True)]
-        packed = [[squeeze(np.minimum(x[order[a:b]], 2**31 - 1)) for a, b in cuts] for x in columns]
-        return pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), -1, np.int32)), *(pa.array(x, pa.binary()) for x in packed)], names=names)
-
-    parts, waiting = [], 0
-    for batch in batches:
-        parts.append([batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)])
-        waiting += batch.num_rows
-        if waiting >= 1 << 20:
-            yield pack(parts)
-            parts, waiting = [], 0
-    if waiting:
-        yield pack(parts)
-
-
-MET = "doc array<long>, role array<int>, n array<int>, c binary, p binary, end long, cm binary, pm binary, end_m long"
+MET = "doc array<long>, role array<int>, n array<int>, c binary, p binary, end long, cm binary, pm binary, end_m long, total long, n_main long, vocabulary long"
 
 
 def _meet(left: pa.Table, right: pa.Table) -> pa.Table:
-    """A block with the counts at its tokens: c of the word, p of the pair, end of the end; for held-out documents also cm, pm, end_m, without what is held out."""
-    out: list[list] = [[] for _ in range(9)]
-    answers = sorted(zip(*(right[k].to_pylist() for k in ("part", "word", "m", "c")), strict=True), key=lambda x: x[0])
-    pair_m, pair_c = (np.concatenate([np.zeros(0, np.int32), *(expand(x[k]) for x in answers if x[0] >= 0)]) for k in (2, 3))
-    word, m, c = (np.concatenate([np.zeros(0, np.int32), *(expand(x[k]) for x in answers if x[0] < 0)]).astype(np.int64) for k in (1, 2, 3))
-    word_m = expand(left["main"][0].as_py()).astype(np.int64) if left.num_rows else np.zeros(1, np.int64)
-    word_c = word_m + (expand(left["left"][0].as_py()) if left.num_rows else 0)
-    word_m[word], word_c[word] = m, c
-    size = len(word_c)
-    most = 2**31 - 1
-    for row in range(left.num_rows):
-        docs, roles, n = (left[k][row].as_py() for k in ("doc", "role", "n"))
-        at = expand(left["at"][row].as_py()).astype(np.int64)
-        found, inverse = np.unique(_contexts(at, size - 1) * size + at, return_inverse=True)
-        rank = np.empty(len(found), np.int64)
-        rank[np.argsort(_pair_keys(_hashes(left["words"][row].as_py()), found))] = np.arange(len(found))
-        place = rank[inverse]
-        held = np.repeat(np.array(roles) == 1, np.array(n, np.int64))
-        arrays = (word_c[at], pair_c[place], word_m[at[held]], pair_m[place[held]])
-        c_, p_, cm, pm = (squeeze(np.minimum(a, most)) for a in arrays)
-        for column, value in zip(out, (docs, roles, n, c_, p_, int(word_c[size - 1]), cm, pm, int(word_m[size - 1])), strict=True):
-            column.append(value)
-    types = [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.int64()]
-    return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=["doc", "role", "n", "c", "p", "end", "cm", "pm", "end_m"])
+    """A block with the counts at its tokens: c of the word, p of the pair, end of the end; for held-out documents also cm, pm, end_m, without what is held out. A row of totals is handed on."""
+    schema = pa.schema([*(("doc", pa.list_(pa.int64())), ("role", pa.list_(pa.int32())), ("n", pa.list_(pa.int32()))), *((k, pa.binary()) for k in ("c", "p")), ("end", pa.int64()), *((k, pa.binary()) for k in ("cm", "pm")), *((k, pa.int64()) for k in ("end_m", "total", "n_main", "vocabulary"))])
+    if not left.num_rows:
+        return pa.Table.from_pylist([{"total": r["n"], "n_main": r["n_main"], "vocabulary": r["vocabulary"]} for r in right.select(["n", "n_main", "vocabulary"]).to_pylist()], schema)
+    answers = sorted(zip(*(right[k].to_pylist() for k in ("kind", "part", "m", "c")), strict=True), key=lambda x: x[:2])
+    word_m, word_c, pair_m, pair_c = (np.concatenate([expand(x[k]) for x in answers if x[0] == kind]).astype(np.int64) for kind in (WORD, PAIR) for k in (2, 3))
+    row = {k: left[k][0].as_py() for k in ("doc", "role", "n", "at", "words")}
+    hashes, at = _hashes(row["words"]), expand(row["at"]).astype(np.int64)
+    size, order = len(hashes), np.argsort(hashes)
+    by_word = np.empty((2, size), np.int64)
+    by_word[:, order] = word_m, word_c
+    word_m, word_c = by_word
+    found, inverse = np.unique(_contexts(at, size - 1) * size + at, return_inverse=True)
+    rank = np.empty(len(found), np.int64)
+    rank[np.argsort(_pair_keys(hashes, found))] = np.arange(len(found))
+    place = rank[inverse]
+    held = np.repeat(np.array(row["role"]) == 1, np.array(row["n"], np.int64))
+    c, p, cm, pm = (squeeze(a) for a in (word_c[at], pair_c[place], word_m[at[held]], pair_m[place[held]]))
+    out = {"doc": row["doc"], "role": row["role"], "n": row["n"], "c": c, "p": p, "end": int(word_c[size - 1]), "cm": cm, "pm": pm, "end_m": int(word_m[size - 1])}
+    return pa.Table.from_pylist([out], schema)
 
 
 def _bucket(h: np.ndarray) -> np.ndarray:
@@ -257,28 +231,25 @@ def score(df: DataFrame, train: Column, left_out: Column, id_col: str = "doc_id"
     ASCII white space, A-Z in lower case, and one end per text. A null text is empty;
     a null id is a null doc_id; where train is null the row is no training row. Repeated
     rows are scored and counted as often as they occur. Without training rows each token
-    is a new word, and its scores are those of the empty model. Other columns of df are
-    not read.
+    is a new word, and its scores are those of the empty model. A very long text is a
+    block of its own and is scored whole. An empty table gives no rows. Other columns of
+    df are not read.
     """
     role = F.when(~F.coalesce(train, F.lit(False)), 2).when(F.coalesce(left_out, F.lit(False)), 1).otherwise(0)
+    spark = df.sparkSession
     blocks = settle(df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"), role.cast("int").alias("role")).mapInArrow(_blocks, BLOCK))
-    same = "over (partition by hash)"
-    asked = blocks.select("block", "words", "main", "left").mapInArrow(_vocabulary, "hash long, block long, word int, main int, left int")
-    words = settle(
-        asked.selectExpr("hash", "block", "word", "main", "left", f"sum(main) {same} as m", f"sum(left) {same} as d", f"min(block) {same} = block as first")
-        .selectExpr("block", "word", "m", "m + d as c", "if(first and m + d > 0, hash, null) as hash", "main = m and left = d as alone")
-        .where("hash is not null or not alone")
-    )
-    total = words.agg(F.sum(F.expr("if(hash is null, 0, c)")).alias("n"), F.sum(F.expr("if(hash is null, 0, m)")).alias("m"), F.count("hash").alias("v")).first()
-    n_train, n_main, vocabulary = int(total["n"] or 0), int(total["m"] or 0), int(total["v"] or 0)
-    # a range has some two million pairs, however many blocks ask
+    # a range has some two million words or pairs, however many blocks ask
     tokens = blocks.agg(F.sum(F.expr("aggregate(n, 0L, (a, x) -> a + x)")).alias("n")).first()["n"] or 0
-    ranges = max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), tokens >> 21)
-    pairs = blocks.select("block", "role", "n", "at", "words").mapInArrow(pairs_of(ranges), "block long, part int, keys binary, main binary, left binary")
-    answer = "block long, part int, word binary, m binary, c binary"
-    # a word that no other block holds needs no answer: its counts are the block's own
-    packed = words.where("not alone").select("block", "word", "m", "c").mapInArrow(_packed, answer).unionByName(pairs.groupBy("part").applyInArrow(_added, answer))
-    met = settle(blocks.select("block", "doc", "role", "n", "at", "words", "main", "left").groupBy("block").cogroup(packed.groupBy("block")).applyInArrow(_meet, MET))
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), tokens >> 21)
+    asked = blocks.select("block", "role", "n", "at", "words").mapInArrow(asked_by(ranges), ASKED)
+    answers = settle(asked.groupBy("kind", "part").applyInArrow(_added, ANSWER))
+    sweep(spark)
+    met = settle(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_meet, MET))
+    release(blocks, answers)
+    sweep(spark)
+    total = met.where("total is not null").agg(F.sum("total").alias("n"), F.sum("n_main").alias("m"), F.sum("vocabulary").alias("v")).first()
+    n_train, n_main, vocabulary = int(total["n"] or 0), int(total["m"] or 0), int(total["v"] or 0)
+    met = met.where("total is null")
     left = met.select("cm", "pm", "end_m").mapInArrow(_bins(max(1, n_main)), "bucket long, pair long, word long, n long")
     weights = learn_weights(left.groupBy("bucket", "pair", "word").agg(F.sum("n").alias("n")).collect() if n_main else [], vocabulary)
     base_of, unknown = n_train + 0.5 * (vocabulary + 1), 1 / (vocabulary + 1)
@@ -287,7 +258,7 @@ def score(df: DataFrame, train: Column, left_out: Column, id_col: str = "doc_id"
         for batch in batches:
             for docs, roles, n, c, p, end in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 c, p = expand(c), expand(p)
-                before = np.concatenate([[min(end, 2**31 - 1)], c[:-1]]).astype(np.int32)
+                before = np.concatenate([[end], c[:-1]])
                 base, chance = np.empty(len(c)), np.empty(len(c))
                 for low in range(0, len(c), STEP):
                     part = slice(low, low + STEP)

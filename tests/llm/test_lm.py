@@ -3,6 +3,7 @@ import math
 import re
 import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from assayer.llm import lm, queries
@@ -55,6 +56,47 @@ def test_weights_make_distributions():
     assert weights[3, 0] > weights[0, 0] and weights[5, 3] > weights[3, 3]
 
 
+def test_scores_are_close_to_those_of_weights_learned_from_unbinned_estimates(spark):
+    texts = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    place = {k: zlib.crc32(str(k).encode()) % 5 for k, _ in texts}
+
+    def counts(some):
+        words, pairs = collections.Counter(), collections.Counter()
+        for text in some:
+            own = tokens(text)
+            words.update(own)
+            pairs.update(zip(["\n", *own], own, strict=False))
+        return words, pairs
+
+    def parts(h, w, words, pairs, v):
+        return [pairs[h, w] / max(1, words[h]), words[w] / sum_of[id(words)], 1 / (v + 1), float(words[w] == 0)]
+
+    words, pairs = counts(t for k, t in texts if place[k] != 1)
+    main, main_pairs = counts(t for k, t in texts if place[k] not in (1, 4))
+    sum_of = {id(words): sum(words.values()), id(main): sum(main.values())}
+    bucket, chances = [], []
+    for k, text in texts:
+        if place[k] == 4:
+            own = tokens(text)
+            for h, w in zip(["\n", *own], own, strict=False):
+                bucket.append(min(int(math.log2(main[h] + 1)), lm.BUCKETS - 1))
+                chances.append(parts(h, w, main, main_pairs, len(words)))
+    bucket, chances = np.array(bucket), np.array(chances)
+    weights, prior = np.tile([0.3, 0.6, 0.05, 0.05], (lm.BUCKETS, 1)), np.array([0.3, 0.6, 0.05, 0.05])
+    for _ in range(80):
+        share = weights[bucket] * chances
+        share /= share.sum(1, keepdims=True)
+        sums = np.stack([np.bincount(bucket, share[:, k], lm.BUCKETS) for k in range(4)], 1)
+        prior = (sums.sum(0) + prior) / (sums.sum() + 1)
+        weights = sums + 5 * prior
+        weights /= weights.sum(1, keepdims=True)
+    got = {r["doc_id"]: r["score"] for r in queries.op3_deleted_interpolation(spark, SF).collect()}
+    for k, text in texts[::7]:
+        own = tokens(text)
+        want = sum(math.log10(weights[min(int(math.log2(words[h] + 1)), lm.BUCKETS - 1)] @ np.array(parts(h, w, words, pairs, len(words)))) for h, w in zip(["\n", *own], own, strict=False))
+        assert abs(got[k] - want) < 2e-3 * abs(want)
+
+
 def test_odd_rows(spark):
     texts = [(0, None), (1, ""), (2, "A a\tB\x0bb\xa0b"), (3, "x" * 100_000), (4, "the " * 30_000), (5, "the the"), (5, "the the")]
     df = spark.createDataFrame([(*t, 1.0) for t in texts], "doc_id long, text string, score double")
