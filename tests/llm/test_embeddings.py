@@ -45,6 +45,21 @@ def test_query_recall(spark):
     assert em.audit(df, result) >= 0.9
 
 
+def test_dense_and_sparse_tables_match_brute_force(spark):
+    rng = np.random.default_rng(4)
+    middle = rng.normal(size=24)
+    dense = {i: (middle + rng.normal(size=24) * 0.17).astype(np.float32) for i in range(700)}  # most pairs link
+    sparse = clustered(1200, 12, 9)
+    for vectors, settings in ((dense, {}), (dense, {"shard_rows": 60, "clusters": 3}), (sparse, {"shard_rows": 40, "clusters": 4, "sample": 500})):
+        df = spark.createDataFrame([(i, v.tolist(), "x") for i, v in vectors.items()], SCHEMA)
+        want = brute(vectors)
+        got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in em.near_duplicates(df, **settings).collect()}
+        total = sum(n for n, _ in want.values())
+        assert total > 500 and all(got[i][0] <= want[i][0] for i in want)
+        assert sum(n for n, _ in got.values()) >= 0.99 * total
+        assert np.mean([got[i][1] == want[i][1] for i in want]) >= 0.99
+
+
 def test_odd_rows(spark):
     one = [1.0, 0.0, 0.0]
     rows = [(5, one), (3, one), (3, one), (4, [2.0, 0.0, 0.0]), (7, None), (8, []), (9, [0.0, 0.0, 0.0]), (10, [1.0, None, 0.0]), (11, [float("nan"), 1.0, 0.0]), (12, [float("inf"), 1.0, 0.0]), (13, [1.0, 0.0]), (None, [0.0, 1.0, 0.0]), (14, [0.0, 1e-30, 0.0])]
