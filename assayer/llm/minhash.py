@@ -45,39 +45,47 @@ BLOCK_BYTES, RANGE = 12 << 20, 1 << 21
 #: Bits of a row's number for its place in its block.
 PLACE = 20
 #: Pairs of a leader, and weight of a group's members, in a part, about.
-SHARE, PART = 512, 1 << 20
+SHARE, PART = 512, 1 << 18
 
 
 def blocks_of(df: DataFrame, id_col: str, text_col: str, whole: bool = False) -> DataFrame:
-    """One row per block of documents: block, and arrays of doc_id, node, n (words), text, and rest (all columns of df) if whole.
+    """One row per block of documents: block, and arrays of doc_id, node, n (words), words (the text, see packed), and rest (the other columns of df) if whole.
 
     at holds which word stands where, as places in hashes. A node is a 128-bit hash of
     the words in order, null for a text without words.
     """
+    others = [c for c in df.columns if c != text_col]
     columns = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")]
-    own = df.select(*columns, *[F.struct("*").alias("rest")] * whole)
+    own = df.select(*columns, *[F.struct(F.lit(0).alias("_"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(others)]).alias("rest")] * whole)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
         from pyspark import TaskContext
 
-        block = TaskContext.get().partitionId() << 16
+        block, codec = TaskContext.get().partitionId() << 16, pa.Codec("zstd", 1)
         for batch in batches:
             for part in slices(batch, 1, BLOCK_BYTES):
                 hashes, codes, bounds = word_codes(part.column(1))
                 words = hashes[codes]
                 nodes = [xxhash.xxh3_128_digest(words[a:b].tobytes()) if b > a else None for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                lists = [part.column(0), pa.array(nodes, pa.binary()), pa.array(np.diff(bounds).astype(np.int32)), part.column(1), *part.columns[2:]]
+                texts = [None if t is None else packed(t, codec) for t in part.column(1).to_pylist()]
+                lists = [part.column(0), pa.array(nodes, pa.binary()), pa.array(np.diff(bounds).astype(np.int32)), pa.array(texts, pa.binary()), *part.columns[2:]]
                 one = pa.array([0, part.num_rows], pa.int32())
-                packed = [pa.array([squeeze(codes)], pa.binary()), pa.array([hashes.astype("<u8").tobytes()], pa.binary())]
+                coded = [pa.array([squeeze(codes)], pa.binary()), pa.array([hashes.astype("<u8").tobytes()], pa.binary())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([block], pa.int64()), *packed, *(pa.ListArray.from_arrays(one, x) for x in lists)],
-                    names=["block", "at", "hashes", "doc_id", "node", "n", "text", *["rest"] * whole],
+                    [pa.array([block], pa.int64()), *coded, *(pa.ListArray.from_arrays(one, x) for x in lists)],
+                    names=["block", "at", "hashes", "doc_id", "node", "n", "words", *["rest"] * whole],
                 )
                 block += 1
 
     rest = f", rest array<{dict(own.dtypes)['rest']}>" if whole else ""
-    return own.mapInArrow(run, f"block long, at binary, hashes binary, doc_id array<long>, node array<binary>, n array<int>, text array<string>{rest}")
+    return own.mapInArrow(run, f"block long, at binary, hashes binary, doc_id array<long>, node array<binary>, n array<int>, words array<binary>{rest}")
+
+
+def packed(text: str, codec: pa.Codec) -> bytes:
+    """A text compressed, its length behind it."""
+    raw = text.encode()
+    return codec.compress(raw, asbytes=True) + len(raw).to_bytes(8, "little")
 
 
 def rows_of(blocks: DataFrame, *columns: str) -> DataFrame:
@@ -348,14 +356,7 @@ def _classes(blocks: DataFrame, size: int, threshold: float, bands: int, rows: i
     release(slots, shared, filled, leaders)
     touched = classes.join(popular.select("node"), "node").select("row", "node", "df")
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = pa.Codec("zstd", 1)
-        for batch in batches:
-            raw = [t.encode() for t in batch.column(1).to_pylist()]
-            packed = [codec.compress(t, asbytes=True) + len(t).to_bytes(8, "little") for t in raw]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), batch.column(2)], names=["node", "words", "df"])
-
-    texts_of = settle(rows_of(blocks, "text").join(touched, "row").select("node", "text", "df").mapInArrow(pack, "node binary, words binary, df binary"))
+    texts_of = settle(rows_of(blocks, "words").join(touched, "row").select("node", "words", "df"))
     masses = settle(classes.join(popular.select("node"), "node").select("node", "mass"))
     release(classes, popular)
     sweep(spark)
@@ -437,4 +438,19 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     best = named.groupBy("node").agg(first).join(comps, "node", "left").groupBy(F.coalesce("comp", "node")).agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
     gone = settle(named.select("row").join(best, "row", "left_anti"))
     release(named, comps)
-    return rows_of(blocks, "rest").join(gone, "row", "left_anti").select("rest.*").select(*df.columns)
+    others = [c for c in df.columns if c != text_col]
+    kept = rows_of(blocks, "rest", "words").join(gone, "row", "left_anti").select("words", *[F.col(f"rest.c{i}").alias(f"c{i}") for i in range(len(others))])
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd")
+        for batch in batches:
+            sized = pa.RecordBatch.from_arrays([pc.fill_null(batch.column(0), bytes(8))], names=["words"])
+            for low, high in _unpacked(sized, 0):
+                part = batch.slice(low, high - low)
+                texts = [None if x is None else _text(x, codec).decode() for x in part.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *part.columns[1:]], names=["text", *part.schema.names[1:]])
+
+    types = dict(kept.dtypes)
+    named = kept.mapInArrow(unpacked, ", ".join(["text string", *[f"c{i} {types[f'c{i}']}" for i in range(len(others))]]))
+    names = {c: f"c{i}" for i, c in enumerate(others)} | {text_col: "text"}
+    return named.select(*[F.col(names[c]).cast(df.schema[c].dataType).alias(c) for c in df.columns])
