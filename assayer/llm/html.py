@@ -1,10 +1,16 @@
 """Main text of web pages by minimum cut.
 
 A page is read once, left to right, into blocks of text with their place in the
-DOM. A linear classifier gives each block its log-odds of being content; they
-become the capacities to the two terminals. Neighbours in the page, and
-neighbours under the same element, are joined by smoothness edges. The minimum cut
-of that graph, found by maximum flow, labels all blocks of the page at once.
+DOM. A linear classifier gives each block its log-odds of being content, from its
+words and links and from the elements around it; they become the capacities to the
+two terminals. Neighbours in the page, and neighbours under the same element, are
+joined by smoothness edges. The minimum cut of that graph, found by maximum flow,
+labels all blocks of the page at once.
+
+No element settles what is in it: each element around a block adds to its log-odds,
+for or against, and what the names of an element say weighs the less, the more of a
+page's main part it holds (a form or a layout around a whole page, say). Blocks whose
+own score is weak go with their neighbours.
 
 Pages are independent of each other: one map over Arrow batches, no shuffle.
 """
@@ -20,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrow import slices
+
 #: Elements whose whole content is not text of the page, forms' parts among them.
 DROPPED = "script|style|noscript|template|svg|math|iframe|object|textarea|select|button|title|canvas|audio|video|datalist"
 TOKEN = re.compile(
@@ -36,6 +44,7 @@ BLOCKS = LEAVES | frozenset(
     "html head body div section article main nav header footer aside form fieldset ul ol li dl menu table thead tbody tfoot tr td th "
     "blockquote figure details dialog center hr search hgroup label option optgroup".split()
 )
+HEADS = frozenset("h1 h2 h3".split())
 VOID = frozenset("br hr img input meta link area base col embed source track wbr".split())
 SPACED = frozenset("br td th img input wbr".split())
 #: Elements and roles that are never part of an article.
@@ -49,56 +58,79 @@ NOT_CONTENT_NAMES = frozenset(
     "pagination pager login signup search form copyright legal disclaimer toolbar skip hidden offscreen".split()
 )
 CONTENT_NAMES = frozenset("article articlebody content post entry story main maincontent body text prose".split())
-#: Weights of the classifier (log-odds that a block is content).
-MARKED, IN_MAIN, OUTSIDE_MAIN, NAMED, LINKS, BIAS, PER_WORD, MOST_WORDS, SENTENCE, LISTED = -9.0, 7.0, -4.0, 1.5, -4.0, -0.8, 0.1, 25, 0.8, -0.4
+#: Words in names that say nothing by themselves.
+PLAIN_NAMES = frozenset("list box block area wrap wrapper container inner outer section item items link links bar row col column group holder region panel module unit head body title js is".split())
+#: Weights of the classifier (log-odds that a block is content): a tag or role that is never part of an article, names
+#: against and for content, the main part, outside of it, links, words, the end of a sentence, an item of a list.
+MARKED, AGAINST, FOR, IN_MAIN, OUTSIDE_MAIN = -6.0, -6.0, 0.8, 2.0, -1.5
+LINKS, BIAS, PER_WORD, MOST_WORDS, SENTENCE, LISTED, HEADED = -3.0, -0.8, 0.1, 20, 0.8, -0.4, 0.4
 #: Smoothness between neighbours under one element, between other neighbours, and between the next under one element.
 SAME, NEXT, NEAR = 1.0, 0.3, 0.5
 
 
 class _Element:
-    __slots__ = ("tag", "state", "named", "main")
+    """An element that is open: what it says by its tag (hard) and by its names (soft), and what it turns out to hold."""
+
+    __slots__ = ("tag", "up", "hard", "soft", "names_for", "main", "mains", "words")
+
+    def __init__(self, tag: str, up: _Element | None, hard: float = 0.0, soft: float = 0.0, names_for: int = 0, main: bool = False):
+        self.tag, self.up, self.hard, self.soft, self.names_for, self.main = tag, up, hard, soft, names_for, main
+        self.mains, self.words = 0, 0
 
-    def __init__(self, tag: str, state: int, named: int, main: bool):
-        self.tag, self.state, self.named, self.main = tag, state, named, main
+
+def _names(value: str) -> tuple[float, int]:
+    """How far the names of an element speak against content (0 to 1), and how many speak for it."""
+    against, speak_for = 0.0, 0
+    for name in value.split():
+        if name.startswith(("has-", "with-", "no-", "has_", "with_", "no_")):
+            continue
+        words = [w for w in re.split(r"[-_:.0-9]+", name) if w]
+        telling = [w for w in words if w not in PLAIN_NAMES]
+        bad = sum(w in NOT_CONTENT_NAMES for w in words)
+        if bad:
+            against = max(against, bad / max(1, len(telling)))
+        speak_for += any(w in CONTENT_NAMES for w in words)
+    return min(1.0, against), speak_for
 
 
 def _mark(tag: str, attrs: str, up: _Element) -> _Element:
-    """The element's state: -1 not content, 1 inside the main part, 0 neither; and how many names speak for content."""
-    state, named, main = up.state, up.named, up.main
-    names: set[str] = set()
-    role = ""
-    hidden = False
+    hard = soft = 0.0
+    speak_for, role, main = 0, "", False
     if attrs and attrs.strip(" /"):
         for m in ATTRIBUTE.finditer(attrs):
             key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if key in ("class", "id", "itemprop"):
-                for name in value.split():
-                    if not name.startswith(("has-", "with-", "no-", "has_", "with_", "no_")):
-                        names.update(re.split(r"[-_:.0-9]+", name))
+                against, good = _names(value)
+                soft, speak_for = min(soft, AGAINST * against), speak_for + good
+                main |= "articlebody" in value.split()
             elif key == "role":
                 role = value
-            elif key == "style":
-                hidden |= "display:none" in value.replace(" ", "")
-            elif key == "hidden":
-                hidden = True
-            elif key == "aria-hidden":
-                hidden |= value == "true"
-    if state < 0:
-        return _Element(tag, state, named, main)
-    outer = tag in ("html", "body")
-    if hidden or tag in NOT_CONTENT or role in NOT_CONTENT_ROLES or (tag == "header" and not main) or (names & NOT_CONTENT_NAMES and not outer and tag not in ("main",)):
-        return _Element(tag, -1, named, main)
-    if names & CONTENT_NAMES:
-        named += 1
-    if tag in ("article", "main") or role in ("main", "article") or "articlebody" in names:
-        state, main = 1, True
-    return _Element(tag, state, named, main)
+            elif key == "hidden" or (key == "style" and "display:none" in value.replace(" ", "")) or (key == "aria-hidden" and value == "true"):
+                hard = 2 * MARKED
+    if tag in ("article", "main") or role in ("main", "article"):
+        # such an element is a teaser or a comment only if its names say nothing else
+        main, soft = True, soft if soft <= AGAINST else 0.0
+    if tag in ("html", "body"):
+        soft = 0.0
+    if tag == "form" or role == "form":
+        soft = min(soft, AGAINST)  # there are forms around whole pages
+    elif tag in NOT_CONTENT or role in NOT_CONTENT_ROLES or (tag == "header" and not _within(up)):
+        hard = min(hard, MARKED)
+    return _Element(tag, up, hard, soft, speak_for, main and soft > AGAINST)
+
+
+def _within(e: _Element | None) -> bool:
+    while e is not None:
+        if e.main:
+            return True
+        e = e.up
+    return False
 
 
 def blocks(page: str) -> list[tuple[str, float, int]]:
     """(text, log-odds of being content, number of its element) of each block, in page order."""
-    out: list[list] = []
-    stack = [_Element("", 0, 0, False)]
+    out: list[tuple] = []
+    stack = [_Element("", None)]
     numbers, counter = [0], 0
     parts: list[str] = []
     linked: list[str] = []
@@ -111,14 +143,25 @@ def blocks(page: str) -> list[tuple[str, float, int]]:
                 top = stack[-1]
                 share = len("".join(linked)) / max(1, len("".join(parts)))
                 parent = numbers[-2] if top.tag in LEAVES and len(numbers) > 1 else numbers[-1]
-                out.append([text, top, min(1.0, share), parent, top.tag])
+                out.append((text, top, min(1.0, share), parent))
+                top.words += text.count(" ") + 1
             parts.clear()
             linked.clear()
 
     def pop_to(size: int) -> None:
+        for e in reversed(stack[size:]):
+            e.up.words += e.words
+            e.up.mains += e.mains + (e.main and not e.hard)
         del stack[size:]
         del numbers[size:]
 
+    def push(e: _Element) -> None:
+        nonlocal counter, has_main
+        counter += 1
+        stack.append(e)
+        numbers.append(counter)
+        has_main |= e.main and not e.hard
+
     for m in TOKEN.finditer(page):
         if m.start() > at:
             piece = page[at : m.start()]
@@ -142,11 +185,9 @@ def blocks(page: str) -> list[tuple[str, float, int]]:
         if tag not in BLOCKS:
             # inline: only what is marked as not content matters
             attrs = m["attrs"] or m["attrs2"] or ""
-            if not closing and ("class" in attrs or "hidden" in attrs or "none" in attrs) and tag not in VOID and not attrs.endswith("/") and _mark(tag, attrs, stack[-1]).state < 0 <= stack[-1].state:
+            if not closing and ("class" in attrs or "hidden" in attrs or "none" in attrs) and tag not in VOID and not attrs.endswith("/") and (e := _mark(tag, attrs, stack[-1])).hard + e.soft < AGAINST / 2:
                 flush()
-                counter += 1
-                stack.append(_mark(tag, attrs, stack[-1]))
-                numbers.append(counter)
+                push(e)
             elif closing and len(stack) > 1 and stack[-1].tag == tag:
                 flush()
                 pop_to(len(stack) - 1)
@@ -174,24 +215,38 @@ def blocks(page: str) -> list[tuple[str, float, int]]:
                     break
                 if stack[i].tag in ("ul", "ol", "menu", "table", "dl"):
                     break
-        counter += 1
-        stack.append(_mark(tag, m["attrs"] or m["attrs2"] or "", stack[-1]))
-        numbers.append(counter)
-        has_main |= stack[-1].state > 0
+        push(_mark(tag, m["attrs"] or m["attrs2"] or "", stack[-1]))
     if at < len(page):
         parts.append(page[at:])
         if in_link:
             linked.append(page[at:])
     flush()
+    pop_to(1)
+    total = stack[0].words
+    evidence: dict[int, tuple[float, bool]] = {}
+
+    def around(e: _Element) -> tuple[float, bool]:
+        """What an element and those around it add to the log-odds, and whether one is the main part."""
+        chain = []
+        while e is not None and id(e) not in evidence:
+            chain.append(e)
+            e = e.up
+        log_odds, main = evidence[id(e)] if e is not None else (0.0, False)
+        for e in reversed(chain):
+            names = e.soft
+            if names and not main and (e.mains == stack[0].mains if has_main else e.words > 0.6 * total):
+                names = 0.0  # what holds all of the page's main part is called so for another reason
+            log_odds = max(-12.0, log_odds + e.hard + names + FOR * min(e.names_for, 2))
+            main |= e.main
+            evidence[id(e)] = log_odds, main
+        return log_odds, main
+
     found = []
-    for text, top, share, parent, tag in out:
-        if top.state < 0:
-            score = MARKED
-        else:
-            words = text.count(" ") + 1
-            score = BIAS + PER_WORD * min(words, MOST_WORDS) + LINKS * share + NAMED * min(top.named, 2)
-            score += SENTENCE * (text[-1] in ".!?…\"”»") + LISTED * (tag == "li")
-            score += IN_MAIN if top.state > 0 else OUTSIDE_MAIN if has_main else 0.0
+    for text, top, share, parent in out:
+        log_odds, main = around(top)
+        score = BIAS + PER_WORD * min(text.count(" ") + 1, MOST_WORDS) + LINKS * share + min(log_odds, 2 * FOR)
+        score += SENTENCE * (text[-1] in ".!?…\"”»") + LISTED * (top.tag == "li") + HEADED * (top.tag in HEADS)
+        score += IN_MAIN if main else OUTSIDE_MAIN if has_main else 0.0
         found.append((text, score, parent))
     return found
 
@@ -288,14 +343,15 @@ def main_text(page: str | None) -> str:
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Main text of every row's page: page_id, url, text, n_chars (code points of text).
 
-    A null or empty page has an empty text. Null ids and urls stay null, repeated rows
-    are repeated, an empty table gives no rows. Other columns of df are not read.
+    A null or empty page has an empty text; a very long one is read whole, in time that
+    grows with its blocks. A block whose score is zero goes with its neighbours, and is
+    no content without any. Null ids and urls stay null, repeated rows are repeated, an
+    empty table gives no rows. Other columns of df are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, 1024):
-                part = batch.slice(low, 1024)
+            for part in slices(batch, 2):
                 texts = [main_text(p) for p in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

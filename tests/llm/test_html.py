@@ -33,6 +33,32 @@ def test_a_page_without_structure_keeps_its_sentences():
     assert pages.main_text(page) == "Just text with no structure, but a long sentence.\nAnother paragraph follows here and ends."
 
 
+def test_names_and_wrappers_do_not_settle_what_a_page_holds():
+    text = "<p>Some text that goes on for a while, with many words in it, really.</p><p>And more of it here, as one would expect from a page, at some length.</p>"
+    want = "Some text that goes on for a while, with many words in it, really.\nAnd more of it here, as one would expect from a page, at some length."
+    aside = '<div class="sidebar-left"><p>Look at this one. It is good and cheap, and you will like it.</p></div>'
+    comment = '<section class="comments"><article class="comment"><p>I like this very much, as long as it is, thank you for it.</p></article></section>'
+    for page in (
+        f'<form id="aspnetForm"><div>{text}</div></form><footer>bye</footer>',
+        f'<article class="post category-social">{text}</article>{aside}',
+        f'<article class="post comments-open">{text}</article>{comment}',
+        f'<div class="layout sidebar-left"><nav><a href="/">Home</a></nav><div>{text}</div></div><footer>Copyright</footer>',
+        f'<form action="/subscribe"><p>Give us your address and we will write to you.</p><label>E-mail</label></form><main>{text}</main>',
+        f'<div id="content">{text}</div><form><p>Name and address, please, so that we may write to you every day.</p></form>{comment}',
+    ):
+        assert pages.main_text(page) == want, page
+
+
+def test_the_cut_decides_where_a_block_alone_would_go_the_other_way():
+    page = """<div><h4>Head</h4><p>Some text that goes on for a while, with many words in it, really.</p><p>Indeed so</p>
+    <p>And more of it here, as one would expect from a page, at some length.</p></div>
+    <ul><li><a href=a>Home</a></li><li>Longer words between the links here.</li><li><a href=b>About</a></li><li><a href=c>Us</a></li></ul>"""
+    found = pages.blocks(page)
+    flipped = [text for (text, score, _), content in zip(found, pages.label(found), strict=True) if (score > 0) != content]
+    assert "Head" in flipped and "Indeed so" in flipped
+    assert pages.main_text(page).split("\n")[:4] == [f[0] for f in found[:4]]
+
+
 def test_cut_is_minimal():
     rng = random.Random(5)
     for _ in range(60):
