@@ -48,7 +48,7 @@ def op8_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"), ["doc_id"])
     base = F.filter("spans", lambda s: s["base"])
-    n = [pii.count(base, name).alias(f"n_{name}") for name in pii.KINDS]
+    n = [pii.count(base, name).alias(f"n_{name}") for name in pii.BASE_KINDS]
     return found.select("doc_id", *n, F.sha2(pii.digest(base), 256).alias("base_sha256"), pii.digest(F.col("spans")).alias("spans"))
 
 
