@@ -6,10 +6,11 @@ first, into the open window whose free space is the smallest that still holds it
 A segment tree over the free capacities finds that window in O(log window).
 
 Packing needs only lengths, so tokens never leave the task that made them: the
-scan emits one small row per piece (with the checksum of its ids), and those rows
-are dealt by hash into groups of a bounded expected size, packed one group per
-task. Groups are numbered, so that sequence ids are unique and independent of
-physical partitions.
+scan emits one small row per piece (with the checksum of its ids), which is written
+with its place. Full windows are sequences as they are; the other pieces are dealt by
+the hash of their place, so that repeated rows spread like all others, into groups of
+a bounded expected size, packed one group per task. Sequence ids are even for packed
+windows, by group, and odd for full ones, by place.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import slices, take
+from .common import settle
 
 #: How the tokenizer splits lower-cased text into words.
 WORD = r"('s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+)"
@@ -106,11 +108,14 @@ class TextEncoder:
 
 
 def cut(df: DataFrame, id_col: str, text_col: str, window: int, tokenizer_path: str, end_id: int, with_ids: bool = False) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens and, if asked for, the ids."""
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, place (the piece's number) and, if asked for, the ids."""
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, place long" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         encoder, end = TextEncoder(tokenizer_path), np.array([end_id], np.uint32)
+        place = TaskContext.get().partitionId() << 36
         for batch in batches:
             for part in slices(batch, 1):
                 flat, lengths = encoder.encode(part.column(1))
@@ -128,8 +133,9 @@ def cut(df: DataFrame, id_col: str, text_col: str, window: int, tokenizer_path:
                         total.append(n + 1)
                         if with_ids:
                             ids.append(piece.astype(np.int32))
-                columns = [pa.array(x, pa.int64()) for x in (doc, start, length, crc, total)]
-                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+                columns = [pa.array(x, pa.int64()) for x in (doc, start, length, crc, total, range(place, place + len(doc)))]
+                place += len(doc)
+                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "place"]
                 if with_ids:
                     columns.append(pa.array(ids, pa.list_(pa.int32())))
                     names.append("ids")
@@ -198,21 +204,24 @@ def pack(
     """Pack every row's text into sequences of at most `window` ids.
 
     Returns one row per piece: doc_id, start, length, ids_crc32, doc_tokens,
-    sequence_id, offset (and ids). A null text counts as empty: its one piece is the
-    end id. A repeated row is packed as often as it occurs. A null id is kept as a
-    null id. An empty table gives no rows. Columns of df other than the two named are
+    sequence_id, offset (and ids, before these two). A null text counts as empty: its one
+    piece is the end id. A very long text is cut into full windows and a rest. A repeated
+    row is packed as often as it occurs. A null id is kept as a null id. An empty table gives no rows. Columns of df other than the two named are
     not read, so that their names cannot clash. `group_rows` is the number of
     documents that are packed together: more rows give less padding and larger tasks.
     """
-    pieces = cut(df, id_col, text_col, window, tokenizer_path or default_tokenizer(), end_id, with_ids)
-    groups = max(1, math.ceil(df.count() / group_rows))
-    extra = ", ids array<int>" * with_ids
-    schema = f"doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long{extra}"
+    pieces = settle(cut(df, id_col, text_col, window, tokenizer_path or default_tokenizer(), end_id, with_ids))
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids]
+    rest = pieces.where(F.col("length") < window)
+    groups = max(1, math.ceil(rest.count() / group_rows))
+    types = dict(pieces.dtypes)
+    schema = ", ".join([*[f"{c} {types[c]}" for c in columns], "sequence_id long, offset long"])
 
     def place(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
+        rows = rows.sort_values(["length", "doc_id", "start", "ids_crc32", "place"], ascending=[False, True, True, True, True], kind="stable", ignore_index=True)
         number, offset = best_fit_decreasing(rows["length"].to_numpy(), window)
-        return rows.drop(columns="grp").assign(sequence_id=number * groups + int(key[0]), offset=offset)
+        return rows[columns].assign(sequence_id=2 * (number * groups + int(key[0])), offset=offset)
 
-    # the start takes part in the key: a very long document spreads over all groups
-    return pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups))).groupBy("grp").applyInPandas(place, schema)
+    full = pieces.where(F.col("length") >= window).select(*columns, (2 * F.col("place") + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    packed = rest.withColumn("grp", F.pmod(F.xxhash64("place"), F.lit(groups))).groupBy("grp").applyInPandas(place, schema)
+    return packed.select(*columns, "sequence_id", "offset").unionByName(full)

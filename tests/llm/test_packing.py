@@ -80,3 +80,22 @@ def test_odd_rows(spark):
     twice = spark.createDataFrame([(None, "one two", "x")] * 2, "doc_id long, text string, start string")
     got = packing.pack(twice, with_ids=True).collect()
     assert [(r["doc_id"], len(r["ids"])) for r in got] == [(None, r["length"]) for r in got] and len(got) == 2
+
+
+def test_one_row_repeated_many_times_spreads_over_the_groups(spark):
+    df = spark.createDataFrame([(7, "the same short text")] * 3000 + [(8, "word " * 300)] * 20, "doc_id long, text string").repartition(6)
+    rows = packing.pack(df, window=64, group_rows=100).collect()
+    assert len(rows) == 3000 + 20 * len({r["start"] for r in rows if r["doc_id"] == 8})
+    groups = max(r["sequence_id"] for r in rows if r["sequence_id"] % 2 == 0)
+    assert groups > 60  # many groups have rows of it
+    sequences = {}
+    for r in rows:
+        sequences.setdefault(r["sequence_id"], []).append(r)
+    for own in sequences.values():
+        at = 0
+        for r in sorted(own, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= 64
+    assert sum(r["length"] for r in rows) / (64 * len(sequences)) > 0.9
+    assert all(len(own) == 1 and own[0]["length"] == 64 for k, own in sequences.items() if k % 2)
