@@ -5,9 +5,10 @@ not given: languages whose mean vectors lie close together are clustered. Linear
 support vector machines, one for each pair, tell the families apart, and within a
 family its languages.
 
-Learning reads a sample of at most `per_language` rows a language in expectation (a
-fixed share of the hash range, so that the same rows are drawn whatever the
-partitions). Prediction is one map over Arrow batches: since the machines are
+Learning reads a sample of at most `per_language` distinct texts of each language (those
+with the smallest hashes within a share of the hash range, so that the same rows are
+drawn whatever the partitions); every language that has a row with letters is learned.
+Prediction is one map over Arrow batches: since the machines are
 linear, a document's margins are means of its n-grams' weights, and no vector is
 built.
 """
@@ -21,7 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow import slices
@@ -171,18 +172,22 @@ class Model:
         return langs.tolist(), 1 / (1 + np.exp(-2 * np.clip(sure, -20, 20)))
 
 
-def learn(df: DataFrame, id_col: str, text_col: str = "text", lang_col: str = "lang", per_language: int = 1_000, languages: int = 200) -> Model | None:
-    """A model from the rows of df that have a language; None if there are none.
+def learn(df: DataFrame, id_col: str, text_col: str = "text", lang_col: str = "lang", per_language: int = 1_000) -> Model | None:
+    """A model from the rows of df that have a language and a letter; None if there are none.
 
-    The sample takes about `per_language` rows of each of the `languages` most frequent
-    languages, by hash of the id and the text.
+    The sample takes at most `per_language` rows of each language, by hash of the id and
+    the text; of rows that repeat it takes one. (A language whose rows are all drawn
+    late in the hash range still has some: the share is twice what is needed.)
     """
-    rows = df.where(F.col(lang_col).isNotNull())
-    counts = rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
+    rows = df.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(id_col, text_col, F.lit(17)).alias("hash")).where(F.col("text").rlike(r"\p{L}"))
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("hash").alias("n")).collect()
     if not counts:
         return None
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, per_language / r["n"])))])
-    place = F.pmod(F.xxhash64(id_col, F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 2 * per_language / max(1, r["n"]))))])
+    place = F.pmod("hash", F.lit(1 << 30)) / F.lit(float(1 << 30))
+    drawn = rows.where(place < share[F.col("lang")]).dropDuplicates(["lang", "hash"])
+    first = Window.partitionBy("lang").orderBy(F.pmod("hash", F.lit(1 << 30)), "hash")
+    sample = drawn.withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_language).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,8 +195,7 @@ def learn(df: DataFrame, id_col: str, text_col: str = "text", lang_col: str = "l
                 found = list(vectors(part.column(1)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([i.tobytes() for i, _ in found], pa.binary()), pa.array([v.tobytes() for _, v in found], pa.binary())], names=["lang", "ids", "values"])
 
-    sample = rows.where(place < F.coalesce(share[F.col(lang_col)], F.lit(0.0))).select(F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"))
-    got = sample.where(F.col("text").rlike(r"\p{L}")).mapInArrow(run, "lang string, ids binary, values binary").collect()
+    got = sample.mapInArrow(run, "lang string, ids binary, values binary").collect()
     got = sorted(got, key=lambda r: (r["lang"], r["ids"]))
     if not got:
         return None
@@ -202,7 +206,8 @@ def predict(df: DataFrame, model: Model | None, keys: list[str | Column], text_c
     """The key columns, lang_pred and score (0 to 1) of every row's whole text.
 
     Null texts, and texts without a letter, are `und` with score 0, as are all without a
-    model. Rows are neither dropped nor merged; an empty table gives no rows. Other
+    model. Very long texts are read whole. Of languages with equally many duels and equal
+    margins the first in its family wins. Rows are neither dropped nor merged; an empty table gives no rows. Other
     columns of df are not read.
     """
     own = df.select(*keys, F.col(text_col).cast("string").alias("__text"))

@@ -1,7 +1,10 @@
+import collections
+import math
 import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from assayer.llm import langid, queries
 
@@ -42,6 +45,51 @@ def test_margins_are_those_of_the_vectors():
     assert np.abs(model.margins(texts.slice(3, 9)) - plain[3:12]).max() < 1e-3
 
 
+def test_predictions_match_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    model = langid.learn(docs.where(remainder != 2), "doc_id")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in queries.op4_language_families(spark, SF).collect()}
+    rows = docs.select("doc_id", "text").collect()
+    for r in rows[::3]:
+        text = r["text"] or ""
+        if not any(c.isalpha() for c in text):
+            assert got[r["doc_id"]] == ("und", 0.0)
+            continue
+        # byte n-grams counted one by one, machines applied one by one
+        raw = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in text.lower().encode())
+        grams, n = collections.Counter(), 0
+        for i, b in enumerate(raw):
+            if b != 32:
+                n += 1
+                key = 0
+                for order in range(1, 5):
+                    key |= (raw[i - order + 1] if i >= order - 1 else 32) << 8 * (order - 1)
+                    grams[((key * 2654435761 + (order * 0x9E3779B1 & 0xFFFFFFFF)) & 0xFFFFFFFF) >> 16] += 1
+        margin = [sum(k * langid.SCALE / n * float(model.weights[g, m]) for g, k in grams.items()) + model.biases[m] for m in range(len(model.machines))]
+
+        def duels(kind, names, margin=margin):
+            wins, least = collections.Counter(), dict.fromkeys(range(names), 20.0)
+            for (of, a, b), x in zip(model.machines, margin, strict=True):
+                if of == kind:
+                    wins[a if x >= 0 else b] += 1
+                    least[a], least[b] = min(least[a], x), min(least[b], -x)
+            best = max(range(names), key=lambda c: wins[c])
+            return best, least[best]
+
+        family, sure = duels(-1, len(model.groups))
+        lang, own = duels(family, len(model.groups[family]))
+        assert got[r["doc_id"]][0] == model.groups[family][lang]
+        assert abs(got[r["doc_id"]][1] - 1 / (1 + math.exp(-2 * max(-20, min(20, sure, own))))) < 1e-3
+
+
+def test_every_language_is_learned_and_repeated_rows_do_not_crowd_the_sample(spark):
+    rows = [(i, f"{chr(97 + k % 26)}{chr(97 + k // 26)}o " * 9 + f"q{i}", f"l{k}") for k in range(230) for i in range(3)]
+    rows += [(5, "same text again", "aa")] * 500 + [(10_000 + i, f"other words {i} here", "aa") for i in range(40)]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", per_language=4)
+    assert sum(map(len, model.groups)) == 231
+
+
 def test_odd_rows(spark):
     docs = [(i, t, x, 0.5) for i, (x, t) in enumerate(made(20))]
     odd = [(900, None, "aa", 0.5), (901, "", None, 0.5), (902, "12 ... !", "xa", 0.5), (903, "ring " * 50_000, None, 0.5), (None, "kala mala", None, 0.5), (None, "kala mala", None, 0.5)]
