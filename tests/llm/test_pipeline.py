@@ -49,3 +49,23 @@ def test_each_stage_does_its_job_on_what_the_one_before_kept(spark):
 def test_run_gives_the_pieces(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and out.count() > 0
+
+
+def test_odd_rows(spark, tmp_path):
+    text = "some words that are long enough to be told apart by their shingles of five words each"
+    rows = [(1, None), (2, ""), (None, text), (3, text), (3, text), (3, text + " and others here that differ from all that came before it, by very much indeed as one can see"), (4, "write to bob@x.org, please, all of you who read this")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 7, "row", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, node string, __spans int")
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, None), (2, "not in any document at all, this")], "item_id long, text string")
+    for name, df in (("documents", docs), ("labels", labels), ("benchmark", bench)):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    got = sorted((r["doc_id"] or 0, r["doc_tokens"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert [k for k, _ in got] == [1, 2, 3, 3, 4] and got[0][1] == got[1][1] == 1
+    current = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        current = stage(spark, current, str(tmp_path))
+        assert current.schema.names == docs.schema.names and [f.dataType for f in current.schema] == [f.dataType for f in docs.schema]
+    empty = tmp_path / "empty"
+    for name, df in (("documents", docs), ("labels", labels), ("benchmark", bench)):
+        df.limit(0).write.parquet(f"{empty}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0
