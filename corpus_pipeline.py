@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from assayer.llm import decontamination, minhash, packing, pii, toxicity
-from assayer.llm.common import settle, table
+from assayer.llm.common import release, settled, table
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,15 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of packing (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of what all stages kept.
+
+    Each stage's documents are written before the next one reads them, and go when that
+    one is done, with all that it wrote on the way. Documents with a null id, a null or
+    empty text or repeated rows pass through as the stages define it; an empty table gives
+    no rows. Other columns of documents go along and are dropped by the last stage.
+    """
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = settle(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    for _, stage in STAGES:
+        before, docs = docs, settled(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
+        release(before)
+    return docs
