@@ -44,7 +44,7 @@ DAMPING = 0.25
 BLOCK_BYTES, RANGE = 12 << 20, 1 << 21
 #: Bits of a row's number for its place in its block.
 PLACE = 20
-#: Pairs of a leader, and weight of a group's members, in a part, about.
+#: Members of a group, and their weight, in a part, about.
 SHARE, PART = 512, 1 << 18
 
 
@@ -377,7 +377,8 @@ def _classes(blocks: DataFrame, size: int, threshold: float, bands: int, rows: i
     apart = settle(counted.groupBy("a").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("comps")).where("comps > 1 and n > 2").select("a", "main"))
     rest = settle(placed.where("a <> node").join(apart, "a").select("a", "node", "comp", (F.col("comp") == F.col("main")).alias("in_main")).join(masses, "node"))
     release(stars, placed, apart, masses)
-    parts = rest.groupBy("a").agg(*[F.ceil(F.sum(m) / F.lit(float(PART))).cast("int").alias(k) for k, m in (("parts_x", F.when(~F.col("in_main"), F.col("mass"))), ("parts_y", F.col("mass")))])
+    share = F.greatest(F.col("mass") / F.lit(float(PART)), F.lit(1.0 / SHARE))
+    parts = rest.groupBy("a").agg(*[F.ceil(F.sum(m)).cast("int").alias(k) for k, m in (("parts_x", F.when(~F.col("in_main"), share)), ("parts_y", share))])
     parts = settle(parts.where("parts_x is not null"))
     bags = settle(_weighed(texts_of.join(rest.select("node").distinct(), "node", "left_semi"), size, total))
     release(texts_of)
