@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import time
 import uuid
 import weakref
 from collections.abc import Callable, Sequence
@@ -81,5 +82,7 @@ def settled(make: Callable[[], DataFrame]) -> DataFrame:
 
 
 def sweep(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished queries now; it does so when the driver's heap is collected."""
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark drop the shuffle files of finished queries now; it does so when the driver's heap is collected, the second time."""
+    for _ in range(2):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
