@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 from .common import release, settle, sweep
 from .graph import components
 
-DEGREE, POOL, ALPHA, MEDOIDS, BEAM = 32, 64, 1.2, 8, 32
-SPREAD = 3.0
+DEGREE, POOL, ALPHA, MEDOIDS, BEAM = 32, 64, 1.2, 8, 12
+SPREAD = 1.5
 
 
 def _classes(batches):
