@@ -6,8 +6,11 @@ import hashlib
 import json
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, StringType
 
 
 def line_class(raw: Column) -> Column:
@@ -53,6 +56,34 @@ def renderings(value: Any) -> list[str]:
     return [x for x in dict.fromkeys(out) if x not in ("", "{}", "null")]
 
 
+@pandas_udf(StringType())
+def canonical_text(texts: pd.Series) -> pd.Series:
+    """Each JSON text in canonical form; null if it is none, or holds a floating-point number."""
+
+    def one(text: str) -> str | None:
+        try:
+            return canonical(json.loads(text))
+        except ValueError:
+            return None
+
+    return texts.map(one, na_action="ignore")
+
+
+@pandas_udf(ArrayType(StringType()))
+def answer_needles(texts: pd.Series) -> pd.Series:
+    """The ways in which an answer, JSON, may stand in a text: the answer, and its arguments if it has some, in all renderings; a text that is no JSON stands for itself."""
+
+    def one(text: str) -> list[str]:
+        try:
+            value = json.loads(text)
+        except ValueError:
+            return [text] if text else []
+        own = value.get("arguments") if isinstance(value, dict) else None
+        return [x for y in (value, *([own] if isinstance(own, dict) and own else [])) for x in renderings(y)]
+
+    return texts.map(one, na_action="ignore")
+
+
 def value_or_text(captured: Column) -> Column:
     """Captured output as a variant: the JSON it is, else the text itself."""
     return F.coalesce(F.try_parse_json(captured), F.to_variant_object(F.struct(captured.alias("text"))))

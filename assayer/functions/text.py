@@ -51,3 +51,19 @@ def ngram_keys(ids: Column, n: int) -> Column:
     grams = F.when(F.size(ids) >= n, F.transform(F.sequence(F.lit(1), F.size(ids) - (n - 1)), lambda i: F.slice(ids, i, F.lit(n)))).otherwise(F.expr("cast(array() as array<array<int>>)"))
     full = F.filter(grams, lambda g: ~F.array_contains(g, 0))
     return F.transform(full, lambda g: F.aggregate(g, F.lit(0).cast("bigint"), lambda acc, b: acc * 257 + b))
+
+
+def packed_ngrams(ids: Column, n: int) -> Column:
+    """Keys of the runs of n byte ids (1 to 256), a byte for each id less one; runs with another id are left out. n is at most 8."""
+    grams = F.when(F.size(ids) >= n, F.transform(F.sequence(F.lit(1), F.size(ids) - (n - 1)), lambda i: F.slice(ids, i, F.lit(n)))).otherwise(F.expr("cast(array() as array<array<int>>)"))
+    full = F.filter(grams, lambda g: F.forall(g, lambda b: b.between(1, 256)))
+    return F.transform(full, lambda g: F.aggregate(g, F.lit(0).cast("bigint"), lambda acc, b: F.shiftleft(acc, 8).bitwiseOR((b - 1).cast("bigint"))))
+
+
+#: Fixed pattern of the byte-level tokenizers' first cut.
+PRE_TOKENS = r"(?i:'s|'t|'re|'ve|'m|'ll|'d)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+"
+
+
+def pre_tokens(text: Column) -> Column:
+    """The pieces of a text, in order, whose joined text is the text again; normalise before if the tokenizer does."""
+    return F.regexp_extract_all(text, F.lit(f"(?U){PRE_TOKENS}"), F.lit(0))

@@ -28,10 +28,26 @@ def paired_test(counts: DataFrame, required: int = 0) -> DataFrame:
 
 
 def regression(previous: DataFrame, current: DataFrame) -> DataFrame:
-    """(id, previous, current) of the ids in both; each has (id, correct)."""
+    """(id, previous, current) of the ids in both; each has (id, correct). See incomplete for what has no partner."""
     return previous.select("id", F.col("correct").alias("previous")).join(current.select("id", F.col("correct").alias("current")), "id")
 
 
+def incomplete(previous: DataFrame, current: DataFrame) -> DataFrame:
+    """(id, problem): missing_previous, missing_current or repeated, for ids that do not occur exactly once on both sides."""
+    sides = previous.select("id", F.lit(1).alias("p"), F.lit(0).alias("c")).unionByName(current.select("id", F.lit(0).alias("p"), F.lit(1).alias("c")))
+    counts = sides.groupBy("id").agg(F.sum("p").alias("p"), F.sum("c").alias("c"))
+    problem = F.when(F.col("p") == 0, "missing_previous").when(F.col("c") == 0, "missing_current").when((F.col("p") > 1) | (F.col("c") > 1), "repeated")
+    return counts.select("id", problem.alias("problem")).where("problem is not null")
+
+
+def regression_report(previous: DataFrame, current: DataFrame) -> DataFrame:
+    """transitions of two evaluations of the same records; ValueError if an id is missing on a side or repeats."""
+    wrong = incomplete(previous, current).groupBy("problem").agg(F.count("*").alias("n"), F.min("id").alias("first")).collect()
+    if wrong:
+        raise ValueError("; ".join(f"{r['problem']}: {r['n']} (first {r['first']})" for r in sorted(wrong, key=lambda r: r["problem"])))
+    return transitions(regression(previous, current))
+
+
 def transitions(pairs: DataFrame) -> DataFrame:
     """(transition, n, rate, lo, hi): kept, lost, gained, missed, each with the interval of its share of all rows."""
     name = F.when(F.col("previous") & F.col("current"), "kept").when(F.col("previous"), "lost").when(F.col("current"), "gained").otherwise("missed")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.jsontools import type_name
+from ..functions.times import log_epoch
+from ..sources.jsonl import lines
+
 
 def fold_duplicates(events: DataFrame, keys: list[str], order: list[str], copies: Column) -> DataFrame:
     """events with occurrences, claimed and origin (the order columns of the original that a summary claims).
@@ -31,6 +35,32 @@ def fold_duplicates(events: DataFrame, keys: list[str], order: list[str], copies
     return out.withColumn("claimed", claimed).withColumn("occurrences", occurrences).drop("__n", "__sum", "__low", "__before", "__level")
 
 
+#: Fixed limits of a log: bytes of a line and of the file; what its first line starts with is the caller's.
+MOST_LINE, MOST_FILE = 64 << 10, 256 << 20
+
+
+def scan(spark: SparkSession, path: str, header: str) -> DataFrame:
+    """(line, message, ts) of a log of JSON lines after one header line; ValueError if anything in it is not as it must be."""
+    rows = lines(spark, path)
+    size = rows.agg(F.sum(F.octet_length("raw") + 1).alias("bytes"), F.max(F.octet_length("raw")).alias("longest"), F.min_by("raw", "line").alias("first")).first()
+    if size["first"] is None or not size["first"].startswith(header):
+        raise ValueError("the header is missing")
+    if size["bytes"] > MOST_FILE or size["longest"] > MOST_LINE:
+        raise ValueError("the log or a line of it is too long")
+    v = F.try_parse_json("raw")
+    read = rows.where("line > 1").select("line", F.try_variant_get(v, "$.eventMessage", "string").alias("message"), type_name(v, "$.eventMessage").alias("kind"), log_epoch(F.try_variant_get(v, "$.timestamp", "string")).alias("ts"))
+    bad = read.where("kind is null or kind <> 'string'").agg(F.min("line").alias("line")).first()["line"]
+    if bad is not None:
+        raise ValueError(f"no event at line {bad}")
+    return read.drop("kind")
+
+
+def kept(events: DataFrame, order: list[str], most: int = 1000) -> DataFrame:
+    """The first `most` events in order, with truncated: whether there are more. The others are only counted."""
+    total = events.agg(F.count("*").alias("__n"))
+    return events.orderBy(*order).limit(most).crossJoin(F.broadcast(total)).withColumn("truncated", F.col("__n") > most).drop("__n")
+
+
 def within(events: DataFrame, ts_col: str, start: Column, end: Column, before: float = 2.0, after: float = 5.0) -> Column:
     """Whether an event lies in a window with slack (seconds) on both sides."""
     ts = F.col(ts_col).cast("timestamp").cast("double")

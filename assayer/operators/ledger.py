@@ -9,14 +9,20 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.digests import rows_digest
 from ..functions.jsontools import canonical, canonical_sha256
 
 
 def content_record(spark: SparkSession, path: str) -> dict[str, Any]:
-    """Digest and byte length of the files under path, by name; read where they lie."""
-    rows = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"), "length").collect()
-    files = {r["name"]: {"sha256": r["sha256"], "bytes": r["length"]} for r in rows}
-    return {"sha256": canonical_sha256(files), "bytes": sum(f["bytes"] for f in files.values()), "files": files}
+    """Digest, byte length and number of the files under path, by their paths below it; read where they lie."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    root = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).resolvePath(at).toUri().getPath()
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    rows = files.select(F.element_at(F.split("path", root, 2), -1).alias("name"), F.sha2("content", 256).alias("sha256"), "length")
+    found = rows_digest(rows, ["name", "sha256", "length"]).first()
+    size = rows.agg(F.sum("length").alias("bytes")).first()["bytes"] or 0
+    return {"sha256": found["digest"] if found else canonical_sha256([]), "bytes": size, "n_files": found["n"] if found else 0}
 
 
 def gate(frozen: dict[str, Any] | None, found: dict[str, Any] | None) -> str:

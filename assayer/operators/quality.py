@@ -71,10 +71,17 @@ def duplicate_inputs(records: DataFrame, key: Column, label_col: str, line_col:
     return keyed.join(groups, "key").select("line", F.when(F.col("a") == F.col("b"), "duplicate_input").otherwise("contradictory_label").alias("code"))
 
 
-def metadata_mixed(records: DataFrame, reasons: dict[str, Column], input_col: str = "input", id_col: str = "id") -> DataFrame:
-    """(id, reasons) of rows whose own metadata stands in their input. reasons: name -> needle; an empty needle is never found, but for `id`."""
-    hits = F.array_compact(F.array(*[F.when(F.contains(F.col(input_col), needle) & ((F.length(needle) > 0) | F.lit(name == "id")), name) for name, needle in reasons.items()]))
-    return records.select(F.col(id_col).alias("id"), hits.alias("reasons")).where(F.size("reasons") > 0)
+def metadata_mixed(records: DataFrame, reasons: dict[str, Column], input_col: str = "input", id_col: str = "id", answers: Column | None = None) -> DataFrame:
+    """(id, reasons) of rows whose own metadata stands in their input. reasons: name -> needle; an empty needle is never found, but for `id`.
+
+    answers, an array of the ways in which the row's answer may be written (see
+    jsontools.answer_needles), adds the reason `answer` if one of them is found.
+    """
+    text = F.col(input_col)
+    found = [F.when(F.contains(text, needle) & ((F.length(needle) > 0) | F.lit(name == "id")), name) for name, needle in reasons.items()]
+    if answers is not None:
+        found.append(F.when(F.exists(answers, lambda a: (F.length(a) > 0) & F.contains(text, a)), "answer"))
+    return records.select(F.col(id_col).alias("id"), F.array_compact(F.array(*found)).alias("reasons")).where(F.size("reasons") > 0)
 
 
 def input_leaks(parts: DataFrame, base: str = "train", input_col: str = "input", part_col: str = "part", id_col: str = "id") -> DataFrame:

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.digests import rows_digest
 from .quality import group_labels
 
 SPLITS = ("train", "validation", "test")
@@ -114,13 +115,38 @@ def allocations(groups: DataFrame) -> DataFrame:
 
 
 def digests(records: DataFrame, id_col: str = "id", input_col: str = "input", label_col: str = "label") -> DataFrame:
-    """(split, n, digest): a digest of each split's rows that does not depend on their order (xor of row hashes, both halves)."""
-    row = F.sha2(F.concat_ws("\x1f", id_col, F.hex(F.col(input_col).cast("binary")), label_col), 256)
-    halves = [F.bit_xor(F.conv(F.substring(row, 1 + 15 * k, 15), 16, 10).cast("bigint")).alias(f"h{k}") for k in range(4)]
-    return records.groupBy("split").agg(F.count("*").alias("n"), *halves).select("split", "n", F.concat_ws("-", *[F.hex(f"h{k}") for k in range(4)]).alias("digest"))
+    """(split, n, digest): a digest of each split's rows that does not depend on their order."""
+    return rows_digest(records, [id_col, input_col, label_col], ["split"])
 
 
 def verify(records: DataFrame, manifest: dict[str, tuple[int, str]]) -> list[str]:
     """Names of splits whose rows differ from the manifest {split: (n, digest)}."""
     found = {r["split"]: (r["n"], r["digest"]) for r in digests(records).collect()}
     return sorted(s for s in found.keys() | manifest.keys() if found.get(s) != manifest.get(s))
+
+
+def manifest(records: DataFrame, id_col: str = "id", input_col: str = "input", label_col: str = "label", group_col: str = "group_id") -> DataFrame:
+    """(split, n, n_groups, ids, content): what a split is known by; ids is a digest of its ids, content one of its rows.
+
+    The ids themselves stay a table, `select(id, split)` of records. ValueError if an id repeats.
+    """
+    if not records.groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        raise ValueError("a record's id repeats")
+    groups = records.select("split", group_col).distinct().groupBy("split").agg(F.count(group_col).alias("n_groups"))
+    ids = rows_digest(records, [id_col], ["split"]).select("split", F.col("digest").alias("ids"))
+    content = digests(records, id_col, input_col, label_col).select("split", "n", F.col("digest").alias("content"))
+    return content.join(groups, "split").join(ids, "split").select("split", "n", "n_groups", "ids", "content")
+
+
+def record(records: DataFrame, groups: DataFrame, seed: int, ratios: Ratios = Ratios(), **columns: str) -> dict:  # noqa: B008
+    """The record of a split: its seed and ratios, the manifest of each part, and the groups allotted by label. groups: of split_groups."""
+    parts = {r["split"]: {k: r[k] for k in ("n", "n_groups", "ids", "content")} for r in manifest(records, **columns).collect()}
+    allotted = {r["label"]: [r[s] for s in SPLITS] for r in allocations(groups).collect()}
+    return {"seed": seed, "ratios": [str(x) for x in (ratios.train, ratios.validation, ratios.test)], "splits": parts, "allocations": allotted}
+
+
+def verify_record(found: dict, stored: dict) -> list[str]:
+    """What differs between a record made anew and a stored one: seed, ratios, allocations, or a split with the field."""
+    wrong = [k for k in ("seed", "ratios", "allocations") if found.get(k) != stored.get(k)]
+    a, b = found.get("splits", {}), stored.get("splits", {})
+    return wrong + [f"{s}.{k}" for s in sorted(a.keys() | b.keys()) for k in ("n", "n_groups", "ids", "content") if a.get(s, {}).get(k) != b.get(s, {}).get(k)]

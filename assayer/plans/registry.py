@@ -423,12 +423,8 @@ def _(v: Views) -> DataFrame:
 @query("latency_p95", """SELECT event_type, n, place, x AS floor_hundredths FROM (SELECT event_type, x, row_number() OVER (PARTITION BY event_type ORDER BY x) - 1 AS k, count(*) OVER (PARTITION BY event_type) AS n,
     (95 * (count(*) OVER (PARTITION BY event_type) - 1)) // 100 AS place FROM (SELECT event_type, CAST(round(value * 100) AS BIGINT) AS x FROM events WHERE value IS NOT NULL)) WHERE k = place""")
 def _(v: Views) -> DataFrame:
-    from pyspark.sql import Window
-
     rows = v.table("events").where("value is not null").select("event_type", F.round(F.col("value") * 100).cast("long").alias("x"))
-    counts = rows.groupBy("event_type").agg(F.count("*").alias("n")).withColumn("place", F.expr("(95 * (n - 1)) div 100"))
-    ranked = rows.withColumn("k", F.row_number().over(Window.partitionBy("event_type").orderBy("x")) - 1).join(F.broadcast(counts), "event_type")
-    return ranked.where("k = place").select("event_type", "n", "place", F.col("x").alias("floor_hundredths"))
+    return stats.percentile_95_by(rows, "event_type", "x").select("event_type", "n", "place", F.col("floor_value").alias("floor_hundredths"))
 
 
 # --- sources and reports over candidates -----------------------------------------------------------------------------
@@ -508,3 +504,6 @@ def _(v: Views) -> DataFrame:
     rng = np.random.default_rng(0)
     model = inference.ConvolutionModel(list(LABELS), rng.normal(size=(257, 8)), [(rng.normal(size=(8, 8, 3)), rng.normal(size=8))], rng.normal(size=(8, 5)), rng.normal(size=5))
     return inference.judged(inference.infer(v.records, model, lambda t: inference.bytes_of(t, 1 << 30)), list(LABELS), tau=0.5)
+
+
+from . import contracts  # noqa: E402, F401  registers the others

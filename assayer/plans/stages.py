@@ -10,6 +10,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.jsontools import answer_needles
 from ..functions.text import normalised
 from ..operators import calibration, compare, evaluation, quality, selection, split
 from ..sources import jsonl, sides
@@ -37,7 +38,8 @@ class Inspected:
 
 def _records(spark: SparkSession, path: str, labels: list[str]) -> DataFrame:
     found = jsonl.inspect(jsonl.lines(spark, path), labels)
-    first = found.anomalies.agg(F.min("line").alias("line"), F.min_by("code", F.struct("line", "field")).alias("code")).first()
+    place = F.struct("file", "line", "field")
+    first = found.anomalies.agg(F.min(place)["line"].alias("line"), F.min_by("code", place).alias("code")).first()
     if first["line"] is not None:
         raise BadInput(first["code"], first["line"])
     return found.records.withColumnRenamed("label_id", "label")
@@ -71,7 +73,7 @@ def inspect_dataset(spark: SparkSession, train_path: str, evaluation_path: str,
             "n_evaluation": test.count(),
             "splits": manifest,
             "contradictions": quality.contradictions(train, F.sha2(normalised("input"), 256), F.col("label")).count(),
-            "metadata_mixed": quality.metadata_mixed(train, {"id": F.col("id"), "label": F.col("label")}).count(),
+            "metadata_mixed": quality.metadata_mixed(train, {"id": F.col("id"), "label": F.col("label")}, answers=answer_needles(F.to_json(F.struct(F.col("label").alias("intent"))))).count(),
         }
     return Inspected(records, test, report)
 
@@ -86,8 +88,8 @@ def evaluate_predictions(spark: SparkSession, gold_path: str, predictions_path:
     predictions = sides.predictions(jsonl.lines(spark, predictions_path))
     valid = gold.where("code is null")
     same = F.sha2("input", 256) if key is None else key
-    contradictory = quality.duplicate_inputs(valid.where("input is not null"), same, "label").where("code = 'contradictory_label'").select("line")
-    active = valid.join(contradictory, "line", "left_anti")
+    contradictory = quality.duplicate_inputs(valid.where("input is not null"), same, "label", "id").where("code = 'contradictory_label'").select(F.col("line").alias("id"))
+    active = valid.join(contradictory, "id", "left_anti")
     rows = evaluation.correct(evaluation.align(active, predictions, names))
     with held(active, rows):
         if active.isEmpty():

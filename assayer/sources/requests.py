@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.digests import rows_digest
 from ..functions.jsontools import line_class, type_name
 from .sides import BadInput
 
@@ -77,9 +78,7 @@ def write_new(lines: DataFrame, path: str) -> None:
 
 def summary(lines: DataFrame) -> DataFrame:
     """One row: count, and a digest of all lines that does not depend on their order."""
-    row = F.sha2("value", 256)
-    parts = [F.bit_xor(F.conv(F.substring(row, 1 + 15 * k, 15), 16, 10).cast("bigint")) for k in range(4)]
-    return lines.agg(F.count("*").alias("count"), F.concat_ws("-", *[F.hex(p) for p in parts]).alias("digest"))
+    return rows_digest(lines, ["value"]).select(F.col("n").alias("count"), "digest")
 
 
 def within_budget(rows: DataFrame, bytes_col: Column, order_col: str, most_rows: int, most_bytes: int) -> DataFrame:

@@ -27,13 +27,14 @@ def without_literals(raw: Column) -> Column:
 
 
 def _checked(rows: DataFrame, raw: Column) -> DataFrame:
-    read = rows.select("line", raw.alias("raw")).withColumn("class", line_class(F.col("raw"))).withColumn("v", F.when(F.col("class") == "object", F.try_parse_json("raw")))
+    read = rows.select(*["file"] * ("file" in rows.columns), "line", raw.alias("raw")).withColumn("class", line_class(F.col("raw"))).withColumn("v", F.when(F.col("class") == "object", F.try_parse_json("raw")))
     kind, value = type_name(F.col("v"), "$.id"), F.try_variant_get(F.col("v"), "$.id", "string")
     return read.withColumn("id", F.when(kind == "string", value)).withColumn("bad", F.when(F.col("class") != "object", F.col("class")).when(F.col("id").isNull() | (F.col("id") == ""), "malformed_id"))
 
 
 def _stop(read: DataFrame) -> None:
-    first = read.where("bad is not null").agg(F.min_by("bad", "line").alias("bad"), F.min("line").alias("line")).first()
+    place = F.struct(*["file"] * ("file" in read.columns), "line")
+    first = read.where("bad is not null").agg(F.min_by("bad", place).alias("bad"), F.min(place)["line"].alias("line")).first()
     if first["line"] is not None:
         raise BadInput(first["bad"], first["line"])
     repeated = read.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
@@ -51,7 +52,7 @@ def gold(rows: DataFrame, label_names: list[str]) -> DataFrame:
     kind = F.when(use_direct, direct).otherwise(nested)
     value = F.when(use_direct, F.try_variant_get(v, "$.label", "string")).otherwise(F.try_variant_get(v, "$.output.intent", "string"))
     code = F.when(kind.isNull() | (kind == "null"), "missing_gold").when(kind != "string", "malformed_gold").when(~value.isin(label_names), "unknown_gold_label")
-    return read.select("line", "id", F.when(code.isNull(), value).alias("label"), F.when(type_name(v, "$.input") == "string", F.try_variant_get(v, "$.input", "string")).alias("input"), code.alias("code"))
+    return read.select(*["file"] * ("file" in read.columns), "line", "id", F.when(code.isNull(), value).alias("label"), F.when(type_name(v, "$.input") == "string", F.try_variant_get(v, "$.input", "string")).alias("input"), code.alias("code"))
 
 
 def predictions(rows: DataFrame) -> DataFrame:

@@ -18,6 +18,25 @@ def history(spark: SparkSession, folder: str) -> DataFrame:
     return raw.select(F.from_json("value", HISTORY).alias("h")).select("h.*").where("time is not null")
 
 
+def append_history(stream: DataFrame, folder: str, checkpoint: str, most_bytes: int = 64 << 20):
+    """Appends the stream's lines (value) to a history in segments: a segment that has reached most_bytes is left alone from then on.
+
+    A batch that is written again replaces its own files, so that a restart repeats nothing.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        sizes = {s.getPath().getName(): files.getContentSummary(s.getPath()).getLength() for s in (files.listStatus(at) if files.exists(at) else []) if s.getPath().getName().startswith("segment=")}
+        last = max((int(n.partition("=")[2]) for n in sizes), default=0)
+        done = [int(n.partition("=")[2]) for n in sizes if files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/batch={number}"))]
+        segment = done[0] if done else last + (sizes.get(f"segment={last}", 0) >= most_bytes)
+        batch.select("value").write.mode("overwrite").text(f"{folder}/segment={segment}/batch={number}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()
+
+
 def history_rates(lines: DataFrame, window: str = "1 minute", late: str = "10 minutes") -> DataFrame:
     """Lines and failures by window of event time, late lines dropped after the watermark."""
     timed = lines.withColumn("at", F.timestamp_seconds("time")).withWatermark("at", late)
