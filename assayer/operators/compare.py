@@ -11,7 +11,7 @@ from ..functions import stats
 def majority_label(records: DataFrame, labels: DataFrame, label_col: str = "label") -> DataFrame:
     """(label, n): the most frequent label, the first declared of equals."""
     counts = records.groupBy(F.col(label_col).alias("label")).agg(F.count("*").alias("n"))
-    return counts.join(F.broadcast(labels), "label").orderBy(F.desc("n"), "pos").limit(1).select("label", "n")
+    return counts.join(labels, "label").orderBy(F.desc("n"), "pos").limit(1).select("label", "n")
 
 
 def paired_counts(pairs: DataFrame, a: str = "candidate", b: str = "baseline") -> DataFrame:

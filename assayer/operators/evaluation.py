@@ -26,7 +26,7 @@ def classify(status: Column, predicted: Column, known: Column) -> Column:
 
 def align(gold: DataFrame, predictions: DataFrame, labels: DataFrame) -> DataFrame:
     """(id, gold, kind, label, reason): every gold row with its outcome; no prediction is an error, predictions without gold are dropped."""
-    known = F.broadcast(labels.select(F.col("label").alias("predicted_label"), F.lit(True).alias("known")))
+    known = labels.select(F.col("label").alias("predicted_label"), F.lit(True).alias("known"))
     judged = predictions.join(known, "predicted_label", "left").select("id", classify(F.col("status"), F.col("predicted_label"), F.coalesce("known", F.lit(False))).alias("o"))
     missing = F.struct(F.lit("error").alias("kind"), F.lit(None).cast("string").alias("label"), F.lit("missing_prediction").alias("reason"))
     return gold.select("id", F.col("label").alias("gold")).join(judged, "id", "left").select("id", "gold", F.coalesce("o", missing).alias("o")).select("id", "gold", "o.kind", "o.label", "o.reason")
@@ -56,7 +56,7 @@ def confusion_matrix(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """(gold, predicted, n) with all cells of the declared labels; labels are a bounded table."""
     names = labels.select("label")
     extra = rows.sparkSession.createDataFrame([(x,) for x in EXTRA], "label string")
-    grid = names.select(F.col("label").alias("gold")).join(F.broadcast(names.union(extra).select(F.col("label").alias("predicted"))))
+    grid = names.select(F.col("label").alias("gold")).crossJoin(names.union(extra).select(F.col("label").alias("predicted")))
     return grid.join(cells(rows), ["gold", "predicted"], "left").select("gold", "predicted", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
@@ -100,7 +100,7 @@ def confusable_pairs(rows: DataFrame, labels: DataFrame, k: int = 10) -> DataFra
     """The k most frequent confusions between labels: gold, predicted, n, in order of n, then of the labels' declaration."""
     if not 1 <= k <= 1000:
         raise ValueError("k must lie in 1..1000")
-    pos = lambda name: F.broadcast(labels.select(F.col("label").alias(name), F.col("pos").alias(f"{name}_pos")))
+    pos = lambda name: labels.select(F.col("label").alias(name), F.col("pos").alias(f"{name}_pos"))
     off = cells(rows).where("gold <> predicted").join(pos("gold"), "gold").join(pos("predicted"), "predicted")
     return off.orderBy(F.desc("n"), "gold_pos", "predicted_pos").limit(k).select("gold", "predicted", "n")
 
@@ -111,7 +111,7 @@ def warnings(gold: DataFrame, predictions: DataFrame, labels: DataFrame, key: Co
     Rows without a gold label, with an unknown one, or whose input has several are
     excluded; a repeated input is only said; labels that no row has are counted last.
     """
-    known = F.broadcast(labels.select("label", F.lit(True).alias("known")))
+    known = labels.select("label", F.lit(True).alias("known"))
     judged = gold.join(known, "label", "left").select("*", F.when(F.col("label").isNull(), "missing_gold").when(F.col("known").isNull(), "unknown_gold_label").alias("code"))
     valid = judged.where("code is null").drop("code")
     from .quality import duplicate_inputs

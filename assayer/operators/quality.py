@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def label_counts(records: DataFrame, labels: DataFrame, label_col: str = "label") -> DataFrame:
     """(pos, label, n) for every declared label in declaration order, zeros included."""
     counts = records.groupBy(F.col(label_col).alias("label")).agg(F.count("*").alias("n"))
-    return F.broadcast(labels).join(counts, "label", "left").select("pos", "label", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    return labels.join(counts, "label", "left").select("pos", "label", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def summary(records: DataFrame, labels: DataFrame, input_col: str = "input", label_col: str = "label") -> DataFrame:

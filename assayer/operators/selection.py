@@ -15,11 +15,15 @@ from .evaluation import align, correct
 EXIT_CODES = {"ok": 0, "judged_fail": 10, "out_of_scope": 11, "pending": 12, "limit_exceeded": 20, "invalid_input": 64, "runtime_error": 70}
 SIZE_GUIDELINE = 40_000_000
 LATENCY_GUIDELINE_US = 250_000
+#: Candidates that are compared at once; each is judged on every gold row.
+MOST_CANDIDATES = 4096
 
 
 def candidate_outcomes(gold: DataFrame, predictions: DataFrame, labels: DataFrame) -> DataFrame:
     """(candidate, id, gold, kind, label, reason, correct): every gold row for every candidate; predictions carry `candidate`."""
     candidates = predictions.select("candidate").distinct()
+    if candidates.limit(MOST_CANDIDATES + 1).count() > MOST_CANDIDATES:
+        raise ValueError("too many candidates")
     keyed = gold.select("id", "label").join(F.broadcast(candidates)).select(F.struct("candidate", "id").alias("id"), "label")
     return correct(align(keyed, predictions.select(F.struct("candidate", "id").alias("id"), "status", "predicted_label"), labels)).select("id.candidate", "id.id", "gold", "kind", "label", "reason", "correct")
 

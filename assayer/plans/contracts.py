@@ -9,7 +9,7 @@ from ..functions import digests, jsontools, stats, text
 from ..operators import calibration, choices, compare, events, quality, records, selection, split
 from ..sources import jsonl, requests, sides
 from .registry import LABELS, WILSON, logits, outcomes, query, raw_lines, rounded
-from .views import Views, sql
+from .views import CLASSES, Views, sql
 
 
 def _digest_sql(rows: str, *columns: str, by: str = "") -> str:
@@ -189,20 +189,20 @@ def _(v: Views) -> DataFrame:
     SELECT 'without' AS k, count(*) AS n, count(*) FILTER (ok) AS n_correct, 0::BIGINT AS n_abstain FROM (SELECT top = gold_pos AS ok FROM v_d)
     UNION ALL SELECT 'with', count(*), count(*) FILTER (ok AND NOT a), count(*) FILTER (a) FROM (SELECT top = gold_pos AS ok, top <> 3 AND 1 / list_sum(list_transform(d, lambda x: exp(0.5 * x))) < 0.13 AS a FROM v_d))""", "v_d"))
 def _(v: Views) -> DataFrame:
-    found = calibration.compare_abstention(logits(v), [str(i) for i in range(10)], 2.0, 0.13, "2")
+    found = calibration.compare_abstention(logits(v), [str(i) for i in range(CLASSES)], 2.0, 0.13, "2")
     return rounded(found, "accuracy", "adopted_accuracy", "coverage")
 
 
 def _scored(v: Views) -> DataFrame:
-    return choices.mapped(v.logits.select(F.col("id").cast("string").alias("id"), F.col("logits").alias("loglik")), [str(i) for i in range(9)], [str(i) for i in range(10)])
+    return choices.mapped(v.logits.select(F.col("id").cast("string").alias("id"), F.col("logits").alias("loglik")), [str(i) for i in range(CLASSES - 1)], [str(i) for i in range(CLASSES)])
 
 
-@query("choice_posteriors", sql("SELECT CAST(id AS VARCHAR) AS id, CASE WHEN top < 10 THEN 'mapped' ELSE 'no_choice_match' END AS outcome, CASE WHEN top < 10 THEN CAST(top - 1 AS VARCHAR) END AS label, CASE WHEN top < 10 THEN round(conf, 9) END AS posterior FROM v_conf", "v_conf"))
+@query("choice_posteriors", sql(f"SELECT CAST(id AS VARCHAR) AS id, CASE WHEN top < {CLASSES} THEN 'mapped' ELSE 'no_choice_match' END AS outcome, CASE WHEN top < {CLASSES} THEN CAST(top - 1 AS VARCHAR) END AS label, CASE WHEN top < {CLASSES} THEN round(conf, 9) END AS posterior FROM v_conf", "v_conf"))
 def _(v: Views) -> DataFrame:
     return rounded(_scored(v), "posterior")
 
 
-@query("choice_tally", sql("SELECT count(*) FILTER (top < 10) AS mapped, count(*) FILTER (top = 10) AS no_choice_match, 0::BIGINT AS invalid_score FROM v_conf", "v_conf"))
+@query("choice_tally", sql(f"SELECT count(*) FILTER (top < {CLASSES}) AS mapped, count(*) FILTER (top = {CLASSES}) AS no_choice_match, 0::BIGINT AS invalid_score FROM v_conf", "v_conf"))
 def _(v: Views) -> DataFrame:
     return choices.tally(_scored(v))
 
@@ -283,7 +283,7 @@ def _(v: Views) -> DataFrame:
 _Z975, _Z80 = 1.959963984540054, 0.8416212335729143
 
 
-@query("sample_sizes", f"""SELECT p_b, p_c, round(({_Z975} * sqrt(p_b + p_c) + {_Z80} * sqrt(p_b + p_c - (p_b - p_c) * (p_b - p_c))) ** 2 / ((p_b - p_c) * (p_b - p_c)), 6) AS estimate, round({_Z975}, 9) AS z
+@query("sample_sizes", f"""SELECT p_b, p_c, round(({_Z975} * sqrt(p_b + p_c) + {_Z80} * sqrt(p_b + p_c - (p_b - p_c) * (p_b - p_c))) ** 2 / ((p_b - p_c) * (p_b - p_c)), 6) AS estimate, round({_Z975}::DOUBLE, 9) AS z
     FROM (VALUES (0.3::DOUBLE, 0.1::DOUBLE), (0.2, 0.1), (0.4, 0.05), (0.12, 0.08)) t(p_b, p_c)""")
 def _(v: Views) -> DataFrame:
     rows = [(b, c, round(stats.sample_size_estimate(b, c), 6), round(stats.normal_quantile(0.975), 9)) for b, c in ((0.3, 0.1), (0.2, 0.1), (0.4, 0.05), (0.12, 0.08))]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import stats, text, times
 from ..operators import calibration, compare, evaluation, events, features, inference, quality, selection, split
 from ..sources import jsonl
-from .views import LABELS, Views, sql
+from .views import CLASSES, LABELS, SPREAD, Views, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -43,7 +43,7 @@ def pairs(v: Views) -> DataFrame:
 
 
 def logits(v: Views) -> DataFrame:
-    return calibration.prepared(v.logits, [str(i) for i in range(10)])
+    return calibration.prepared(v.logits, [str(i) for i in range(CLASSES)])
 
 
 # --- contract checks -------------------------------------------------------------------------------------------------
@@ -487,8 +487,8 @@ def _(v: Views) -> DataFrame:
     return found.select("id", "gold", "kind", "label", F.length("input").cast("long").alias("n_chars"))
 
 
-@query("top_scores", """SELECT id, place, label, round(score, 9) AS score FROM (SELECT id, label, score, row_number() OVER (PARTITION BY id ORDER BY score DESC, pos) AS place FROM (
-    SELECT vec_id AS id, unnest(range(10)) AS pos, CAST(unnest(range(10)) AS VARCHAR) AS label, unnest(list_transform(embedding[1:10], lambda x: x::DOUBLE)) AS score FROM embeddings)) WHERE place <= 3""")
+@query("top_scores", f"""SELECT id, place, label, round(score, 9) AS score FROM (SELECT id, label, score, row_number() OVER (PARTITION BY id ORDER BY score DESC, pos) AS place FROM (
+    SELECT vec_id AS id, unnest(range({CLASSES})) AS pos, CAST(unnest(range({CLASSES})) AS VARCHAR) AS label, unnest(list_transform(embedding, lambda x: x::DOUBLE * {SPREAD})) AS score FROM embeddings)) WHERE place <= 3""")
 def _(v: Views) -> DataFrame:
     named = F.transform("logits", lambda x, i: F.struct(i.cast("string").alias("id"), x.alias("score")))
     return rounded(selection.top_scores(v.logits.select("id", named.alias("scores"))).withColumn("place", F.col("place").cast("long")), "score")

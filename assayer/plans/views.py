@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LABELS = ("en", "fr", "de", "es", "it")
+#: Length of the vectors, whose components stand for logits, and what spreads them.
+CLASSES, SPREAD = 64, 20
 
 
 class Views:
@@ -45,8 +47,8 @@ class Views:
 
     @property
     def logits(self) -> DataFrame:
-        head = F.transform(F.slice("embedding", 1, 10), lambda v: v.cast("double"))
-        return self.table("embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("gold"), head.alias("logits"))
+        whole = F.transform("embedding", lambda v: v.cast("double") * SPREAD)
+        return self.table("embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("gold"), whole.alias("logits"))
 
 
 #: The same views in SQL; a query's oracle starts with the ones it names.
@@ -68,7 +70,7 @@ SQL = {
         LEFT JOIN (SELECT predicted AS label, sum(n) AS predicted FROM v_cell GROUP BY predicted) p ON p.label = l.label""",
     "v_pair": """SELECT o.id, coalesce(o.kind = 'label' AND o.label = o.gold, FALSE) AS candidate, coalesce((CASE WHEN d.doc_id % 7 = 0 THEN 'de' ELSE d.lang END) = d.lang, FALSE) AS baseline
         FROM v_out o JOIN documents d ON CAST(d.doc_id AS VARCHAR) = o.id""",
-    "v_logit": "SELECT vec_id AS id, CAST(label AS VARCHAR) AS gold, list_transform(embedding[1:10], lambda x: x::DOUBLE) AS logits FROM embeddings",
+    "v_logit": f"SELECT vec_id AS id, CAST(label AS VARCHAR) AS gold, list_transform(embedding, lambda x: x::DOUBLE * {SPREAD}) AS logits FROM embeddings",
     "v_d": "SELECT id, gold, logits, list_transform(logits, lambda x: x - list_max(logits)) AS d, list_position(logits, list_max(logits)) AS top, CAST(gold AS INT) + 1 AS gold_pos FROM v_logit",
     "v_conf": "SELECT *, 1 / list_sum(list_transform(d, lambda x: exp(x))) AS conf, ln(list_sum(list_transform(d, lambda x: exp(x)))) - d[gold_pos] AS nll FROM v_d",
 }
