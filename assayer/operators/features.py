@@ -42,10 +42,41 @@ def ngrams(ids: DataFrame, orders: tuple[int, ...] = (1, 2, 3, 4), id_col: str =
     return ids.where(F.col(ids_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(run, f"id {kind}, n int, key long, tf long")
 
 
+def document_frequencies(ids: DataFrame, orders: tuple[int, ...] = (1, 2, 3, 4), ids_col: str = "ids") -> DataFrame:
+    """(n, key, df): in how many rows each n-gram occurs. Each batch adds up its own rows before anything is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(0)
+            bounds = lists.offsets.to_numpy().astype(np.int64)
+            flat = lists.values.to_numpy(zero_copy_only=False).astype(np.int64)[bounds[0] : bounds[-1]]
+            bounds = bounds - bounds[0]
+            row_of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+            for n in orders:
+                size = max(0, len(flat) - n + 1)
+                keys, full = np.zeros(size, np.int64), row_of[:size] == row_of[n - 1 : n - 1 + size]
+                for j in range(n):
+                    keys = keys * 257 + flat[j : j + size]
+                    full &= flat[j : j + size] != 0
+                # a row counts once for each of its keys: by key, then by row, what differs from the one before
+                keys, rows = keys[full], row_of[:size][full]
+                order = np.lexsort((rows, keys))
+                keys, rows = keys[order], rows[order]
+                first = np.ones(len(keys), bool)
+                first[1:] = (keys[1:] != keys[:-1]) | (rows[1:] != rows[:-1])
+                found, df = np.unique(keys[first], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), n, np.int32)), pa.array(found), pa.array(df.astype(np.int64))], names=["n", "key", "df"])
+
+    if any(not 1 <= n <= 7 for n in orders):
+        raise ValueError("keys in base 257 hold 1 to 7 ids")
+    own = ids.where(F.col(ids_col).isNotNull()).select(F.col(ids_col).alias("ids"))
+    return own.mapInArrow(run, "n int, key long, df long").groupBy("n", "key").agg(F.sum("df").alias("df"))
+
+
 def vocabulary(grams: DataFrame, documents: int, min_df: int = 2, most: int = 200_000) -> DataFrame:
-    """(n, key, df, idf, col): the `most` n-grams with the highest document frequency, numbered by (n, key)."""
-    df = grams.groupBy("n", "key").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)
-    kept = df.orderBy(F.desc("df"), "n", "key").limit(most)
+    """(n, key, df, idf, col): the `most` n-grams with the highest document frequency, numbered by (n, key). grams: of ngrams, or of document_frequencies."""
+    df = grams if "df" in grams.columns else grams.groupBy("n", "key").agg(F.count("*").alias("df"))
+    kept = df.where(F.col("df") >= min_df).orderBy(F.desc("df"), "n", "key").limit(most)
     idf = (F.log((1 + F.lit(documents)) / (1 + F.col("df"))) + 1).cast("float")
     return kept.select("n", "key", "df", idf.alias("idf"), (F.row_number().over(Window.orderBy("n", "key")) - 1).alias("col"))
 
@@ -72,18 +103,32 @@ def predictions(scores: DataFrame) -> DataFrame:
 
 
 def train_linear(features: DataFrame, gold: DataFrame, labels: DataFrame, columns: int, l2: float = 1e-3, rounds: int = 50) -> tuple[DataFrame, DataFrame]:
-    """(weights, biases) for linear_scores by multinomial logistic regression. features: (id, col, val); gold: (id, label); labels: (pos, label)."""
+    """(weights, biases) for linear_scores by multinomial logistic regression. features: (id, col, val); gold: (id, label); labels: (pos, label).
+
+    Rows are sparse vectors; weights of zero are left out, and are written where the
+    columns are, from the model that each worker holds (labels x columns numbers).
+    """
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.linalg import Vectors, VectorUDT
 
     spark = features.sparkSession
-    rows = features.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("col").cast("int").alias("col"), F.col("val").cast("double").alias("val")))).alias("x"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(columns - 1)), lambda i: F.coalesce(F.element_at("x", i), F.lit(0.0)))
-    data = rows.join(gold, "id").join(F.broadcast(labels), "label").select(array_to_vector(dense).alias("features"), F.col("pos").cast("double").alias("label"))
+    sparse = F.udf(lambda x: Vectors.sparse(columns, [e["col"] for e in x], [e["val"] for e in x]), VectorUDT())
+    rows = features.groupBy("id").agg(F.sort_array(F.collect_list(F.struct(F.col("col").cast("int").alias("col"), F.col("val").cast("double").alias("val")))).alias("x"))
+    data = rows.join(gold, "id").join(labels, "label").select(sparse("x").alias("features"), F.col("pos").cast("double").alias("label"))
     model = LogisticRegression(family="multinomial", regParam=l2, maxIter=rounds, standardization=False).fit(data)
     order = {r["pos"]: r["label"] for r in labels.collect()}
     matrix, bias = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
     known = [p for p in sorted(order) if p < matrix.shape[0]]
-    weights = spark.createDataFrame([(c, order[p], float(matrix[p, c])) for p in known for c in range(columns)], "col int, label string, w double")
+    shared = spark.sparkContext.broadcast((matrix, [order[p] for p in known]))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, names = shared.value
+        for batch in batches:
+            cols = batch.column(0).to_numpy()
+            part = weights[: len(names), cols]
+            label, at = np.nonzero(part)
+            yield pa.RecordBatch.from_arrays([pa.array(cols[at].astype(np.int32)), pa.array([names[k] for k in label.tolist()], pa.string()), pa.array(part[label, at])], names=["col", "label", "w"])
+
+    weights = spark.range(columns).mapInArrow(spread, "col int, label string, w double")
     biases = spark.createDataFrame([(order[p], p, float(bias[p])) for p in known], "label string, pos int, b double")
     return weights, biases

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
 
+from ..functions.jsontools import canonical
+from ..functions.stats import percentile_95
 from .choices import allotted
 
 #: What may become of a candidate.
@@ -86,3 +88,46 @@ def limitations(report: dict[str, Any], n_labels: int, previous_labels: int) ->
     if n_labels != previous_labels:
         kept.append({"code": "label_count_changed", "previous": previous_labels, "current": n_labels})
     return {**report, "limitations": kept}
+
+
+def record_json(record: SearchRecord) -> str:
+    """A search's record as one canonical document; seconds are whole milliseconds."""
+    entries = [{"candidate": e.candidate, "state": e.state, "n_correct": e.n_correct, "n": e.n, "milliseconds": round(1000 * e.seconds)} for e in record.entries]
+    return canonical({"entries": entries, "selected": record.selected, "tied": list(record.tied)})
+
+
+#: What a training job may do next, by its state; all else is refused.
+JOB = {
+    ("queued", "start"): "running", ("queued", "cancel"): "cancelled", ("running", "finish"): "done", ("running", "fail"): "failed",
+    ("running", "cancel"): "cancelling", ("cancelling", "finish"): "cancelled", ("cancelling", "fail"): "cancelled",
+}
+
+
+def transition(state: str, event: str) -> str:
+    """The state of a job after an event; ValueError if the event cannot happen then."""
+    if (state, event) not in JOB:
+        raise ValueError(f"{event} of a job that is {state}")
+    return JOB[state, event]
+
+
+def job_status(record: dict[str, Any] | None, locked: bool) -> str:
+    """What a job is, by its record and whether a process holds its lock: a running job without one was interrupted."""
+    if record is None:
+        return "none"
+    state = record["state"]
+    return "interrupted" if state in ("running", "cancelling") and not locked else state
+
+
+def measured(run: Callable[[], Any], warm: int = 20, times: int = 1000, seconds: float = 60.0, clock: Callable[[], int] = time.monotonic_ns) -> dict[str, Any]:
+    """Microseconds of run(): the interpolated 95th percentile (whole part, hundredths), the mean, and how often it ran before time was out."""
+    end, samples = clock() + int(seconds * 1e9), []
+    for i in range(warm + times):
+        began = clock()
+        if began >= end:
+            break
+        run()
+        if i >= warm:
+            samples.append((clock() - began) // 1000)
+    if not samples:
+        raise ValueError("no time to measure")
+    return {"n": len(samples), "complete": len(samples) == times, "p95_us": percentile_95(samples), "mean_us": sum(samples) / len(samples)}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import digests, jsontools, stats, text
+from ..functions import aggregates, digests, jsontools, stats, text
 from ..operators import calibration, choices, compare, events, quality, records, selection, split
 from ..sources import jsonl, requests, sides
 from .registry import LABELS, WILSON, logits, outcomes, query, raw_lines, rounded
@@ -321,3 +321,20 @@ def _(v: Views) -> DataFrame:
 def _(v: Views) -> DataFrame:
     rows = v.spark.range(41).select(F.col("id").alias("k"), stats.wilson(F.col("id"), F.lit(40)).alias("ci"))
     return rounded(rows.select("k", "ci.lo", "ci.hi"), "lo", "hi")
+
+
+@query("measures_by_group", sql("""SELECT * FROM (WITH o AS (SELECT r.group_id, o.gold, CASE WHEN o.kind = 'label' THEN o.label END AS said, o.id FROM v_out o JOIN v_rec r ON r.id = o.id),
+    f AS (SELECT group_id, avg(f1) AS f1 FROM (SELECT o.group_id, l.label, CASE WHEN count(*) FILTER (gold = l.label) + count(*) FILTER (said = l.label) > 0 THEN 2 * count(*) FILTER (gold = l.label AND said = l.label) / (count(*) FILTER (gold = l.label) + count(*) FILTER (said = l.label)) END AS f1 FROM o CROSS JOIN v_lbl l GROUP BY 1, 2) GROUP BY group_id)
+    SELECT o.group_id, round(count(*) FILTER (gold = said) / count(*), 9) AS accuracy, round(any_value(f.f1), 9) AS macro_f1 FROM o JOIN f ON f.group_id IS NOT DISTINCT FROM o.group_id GROUP BY o.group_id)""", "v_out"))
+def _(v: Views) -> DataFrame:
+    rows = outcomes(v).join(v.records.select("id", "group_id"), "id").withColumn("said", F.when(F.col("kind") == "label", F.col("label")))
+    gold, said = F.col("gold"), F.col("said")
+    return rounded(rows.groupBy("group_id").agg(aggregates.accuracy(gold, said).alias("accuracy"), aggregates.macro_f1(gold, said, LABELS).alias("macro_f1")), "accuracy", "macro_f1")
+
+
+@query("calibration_by_label", sql("""SELECT gold, round(sum(abs(gap)) / sum(n), 9) AS ece, round(sum(nll) / sum(n), 9) AS nll FROM (SELECT gold, least(CAST(floor(conf * 15) AS INT), 14) AS bin, count(*) AS n, sum(conf - (top = gold_pos)::INT) AS gap, sum(nll) AS nll FROM v_conf GROUP BY 1, 2) GROUP BY gold""", "v_conf"))
+def _(v: Views) -> DataFrame:
+    one = F.lit(1.0)
+    rows = logits(v).select("gold", calibration.confidence(one).alias("conf"), (F.col("top") == F.col("gold_pos")).alias("ok"), F.exp(-calibration.nll(one)).alias("chance"))
+    found = rows.groupBy("gold").agg(aggregates.calibration_error(F.col("conf"), F.col("ok")).alias("ece"), aggregates.mean_nll(F.col("chance")).alias("nll"))
+    return rounded(found, "ece", "nll")

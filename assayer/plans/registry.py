@@ -363,14 +363,13 @@ GRAMS = """WITH g AS (SELECT id, unnest(list_transform(range(0, len(h) // 2 - 1)
     v AS (SELECT x, ((('0x' || x[1:2])::INT + 1) * 257 + ('0x' || x[3:4])::INT + 1)::BIGINT AS key, count(*) AS df, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1 AS idf FROM t GROUP BY x HAVING count(*) >= 2)"""
 
 
-def byte_pairs(v: Views) -> DataFrame:
-    ids = v.records.select("id", text.byte_ids(1 << 30)(F.col("input")).alias("ids"))
-    return features.ngrams(ids, orders=(2,))
+def byte_rows(v: Views) -> DataFrame:
+    return v.records.select("id", text.byte_ids(1 << 30)(F.col("input")).alias("ids"))
 
 
 @query("byte_ngram_df", GRAMS + " SELECT 2 AS n, key, df, round(idf, 4) AS idf FROM v")
 def _(v: Views) -> DataFrame:
-    vocab = features.vocabulary(byte_pairs(v), v.records.count())
+    vocab = features.vocabulary(features.document_frequencies(byte_rows(v), (2,)), v.records.count())
     return vocab.select("n", "key", "df", F.round(F.col("idf").cast("double"), 4).alias("idf"))
 
 
@@ -378,27 +377,21 @@ def _(v: Views) -> DataFrame:
 @query("tfidf_features", GRAMS + """, w AS (SELECT id, (1 + ln(tf)) * idf AS x FROM t JOIN v USING (x)), k AS (SELECT id, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS val FROM w)
     SELECT id, count(*) AS n, round(max(val), 2) AS largest FROM k GROUP BY id""")
 def _(v: Views) -> DataFrame:
-    grams = byte_pairs(v)
-    found = features.tfidf(grams, features.vocabulary(grams, v.records.count()))
+    rows = byte_rows(v)
+    found = features.tfidf(features.ngrams(rows, (2,)), features.vocabulary(features.document_frequencies(rows, (2,)), v.records.count()))
     return found.groupBy("id").agg(F.count("*").alias("n"), F.round(F.max(F.col("val").cast("double")), 2).alias("largest"))
 
 
-def byte_ngrams(v: Views) -> DataFrame:
-    """Byte n-grams of the orders 1 to 4 of whole texts, as the reference's features have them."""
-    ids = v.records.select("id", text.byte_ids(1 << 30)(F.col("input")).alias("ids"))
-    return features.ngrams(ids)
-
-
-#: The whole vocabulary and features; SQL has equivalents for pairs of bytes only (byte_ngram_df, tfidf_features).
+#: The whole vocabulary and features, orders 1 to 4; SQL has equivalents for pairs of bytes only (byte_ngram_df, tfidf_features).
 @query("ngram_vocabulary")
 def _(v: Views) -> DataFrame:
-    return features.vocabulary(byte_ngrams(v), v.records.count())
+    return features.vocabulary(features.document_frequencies(byte_rows(v)), v.records.count())
 
 
 @query("ngram_tfidf")
 def _(v: Views) -> DataFrame:
-    grams = byte_ngrams(v)
-    return features.tfidf(grams, features.vocabulary(grams, v.records.count()))
+    rows = byte_rows(v)
+    return features.tfidf(features.ngrams(rows), features.vocabulary(features.document_frequencies(rows), v.records.count()))
 
 
 @query("byte_ids", """SELECT id, len(b)::BIGINT AS n, sha256(array_to_string(b, ',')) AS sha256 FROM (SELECT id, list_transform(range(0, len(h) // 2), lambda i: ('0x' || substr(h, (2 * i + 1)::INT, 2))::INT + 1) AS b FROM (SELECT CAST(doc_id AS VARCHAR) AS id, hex(encode(text)) AS h FROM documents))""")

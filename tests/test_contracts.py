@@ -5,8 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from assayer.functions import digests, files, jsontools, stats, text
-from assayer.operators import compare, definitions, events, ledger, quality, records, split
+from assayer.functions import aggregates, bpe, digests, files, jsontools, stats, text
+from assayer.operators import compare, definitions, events, features, ledger, quality, records, search, split
 from assayer.sources import jsonl, requests
 from assayer.streaming import streams
 
@@ -169,3 +169,60 @@ def test_history_rotates(spark, tmp_path):
     run.stop()
     assert sorted(p.name for p in out.iterdir()) == ["segment=0", "segment=1"]
     assert sorted(r["value"][0] for r in spark.read.option("recursiveFileLookup", "true").text(str(out)).collect()) == ["0", "1", "2", "3"]
+
+
+def test_own_encoder_equals_the_library():
+    import random
+
+    from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
+
+    letters = bpe.byte_letters()
+    assert len(set(letters)) == 256 and letters[ord("a")] == "a" and letters[32] == chr(288)
+    merges = [("h", "e"), ("l", "l"), ("he", "ll"), (letters[32], "w"), ("o", "r"), (letters[32] + "w", "or"), ("l", "o"), (letters[0xC3], letters[0xA9]), ("e", "r")]
+    vocabulary = {x: i for i, x in enumerate([*letters, *(a + b for a, b in merges)])}
+    library = Tokenizer(models.BPE(vocabulary, merges))
+    library.normalizer = normalizers.NFC()
+    library.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(text.PRE_TOKENS), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    library.decoder = decoders.ByteLevel()
+    own = bpe.Encoder.from_json(library.to_str())
+    rng = random.Random(9)
+    alphabet = "hello world er  \n\t'sré é12😀.,!?\u00a0"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(400)] + ["", "hello world", "I'LL don't", "e\u0301 caf\u00e9"]
+    for t in texts:
+        assert own.encode(t) == library.encode(t, add_special_tokens=False).ids, t
+
+
+def test_encoder_as_a_column(spark):
+    encoder = bpe.Encoder({x: i for i, x in enumerate(bpe.byte_letters())}, [])
+    got = spark.createDataFrame([("ab",), (None,), ("",), ("x" * 9,)], "t string").select(bpe.encoded(encoder, 8)(F.col("t")).alias("x")).collect()
+    assert [r["x"] for r in got] == [[97, 98], None, [], None]
+
+
+def test_document_frequencies_are_those_of_the_rows(spark):
+    rows = [("a", [1, 2, 1, 2, 0, 3]), ("b", [2, 1]), ("c", []), ("d", None), ("e", [1, 2, 1, 2, 0, 3]), ("f", [3])]
+    df = spark.createDataFrame(rows, "id string, ids array<int>").coalesce(1)
+    by_rows = features.ngrams(df).groupBy("n", "key").agg(F.count("*").alias("df"))
+    assert {tuple(r) for r in features.document_frequencies(df).collect()} == {tuple(r) for r in by_rows.collect()}
+
+
+def test_aggregates_by_group(spark):
+    df = spark.createDataFrame([("g", "A", "A", 0.9), ("g", "A", "B", 0.8), ("g", "B", "B", 1.0), ("h", "A", None, 0.1)], "g string, gold string, said string, conf double")
+    gold, said = F.col("gold"), F.col("said")
+    ok = F.coalesce(gold == said, F.lit(False))
+    got = {r["g"]: r for r in df.groupBy("g").agg(aggregates.accuracy(gold, said).alias("a"), aggregates.macro_f1(gold, said, ["A", "B", "C"]).alias("f"), aggregates.calibration_error(F.col("conf"), ok).alias("e"), aggregates.paired_p(ok, F.lit(False)).alias("p")).collect()}
+    assert abs(got["g"]["a"] - 2 / 3) < 1e-12 and abs(got["g"]["f"] - 2 / 3) < 1e-12 and got["h"]["f"] == 0 and got["h"]["a"] == 0
+    assert abs(got["g"]["e"] - (abs(0.9 - 1) + 0.8 + 0) / 3) < 1e-12 and got["g"]["p"] == 0.5 and got["h"]["p"] == 1
+
+
+def test_jobs_records_and_measurements():
+    assert search.transition("queued", "start") == "running" and search.transition("cancelling", "finish") == "cancelled"
+    with pytest.raises(ValueError):
+        search.transition("done", "start")
+    assert search.job_status(None, False) == "none" and search.job_status({"state": "running"}, False) == "interrupted" and search.job_status({"state": "done"}, False) == "done"
+    record = search.SearchRecord((search.Entry("a", "evaluated", 3, 4, 0.25), search.Entry("b", "scoring_failed")), "a", ("a",))
+    assert json.loads(search.record_json(record)) == {"entries": [{"candidate": "a", "state": "evaluated", "n_correct": 3, "n": 4, "milliseconds": 250}, {"candidate": "b", "state": "scoring_failed", "n_correct": None, "n": None, "milliseconds": 0}], "selected": "a", "tied": ["a"]}
+    ticks = iter(range(0, 10**9, 1_000_000))
+    found = search.measured(lambda: None, 2, 5, 60.0, lambda: next(ticks))
+    assert found == {"n": 5, "complete": True, "p95_us": (1000, 0), "mean_us": 1000}
+    slow = iter(range(0, 10**12, 10**9))
+    assert search.measured(lambda: None, 0, 100, 9.5, lambda: next(slow))["complete"] is False
