@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
+import threading
 import time
 import uuid
 import weakref
@@ -82,7 +84,12 @@ def settled(make: Callable[[], DataFrame]) -> DataFrame:
 
 
 def sweep(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished queries now; it does so when the driver's heap is collected, the second time."""
-    for _ in range(2):
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
+    """Let Spark drop the shuffle files of finished queries soon; it does so when the driver's heap is collected, the second time. Nothing waits for it."""
+
+    def collect() -> None:
+        with contextlib.suppress(Exception):  # the session may stop meanwhile
+            for _ in range(2):
+                spark.sparkContext._jvm.System.gc()
+                time.sleep(0.2)
+
+    threading.Thread(target=collect, daemon=True).start()
