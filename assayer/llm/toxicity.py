@@ -39,6 +39,8 @@ from .shingles import shingles, word_hashes
 SPACE = "\r\n|[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 LETTERS = regex.compile(r"\p{L}+(?:['’]\p{L}+)?")
 STEM_LENGTHS = (4, 5, 6)
+#: Bytes of text that are read at a time; each distinct word of them is classified once.
+SLICE = 5 << 20
 #: What ends a clause.
 ENDS = tuple(".!?;:")
 #: Fixed words of the grammar, in the languages of the corpus.
@@ -225,7 +227,7 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter = Counter()
     kinds: dict[tuple, int] = defaultdict(int)
     for batch in batches:
-        for part in slices(batch, 0):
+        for part in slices(batch, 0, SLICE):
             hashes, bounds = word_hashes(part.column(0))
             for i, (text, label) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)):
                 words, stems = _terms(text or "")
@@ -301,7 +303,7 @@ def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "label",
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 0):
+            for part in slices(batch, 0, SLICE):
                 found = list(_document_features(grammar, part.column(0)))
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.float64())), part.column(1)], names=["x", "label"])
 
@@ -329,7 +331,7 @@ def score(df: DataFrame, grammar: Grammar, keys: list[str], text_col: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, len(keys)):
+            for part in slices(batch, len(keys), SLICE):
                 scores = [grammar.score(x) for x in _document_features(grammar, part.column(len(keys)))]
                 yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(len(keys))], pa.array(scores, pa.float64())], names=[*keys, "score"])
 
@@ -344,7 +346,7 @@ def accepted(df: DataFrame, grammar: Grammar, text_col: str = "text", threshold:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, at):
+            for part in slices(batch, at, SLICE):
                 keep = [grammar.score(x) < threshold for x in _document_features(grammar, part.column(at))]
                 yield part.filter(pa.array(keep, pa.bool_()))
 
