@@ -221,7 +221,7 @@ def _(v: Views) -> DataFrame:
 @query("package_eligibility", "SELECT doc_id AS line, CASE WHEN doc_id % 3 = 0 THEN 'unsupported_ops' WHEN doc_id % 5 = 0 THEN 'prediction_mismatch' WHEN doc_id % 2 = 0 AND strlen(text) * 20000 > 40000000 THEN 'vocabulary_over_guideline' END AS reason, CASE WHEN doc_id % 3 = 0 THEN 'Loop' ELSE '' END AS unknown FROM documents")
 def _(v: Views) -> DataFrame:
     n = F.col("line")
-    rows = v.records.select("line", (F.octet_length("input") * 20_000).alias("bytes"), (n % 2 == 0).alias("has_vocabulary"), F.when(n % 3 == 0, F.array(F.lit("MatMul"), F.lit("Loop"))).otherwise(F.array(F.lit("MatMul"))).alias("ops"), F.when(n % 5 == 0, 1).otherwise(0).alias("mismatches"))
+    rows = v.records.select("line", (F.octet_length("input").cast("long") * 20_000).alias("bytes"), (n % 2 == 0).alias("has_vocabulary"), F.when(n % 3 == 0, F.array(F.lit("MatMul"), F.lit("Loop"))).otherwise(F.array(F.lit("MatMul"))).alias("ops"), F.when(n % 5 == 0, 1).otherwise(0).alias("mismatches"))
     return selection.eligible(rows, ["MatMul", "Add"]).select("line", "reason", F.array_join("unknown_ops", ",").alias("unknown"))
 
 

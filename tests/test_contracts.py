@@ -226,3 +226,14 @@ def test_jobs_records_and_measurements():
     assert found == {"n": 5, "complete": True, "p95_us": (1000, 0), "mean_us": 1000}
     slow = iter(range(0, 10**12, 10**9))
     assert search.measured(lambda: None, 0, 100, 9.5, lambda: next(slow))["complete"] is False
+
+
+def test_packages_of_more_bytes_than_an_int_holds(spark, tmp_path):
+    from assayer.plans import registry
+
+    rows = [(2, "x" * 120_000), (4, "é" * 60_000), (8, "x" * 2000), (14, "x" * 2001), (1, "x" * 120_000), (9, "x" * 120_000), (25, "x" * 120_000), (16, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").select("*", F.lit("en").alias("lang"), F.lit("s").alias("source"))
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["line"]: (r["reason"], r["unknown"]) for r in registry.QUERIES["package_eligibility"](spark, str(tmp_path)).collect()}
+    over = ("vocabulary_over_guideline", "")
+    assert got == {2: over, 4: over, 8: (None, ""), 14: over, 1: (None, ""), 9: ("unsupported_ops", "Loop"), 25: ("prediction_mismatch", ""), 16: (None, "")}
