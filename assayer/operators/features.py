@@ -10,74 +10,126 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def ngrams(ids: DataFrame, orders: tuple[int, ...] = (1, 2, 3, 4), id_col: str = "id", ids_col: str = "ids") -> DataFrame:
-    """(id, n, key, tf): the n-grams of each row (as ngram_keys has them) and how often it has them; counted in the scan, a row for each distinct one."""
+#: Ids that a worker takes up at once (one row at least), and distinct n-grams of an order that a task holds before it passes them on.
+SLICE_IDS, MOST_HELD = 1 << 19, 1 << 20
+
+
+def _slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, ids, bounds) of neighbouring rows with at most SLICE_IDS ids, or of one row. Of texts, the ids are the bytes plus one."""
+    if isinstance(column, (pa.ListArray, pa.LargeListArray)):
+        bounds, values, step = column.offsets.to_numpy().astype(np.int64), column.values, 0
+    else:
+        wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+        _, offsets, data = column.buffers()
+        bounds = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        values, step = pa.array(np.frombuffer(data or b"", np.uint8)), 1
+    low = 0
+    while low < len(column):
+        high = max(low + 1, int(np.searchsorted(bounds, bounds[low] + SLICE_IDS, "right")) - 1)
+        own = values.slice(bounds[low], bounds[high] - bounds[low]).to_numpy(zero_copy_only=False).astype(np.int64)
+        yield low, own + step if step else own, bounds[low : high + 1] - bounds[low]
+        pa.default_memory_pool().release_unused()
+        low = high
+
+
+def _keys(ids: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and key of each run of n ids within a row; runs that hold padding (0) are left out."""
+    row_of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    size = max(0, len(ids) - n + 1)
+    keys, full = np.zeros(size, np.int64), row_of[:size] == row_of[n - 1 : n - 1 + size]
+    for j in range(n):
+        keys = keys * 257 + ids[j : j + size]
+        full &= ids[j : j + size] != 0
+    return row_of[:size][full], keys[full]
+
+
+def _distinct(high: np.ndarray, low: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs in order, and how often each occurs; low is under `most`."""
+    bits = (most - 1).bit_length()
+    packed = np.sort(high << bits | low)
+    starts = np.flatnonzero(np.diff(packed, prepend=packed[:1] - 1))
+    own = packed[starts]
+    return own >> bits, own & ((1 << bits) - 1), np.diff(starts, append=len(packed))
+
+
+def _counted(ids: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, key, tf) of the distinct n-grams of each row, in order."""
+    row, key = _keys(ids, bounds, n)
+    if len(bounds).bit_length() + (257**n - 1).bit_length() <= 63:
+        return _distinct(row, key, 257**n)
+    names, code = np.unique(key, return_inverse=True)
+    row, code, tf = _distinct(row, code, max(1, len(names)))
+    return row, names[code], tf
+
+
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, and the sum of what each has in the parts."""
+    keys, values = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(keys, kind="stable")
+    keys, values = keys[order], values[order]
+    starts = np.flatnonzero(np.diff(keys, prepend=keys[:1] - 1))
+    return keys[starts], np.add.reduceat(values, starts) if len(starts) else values
+
+
+def _checked(rows: DataFrame, orders: tuple[int, ...], ids_col: str) -> DataFrame:
     if any(not 1 <= n <= 7 for n in orders):
         raise ValueError("keys in base 257 hold 1 to 7 ids")
+    return rows.where(F.col(ids_col).isNotNull())
+
+
+def ngrams(ids: DataFrame, orders: tuple[int, ...] = (1, 2, 3, 4), id_col: str = "id", ids_col: str = "ids") -> DataFrame:
+    """(id, n, key, tf): the n-grams of each row (as ngram_keys has them) and how often it has them; counted in the scan, a row for each distinct one.
+
+    ids_col: ids (0 to 256), or texts, which stand for their byte ids.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(1)
-            bounds = lists.offsets.to_numpy().astype(np.int64)
-            flat = lists.values.to_numpy(zero_copy_only=False).astype(np.int64)[bounds[0] : bounds[-1]]
-            bounds = bounds - bounds[0]
-            for n in orders:
-                size = max(0, len(flat) - n + 1)
-                keys, full = np.zeros(size, np.int64), np.ones(size, bool)
-                for j in range(n):
-                    keys = keys * 257 + flat[j : j + size]
-                    full &= flat[j : j + size] != 0
-                rows, found, counts = [], [], []
-                for row, (low, high) in enumerate(zip(bounds[:-1].tolist(), (bounds[1:] - n + 1).tolist(), strict=True)):
-                    if high > low:
-                        own, times = np.unique(keys[low:high][full[low:high]], return_counts=True)
-                        rows.append(np.full(len(own), row))
-                        found.append(own)
-                        counts.append(times)
-                if rows:
-                    which = pa.array(np.concatenate(rows))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(which), pa.array(np.full(len(which), n, np.int32)), pa.array(np.concatenate(found)), pa.array(np.concatenate(counts).astype(np.int64))], names=["id", "n", "key", "tf"])
+            for first, own, bounds in _slices(batch.column(1)):
+                for n in orders:
+                    row, key, tf = _counted(own, bounds, n)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + first)), pa.array(np.full(len(row), n, np.int32)), pa.array(key), pa.array(tf)], names=["id", "n", "key", "tf"])
 
     kind = dict(ids.dtypes)[id_col]
-    return ids.where(F.col(ids_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(run, f"id {kind}, n int, key long, tf long")
+    return _checked(ids, orders, ids_col).select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(run, f"id {kind}, n int, key long, tf long")
 
 
 def document_frequencies(ids: DataFrame, orders: tuple[int, ...] = (1, 2, 3, 4), ids_col: str = "ids") -> DataFrame:
-    """(n, key, df): in how many rows each n-gram occurs. Each batch adds up its own rows before anything is shuffled."""
+    """(n, key, df): in how many rows each n-gram occurs; ids_col as in ngrams. Each task adds up its own rows before anything is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(0)
-            bounds = lists.offsets.to_numpy().astype(np.int64)
-            flat = lists.values.to_numpy(zero_copy_only=False).astype(np.int64)[bounds[0] : bounds[-1]]
-            bounds = bounds - bounds[0]
-            row_of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-            for n in orders:
-                size = max(0, len(flat) - n + 1)
-                keys, full = np.zeros(size, np.int64), row_of[:size] == row_of[n - 1 : n - 1 + size]
-                for j in range(n):
-                    keys = keys * 257 + flat[j : j + size]
-                    full &= flat[j : j + size] != 0
-                # a row counts once for each of its keys: by key, then by row, what differs from the one before
-                keys, rows = keys[full], row_of[:size][full]
-                order = np.lexsort((rows, keys))
-                keys, rows = keys[order], rows[order]
-                first = np.ones(len(keys), bool)
-                first[1:] = (keys[1:] != keys[:-1]) | (rows[1:] != rows[:-1])
-                found, df = np.unique(keys[first], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), n, np.int32)), pa.array(found), pa.array(df.astype(np.int64))], names=["n", "key", "df"])
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {n: [] for n in orders}
 
-    if any(not 1 <= n <= 7 for n in orders):
-        raise ValueError("keys in base 257 hold 1 to 7 ids")
-    own = ids.where(F.col(ids_col).isNotNull()).select(F.col(ids_col).alias("ids"))
+        def passed(n: int) -> pa.RecordBatch:
+            (found, df), held[n] = _added(held[n]), []
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(found), n, np.int32)), pa.array(found), pa.array(df)], names=["n", "key", "df"])
+
+        for batch in batches:
+            for _, own, bounds in _slices(batch.column(0)):
+                for n in orders:
+                    row, key = _keys(own, bounds, n)
+                    names, code = (None, key) if len(bounds).bit_length() + (257**n - 1).bit_length() <= 63 else np.unique(key, return_inverse=True)
+                    # a row counts once for each of its keys
+                    key, _, _ = _distinct(code, row, len(bounds))
+                    found, df = np.unique(key, return_counts=True)
+                    held[n].append((found if names is None else names[found], df.astype(np.int64)))
+                    if sum(len(k) for k, _ in held[n]) > MOST_HELD:
+                        held[n] = [_added(held[n])]
+                        if len(held[n][0][0]) > MOST_HELD // 2:
+                            yield passed(n)
+        for n in orders:
+            if held[n]:
+                yield passed(n)
+
+    own = _checked(ids, orders, ids_col).select(F.col(ids_col).alias("ids"))
     return own.mapInArrow(run, "n int, key long, df long").groupBy("n", "key").agg(F.sum("df").alias("df"))
 
 
-def vocabulary(grams: DataFrame, documents: int, min_df: int = 2, most: int = 200_000) -> DataFrame:
-    """(n, key, df, idf, col): the `most` n-grams with the highest document frequency, numbered by (n, key). grams: of ngrams, or of document_frequencies."""
+def vocabulary(grams: DataFrame, documents: int, min_df: int = 2, most: int = 200_000, kind: str = "float") -> DataFrame:
+    """(n, key, df, idf, col): the `most` n-grams with the highest document frequency, numbered by (n, key). grams: of ngrams, or of document_frequencies; kind: the type of idf."""
     df = grams if "df" in grams.columns else grams.groupBy("n", "key").agg(F.count("*").alias("df"))
     kept = df.where(F.col("df") >= min_df).orderBy(F.desc("df"), "n", "key").limit(most)
-    idf = (F.log((1 + F.lit(documents)) / (1 + F.col("df"))) + 1).cast("float")
+    idf = (F.log((1 + F.lit(documents)) / (1 + F.col("df"))) + 1).cast(kind)
     return kept.select("n", "key", "df", idf.alias("idf"), (F.row_number().over(Window.orderBy("n", "key")) - 1).alias("col"))
 
 
@@ -88,6 +140,42 @@ def tfidf(grams: DataFrame, vocab: DataFrame) -> DataFrame:
     return raw.join(norms, "id").select("id", "col", (F.col("x") / F.col("norm")).cast("float").alias("val"))
 
 
+def tfidf_rows(rows: DataFrame, vocab: DataFrame, id_col: str = "id", ids_col: str = "ids") -> DataFrame:
+    """(id, col, val) as tfidf(ngrams(rows), vocab) has them where each id has one row; nothing is shuffled, each worker holds the vocabulary.
+
+    val has the type of the vocabulary's idf. The driver collects the vocabulary, which is bounded by its own `most`.
+    """
+    table = vocab.select("n", "key", "idf", "col").toArrow()
+    of, key, idf, col = (table.column(c).to_numpy() for c in ("n", "key", "idf", "col"))
+    orders = tuple(np.unique(of).tolist())
+    parts = {}
+    for n in orders:
+        order = np.flatnonzero(of == n)
+        order = order[np.argsort(key[order])]
+        parts[n] = key[order], idf[order], col[order].astype(np.int32)
+    shared = rows.sparkSession.sparkContext.broadcast(parts)
+    kind, number = dict(rows.dtypes)[id_col], dict(vocab.dtypes)["idf"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, own, bounds in _slices(batch.column(1)):
+                found = []
+                for n, (names, idfs, cols) in shared.value.items():
+                    row, key, tf = _counted(own, bounds, n)
+                    at = np.minimum(np.searchsorted(names, key), len(names) - 1)
+                    known = names[at] == key
+                    at = at[known]
+                    found.append((row[known], cols[at], (1 + np.log(tf[known])) * idfs[at].astype(np.float64)))
+                if found:
+                    row, col, x = (np.concatenate(c) for c in zip(*found, strict=True))
+                    order = np.argsort(row.astype(np.uint16) if len(bounds) <= 1 << 16 else row, kind="stable")
+                    row, col, x = row[order], col[order], x[order]
+                    val = x / np.sqrt(np.bincount(row, x * x, len(bounds) - 1))[row]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + first)), pa.array(col), pa.array(val.astype(np.float32) if number == "float" else val)], names=["id", "col", "val"])
+
+    return _checked(rows, orders, ids_col).select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(run, f"id {kind}, col int, val {number}")
+
+
 def linear_scores(features: DataFrame, weights: DataFrame, biases: DataFrame) -> DataFrame:
     """(id, label, score): softmax over labels of the linear scores. weights: (col, label, w); biases: (label, pos, b)."""
     dots = features.join(weights, "col").groupBy("id", "label").agg(F.sum(F.col("val") * F.col("w")).alias("dot"))

@@ -364,7 +364,8 @@ GRAMS = """WITH g AS (SELECT id, unnest(list_transform(range(0, len(h) // 2 - 1)
 
 
 def byte_rows(v: Views) -> DataFrame:
-    return v.records.select("id", text.byte_ids(1 << 30)(F.col("input")).alias("ids"))
+    """Whole texts, which stand for their byte ids."""
+    return v.records.select("id", F.col("input").alias("ids"))
 
 
 @query("byte_ngram_df", GRAMS + " SELECT 2 AS n, key, df, round(idf, 4) AS idf FROM v")
@@ -391,7 +392,7 @@ def _(v: Views) -> DataFrame:
 @query("ngram_tfidf")
 def _(v: Views) -> DataFrame:
     rows = byte_rows(v)
-    return features.tfidf(features.ngrams(rows), features.vocabulary(features.document_frequencies(rows), v.records.count()))
+    return features.tfidf_rows(rows, features.vocabulary(features.document_frequencies(rows), v.records.count()))
 
 
 @query("byte_ids", """SELECT id, len(b)::BIGINT AS n, sha256(array_to_string(b, ',')) AS sha256 FROM (SELECT id, list_transform(range(0, len(h) // 2), lambda i: ('0x' || substr(h, (2 * i + 1)::INT, 2))::INT + 1) AS b FROM (SELECT CAST(doc_id AS VARCHAR) AS id, hex(encode(text)) AS h FROM documents))""")
