@@ -370,8 +370,8 @@ def byte_rows(v: Views) -> DataFrame:
 
 @query("byte_ngram_df", GRAMS + " SELECT 2 AS n, key, df, round(idf, 4) AS idf FROM v")
 def _(v: Views) -> DataFrame:
-    vocab = features.vocabulary(features.document_frequencies(byte_rows(v), (2,)), v.records.count())
-    return vocab.select("n", "key", "df", F.round(F.col("idf").cast("double"), 4).alias("idf"))
+    vocab = features.vocabulary(features.document_frequencies(byte_rows(v), (2,)), v.records.count(), kind="double")
+    return vocab.select("n", "key", "df", F.round("idf", 4).alias("idf"))
 
 
 #: The features are single precision, so their equivalent gives each row's number of them and their largest.
