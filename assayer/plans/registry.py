@@ -374,13 +374,13 @@ def _(v: Views) -> DataFrame:
     return vocab.select("n", "key", "df", F.round("idf", 4).alias("idf"))
 
 
-#: The features are single precision, so their equivalent gives each row's number of them and their largest.
+#: The features are single precision by default, so their equivalent gives each row's number of them and their largest.
 @query("tfidf_features", GRAMS + """, w AS (SELECT id, (1 + ln(tf)) * idf AS x FROM t JOIN v USING (x)), k AS (SELECT id, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS val FROM w)
     SELECT id, count(*) AS n, round(max(val), 2) AS largest FROM k GROUP BY id""")
 def _(v: Views) -> DataFrame:
     rows = byte_rows(v)
-    found = features.tfidf(features.ngrams(rows, (2,)), features.vocabulary(features.document_frequencies(rows, (2,)), v.records.count()))
-    return found.groupBy("id").agg(F.count("*").alias("n"), F.round(F.max(F.col("val").cast("double")), 2).alias("largest"))
+    found = features.tfidf_rows(rows, features.vocabulary(features.document_frequencies(rows, (2,)), v.records.count(), kind="double"))
+    return found.groupBy("id").agg(F.count("*").alias("n"), F.round(F.max("val"), 2).alias("largest"))
 
 
 #: The whole vocabulary and features, orders 1 to 4; SQL has equivalents for pairs of bytes only (byte_ngram_df, tfidf_features).
