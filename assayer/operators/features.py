@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-#: Ids that a worker takes up at once (one row at least), and distinct n-grams of an order that a task holds before it passes them on.
+#: Ids that a worker takes up at once (of n-grams and features, one row at least), and distinct n-grams of an order that a task holds before it passes them on.
 SLICE_IDS, MOST_HELD = 1 << 19, 1 << 20
 
 
-def _slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, ids, bounds) of neighbouring rows with at most SLICE_IDS ids, or of one row. Of texts, the ids are the bytes plus one."""
+def _opened(column: pa.Array) -> tuple[np.ndarray, Callable[[int, int], np.ndarray]]:
+    """The bounds of the rows, and what gives the ids from one place to another. Of texts, the ids are the bytes plus one."""
     if isinstance(column, (pa.ListArray, pa.LargeListArray)):
         bounds, values, step = column.offsets.to_numpy().astype(np.int64), column.values, 0
     else:
@@ -23,15 +23,31 @@ def _slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         _, offsets, data = column.buffers()
         bounds = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
         values, step = pa.array(np.frombuffer(data or b"", np.uint8)), 1
+
+    def ids(low: int, high: int) -> np.ndarray:
+        own = values.slice(low, high - low).to_numpy(zero_copy_only=False).astype(np.int64)
+        return own + step if step else own
+
+    return bounds, ids
+
+
+def _cuts(bounds: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(first row, row after the last) of neighbouring rows with at most SLICE_IDS ids, or of one row."""
     low = 0
-    while low < len(column):
+    while low < len(bounds) - 1:
         high = max(low + 1, int(np.searchsorted(bounds, bounds[low] + SLICE_IDS, "right")) - 1)
-        own = values.slice(bounds[low], bounds[high] - bounds[low]).to_numpy(zero_copy_only=False).astype(np.int64)
-        yield low, own + step if step else own, bounds[low : high + 1] - bounds[low]
+        yield low, high
         pa.default_memory_pool().release_unused()
         low = high
 
 
+def _slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, ids, bounds) of each of _cuts."""
+    bounds, ids = _opened(column)
+    for low, high in _cuts(bounds):
+        yield low, ids(bounds[low], bounds[high]), bounds[low : high + 1] - bounds[low]
+
+
 def _keys(ids: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Row and key of each run of n ids within a row; runs that hold padding (0) are left out."""
     row_of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
@@ -71,6 +87,27 @@ def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return keys[starts], np.add.reduceat(values, starts) if len(starts) else values
 
 
+def _of_long_row(ids: Callable[[int, int], np.ndarray], first: int, after: int, n: int) -> Iterator[np.ndarray]:
+    """The distinct keys of one row, each once, in order and in parts; the row is read in pieces of SLICE_IDS ids.
+
+    Where a row has more than MOST_HELD distinct keys, the largest are left to a further reading.
+    """
+    least, top, part = 0, 257**n, max(1, MOST_HELD // 4)
+    while least < top:
+        below, held = top, np.zeros(0, np.int64)
+        for at in range(first, after, SLICE_IDS):
+            # a run that begins in this piece may end in the next
+            own = ids(at, min(after, at + SLICE_IDS + n - 1))
+            key = _keys(own, np.array([0, len(own)]), n)[1]
+            held = np.sort(np.concatenate([held, np.sort(key[(key >= least) & (key < below)])]), kind="stable")
+            held = held[np.flatnonzero(np.diff(held, prepend=-1))]
+            if len(held) > MOST_HELD:
+                below, held = int(held[MOST_HELD]), held[:MOST_HELD].copy()
+        for at in range(0, len(held), part):
+            yield held[at : at + part]
+        least = below
+
+
 def _checked(rows: DataFrame, orders: tuple[int, ...], ids_col: str) -> DataFrame:
     if any(not 1 <= n <= 7 for n in orders):
         raise ValueError("keys in base 257 hold 1 to 7 ids")
@@ -95,7 +132,7 @@ def ngrams(ids: DataFrame, orders: tuple[int, ...] = (1, 2, 3, 4), id_col: str =
 
 
 def document_frequencies(ids: DataFrame, orders: tuple[int, ...] = (1, 2, 3, 4), ids_col: str = "ids") -> DataFrame:
-    """(n, key, df): in how many rows each n-gram occurs; ids_col as in ngrams. Each task adds up its own rows before anything is shuffled."""
+    """(n, key, df): in how many rows each n-gram occurs; ids_col as in ngrams. Each task adds up its own rows before anything is shuffled, and reads long rows in pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {n: [] for n in orders}
@@ -104,19 +141,28 @@ def document_frequencies(ids: DataFrame, orders: tuple[int, ...] = (1, 2, 3, 4),
             (found, df), held[n] = _added(held[n]), []
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(found), n, np.int32)), pa.array(found), pa.array(df)], names=["n", "key", "df"])
 
+        def counted(rows: np.ndarray, ids: Callable[[int, int], np.ndarray], n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            if rows[-1] - rows[0] > SLICE_IDS:
+                for found in _of_long_row(ids, rows[0], rows[-1], n):
+                    yield found, np.ones(len(found), np.int64)
+                return
+            row, key = _keys(ids(rows[0], rows[-1]), rows - rows[0], n)
+            names, code = (None, key) if len(rows).bit_length() + (257**n - 1).bit_length() <= 63 else np.unique(key, return_inverse=True)
+            # a row counts once for each of its keys
+            key, _, _ = _distinct(code, row, len(rows))
+            found, df = np.unique(key, return_counts=True)
+            yield found if names is None else names[found], df.astype(np.int64)
+
         for batch in batches:
-            for _, own, bounds in _slices(batch.column(0)):
+            bounds, ids = _opened(batch.column(0))
+            for low, high in _cuts(bounds):
                 for n in orders:
-                    row, key = _keys(own, bounds, n)
-                    names, code = (None, key) if len(bounds).bit_length() + (257**n - 1).bit_length() <= 63 else np.unique(key, return_inverse=True)
-                    # a row counts once for each of its keys
-                    key, _, _ = _distinct(code, row, len(bounds))
-                    found, df = np.unique(key, return_counts=True)
-                    held[n].append((found if names is None else names[found], df.astype(np.int64)))
-                    if sum(len(k) for k, _ in held[n]) > MOST_HELD:
-                        held[n] = [_added(held[n])]
-                        if len(held[n][0][0]) > MOST_HELD // 2:
-                            yield passed(n)
+                    for part in counted(bounds[low : high + 1], ids, n):
+                        held[n].append(part)
+                        if sum(len(k) for k, _ in held[n]) > MOST_HELD:
+                            held[n] = [_added(held[n])]
+                            if len(held[n][0][0]) > MOST_HELD // 2:
+                                yield passed(n)
         for n in orders:
             if held[n]:
                 yield passed(n)

@@ -106,3 +106,41 @@ def test_a_worker_holds_little_of_a_batch(monkeypatch, spark, name):
         peak = tracemalloc.get_traced_memory()[1]
         tracemalloc.stop()
         assert peak < 150e6, peak
+
+
+@pytest.mark.parametrize("many", [False, True])
+def test_a_long_row_is_read_in_pieces(monkeypatch, spark, many):
+    """A text of 6 MB takes less than 150 MB beside it, and each of its n-grams counts once."""
+    runs, plain = [], type(spark.range(0)).mapInArrow
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", lambda self, run, schema: runs.append(run) or plain(self, run, schema))
+    features.document_frequencies(spark.createDataFrame(TEXTS, "id string, ids string"))
+    own = np.random.default_rng(3).integers(0, 128 if many else 20, 6_000_000).astype(np.uint8)
+    batch = pa.RecordBatch.from_arrays([pa.array(["abc", own.tobytes().decode(), "abc"])], names=["ids"])
+    total = dict.fromkeys((1, 2, 3, 4), 0)
+    tracemalloc.start()
+    for out in runs[0](iter([batch])):
+        for n in total:
+            total[n] += int(out.column("df").to_numpy()[out.column("n").to_numpy() == n].sum())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6, peak
+    ids = own.astype(np.int64) + 1
+    for n in total:
+        keys = np.sort(sum(ids[j : len(ids) - n + 1 + j] * 257 ** (n - 1 - j) for j in range(n)))
+        assert total[n] == 1 + np.count_nonzero(np.diff(keys)) + 2 * max(0, 4 - n)
+
+
+@pytest.mark.parametrize("most", [1, 7, 1 << 20])
+def test_long_rows_with_many_ngrams(monkeypatch, most):
+    monkeypatch.setattr(features, "SLICE_IDS", 5)
+    monkeypatch.setattr(features, "MOST_HELD", most)
+    text = "abcabcab — ü\u0000xyxyxy abc zz"
+    padded = [x + 1 for x in text.encode()]
+    padded[9] = 0
+    for column in (pa.array(["q", text, "q"]), pa.array([[1], padded, [1]], pa.list_(pa.int32()))):
+        bounds, ids = features._opened(column.slice(1))
+        row = ids(bounds[0], bounds[1]).tolist()
+        for n in (1, 2, 3, 4, 7):
+            parts = list(features._of_long_row(ids, bounds[0], bounds[1], n))
+            want = sorted({sum(x * 257**j for j, x in enumerate(reversed(row[i : i + n]))) for i in range(len(row) - n + 1) if 0 not in row[i : i + n]})
+            assert np.concatenate(parts).tolist() == want and all(len(p) <= most for p in parts)
